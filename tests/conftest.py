@@ -5,7 +5,12 @@ import tempfile
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+TESTS = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, os.path.dirname(TESTS))
+# Python workers unpickle functions of the test modules by name.
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    [os.path.dirname(TESTS), TESTS, os.environ.get("PYTHONPATH", "")]
+)
 
 
 @pytest.fixture(scope="session")
