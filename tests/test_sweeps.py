@@ -31,9 +31,9 @@ def summarise(clips, threshold, fps, params):
     )
 
 
-@pytest.mark.parametrize("threshold,rows", [(1, 7), (2, 16), (3, 5), (3, 1000)])
+@pytest.mark.parametrize("threshold,rows", [(1, None), (2, 16), (3, 5), (3, None)])
 def test_sweep_equals_replay(spark, threshold, rows):
-    rng = random.Random(threshold * 100 + rows)
+    rng = random.Random(threshold * 100 + (rows or 0))
     sessions = level_sessions(rng, 18)
     names = ["alert", "low_vigilance", "drowsy"]
     clips = {s: (names[s % 3], [r[0] for r in v]) for s, v in sessions.items()}
@@ -112,9 +112,9 @@ def test_threshold_sweep_and_selection(spark):
     assert (best.d, best.floor_met) == (2, False)
 
 
-@pytest.mark.parametrize("rows", [3, 10, 10_000])
+@pytest.mark.parametrize("rows", [3, 10, None])
 def test_exact_percentiles(spark, rows):
-    rng = random.Random(rows)
+    rng = random.Random(rows or 0)
     data = [(g, rng.choice([rng.random() ** 9, 0.25, float(rng.randint(0, 3))])) for g in "aab" for _ in range(90)]
     df = spark.createDataFrame(data, "g string, x double")
     got = {r.g: (r.lo, r.mid, r.hi) for r in percentiles.exact_percentiles(df, ["g"], "x", {"lo": 0.1, "mid": 0.5, "hi": 0.95}, rows).collect()}
@@ -130,7 +130,7 @@ def test_exact_percentiles(spark, rows):
         assert got[g] == pytest.approx(tuple(at(values, p) for p in (0.1, 0.5, 0.95)), abs=1e-12)
 
 
-@pytest.mark.parametrize("rows", [4, 1000])
+@pytest.mark.parametrize("rows", [4, None])
 def test_auroc_pairwise(spark, rows):
     rng = random.Random(1)
     data = [(rng.randint(0, 2), [round(rng.random(), 1) for _ in range(3)]) for _ in range(120)]

@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from wakeline.operators.segments import (
     SEG,
     SEGMENT_ROWS,
+    SLICE,
     attach_carry,
+    cut,
     halo,
     hold_last,
     index_rows,
@@ -34,6 +36,7 @@ from wakeline.operators.segments import (
     scan,
     segment,
     slice_by_order,
+    within,
 )
 from wakeline.schemas import AUDIBLE, NONE, SAFE_ACTIVITY, VISUAL
 
@@ -84,33 +87,41 @@ def _debounced(
     escalate: int,
     de_escalate: int,
     escalated_after: int,
-    rows: int,
+    rows: int | None,
 ) -> DataFrame:
     """Adds ``committed`` and ``_escalated`` (the top level held for enough steps)."""
     check_steps(escalate, de_escalate, escalated_after)
     hi, lo, upward = max(escalate, de_escalate), min(escalate, de_escalate), escalate <= de_escalate
-    w = W.partitionBy(*keys, SEG).orderBy(frame)
-    upto = scan([*keys, SEG], frame)
+    part = within(keys, rows)
+    w = W.partitionBy(*part).orderBy(frame)
+    upto = scan(part, frame)
     # A segment borrows `hi` rows to know run positions and `escalated_after` more to know
     # how long the top level has been held; its state starts at `_zone`.
-    zone = F.col(SEG) * rows - escalated_after
+    zone = F.lit(0) if rows is None else F.col(SEG) * rows - escalated_after
     wide = halo(df, frame, before=hi + escalated_after, rows=rows)
     turned = ~F.col(level).eqNullSafe(F.lag(level).over(w))
     placed = wide.withColumn("_turn", turned).withColumn(
         "_pos",
         F.col(frame) - F.last(F.when(F.col("_turn"), F.col(frame)), ignorenulls=True).over(upto) + 1,
     )
-    placed = placed.filter(F.col(frame) >= zone)
+    if rows is not None:
+        placed = placed.filter(F.col(frame) >= zone)
     reset = F.col("_pos") == hi
     event = reset | (F.col("_pos") == lo)
     packed = placed.withColumn("_resets", F.sum(reset.cast("bigint")).over(upto)).withColumn(
         "_event", F.when(event, F.col("_resets") * 4 + _rank(F.col(level), upward))
     )
-    # The next segment's state starts `escalated_after` rows before its own first row.
-    handed_on = F.when(F.col(frame) < (F.col(SEG) + 1) * rows - escalated_after, F.col("_event"))
-    summary = packed.groupBy(*keys, SEG).agg(F.max(handed_on).alias("_packed"))
     local = packed.withColumn("_seen", F.max("_event").over(upto))
-    tracked = local.join(_chain(summary, keys, upward), [*keys, SEG]).withColumn(
+    if rows is None:
+        local = local.withColumn("_state", F.lit(0))
+    else:
+        # The next segment's state starts `escalated_after` rows before its own first row.
+        handed_on = F.col(frame) < (F.col(SEG) + 1) * rows - escalated_after
+        summary = packed.groupBy(*keys, SEG).agg(
+            F.max(F.when(handed_on, F.col("_event"))).alias("_packed")
+        )
+        local = local.join(_chain(summary, keys, upward), [*keys, SEG])
+    tracked = local.withColumn(
         "committed", _apply(F.col("_state"), F.col("_seen"), upward).cast("int")
     )
     below = F.last(F.when(F.col("committed") != top, F.col(frame)), ignorenulls=True).over(upto)
@@ -129,7 +140,7 @@ def debounce(
     escalate: int = 3,
     de_escalate: int = 8,
     alarm_after: int = 15,
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Fatigue track: adds ``committed`` (0/1/2) and ``tier`` (0..3) to dense frames."""
     valid = F.when(F.col(level).isin(0, 1, 2), F.col(level).cast("int")).otherwise(
@@ -149,7 +160,7 @@ def debounce_binary(
     escalate: int = 3,
     de_escalate: int = 8,
     audible_after: int = 15,
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Distraction track: adds ``committed`` (0/1) and ``tier`` (0, 1 or 2)."""
     levels = df.withColumn(flag, F.col(flag).cast("int"))
@@ -166,17 +177,17 @@ def with_previous(
     keys: Sequence[str],
     frame: str,
     columns: Sequence[str],
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Adds ``prev_<column>`` from the row before, over dense frames."""
-    w = W.partitionBy(*keys, SEG).orderBy(frame)
+    w = W.partitionBy(*within(keys, rows)).orderBy(frame)
     out = halo(df, frame, before=1, rows=rows)
     lagged = out.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns})
     return own_rows(lagged, frame, rows)
 
 
 def tier_events(
-    df: DataFrame, keys: Sequence[str], frame: str, tier: str = "tier", rows: int = SEGMENT_ROWS
+    df: DataFrame, keys: Sequence[str], frame: str, tier: str = "tier", rows: int | None = SEGMENT_ROWS
 ) -> DataFrame:
     """Rows where the tier differs from the one before, which is 0 at the start."""
     out = with_previous(df.select(*keys, frame, tier), keys, frame, [tier], rows)
@@ -190,17 +201,23 @@ def alarm_counts(
     frame: str,
     threshold: int,
     tier: str = "tier",
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Alarms and first alarm frame per session, over sparse tier events.
 
     An alarm is an event at or above the threshold whose predecessor is below it.
     """
     base = segment(events, frame, rows)
-    w = W.partitionBy(*keys, SEG).orderBy(frame)
+    w = W.partitionBy(*within(keys, rows)).orderBy(frame)
     local = base.withColumn("_prev", F.lag(tier).over(w))
-    tail = base.groupBy(*keys, SEG).agg(F.max_by(tier, F.col(frame)).alias("_tail"))
-    seen = attach_carry(local, tail, keys, SEG, {"_carry": lambda s: F.last("_tail").over(s)})
+    seen = attach_carry(
+        local,
+        base,
+        keys,
+        {"_tail": F.max_by(tier, F.col(frame))},
+        {"_carry": lambda s: F.last("_tail").over(s)},
+        rows,
+    )
     before = F.coalesce("_prev", "_carry", F.lit(NONE))
     rises = (F.col(tier) >= threshold) & (before < threshold)
     return seen.groupBy(*keys).agg(
@@ -220,7 +237,7 @@ def majority_smooth(
     window_us: int,
     zones: Sequence[str],
     out: str = "smoothed",
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Most frequent zone of the last ``window_us`` microseconds, bounds included.
 
@@ -230,7 +247,8 @@ def majority_smooth(
     """
     if window_us <= 0:
         raise ValueError(f"window must be positive, got {window_us}")
-    epochs = running_sum(df, keys, frame, F.col(zone).isNull().cast("bigint"), "_epoch", rows)
+    gaps = F.col(zone).isNull().cast("bigint")
+    epochs = cut(running_sum(df, keys, frame, gaps, "_epoch", rows), rows)
     votes = epochs.filter(F.col(zone).isNotNull())
     group = [*keys, "_epoch"]
     # Votes come in at ts (0) and leave after ts + window (1), in that order at equal times.
@@ -238,26 +256,25 @@ def majority_smooth(
         "_at", F.col(ts) + F.when(F.col("_move") == 1, window_us).otherwise(0)
     )
     sliced = slice_by_order(moves, group, "_at", rows)
-    upto = scan([*group, "_slice"], "_at", "_move", frame)
+    upto = scan(within(group, rows, SLICE), "_at", "_move", frame)
     delta = F.when(F.col("_move") == 0, 1).otherwise(-1)
-    counted, summaries, carries = {}, [], {}
+    counted, summaries, carries = {}, {}, {}
     for i, name in enumerate(zones):
         mine = F.col(zone) == name
         seen = F.when(mine & (F.col("_move") == 0), F.col(frame))
         counted[f"_c{i}"] = F.sum(F.when(mine, delta).otherwise(0)).over(upto)
         counted[f"_l{i}"] = F.max(seen).over(upto)
-        summaries += [
-            F.sum(F.when(mine, delta).otherwise(0)).alias(f"_sc{i}"),
-            F.max(seen).alias(f"_sl{i}"),
-        ]
+        summaries[f"_sc{i}"] = F.sum(F.when(mine, delta).otherwise(0))
+        summaries[f"_sl{i}"] = F.max(seen)
         carries[f"_pc{i}"] = lambda s, i=i: F.sum(f"_sc{i}").over(s)
         carries[f"_pl{i}"] = lambda s, i=i: F.max(f"_sl{i}").over(s)
-    summary = sliced.groupBy(*group, "_slice").agg(*summaries)
-    known = attach_carry(sliced.withColumns(counted), summary, group, "_slice", carries)
+    known = attach_carry(
+        sliced.withColumns(counted), sliced, group, summaries, carries, rows, SLICE
+    )
     ranked = [
         F.struct(
             (F.col(f"_c{i}") + F.coalesce(f"_pc{i}", F.lit(0))).alias("n"),
-            F.greatest(f"_l{i}", f"_pl{i}").alias("last"),
+            F.greatest(f"_l{i}", F.col(f"_pl{i}").cast("bigint")).alias("last"),
             F.lit(name).alias("zone"),
         )
         for i, name in enumerate(zones)
@@ -267,7 +284,9 @@ def majority_smooth(
         .withColumn(out, F.array_max(F.array(*ranked))["zone"])
         .select(*df.columns, out)
     )
-    silent = df.filter(F.col(zone).isNull()).withColumn(out, F.lit(None).cast("string"))
+    silent = epochs.filter(F.col(zone).isNull()).select(
+        *df.columns, F.lit(None).cast("string").alias(out)
+    )
     return voted.unionByName(silent)
 
 
@@ -280,7 +299,7 @@ def streak_tier(
     min_us: int,
     audible_us: int | None = None,
     out: str = "gaze_tier",
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Tier by the time the flag has been true without a break: VISUAL, then AUDIBLE."""
     if min_us <= 0:
@@ -289,8 +308,8 @@ def streak_tier(
         raise ValueError("the audible duration must not precede the minimum duration")
     off = F.coalesce(F.col(off_road), F.lit(False))
     base = segment(df.withColumn("_off", off), frame, rows)
-    order = W.partitionBy(*keys, SEG).orderBy(frame)
-    upto = scan([*keys, SEG], frame)
+    order = W.partitionBy(*within(keys, rows)).orderBy(frame)
+    upto = scan(within(keys, rows), frame)
     # Inside the segment a streak begins on an off row that follows an on row (or nothing).
     begins = F.col("_off") & ~F.coalesce(F.lag("_off").over(order), F.lit(False))
     marked = base.withColumns(
@@ -299,7 +318,22 @@ def streak_tier(
             "_cut": F.max(~F.col("_off")).over(upto),
         }
     )
-    # What a segment leaves open: its last streak, prolonged by segments that never cut it.
+    known = marked.withColumn("_carry", F.lit(None).cast("bigint"))
+    if rows is not None:
+        known = marked.join(_open_streaks(marked, keys, frame), [*keys, SEG])
+    start = F.when(F.col("_cut"), F.col("_began")).otherwise(F.coalesce("_carry", "_began"))
+    elapsed = F.when(F.col("_off"), F.col(ts) - start)
+    tier = F.when(elapsed >= min_us, VISUAL).otherwise(NONE)
+    if audible_us is not None:
+        tier = F.when(elapsed >= audible_us, AUDIBLE).otherwise(tier)
+    return known.withColumn(out, tier).select(*df.columns, out)
+
+
+def _open_streaks(marked: DataFrame, keys: Sequence[str], frame: str) -> DataFrame:
+    """Start of the streak that is open when a segment begins (null for none).
+
+    A segment leaves its last streak open; segments that never cut it prolong it.
+    """
     tails = marked.groupBy(*keys, SEG).agg(
         F.max("_cut").cast("int").alias("_cuts"),
         F.max_by(F.when(F.col("_off"), F.col("_began")), F.col(frame)).alias("_open"),
@@ -308,16 +342,9 @@ def streak_tier(
     grouped = tails.withColumn("_g", F.sum("_cuts").over(upto_seg))
     oldest = F.min("_open").over(scan([*keys, "_g"], SEG))
     left_open = grouped.withColumn("_left", F.when(F.col("_open").isNotNull(), oldest))
-    carried = left_open.select(
+    return left_open.select(
         *keys, SEG, F.lag("_left").over(W.partitionBy(*keys).orderBy(SEG)).alias("_carry")
     )
-    known = marked.join(carried, [*keys, SEG])
-    start = F.when(F.col("_cut"), F.col("_began")).otherwise(F.coalesce("_carry", "_began"))
-    elapsed = F.when(F.col("_off"), F.col(ts) - start)
-    tier = F.when(elapsed >= min_us, VISUAL).otherwise(NONE)
-    if audible_us is not None:
-        tier = F.when(elapsed >= audible_us, AUDIBLE).otherwise(tier)
-    return known.withColumn(out, tier).select(*df.columns, out)
 
 
 # --- Distraction: cadence, exponential average, hold --------------------------------------
@@ -332,7 +359,7 @@ def cadenced_ema(
     every_n: int = 5,
     alpha: float = 0.5,
     safe_label: str = SAFE_ACTIVITY,
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Score every Nth frame, smooth the probabilities, hold them in between.
 
@@ -357,7 +384,7 @@ def cadenced_ema(
     smooth = _ema(samples, keys, "_k", probs, len(labels), alpha).select(
         *keys, frame, F.col("_ema")
     )
-    joined = flagged.join(smooth, [*keys, frame], "left")
+    joined = cut(flagged.join(smooth, [*keys, frame], "left"), rows)
     held = hold_last(joined, keys, frame, "_ema", "_p", rows)
     best = F.array_position("_p", F.array_max("_p")).cast("int")
     uniform = F.array_repeat(F.lit(1.0 / len(labels)), len(labels))
@@ -371,12 +398,7 @@ def cadenced_ema(
 
 
 def _ema(
-    samples: DataFrame,
-    keys: Sequence[str],
-    k: str,
-    probs: str,
-    classes: int,
-    alpha: float,
+    samples: DataFrame, keys: Sequence[str], k: str, probs: str, classes: int, alpha: float
 ) -> DataFrame:
     keep = 1.0 - alpha
     if keep == 0.0:
@@ -385,13 +407,16 @@ def _ema(
     # Positions 0 .. 2 * block - 1 in a block and its predecessor; position 0 is given its
     # full weight only when it is the very first sample.
     wide = halo(samples, k, before=block, rows=block)
-    at = F.col(k) - (F.greatest(F.col(SEG) - 1, F.lit(0)) * block)
+    at = (F.col(k) - (F.greatest(F.col(SEG) - 1, F.lit(0)) * block)).cast("double")
     weight = F.when(F.col(k) == 0, 1.0).otherwise(alpha)
-    scaled = weight * F.pow(F.lit(keep), -at.cast("double"))
+    scaled = weight * F.pow(F.lit(keep), -at)
     upto = scan([*keys, SEG], k)
-    unscale = F.pow(F.lit(keep), at.cast("double"))
+    unscale = F.pow(F.lit(keep), at)
     smooth = F.array(
-        *[F.sum(F.get(probs, F.lit(c)).cast("double") * scaled).over(upto) * unscale for c in range(classes)]
+        *[
+            F.sum(F.get(probs, F.lit(c)).cast("double") * scaled).over(upto) * unscale
+            for c in range(classes)
+        ]
     )
     return own_rows(wide.withColumn("_ema", smooth), k, block)
 
@@ -416,7 +441,7 @@ def parallel_tracks(
     distracted: str,
     params: tuple[int, int, int] = (3, 8, 15),
     distraction_params: tuple[int, int, int] | None = None,
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Fatigue on face frames only (held in between), distraction on every frame.
 
@@ -429,13 +454,12 @@ def parallel_tracks(
         "_k",
         rows,
     )
-    fatigue = debounce(faces, keys, "_k", "_level", *params, rows=rows).select(
+    fatigue = debounce(cut(faces, rows), keys, "_k", "_level", *params, rows=rows).select(
         *keys, F.col("_f").alias(frame), F.struct(F.col("tier").alias("t"), F.col("_level").alias("l")).alias("_s")
     )
     binary = debounce_binary(df, keys, frame, distracted, *(distraction_params or params), rows=rows)
-    joined = binary.withColumnRenamed("tier", "distraction_tier").drop("committed").join(
-        fatigue, [*keys, frame], "left"
-    )
+    named = binary.withColumnRenamed("tier", "distraction_tier").drop("committed")
+    joined = cut(named.join(fatigue, [*keys, frame], "left"), rows)
     held = hold_last(joined, keys, frame, "_s", "_s", rows)
     return (
         held.withColumn("fatigue_tier", F.coalesce(F.col("_s.t"), F.lit(NONE)))
@@ -456,14 +480,14 @@ def change_events(
     fatigue: str = "fatigue_level",
     face: str = "has_face",
     gaze: str = "gaze_zone",
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Telemetry rows on every change: tier_change, gaze_change, face_lost, face_regained.
 
     Nothing is emitted on the first row. A missing zone holds the last known one.
     """
     base = df.select(*keys, frame, tier, fatigue, face, gaze)
-    known = hold_last(base, keys, frame, gaze, "_zone", rows, include_current=False)
+    known = cut(hold_last(base, keys, frame, gaze, "_zone", rows, include_current=False), rows)
     seen = with_previous(known, keys, frame, [tier, face], rows)
     no_text, no_int = F.lit(None).cast("string"), F.lit(None).cast("int")
 

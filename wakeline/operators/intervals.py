@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.operators.segments import SEG, SEGMENT_ROWS, attach_carry, scan
+from wakeline.operators.segments import SEGMENT_ROWS, attach_carry, scan, segment, within
 from wakeline.schemas import CLOSURE_FPS, CLOSURE_SECONDS, CROP_MARGIN, GAZE_ZONES
 
 _BLOCK = 1024
@@ -23,7 +23,7 @@ def closure_labels(
     min_seconds: float = CLOSURE_SECONDS,
     closed_action: str = "eyes_state/close",
     out: str = "drowsy",
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Frames inside an eye closure of at least ``min_seconds``.
 
@@ -54,7 +54,7 @@ def closure_labels(
 
 
 def _covered(
-    frames: DataFrame, steps: DataFrame, keys: Sequence[str], frame: str, out: str, rows: int
+    frames: DataFrame, steps: DataFrame, keys: Sequence[str], frame: str, out: str, rows: int | None
 ) -> DataFrame:
     # Steps at one frame are summed first, so the scan holds at most one row per frame.
     total = steps.groupBy(*keys, frame).agg(F.sum("_step").alias("_step"))
@@ -64,12 +64,18 @@ def _covered(
     marks = total.select(*keys, frame, "_step").withColumn(
         "_row", F.lit(None).cast(real.schema["_row"].dataType)
     )
-    both = real.unionByName(marks).withColumn(SEG, F.expr(f"`{frame}` div {rows}"))
+    both = segment(real.unionByName(marks), frame, rows)
     # A step counts from its own frame on, so it sorts before the frame itself.
-    upto = scan([*keys, SEG], frame, F.col("_row").isNotNull())
+    upto = scan(within(keys, rows), frame, F.col("_row").isNotNull())
     local = both.withColumn("_open", F.sum("_step").over(upto))
-    sums = both.groupBy(*keys, SEG).agg(F.sum("_step").alias("_s"))
-    known = attach_carry(local, sums, keys, SEG, {"_carry": lambda s: F.sum("_s").over(s)})
+    known = attach_carry(
+        local,
+        both,
+        keys,
+        {"_s": F.sum("_step")},
+        {"_carry": lambda s: F.sum("_s").over(s)},
+        rows,
+    )
     covered = F.col("_open") + F.coalesce("_carry", F.lit(0)) > 0
     kept = known.filter(F.col("_row").isNotNull())
     return kept.select(*keys, frame, *([F.col("_row." + c) for c in payload]), covered.alias(out))

@@ -13,7 +13,15 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.scalars import argmax, eyes_on_road
 from wakeline.operators.percentiles import exact_percentiles
-from wakeline.operators.segments import SEGMENT_ROWS, attach_carry, scan, slice_by_order
+from wakeline.operators.segments import (
+    SEGMENT_ROWS,
+    SLICE,
+    attach_carry,
+    cut,
+    scan,
+    slice_by_order,
+    within,
+)
 
 
 def _ratio(num: str | Column, den: str | Column, empty: float | None) -> Column:
@@ -155,7 +163,7 @@ def frame_accuracy(df: DataFrame, true: str, pred: str, by: Sequence[str] = ())
 
 
 def auroc_per_class(
-    df: DataFrame, true: str, scores: str, n_classes: int, rows: int = SEGMENT_ROWS
+    df: DataFrame, true: str, scores: str, n_classes: int, rows: int | None = SEGMENT_ROWS
 ) -> DataFrame:
     """One-vs-rest area under the ROC curve per class, ties counted half.
 
@@ -179,10 +187,18 @@ def auroc_per_class(
         .groupBy("class", "score")
         .agg(F.count_if("hit").alias("_p"), F.count_if(~F.col("hit")).alias("_q"))
     )
-    sliced = slice_by_order(cells, ["class"], "score", rows, levels=2)
-    local = sliced.withColumn("_below", F.sum("_q").over(scan(["class", "_slice"], "score")) - F.col("_q"))
-    sums = sliced.groupBy("class", "_slice").agg(F.sum("_q").alias("_s"))
-    known = attach_carry(local, sums, ["class"], "_slice", {"_off": lambda s: F.sum("_s").over(s)})
+    sliced = slice_by_order(cut(cells, rows), ["class"], "score", rows, levels=2)
+    upto = scan(within(["class"], rows, SLICE), "score")
+    local = sliced.withColumn("_below", F.sum("_q").over(upto) - F.col("_q"))
+    known = attach_carry(
+        local,
+        sliced,
+        ["class"],
+        {"_s": F.sum("_q")},
+        {"_off": lambda s: F.sum("_s").over(s)},
+        rows,
+        SLICE,
+    )
     wins = F.col("_p") * (F.col("_below") + F.coalesce("_off", F.lit(0)) + F.col("_q") / 2.0)
     return known.groupBy("class").agg(
         F.try_divide(F.sum(wins), F.sum("_p").cast("double") * F.sum("_q")).alias("auroc")
@@ -190,7 +206,7 @@ def auroc_per_class(
 
 
 def macro_auroc(
-    df: DataFrame, true: str, scores: str, n_classes: int, strict: bool = True, rows: int = SEGMENT_ROWS
+    df: DataFrame, true: str, scores: str, n_classes: int, strict: bool = True, rows: int | None = SEGMENT_ROWS
 ) -> DataFrame:
     """Unweighted mean of the class areas; a class without both kinds of rows is an error."""
     per_class = auroc_per_class(df, true, scores, n_classes, rows)
@@ -503,7 +519,7 @@ def throughput(
     latency_ms: Column,
     face: Column,
     elapsed_s: Column,
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Frames, frames per second, median and p95 latency and face rate per group.
 

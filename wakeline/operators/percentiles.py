@@ -11,11 +11,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.operators.segments import SEGMENT_ROWS, attach_carry, scan, slice_by_order
+from wakeline.operators.segments import (
+    SEGMENT_ROWS,
+    SLICE,
+    attach_carry,
+    cut,
+    scan,
+    slice_by_order,
+    within,
+)
 
 
 def ranked_values(
-    df: DataFrame, keys: Sequence[str], value: str, rows: int = SEGMENT_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, rows: int | None = SEGMENT_ROWS
 ) -> DataFrame:
     """(keys, value, first_rank, last_rank): 0-based ranks of every distinct value."""
     counts = (
@@ -23,10 +31,17 @@ def ranked_values(
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    sliced = slice_by_order(counts, keys, value, rows, levels=2)
-    local = sliced.withColumn("_cum", F.sum("_n").over(scan([*keys, "_slice"], value)))
-    sums = sliced.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_s"))
-    known = attach_carry(local, sums, keys, "_slice", {"_off": lambda s: F.sum("_s").over(s)})
+    sliced = slice_by_order(cut(counts, rows), keys, value, rows, levels=2)
+    local = sliced.withColumn("_cum", F.sum("_n").over(scan(within(keys, rows, SLICE), value)))
+    known = attach_carry(
+        local,
+        sliced,
+        keys,
+        {"_s": F.sum("_n")},
+        {"_off": lambda s: F.sum("_s").over(s)},
+        rows,
+        SLICE,
+    )
     last = F.coalesce("_off", F.lit(0)) + F.col("_cum") - 1
     return known.select(
         *keys, value, (last - F.col("_n") + 1).alias("first_rank"), last.alias("last_rank")
@@ -38,7 +53,7 @@ def exact_percentiles(
     keys: Sequence[str],
     value: str,
     points: Mapping[str, float],
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Linear-interpolated percentiles per group; ``points`` maps names to 0..1.
 

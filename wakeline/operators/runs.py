@@ -12,9 +12,11 @@ from wakeline.operators.segments import (
     SEG,
     SEGMENT_ROWS,
     attach_carry,
+    cut,
     index_rows,
     scan,
     segment,
+    within,
 )
 
 _MERGE = {"max": F.max, "min": F.min, "sum": F.sum}
@@ -27,7 +29,7 @@ def equal_runs(
     value: str | Column,
     extras: Mapping[str, tuple[str, str]] | None = None,
     keep: Column | None = None,
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Maximal runs of one value: (keys, value, start, end, length, extras…).
 
@@ -46,23 +48,28 @@ def _merge_runs(
     frame: str,
     extras: Mapping[str, tuple[str, str]],
     keep: Column | None,
-    rows: int,
+    rows: int | None,
 ) -> DataFrame:
-    w = W.partitionBy(*keys, SEG).orderBy(frame)
+    part = within(keys, rows)
+    w = W.partitionBy(*part).orderBy(frame)
     previous = F.lag("value").over(w)
     first = F.row_number().over(w) == 1
     marked = segmented.withColumn("_new", first | ~F.col("value").eqNullSafe(previous)).withColumn(
-        "_run", F.sum(F.col("_new").cast("bigint")).over(scan([*keys, SEG], frame))
+        "_run", F.sum(F.col("_new").cast("bigint")).over(scan(part, frame))
     )
     if keep is not None:
         marked = marked.filter(keep)
-    partial = marked.groupBy(*keys, SEG, "_run").agg(
+    partial = marked.groupBy(*part, "_run").agg(
         F.first("value").alias("value"),
         F.min(frame).alias("start"),
         F.max(frame).alias("end"),
         *[_MERGE[fn](src).alias(name) for name, (fn, src) in extras.items()],
     )
+    if rows is None:
+        whole = partial.select(*keys, "value", "start", "end", *extras)
+        return whole.withColumn("length", F.col("end") - F.col("start") + 1)
     # Only runs that touch a border can go on in the next segment: at most two a segment.
+    partial = cut(partial, rows)
     at_border = (F.col("start") % rows == 0) | ((F.col("end") + 1) % rows == 0)
     columns = [*keys, "value", "start", "end", *extras]
     inner = partial.filter(~at_border).select(*columns)
@@ -93,7 +100,7 @@ def event_runs(
     signal: str,
     threshold: float,
     min_duration: int = 1,
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Maximal runs at or above a threshold: (keys, start, end, length, peak).
 
@@ -106,13 +113,15 @@ def event_runs(
         "_mark", F.when(known, (F.col(signal) >= threshold).cast("int"))
     )
     local = base.withColumn(
-        "_held", F.last("_mark", ignorenulls=True).over(scan([*keys, SEG], frame))
-    )
-    tail = base.groupBy(*keys, SEG).agg(
-        F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col(frame))).alias("_tail")
+        "_held", F.last("_mark", ignorenulls=True).over(scan(within(keys, rows), frame))
     )
     state = attach_carry(
-        local, tail, keys, SEG, {"_carry": lambda s: F.last("_tail", ignorenulls=True).over(s)}
+        local,
+        base,
+        keys,
+        {"_tail": F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col(frame)))},
+        {"_carry": lambda s: F.last("_tail", ignorenulls=True).over(s)},
+        rows,
     ).withColumn("value", F.coalesce("_held", "_carry", F.lit(0)))
     state = state.withColumn("_peak", F.when(known, F.col(signal)))
     runs = _merge_runs(state, keys, frame, {"peak": ("max", "_peak")}, F.col("value") == 1, rows)
@@ -126,7 +135,7 @@ def proposal_events(
     signal: str,
     threshold: float,
     min_duration: int = 1,
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Every event, whatever the label of its video; ``label`` is a placeholder 0."""
     runs = event_runs(df, keys, frame, signal, threshold, min_duration, rows)
@@ -142,7 +151,7 @@ def training_events(
     threshold: float,
     min_duration: int = 1,
     label: str = "label",
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Labelled events: the longest one of a yawning video, and all of any other video.
 
@@ -171,28 +180,39 @@ def sessionise(
     frame: str,
     value: str,
     out: str = "interval_id",
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Number the stretches of equal value and consecutive frames, from 0.
 
     ``frame`` is unique per session but may have gaps; a gap starts a new stretch.
     """
     base = segment(df, frame, rows)
-    w = W.partitionBy(*keys, SEG).orderBy(frame)
+    part = within(keys, rows)
+    w = W.partitionBy(*part).orderBy(frame)
     here = F.struct(F.col(frame).alias("f"), F.col(value).alias("v"))
     local = base.withColumn("_prev", F.lag(here).over(w))
-    tail = base.groupBy(*keys, SEG).agg(F.max_by(here, F.col(frame)).alias("_tail"))
-    seen = attach_carry(local, tail, keys, SEG, {"_carry": lambda s: F.last("_tail").over(s)})
+    seen = attach_carry(
+        local,
+        base,
+        keys,
+        {"_tail": F.max_by(here, F.col(frame))},
+        {"_carry": lambda s: F.last("_tail").over(s)},
+        rows,
+    )
     prev = F.coalesce("_prev", "_carry")
     goes_on = prev.isNotNull() & prev["v"].eqNullSafe(F.col(value)) & (prev["f"] + 1 == F.col(frame))
     seen = seen.withColumn("_new", (~goes_on).cast("bigint"))
-    counted = seen.withColumn("_n", F.sum("_new").over(scan([*keys, SEG], frame)))
-    starts = seen.groupBy(*keys, SEG).agg(F.sum("_new").alias("_starts"))
-    return (
-        attach_carry(counted, starts, keys, SEG, {"_off": lambda s: F.sum("_starts").over(s)})
-        .withColumn(out, F.col("_n") + F.coalesce("_off", F.lit(0)) - 1)
-        .drop("_prev", "_carry", "_new", "_n", "_off", SEG)
+    counted = seen.withColumn("_n", F.sum("_new").over(scan(part, frame)))
+    known = attach_carry(
+        counted,
+        seen,
+        keys,
+        {"_starts": F.sum("_new")},
+        {"_off": lambda s: F.sum("_starts").over(s)},
+        rows,
     )
+    number = F.col("_n") + F.coalesce("_off", F.lit(0)) - 1
+    return known.withColumn(out, number).drop("_prev", "_carry", "_new", "_n", "_off", SEG)
 
 
 def first_seen_ids(
@@ -201,7 +221,7 @@ def first_seen_ids(
     frame: str,
     value: str,
     out: str = "interval_id",
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Dense ids of a column's values in order of first appearance: (keys, value, id)."""
     firsts = df.groupBy(*keys, value).agg(F.min(frame).alias("first_frame"))

@@ -1,8 +1,14 @@
 """Ordered scans over sessions of any length.
 
-One session may hold a third of a table, so no operator sorts a whole session in one task.
-Rows are cut into *segments* (a session plus a bounded stretch of its order), every window
-runs inside a segment, and what crosses a border travels in one of two ways:
+Most sessions are short: a camera hour is some 100,000 rows. Then a window over the session
+is the right plan, and operators chained on the same session share one exchange and sort.
+One session may also hold a third of a table. Which case a table is, is measured once::
+
+    rows = measure(frames, ["session"])      # None: every session fits one segment
+
+and passed on as ``rows``. With ``rows=None`` operators are plain session windows. With a
+number, sessions are cut into *segments* of at most that many rows, every window runs inside
+a segment, and what crosses a border travels in one of two ways:
 
 ``halo``
     for bounded look-back or look-ahead: the few rows near a border are also given to the
@@ -12,11 +18,15 @@ runs inside a segment, and what crosses a border travels in one of two ways:
     (rows / segment size of them) are scanned per session, and the carried value is joined
     back on the segment key the rows are already partitioned by.
 
-Both depend only on column values, so a recomputed task gives the same rows.
+Both depend only on column values, so a recomputed task gives the same rows. Because a
+carry reads its input twice, operators made of several scans write it out in between
+(`cut`) when they run segmented.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,22 +36,65 @@ from pyspark.sql.window import WindowSpec
 
 SEGMENT_ROWS = 1 << 20
 SEG = "_seg"
+SLICE = "_slice"
 
 _SLICE_FANOUT = 1 << 20
 
 
+def measure(df: DataFrame, keys: Sequence[str], rows: int = SEGMENT_ROWS) -> int | None:
+    """None when no group has more than ``rows`` rows, else ``rows``.
+
+    One pass over the key columns, counted on the map side. The answer stays valid for
+    tables that keep a subset of the rows of every group.
+    """
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return None if (largest or 0) <= rows else rows
+
+
+def stage_folder(spark) -> str:
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
+
+    Only a local session may do without one; it gets a temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    folder = tempfile.mkdtemp(prefix="wakeline-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def cut(df: DataFrame, rows: int | None) -> DataFrame:
+    """Write an intermediate result once, so that it is not computed for every reader.
+
+    Session-window plans (``rows=None``) are single passes and are left alone.
+    """
+    if rows is None:
+        return df
+    path = f"{stage_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def within(keys: Sequence[str], rows: int | None, part: str = SEG) -> list[str]:
+    """Partitioning of a scan: the session, or the session's segments."""
+    return [*keys] if rows is None else [*keys, part]
+
+
 def scan(keys: Sequence[str], *order: str | Column) -> WindowSpec:
-    """Rows from the start of the segment up to and including the current one."""
+    """From the first row of the partition up to and including the current one."""
     return W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
-def segment(df: DataFrame, frame: str, rows: int = SEGMENT_ROWS) -> DataFrame:
+def segment(df: DataFrame, frame: str, rows: int | None = SEGMENT_ROWS) -> DataFrame:
     """Number the segments of a table whose ``frame`` is unique per session."""
-    return df.withColumn(SEG, F.expr(f"`{frame}` div {rows}"))
+    return df if rows is None else df.withColumn(SEG, F.expr(f"`{frame}` div {rows}"))
 
 
 def halo(
-    df: DataFrame, frame: str, before: int = 0, after: int = 0, rows: int = SEGMENT_ROWS
+    df: DataFrame, frame: str, before: int = 0, after: int = 0, rows: int | None = SEGMENT_ROWS
 ) -> DataFrame:
     """Segments that also see ``before`` rows of the previous and ``after`` of the next one.
 
@@ -50,6 +103,8 @@ def halo(
     """
     if before < 0 or after < 0:
         raise ValueError("halo sizes must not be negative")
+    if rows is None:
+        return df
     if max(before, after) > rows:
         raise ValueError(f"a halo of {max(before, after)} rows needs segments of at least that size")
     home = F.expr(f"`{frame}` div {rows}")
@@ -64,41 +119,46 @@ def halo(
     return df.withColumn(SEG, F.explode(F.array_compact(F.array(*targets))))
 
 
-def own_rows(df: DataFrame, frame: str, rows: int = SEGMENT_ROWS) -> DataFrame:
-    return df.filter(f"`{frame}` div {rows} = {SEG}").drop(SEG)
+def own_rows(df: DataFrame, frame: str, rows: int | None = SEGMENT_ROWS) -> DataFrame:
+    return df if rows is None else df.filter(f"`{frame}` div {rows} = {SEG}").drop(SEG)
 
 
 def attach_carry(
-    rows: DataFrame,
-    summary: DataFrame,
+    scanned: DataFrame,
+    base: DataFrame,
     keys: Sequence[str],
-    seg: str,
+    aggs: Mapping[str, Column],
     carries: Mapping[str, Callable[[WindowSpec], Column]],
+    rows: int | None,
+    part: str = SEG,
     following: bool = False,
 ) -> DataFrame:
     """Join to every row what the earlier (or later) segments of its session left behind.
 
-    ``summary`` has one row per (keys, seg) found in ``rows``. Each entry of ``carries``
+    ``aggs`` reduce each segment of ``base`` to a summary row; each entry of ``carries``
     builds its column from a window over the summary rows strictly before (after) the
-    current segment. Keys are not null. The join is inner, so that both of its sides start
-    from the same filtered scan and Spark can share their exchange.
+    current segment. Without segments the carried columns are null. Keys are not null.
+    The join is inner, so that both of its sides start from the same filtered scan and
+    Spark can share their exchange.
     """
-    base = W.partitionBy(*keys).orderBy(seg)
+    if rows is None:
+        return scanned.withColumns({name: F.lit(None) for name in carries})
+    order = W.partitionBy(*keys).orderBy(part)
     span = (
-        base.rowsBetween(1, W.unboundedFollowing)
+        order.rowsBetween(1, W.unboundedFollowing)
         if following
-        else base.rowsBetween(W.unboundedPreceding, -1)
+        else order.rowsBetween(W.unboundedPreceding, -1)
     )
-    carried = summary.select(*keys, seg, *[make(span).alias(n) for n, make in carries.items()])
-    return rows.join(carried, [*keys, seg])
+    summary = base.groupBy(*keys, part).agg(*[c.alias(n) for n, c in aggs.items()])
+    carried = summary.select(*keys, part, *[make(span).alias(n) for n, make in carries.items()])
+    return scanned.join(carried, [*keys, part])
 
 
 def slice_by_order(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    rows: int = SEGMENT_ROWS,
-    out: str = "_slice",
+    rows: int | None = SEGMENT_ROWS,
     levels: int = 1,
 ) -> DataFrame:
     """Cut every group into stretches of a numeric order column, about ``rows`` rows each.
@@ -107,10 +167,12 @@ def slice_by_order(
     so it has fewer than (table rows / ``rows``) entries. Each further level cuts the
     stretches that are still too dense, for orders that are far from evenly spread.
     """
-    out_df = df.withColumn(out, F.lit(0).cast("bigint"))
+    if rows is None:
+        return df
+    out = df.withColumn(SLICE, F.lit(0).cast("bigint"))
     for _ in range(levels):
         dense = (
-            out_df.groupBy(*keys, out)
+            out.groupBy(*keys, SLICE)
             .agg(
                 F.count(F.lit(1)).alias("_n"),
                 F.min(order).cast("double").alias("_lo"),
@@ -121,13 +183,13 @@ def slice_by_order(
             .drop("_n")
         )
         share = (F.col(order).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-        part = F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1)
-        out_df = (
-            out_df.join(F.broadcast(dense), [*keys, out], "left")
-            .withColumn(out, F.col(out) * _SLICE_FANOUT + F.coalesce(part, F.lit(0)))
+        place = F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1)
+        out = (
+            out.join(F.broadcast(dense), [*keys, SLICE], "left")
+            .withColumn(SLICE, F.col(SLICE) * _SLICE_FANOUT + F.coalesce(place, F.lit(0)))
             .drop("_lo", "_hi", "_parts")
         )
-    return out_df
+    return cut(out, rows)
 
 
 def index_rows(
@@ -135,7 +197,7 @@ def index_rows(
     keys: Sequence[str],
     order: Sequence[str],
     out: str = "frame",
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
     levels: int = 1,
 ) -> DataFrame:
     """Dense 0-based position of every row in its session.
@@ -143,18 +205,21 @@ def index_rows(
     ``order`` must be a total order; its first column must be numeric. The offsets come
     from per-slice counts, so a long session is numbered by many tasks.
     """
-    sliced = slice_by_order(df, keys, order[0], rows, levels=levels)
+    sliced = slice_by_order(df, keys, order[0], rows, levels)
     local = sliced.withColumn(
-        "_rn", F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*order))
+        "_rn", F.row_number().over(W.partitionBy(*within(keys, rows, SLICE)).orderBy(*order))
     )
-    counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        attach_carry(
-            local, counts, keys, "_slice", {"_before": lambda w: F.sum("_n").over(w)}
-        )
-        .withColumn(out, F.coalesce("_before", F.lit(0)) + F.col("_rn") - 1)
-        .drop("_slice", "_rn", "_before")
+    known = attach_carry(
+        local,
+        sliced,
+        keys,
+        {"_n": F.count(F.lit(1))},
+        {"_before": lambda w: F.sum("_n").over(w)},
+        rows,
+        SLICE,
     )
+    position = F.coalesce(F.col("_before").cast("bigint"), F.lit(0)) + F.col("_rn") - 1
+    return known.withColumn(out, position).drop(SLICE, "_rn", "_before")
 
 
 def hold_last(
@@ -163,24 +228,24 @@ def hold_last(
     frame: str,
     value: str | Column,
     out: str,
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
     include_current: bool = True,
 ) -> DataFrame:
     """Last non-null value so far; over the rows before the current one on request."""
-    base = segment(df.withColumn(out, value if isinstance(value, Column) else F.col(value)), frame, rows)
-    w = W.partitionBy(*keys, SEG).orderBy(frame)
+    named = df.withColumn(out, value if isinstance(value, Column) else F.col(value))
+    base = segment(named, frame, rows)
+    w = W.partitionBy(*within(keys, rows)).orderBy(frame)
     span = w.rowsBetween(W.unboundedPreceding, W.currentRow if include_current else -1)
     local = base.withColumn("_held", F.last(out, ignorenulls=True).over(span))
-    tail = base.groupBy(*keys, SEG).agg(
-        F.max_by(out, F.when(F.col(out).isNotNull(), F.col(frame))).alias("_tail")
-    )
-    return (
-        attach_carry(
-            local, tail, keys, SEG, {"_carry": lambda s: F.last("_tail", ignorenulls=True).over(s)}
-        )
-        .withColumn(out, F.coalesce("_held", "_carry"))
-        .drop("_held", "_carry", SEG)
+    known = attach_carry(
+        local,
+        base,
+        keys,
+        {"_tail": F.max_by(out, F.when(F.col(out).isNotNull(), F.col(frame)))},
+        {"_carry": lambda s: F.last("_tail", ignorenulls=True).over(s)},
+        rows,
     )
+    return known.withColumn(out, F.coalesce("_held", "_carry")).drop("_held", "_carry", SEG)
 
 
 def running_sum(
@@ -189,14 +254,18 @@ def running_sum(
     frame: str,
     value: Column,
     out: str,
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Cumulative sum over the whole session, current row included."""
     base = segment(df.withColumn("_v", value), frame, rows)
-    local = base.withColumn(out, F.sum("_v").over(scan([*keys, SEG], frame)))
-    sums = base.groupBy(*keys, SEG).agg(F.sum("_v").alias("_s"))
-    return (
-        attach_carry(local, sums, keys, SEG, {"_carry": lambda s: F.sum("_s").over(s)})
-        .withColumn(out, F.coalesce(out, F.lit(0)) + F.coalesce("_carry", F.lit(0)))
-        .drop("_carry", "_v", SEG)
+    local = base.withColumn(out, F.sum("_v").over(scan(within(keys, rows), frame)))
+    known = attach_carry(
+        local,
+        base,
+        keys,
+        {"_s": F.sum("_v")},
+        {"_carry": lambda s: F.sum("_s").over(s)},
+        rows,
     )
+    total = F.coalesce(out, F.lit(0)) + F.coalesce("_carry", F.lit(0))
+    return known.withColumn(out, total).drop("_carry", "_v", SEG)

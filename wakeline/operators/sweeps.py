@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 from wakeline.operators.alerts import _apply, _chain, _rank, check_steps
 from wakeline.operators.percentiles import exact_percentiles
 from wakeline.operators.runs import equal_runs
-from wakeline.operators.segments import SEG, SEGMENT_ROWS, attach_carry, scan
+from wakeline.operators.segments import (
+    SEGMENT_ROWS,
+    attach_carry,
+    cut,
+    scan,
+    segment,
+    within,
+)
 from wakeline.schemas import ALARM, ALERT_GRID, AUDIBLE, BASELINE_PARAMS, RECALL_FLOOR, VISUAL
 
 Params = tuple[int, int, int]
@@ -24,7 +31,7 @@ def level_changes(
     runs: DataFrame,
     keys: Sequence[str],
     steps: Sequence[tuple[int, int]],
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Every commit of the debounce machine, for each (escalate, de-escalate) pair.
 
@@ -46,14 +53,17 @@ def level_changes(
     group = [*keys, "escalate", "de_escalate"]
     upward = F.col("escalate") <= F.col("de_escalate")
     reset = F.col("length") >= F.greatest("escalate", "de_escalate")
-    base = long_runs.withColumn(SEG, F.expr(f"start div {rows}"))
-    order = W.partitionBy(*group, SEG).orderBy("start")
+    base = segment(long_runs, "start", rows)
+    part = within(group, rows)
+    order = W.partitionBy(*part).orderBy("start")
     packed = base.withColumn(
-        "_resets", F.sum(reset.cast("bigint")).over(scan([*group, SEG], "start"))
+        "_resets", F.sum(reset.cast("bigint")).over(scan(part, "start"))
     ).withColumn("_event", F.col("_resets") * 4 + _rank(F.col("value"), upward))
-    summary = packed.groupBy(*group, SEG).agg(F.max("_event").alias("_packed"))
     before = F.max("_event").over(order.rowsBetween(W.unboundedPreceding, -1))
-    known = packed.withColumn("_seen", before).join(_chain(summary, group, upward), [*group, SEG])
+    known = packed.withColumn("_seen", before).withColumn("_state", F.lit(0))
+    if rows is not None:
+        summary = packed.groupBy(*part).agg(F.max("_event").alias("_packed"))
+        known = known.drop("_state").join(_chain(summary, group, upward), part)
     was = _apply(F.col("_state"), F.col("_seen"), upward)
     step = F.when(F.col("value") > F.col("was"), F.col("escalate")).otherwise(F.col("de_escalate"))
     return (
@@ -75,7 +85,7 @@ def alarms(
     keys: Sequence[str],
     threshold: int,
     alarm_steps: Sequence[int],
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Frames where the tier rises to the threshold, per parameter set (adds alarm_after).
 
@@ -89,11 +99,16 @@ def alarms(
         return rises.select(*group, "frame", after)
     if threshold != ALARM:
         raise ValueError(f"no such alarm threshold: {threshold}")
-    base = changes.withColumn(SEG, F.expr(f"frame div {rows}"))
-    local = base.withColumn("_next", F.lead("frame").over(W.partitionBy(*group, SEG).orderBy("frame")))
-    heads = base.groupBy(*group, SEG).agg(F.min("frame").alias("_head"))
+    base = segment(cut(changes, rows), "frame", rows)
+    order = W.partitionBy(*within(group, rows)).orderBy("frame")
     known = attach_carry(
-        local, heads, group, SEG, {"_later": lambda s: F.min("_head").over(s)}, following=True
+        base.withColumn("_next", F.lead("frame").over(order)),
+        base,
+        group,
+        {"_head": F.min("frame")},
+        {"_later": lambda s: F.min("_head").over(s)},
+        rows,
+        following=True,
     )
     held = known.filter(F.col("now") == 2).join(clips.select(*keys, "n_frames"), list(keys))
     length = F.coalesce("_next", "_later", "n_frames") - F.col("frame")
@@ -112,7 +127,7 @@ def replay_summary(
     params: Sequence[str],
     grid: DataFrame,
     fps: float,
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Clip-level alert metrics per parameter set.
 
@@ -183,7 +198,7 @@ def sweep_alerts(
     fps: float,
     grid: Sequence[Params] = ALERT_GRID,
     threshold: int = AUDIBLE,
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Replay every clip under every parameter set: one metrics row per set.
 
@@ -192,7 +207,7 @@ def sweep_alerts(
     steps = sorted({(e, d) for e, d, _ in grid})
     afters = sorted({a for _, _, a in grid})
     runs = equal_runs(levels.select(*keys, frame, level), keys, frame, level, rows=rows)
-    changes = level_changes(runs, keys, steps, rows)
+    changes = level_changes(cut(runs, rows), keys, steps, rows)
     rises = alarms(changes, clips, keys, threshold, afters, rows)
     params = ["escalate", "de_escalate", "alarm_after"]
     return replay_summary(

@@ -38,7 +38,7 @@ def kept_rows(
     face: str,
     step: int = 1,
     out: str = "row",
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Stride over raw frames, drop those without a face, number what is left."""
     kept = raw.filter(on_stride(F.col(frame), step)).filter(F.col(face).isNotNull())

@@ -289,17 +289,13 @@ class MonitorProcessor(StatefulProcessor):
             self.session.update((json.dumps(vars(s)),))
             self.handle.registerTimer(int(s.last_ts * 1000) + idle_ms)
         if out:
-            yield pd.DataFrame(out, columns=[f.name for f in OUTPUT.fields]).astype(
-                {"frames": "Int64", "fatigue": "Int32", **{c: "Int32" for c in _TIERS}}
-            )
+            columns = {f.name: [event.get(f.name) for event in out] for f in OUTPUT.fields}
+            yield pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in columns.items()})
 
     def close(self) -> None:
         pass
 
 
-_TIERS = ("tier", "fatigue_tier", "distraction_tier", "gaze_tier")
-
-
 def _millis(ts) -> int:
     return int(ts.timestamp() * 1000)
 
