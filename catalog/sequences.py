@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -27,9 +26,9 @@ from catalog.base import (
     table,
     video_labels,
 )
-from wakeline.functions.scalars import tier_name
+from wakeline.functions.scalars import rate_per_minute, tier_name
 from wakeline.operators import alerts, runs, windows
-from wakeline.operators.segments import cut, hold_last, index_rows, stage_folder
+from wakeline.operators.segments import cut, stage_folder
 from wakeline.plans.yawning import longest_runs, score_videos
 from wakeline.streaming import metrics as live
 from wakeline.streaming import monitor
@@ -183,8 +182,6 @@ def perclos(spark, sf):
         FROM o GROUP BY s""",
 )
 def session_onsets(spark, sf):
-    from wakeline.functions.scalars import rate_per_minute
-
     frames, rows = long_frames(spark, sf)
     out = windows.session_onsets(frames, ["s"], "frame", "ear", 15.0, "below", rows)
     rate = rate_per_minute(F.col("onsets"), F.col("frames"), 30.0)
@@ -581,7 +578,7 @@ def _mean_level(window):
         src AS (SELECT s, raw, frame, CASE WHEN frame < 3 THEN 0 WHEN m >= 54.06 THEN 2 WHEN m >= 20.28 THEN 1 ELSE 0 END AS level,
           2 AS e, 3 AS d, 2 AS a FROM (SELECT *, avg(value) OVER (PARTITION BY s ORDER BY frame ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS m
           FROM f) AS t), {fold_sql("src")},
-        j AS (SELECT ev.s, ev.event_id, coalesce(last_value({TIER} IGNORE NULLS) OVER w, 0) AS tier,
+        j AS (SELECT ev.s, ev.event_id, coalesce(last_value(CASE WHEN committed = 2 AND held >= 2 THEN 3 ELSE committed END IGNORE NULLS) OVER w, 0) AS tier,
           coalesce(last_value(fold.level IGNORE NULLS) OVER w, 0) AS fatigue
           FROM ev LEFT JOIN src ON src.s = ev.s AND src.raw = ev.frame LEFT JOIN fold ON fold.s = src.s AND fold.frame = src.frame
           WINDOW w AS (PARTITION BY ev.s ORDER BY ev.frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))

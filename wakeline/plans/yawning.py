@@ -13,6 +13,7 @@ from wakeline.operators.metrics import pooled_vectors, video_report, video_score
 from wakeline.operators.runs import event_runs, proposal_events
 from wakeline.operators.segments import SEGMENT_ROWS
 from wakeline.operators.sweeps import select_threshold, threshold_sweep
+from wakeline.schemas import CROP_MARGIN
 
 EventsBuilder = Callable[[DataFrame], DataFrame]
 
@@ -72,6 +73,7 @@ def event_features(
     dim: int,
     n_frames: int = 5,
     events_builder: EventsBuilder | None = None,
+    tolerance: int = CROP_MARGIN,
     strict: bool = True,
     rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
@@ -91,7 +93,11 @@ def event_features(
         *event, F.posexplode(event_rows(F.col("start"), F.col("end"), n_frames)).alias("_i", "row")
     )
     found = nearest_rows(
-        wanted, crops.select(*keys, F.col("row").alias("crop_row")), keys, strict=strict
+        wanted,
+        crops.select(*keys, F.col("row").alias("crop_row")),
+        keys,
+        tolerance=tolerance,
+        strict=strict,
     )
     vectors = crops.select(*keys, F.col("row").alias("crop_row"), "vector")
     return pooled_vectors(found.join(vectors, [*keys, "crop_row"]), event, "vector", dim)
@@ -111,12 +117,13 @@ def compare_detectors(
     false-positive rate, which is null.
     """
     videos = video_scores(longest, scored_events.select(*keys, "score"), keys)
-    fired = F.array(
-        F.struct(F.lit("baseline_mar").alias("detector"), (F.col("longest") >= 1).alias("fired")),
-        F.struct(F.lit("baseline_duration"), F.col("longest") >= min_duration),
-        F.struct(F.lit("classifier"), F.col("score") >= tau),
-    )
-    each = videos.select(label, F.inline(fired))
+    rules = {
+        "baseline_mar": F.col("longest") >= 1,
+        "baseline_duration": F.col("longest") >= min_duration,
+        "classifier": F.col("score") >= tau,
+    }
+    fired = [F.struct(F.lit(n).alias("detector"), hit.alias("fired")) for n, hit in rules.items()]
+    each = videos.select(label, F.inline(F.array(*fired)))
     report = video_report(each, label, F.col("fired"), by=["detector"])
     return report.select(
         "detector",
