@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,11 +107,12 @@ def build_dataset_splits(
     out_dir: str,
     ratios: tuple[float, float, float] = (0.7, 0.15, 0.15),
     seed: int = 0,
+    builders: Mapping[str, Builder] = DATASET_BUILDERS,
 ) -> DataFrame:
     """Build, split, check and write one dataset's manifest."""
-    if dataset not in DATASET_BUILDERS:
-        raise ValueError(f"unknown dataset {dataset!r}; expected one of {sorted(DATASET_BUILDERS)}")
-    manifest = DATASET_BUILDERS[dataset](spark, root)
+    if dataset not in builders:
+        raise ValueError(f"unknown dataset {dataset!r}; expected one of {sorted(builders)}")
+    manifest = builders[dataset](spark, root)
     if manifest.isEmpty():
         raise ValueError(f"no samples found under {root!r}; check the dataset path and layout")
     split = assert_subject_independent(subject_independent_split(manifest, ratios, seed))
