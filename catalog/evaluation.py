@@ -748,8 +748,8 @@ def summary_windows(spark, sf, size=60, stride=30):
 def boosted_windows(spark, sf):
     """Boosted trees on window features, trained on some sessions and judged on others."""
     *_, windows = summary_windows(spark, sf)
-    whole = windows.cache()
-    train, validate = whole.filter("s % 5 < 4"), whole.filter("s % 5 = 4")
+    whole = splits.subject_independent_split(windows, (0.8, 0.2, 0.0), 1, "s").cache()
+    train, validate = whole.filter("split = 'train'"), whole.filter("split = 'val'")
     out = scoring.evaluate_boosted_windows(train, validate, fatigue.FEATURES, "label", 3, max_iter=3)
     return out.select("overall_accuracy", "macro_auroc", "false_alarm_rate")
 
@@ -775,7 +775,8 @@ def window_tuning(spark, sf):
     """Window configurations judged on held-out sessions, the best one marked."""
     marked, labels, limits, rows, _ = summary_windows(spark, sf)
     grid = [{"size": 60, "stride": 30, "max_iter": 2}, {"size": 100, "stride": 50, "max_iter": 2}]
-    train, validate = marked.filter("s % 5 < 4"), marked.filter("s % 5 = 4")
+    carved = splits.subject_independent_split(marked, (0.8, 0.2, 0.0), 1, "s").cache()
+    train, validate = carved.filter("split = 'train'"), carved.filter("split = 'val'")
     results, best = fatigue.tune(spark, train, validate, labels, ["s"], "frame", grid, limits, 30.0, rows=rows)
     return results.select("grid_pos", "overall_accuracy", "macro_auroc", "false_alarm_rate")
 
@@ -784,7 +785,10 @@ def window_tuning(spark, sf):
 def linear_head(spark, sf):
     """Linear classifier on cached vectors, the penalty chosen on validation."""
     vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("features"), F.col("label").alias("label_index"))
-    head, accuracy = scoring.fit_linear_head(vectors.filter("vec_id % 5 < 4"), vectors.filter("vec_id % 5 = 4"), penalties=(0.0, 0.1), max_iter=10)
+    carved = splits.subject_independent_split(vectors, (0.8, 0.2, 0.0), 1, "vec_id").cache()
+    head, accuracy = scoring.fit_linear_head(
+        carved.filter("split = 'train'"), carved.filter("split = 'val'"), penalties=(0.0, 0.1), max_iter=10
+    )
     scored = head.transform(scoring.as_vector(vectors, "features", "_v"))
     return metrics.frame_accuracy(scored, "label_index", "prediction").withColumn("validation", F.lit(accuracy))
 

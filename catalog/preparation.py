@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalog.base import (
@@ -22,7 +21,7 @@ from catalog.base import (
 from catalog.evaluation import _MANIFEST, manifest, split_sql
 from wakeline.functions import geometry, scalars
 from wakeline.operators import intervals, metrics, splits
-from wakeline.operators.segments import stage_folder
+from wakeline.operators.segments import index_rows, stage_folder
 from wakeline.operators.windows import window_labels
 from wakeline.plans.fatigue import union_windows
 from wakeline.schemas import ACTIVITIES, FATIGUE_CLASSES, TELEMETRY
@@ -408,7 +407,7 @@ def feature_cache(spark, sf):
     vectors = table(spark, sf, "embeddings").select(
         F.col("vec_id").cast("string").alias("sample_id"), F.col("label").alias("label_index"), F.col("embedding").alias("features"), "vec_id"
     )
-    frames.write_feature_cache(vectors.limit(3), path, "small", "train")
+    frames.write_feature_cache(vectors, path, "small", "train")
     for part, split in ((0, "train"), (1, "test")):
         frames.write_feature_cache(vectors.filter(F.col("vec_id") % 2 == part), path, "small", split)
     both = [
@@ -771,16 +770,16 @@ def window_union(spark, sf):
 
 @query(
     "ordered_intervals",
-    f"""WITH {_DOCS} SELECT event_id, label AS action, a AS start_frame, b AS end_frame, row_number() OVER (ORDER BY a, b, label, event_id) AS place FROM i
-        ORDER BY a, b, label, event_id LIMIT 50""",
+    f"""WITH {_DOCS} SELECT event_id, label AS action, a AS start_frame, b AS end_frame,
+          row_number() OVER (ORDER BY a, b, label, event_id) - 1 AS place FROM i""",
 )
 def ordered_intervals(spark, sf):
-    """The first intervals of a report in (start, end, action) order."""
+    """Every interval with its place in (start, end, action) order over the whole corpus."""
     rows = annotations.action_intervals(activity_documents(spark, sf), "json", ["event_id"])
     short = rows.withColumn("action", F.replace("action", F.lit("driver_actions/"), F.lit("")))
-    top = short.filter(F.col("action").isin(*ACTIVITIES)).orderBy("start_frame", "end_frame", "action", "event_id").limit(50)
-    place = F.row_number().over(W.orderBy("start_frame", "end_frame", "action", "event_id"))
-    return top.select("event_id", "action", "start_frame", "end_frame", place.cast("bigint").alias("place"))
+    known = short.filter(F.col("action").isin(*ACTIVITIES)).withColumn("_all", F.lit(0))
+    order = ["start_frame", "end_frame", "action", "event_id"]
+    return index_rows(known, ["_all"], order, "place").drop("_all")
 
 
 @query(

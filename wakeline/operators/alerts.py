@@ -249,10 +249,12 @@ def majority_smooth(
         raise ValueError(f"window must be positive, got {window_us}")
     gaps = F.col(zone).isNull().cast("bigint")
     epochs = cut(running_sum(df, keys, frame, gaps, "_epoch", rows), rows)
-    votes = epochs.filter(F.col(zone).isNotNull())
     group = [*keys, "_epoch"]
     # Votes come in at ts (0) and leave after ts + window (1), in that order at equal times.
-    moves = votes.withColumn("_move", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+    in_and_out = F.when(F.col(zone).isNull(), F.array(F.lit(0))).otherwise(
+        F.array(F.lit(0), F.lit(1))
+    )
+    moves = epochs.withColumn("_move", F.explode(in_and_out)).withColumn(
         "_at", F.col(ts) + F.when(F.col("_move") == 1, window_us).otherwise(0)
     )
     sliced = slice_by_order(moves, group, "_at", rows)
@@ -279,15 +281,8 @@ def majority_smooth(
         )
         for i, name in enumerate(zones)
     ]
-    voted = (
-        known.filter(F.col("_move") == 0)
-        .withColumn(out, F.array_max(F.array(*ranked))["zone"])
-        .select(*df.columns, out)
-    )
-    silent = epochs.filter(F.col(zone).isNull()).select(
-        *df.columns, F.lit(None).cast("string").alias(out)
-    )
-    return voted.unionByName(silent)
+    voted = F.when(F.col(zone).isNotNull(), F.array_max(F.array(*ranked))["zone"])
+    return known.filter(F.col("_move") == 0).withColumn(out, voted).select(*df.columns, out)
 
 
 def streak_tier(

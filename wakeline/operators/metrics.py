@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wakeline.functions.scalars import argmax, eyes_on_road
@@ -17,8 +18,8 @@ from wakeline.operators.segments import (
     SEGMENT_ROWS,
     SLICE,
     attach_carry,
-    cut,
     scan,
+    settle,
     slice_by_order,
     within,
 )
@@ -187,7 +188,8 @@ def auroc_per_class(
         .groupBy("class", "score")
         .agg(F.count_if("hit").alias("_p"), F.count_if(~F.col("hit")).alias("_q"))
     )
-    sliced = slice_by_order(cut(cells, rows), ["class"], "score", rows, levels=2)
+    cells, rows = settle(cells, ["class"], rows)
+    sliced = slice_by_order(cells, ["class"], "score", rows, levels=2)
     upto = scan(within(["class"], rows, SLICE), "score")
     local = sliced.withColumn("_below", F.sum("_q").over(upto) - F.col("_q"))
     known = attach_carry(
@@ -220,13 +222,24 @@ def evaluate_predictions(
     df: DataFrame, true: str, pred: str, scores: str, n_classes: int, alarm_class: int
 ) -> DataFrame:
     """One row: accuracy, macro AUROC, false-alarm rate and the class recalls (a map)."""
-    rates = accuracy_and_false_alarms(df, true, pred, alarm_class)
-    area = macro_auroc(df, true, scores, n_classes)
-    entries = F.sort_array(F.collect_list(F.struct(F.col("class").cast("string"), "recall")))
-    recalls = class_recall(df, true, pred, n_classes).agg(
-        F.map_from_entries(entries).alias("per_class_accuracy")
+    cells = confusion_matrix(df, true, pred, n_classes)
+    right = F.col("y_true") == F.col("y_pred")
+    quiet = F.col("y_true") != alarm_class
+    total = lambda which: F.sum(F.when(which, F.col("n")).otherwise(0))
+    per_class = cells.groupBy("y_true").agg(
+        F.sum("n").alias("_n"),
+        total(right).alias("_ok"),
+        total(quiet).alias("_neg"),
+        total(quiet & (F.col("y_pred") == alarm_class)).alias("_fa"),
+    )
+    recall = _ratio("_ok", "_n", float("nan"))
+    entries = F.sort_array(F.collect_list(F.struct(F.col("y_true").cast("string"), recall)))
+    rates = per_class.agg(
+        _ratio(F.sum("_ok"), F.sum("_n"), 0.0).alias("overall_accuracy"),
+        _ratio(F.sum("_fa"), F.sum("_neg"), 0.0).alias("false_alarm_rate"),
+        F.map_from_entries(entries).alias("per_class_accuracy"),
     )
-    return rates.crossJoin(area).crossJoin(recalls)  # three single rows
+    return rates.crossJoin(macro_auroc(df, true, scores, n_classes))  # two single rows
 
 
 def binary_drowsy_report(df: DataFrame, true: str, pred: str) -> DataFrame:
@@ -496,10 +509,10 @@ def majority_class(df: DataFrame, label: str) -> DataFrame:
 def class_weights(df: DataFrame, label: str, n_classes: int) -> DataFrame:
     """Inverse-frequency weights total / (n_classes * max(count, 1)) of every class."""
     counts = df.groupBy(F.col(label).cast("int").alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    dense = _classes(df, n_classes).join(counts, ["class"], "left").crossJoin(total)
+    dense = _classes(df, n_classes).join(counts, ["class"], "left")
     n = F.coalesce("n", F.lit(0))
-    weight = F.col("_total") / (F.lit(n_classes) * F.greatest(n, F.lit(1)))
+    total = F.sum("n").over(W.partitionBy(F.lit(0)))  # over the class rows
+    weight = total / (F.lit(n_classes) * F.greatest(n, F.lit(1)))
     return dense.select("class", n.alias("n"), weight.alias("weight"))
 
 

@@ -17,6 +17,7 @@ from wakeline.operators.segments import (
     attach_carry,
     cut,
     scan,
+    settle,
     slice_by_order,
     within,
 )
@@ -31,7 +32,8 @@ def ranked_values(
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    sliced = slice_by_order(cut(counts, rows), keys, value, rows, levels=2)
+    counts, rows = settle(counts, keys, rows)
+    sliced = slice_by_order(counts, keys, value, rows, levels=2)
     local = sliced.withColumn("_cum", F.sum("_n").over(scan(within(keys, rows, SLICE), value)))
     known = attach_carry(
         local,
@@ -62,10 +64,8 @@ def exact_percentiles(
     if not points or any(not 0.0 <= p <= 1.0 for p in points.values()):
         raise ValueError("percentiles must lie in 0..1")
     counted = df.withColumn("_x", F.col(value).cast("double"))
-    ranks = ranked_values(counted.select(*keys, "_x"), keys, "_x", rows)
-    totals = counted.filter(F.col("_x").isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_total")
-    )
+    ranks = cut(ranked_values(counted.select(*keys, "_x"), keys, "_x", rows), rows)
+    totals = ranks.groupBy(*keys).agg((F.max("last_rank") + 1).alias("_total"))
     # Totals have one row per group; with no keys that is a single row.
     with_total = ranks.join(totals, list(keys)) if keys else ranks.crossJoin(F.broadcast(totals))
 

@@ -22,19 +22,20 @@ from wakeline.operators.splits import check_fold_subjects, held_out_rows, train_
 def batch_scorer(load: Callable[[], Callable[[np.ndarray], np.ndarray]], returns: str):
     """Column function over an array column; ``load`` builds the model once per task.
 
-    The model maps a (rows, …) float32 array to one result per row.
+    The model maps a (rows, …) float32 array to one result per row. Null inputs are not
+    scored and give null.
     """
 
     @F.pandas_udf(returns)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for batch in batches:
-            if len(batch) == 0:
-                yield pd.Series([], dtype=object)
-                continue
-            stacked = np.stack([np.array(list(v), dtype=np.float32) for v in batch])
-            result = np.asarray(model(stacked))
-            yield pd.Series(list(result) if result.ndim > 1 else result)
+            out = pd.Series([None] * len(batch), dtype=object)
+            given = batch.notna().to_numpy()
+            if given.any():
+                stacked = np.stack([np.array(list(v), dtype=np.float32) for v in batch[given]])
+                out[given] = list(np.asarray(model(stacked)))
+            yield out
 
     return score
 
@@ -54,9 +55,8 @@ def onnx_loader(path: str, output: int = 0) -> Callable[[], Callable[[np.ndarray
 
 def window_levels(windows: DataFrame, scorer, window: str = "window", full: str = "is_full") -> DataFrame:
     """Level of every row from its rolling window of feature arrays, 0 until it is full."""
-    ready = windows.filter(F.col(full)).withColumn("level", scorer(F.col(window)).cast("int"))
-    early = windows.filter(~F.col(full)).withColumn("level", F.lit(0))
-    return ready.unionByName(early).drop(window, full)
+    level = scorer(F.when(F.col(full), F.col(window))).cast("int")
+    return windows.withColumn("level", F.coalesce(level, F.lit(0))).drop(window, full)
 
 
 # --- Spark ML ------------------------------------------------------------------------------

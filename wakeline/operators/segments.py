@@ -78,6 +78,30 @@ def cut(df: DataFrame, rows: int | None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(
+    df: DataFrame, keys: Sequence[str], rows: int | None
+) -> tuple[DataFrame, int | None]:
+    """Write a reduced table once and measure its groups: the table and its segment size.
+
+    For scans over derived groups, whose sizes the caller cannot know.
+    """
+    if rows is None:
+        return df, None
+    written = cut(df, rows)
+    return written, measure(written, keys, rows)
+
+
+def join_dimension(
+    df: DataFrame, dimension: DataFrame, keys: Sequence[str], limit: int = 1_000_000
+) -> DataFrame:
+    """Join a table with one row per session, which is broadcast when it is counted small.
+
+    Beyond ``limit`` rows it is a shuffled join, where adaptive execution splits hot keys.
+    """
+    small = dimension.limit(limit + 1).count() <= limit
+    return df.join(F.broadcast(dimension) if small else dimension, list(keys))
+
+
 def within(keys: Sequence[str], rows: int | None, part: str = SEG) -> list[str]:
     """Partitioning of a scan: the session, or the session's segments."""
     return [*keys] if rows is None else [*keys, part]

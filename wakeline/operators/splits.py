@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.scalars import recording_subject
-from wakeline.operators.segments import SEGMENT_ROWS, index_rows
+from wakeline.operators.segments import SEGMENT_ROWS, index_rows, settle
 
 MIRROR_RATIOS = (0.78, 0.0, 0.22)
 VALIDATION_RATIOS = (0.8, 0.2, 0.0)
@@ -46,6 +46,7 @@ def subject_independent_split(
         subject_hash(F.col("_s"), seed).alias("_h"),
         "_s",
     )
+    subjects, rows = settle(subjects, ["_g"], rows)
     ranked = index_rows(subjects, ["_g"], ["_lead", "_h", "_s"], "_rank", rows)
     n = subjects.agg(F.count(F.lit(1)).alias("_n"))
     n_train = F.rint(F.lit(ratios[0]) * F.col("_n"))
@@ -124,18 +125,18 @@ def subject_folds(df: DataFrame, subject: str = "subject_id") -> DataFrame:
     size is the total less the held-out rows, so no pairs of subjects are formed.
     """
     per_subject = df.groupBy(F.col(subject).alias("held_out")).agg(F.count(F.lit(1)).alias("n_test"))
-    totals = per_subject.agg(F.count(F.lit(1)).alias("_subjects"), F.sum("n_test").alias("_rows"))
     numeric = dict(per_subject.dtypes)["held_out"] in ("int", "bigint", "smallint", "tinyint")
-    keyed = per_subject.withColumn("_g", F.lit(0))
+    keyed, rows = settle(per_subject.withColumn("_g", F.lit(0)), ["_g"], SEGMENT_ROWS)
     if numeric:
-        ordered = index_rows(keyed, ["_g"], ["held_out"], "fold")
+        ordered = index_rows(keyed, ["_g"], ["held_out"], "fold", rows)
     else:
         # Text subjects: number by a prefix of the text, which is a numeric order.
         prefix = F.conv(F.rpad(F.substring(F.hex(F.encode(F.col("held_out"), "UTF-8")), 1, 12), 12, "0"), 16, 10)
         ordered = index_rows(
-            keyed.withColumn("_p", prefix.cast("bigint")), ["_g"], ["_p", "held_out"], "fold"
+            keyed.withColumn("_p", prefix.cast("bigint")), ["_g"], ["_p", "held_out"], "fold", rows
         ).drop("_p")
-    return ordered.crossJoin(F.broadcast(totals)).select(
+    totals = keyed.agg(F.count(F.lit(1)).alias("_subjects"), F.sum("n_test").alias("_rows"))
+    return ordered.crossJoin(F.broadcast(totals)).select(  # totals is a single row
         "fold",
         "held_out",
         (F.col("_subjects") - 1).alias("n_train_subjects"),

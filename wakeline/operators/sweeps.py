@@ -15,6 +15,7 @@ from wakeline.operators.segments import (
     SEGMENT_ROWS,
     attach_carry,
     cut,
+    measure,
     scan,
     segment,
     within,
@@ -152,20 +153,23 @@ def replay_summary(
         F.count(F.lit(1)).alias("_alarms"), F.min("frame").alias("_first")
     )
     labelled = per_clip.join(checked.select(*keys, "label"), list(keys))
+    first = F.when(drowsy, F.col("_first") / fps)
+    median = "median_time_to_first_alert_s"
+    # A parameter set has one first alert per clip; few clips need no distributed median.
+    few_clips = measure(clips, [], rows or SEGMENT_ROWS) is None
+    if not few_clips:
+        labelled = cut(labelled.withColumn("_t", first), SEGMENT_ROWS)
     sums = labelled.groupBy(*params).agg(
         F.sum(F.when(~drowsy, F.col("_alarms")).otherwise(0)).alias("_nd"),
         F.sum(F.when(alert_only, F.col("_alarms")).otherwise(0)).alias("_ao"),
         F.count_if(~drowsy).alias("_nd_clips"),
         F.count_if(drowsy).alias("_hits"),
+        *([F.percentile(first, F.lit(0.5)).alias(median)] if few_clips else []),
     )
-    medians = exact_percentiles(
-        labelled.filter(drowsy).withColumn("_t", F.col("_first") / fps),
-        params,
-        "_t",
-        {"median_time_to_first_alert_s": 0.5},
-        rows,
-    )
-    out = grid.join(sums, list(params), "left").join(medians, list(params), "left")
+    out = grid.join(sums, list(params), "left")
+    if not few_clips:
+        medians = exact_percentiles(labelled, params, "_t", {median: 0.5}, rows or SEGMENT_ROWS)
+        out = out.join(medians, list(params), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.crossJoin(F.broadcast(totals)).select(  # totals is a single row
         *grid.columns,
@@ -227,21 +231,21 @@ def select_alert_params(
         & (F.col("de_escalate") == default[1])
         & (F.col("alarm_after") == default[2])
     )
-    bar = sweep.filter(is_default).agg(
-        F.count(F.lit(1)).alias("_rows"), F.max("drowsy_detection_rate").alias("_bar")
-    )
+    # One window over the grid, a row per parameter set, so the sweep runs once.
+    whole_grid = W.partitionBy(F.lit(0))
+    bar = F.max(F.when(is_default, F.col("drowsy_detection_rate"))).over(whole_grid)
     if strict:
         missing = F.raise_error(F.lit("sweep rows must include the default parameters"))
         no_rate = F.raise_error(F.lit("the baseline row has no drowsy clips"))
-        bar = bar.select(
-            F.when(F.col("_rows") == 0, missing.cast("double"))
-            .when(F.col("_bar").isNull(), no_rate.cast("double"))
-            .otherwise(F.col("_bar"))
-            .alias("_bar")
+        defaults = F.count_if(is_default).over(whole_grid)
+        bar = (
+            F.when(defaults == 0, missing.cast("double"))
+            .when(bar.isNull(), no_rate.cast("double"))
+            .otherwise(bar)
         )
-    eligible = sweep.crossJoin(F.broadcast(bar.select("_bar"))).filter(  # a single row
-        F.col("drowsy_detection_rate") >= F.col("_bar")
-    )
+    # Sets without drowsy clips never qualify, but must not be dropped before the check.
+    rate = F.coalesce("drowsy_detection_rate", F.lit(-1.0))
+    eligible = sweep.withColumn("_bar", bar).filter(rate >= F.col("_bar"))
     return (
         eligible.orderBy(
             "false_alarms_per_hour", F.asc_nulls_last("median_time_to_first_alert_s"), "grid_pos"

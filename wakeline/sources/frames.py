@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.scalars import encode, on_stride
 from wakeline.operators.runs import first_seen_ids
-from wakeline.operators.segments import SEGMENT_ROWS, index_rows
+from wakeline.operators.segments import SEGMENT_ROWS, index_rows, join_dimension
 from wakeline.schemas import FATIGUE_CLASSES
 from wakeline.sources.filetrees import require_rows
 
@@ -28,7 +28,7 @@ def labelled_frames(
     if strict:
         require_rows(manifest, frames, [key], "missing features")
     named = manifest.withColumn("class_index", encode(F.col("label"), classes, strict))
-    return frames.join(named, [key])
+    return join_dimension(frames, named, [key])
 
 
 def kept_rows(
