@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.schemas import ACTIONS_DDL, DOCUMENT_DDL
+from wakeline.sources.paths import relative_path, url_decoded
 
 GAZE_PREFIX = "gaze_zone/"
 
@@ -22,10 +23,8 @@ def read_documents(spark: SparkSession, root: str, pattern: str = "*.json") -> D
         .load(root)
         .select(F.col("_metadata.file_path").alias("_full"), F.col("value").alias("json"))
     )
-    base = "/" + root.split("://", 1)[-1].strip("/") + "/"
-    decoded = F.url_decode(F.replace(F.col("_full"), F.lit("+"), F.lit("%2B")))
-    relative = F.substring(decoded, F.locate(base, decoded) + len(base), F.length(decoded))
-    return texts.select(relative.alias("path"), "json")
+    path = relative_path(url_decoded(F.col("_full")), root)
+    return texts.select(path.alias("path"), "json")
 
 
 def _explode_actions(df: DataFrame, actions: Column, carried: Sequence[str]) -> DataFrame:

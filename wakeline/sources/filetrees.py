@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wakeline.functions.scalars import directory_subject, encode, sanitise_id
 from wakeline.schemas import ACTIVITIES, CLIP_STEM_LABELS, IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
 from wakeline.sources.annotations import action_intervals, read_documents
+from wakeline.sources.paths import relative_path
 
 FACE_NAME = (
     r"^(\d+)-(Male|Female)(NoGlasses|SunGlasses|GlassesBeard|Glassesmoustache|Glasses)"
@@ -25,18 +26,11 @@ BODY_SUFFIX = "_rgb_body.mp4"
 
 
 def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """(path, length) of every file under a root, paths relative to it."""
+    """(path, length) of every file under a root that is not empty, paths relative to it."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern is not None:
         reader = reader.option("pathGlobFilter", pattern)
-    files = reader.load(root)
-    bare = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/*", "/")
-    base = root.split("://", 1)[-1] if "://" in root else root
-    base = "/" + base.strip("/") + "/"
-    decoded = F.url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))
-    inside = F.locate(base, decoded)
-    relative = F.substring(decoded, inside + len(base), F.length(decoded))
-    return files.select(relative.alias("path"), "length")
+    return reader.load(root).select(relative_path(F.col("path"), root).alias("path"), "length")
 
 
 def file_name(path: Column) -> Column:
