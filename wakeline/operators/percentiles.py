@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wakeline.operators.segments import (
     SEGMENT_ROWS,
     SLICE,
     attach_carry,
-    cut,
     scan,
     settle,
     slice_by_order,
@@ -26,7 +26,7 @@ from wakeline.operators.segments import (
 def ranked_values(
     df: DataFrame, keys: Sequence[str], value: str, rows: int | None = SEGMENT_ROWS
 ) -> DataFrame:
-    """(keys, value, first_rank, last_rank): 0-based ranks of every distinct value."""
+    """(keys, value, first_rank, last_rank, total): 0-based ranks of every distinct value."""
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
@@ -44,10 +44,16 @@ def ranked_values(
         rows,
         SLICE,
     )
-    last = F.coalesce("_off", F.lit(0)) + F.col("_cum") - 1
-    return known.select(
-        *keys, value, (last - F.col("_n") + 1).alias("first_rank"), last.alias("last_rank")
-    )
+    last = F.coalesce(F.col("_off").cast("bigint"), F.lit(0)) + F.col("_cum") - 1
+    ranked = known.withColumn("last_rank", last)
+    if rows is None:
+        ranked = ranked.withColumn("total", F.sum("_n").over(W.partitionBy(*keys)))
+    else:
+        # One row per group; with no keys that is a single row.
+        totals = counts.groupBy(*keys).agg(F.sum("_n").alias("total"))
+        ranked = ranked.join(totals, list(keys)) if keys else ranked.crossJoin(F.broadcast(totals))
+    first = F.col("last_rank") - F.col("_n") + 1
+    return ranked.select(*keys, value, first.alias("first_rank"), "last_rank", "total")
 
 
 def exact_percentiles(
@@ -64,23 +70,20 @@ def exact_percentiles(
     if not points or any(not 0.0 <= p <= 1.0 for p in points.values()):
         raise ValueError("percentiles must lie in 0..1")
     counted = df.withColumn("_x", F.col(value).cast("double"))
-    ranks = cut(ranked_values(counted.select(*keys, "_x"), keys, "_x", rows), rows)
-    totals = ranks.groupBy(*keys).agg((F.max("last_rank") + 1).alias("_total"))
-    # Totals have one row per group; with no keys that is a single row.
-    with_total = ranks.join(totals, list(keys)) if keys else ranks.crossJoin(F.broadcast(totals))
+    ranks = ranked_values(counted.select(*keys, "_x"), keys, "_x", rows)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("first_rank") <= rank) & (rank <= F.col("last_rank")), F.col("_x")))
 
     picks: list[Column] = []
     for i, p in enumerate(points.values()):
-        position = F.lit(p) * (F.col("_total") - 1)
+        position = F.lit(p) * (F.col("total") - 1)
         picks += [
             at(F.floor(position)).alias(f"_lo{i}"),
             at(F.ceil(position)).alias(f"_hi{i}"),
             F.max(position - F.floor(position)).alias(f"_t{i}"),
         ]
-    found = with_total.groupBy(*keys).agg(*picks)
+    found = ranks.groupBy(*keys).agg(*picks)
     return found.select(
         *keys,
         *[

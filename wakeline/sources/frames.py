@@ -58,11 +58,10 @@ def gaze_corpus(
     if interval_key is None:
         return recordings.withColumn("interval", F.struct("recording", "interval_id"))
     ids = first_seen_ids(recordings, ["recording"], "frame", interval_key)
-    return (
-        recordings.drop("interval_id")
-        .join(ids.drop("first_frame"), ["recording", interval_key])
-        .withColumn("interval", F.struct("recording", "interval_id"))
+    numbered = join_dimension(
+        recordings.drop("interval_id"), ids.drop("first_frame"), ["recording", interval_key]
     )
+    return numbered.withColumn("interval", F.struct("recording", "interval_id"))
 
 
 def write_frames(df: DataFrame, path: str, keys: Sequence[str], frame: str, rows: int = SEGMENT_ROWS) -> None:

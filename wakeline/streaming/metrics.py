@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 
+from wakeline.operators.metrics import throughput
 from wakeline.streaming.monitor import INPUT
 
 
@@ -41,13 +42,25 @@ def kafka_frames(
 def interval_metrics(frames: DataFrame, interval: str = "5 seconds", delay: str = "10 seconds") -> DataFrame:
     """Frames, frames per second, latencies and face rate per session and interval.
 
-    A group is one interval of one camera, so its exact percentiles are bounded by the
-    frame rate. Runs on batches and on streams (append mode, after the watermark).
+    On streams (append mode, after the watermark) a group is one interval of one live
+    camera, so the state of its exact percentiles is bounded by the frame rate. On batches
+    the percentiles are ranked without collecting a group.
     """
-    seconds = F.unix_micros("window.end") - F.unix_micros("window.start")
-    grouped = frames.withWatermark("ts", delay) if frames.isStreaming else frames
+    window = F.window("ts", interval)
+    span_us = lambda w: F.unix_micros(w["end"]) - F.unix_micros(w["start"])
+    if not frames.isStreaming:
+        placed = frames.withColumn("_w", window).select(
+            "*",
+            F.unix_micros("_w.start").alias("window_start_us"),
+            (span_us(F.col("_w")) / 1e6).alias("_s"),
+        )
+        keys = ["session", "window_start_us"]
+        latency = F.col("latency_s") * 1000.0
+        return throughput(placed, keys, latency, F.col("has_face"), F.max("_s"))
+    seconds = span_us(F.col("window"))
     return (
-        grouped.groupBy("session", F.window("ts", interval))
+        frames.withWatermark("ts", delay)
+        .groupBy("session", window)
         .agg(
             F.count(F.lit(1)).alias("frames"),
             F.percentile(F.col("latency_s") * 1000.0, F.array(F.lit(0.5), F.lit(0.95))).alias("_p"),
