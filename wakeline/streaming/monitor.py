@@ -251,9 +251,10 @@ class MonitorProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         oldest = None
         for batch in rows:
-            for row in batch.itertuples(index=False):
-                self.pending.appendValue(_plain(row))
-                oldest = row.ts if oldest is None else min(oldest, row.ts)
+            if len(batch):
+                self.pending.appendList([_plain(row) for row in batch.itertuples(index=False)])
+                first = batch["ts"].min()
+                oldest = first if oldest is None else min(oldest, first)
         if oldest is not None:
             # Fires as soon as the watermark has passed the oldest waiting frame.
             self.handle.registerTimer(max(_millis(oldest), timerValues.getCurrentWatermarkInMs() + 1))
