@@ -777,7 +777,7 @@ def window_tuning(spark, sf):
     grid = [{"size": 60, "stride": 30, "max_iter": 2}, {"size": 100, "stride": 50, "max_iter": 2}]
     carved = splits.subject_independent_split(marked, (0.8, 0.2, 0.0), 1, "s").cache()
     train, validate = carved.filter("split = 'train'"), carved.filter("split = 'val'")
-    results, best = fatigue.tune(spark, train, validate, labels, ["s"], "frame", grid, limits, 30.0, rows=rows)
+    results, best = fatigue.tune(spark, train, validate, labels, ["s"], "frame", limits, 30.0, grid, rows=rows)
     return results.select("grid_pos", "overall_accuracy", "macro_auroc", "false_alarm_rate")
 
 

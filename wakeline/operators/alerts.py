@@ -247,6 +247,9 @@ def majority_smooth(
     """
     if window_us <= 0:
         raise ValueError(f"window must be positive, got {window_us}")
+    unknown = F.raise_error(F.concat(F.lit("zone is not in the list: "), F.col(zone)))
+    listed = F.col(zone).isNull() | F.col(zone).isin(*zones)
+    df = df.withColumn(zone, F.when(listed, F.col(zone)).otherwise(unknown))
     gaps = F.col(zone).isNull().cast("bigint")
     epochs = cut(running_sum(df, keys, frame, gaps, "_epoch", rows), rows)
     group = [*keys, "_epoch"]

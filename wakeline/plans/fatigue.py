@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from wakeline.operators.intervals import closure_labels
 from wakeline.operators.metrics import binary_drowsy_report
@@ -13,7 +12,9 @@ from wakeline.operators.scoring import evaluate_boosted_windows, run_sweep
 from wakeline.operators.segments import SEGMENT_ROWS
 from wakeline.operators.sweeps import best_by
 from wakeline.operators.windows import window_labels, window_summary
+from wakeline.schemas import WINDOW_GRID
 
+DEFAULT_GRID = tuple({"size": size, "stride": stride} for size, stride in WINDOW_GRID)
 FEATURES = (
     "perclos",
     "blink_count",
@@ -71,9 +72,9 @@ def tune(
     labels: DataFrame,
     keys: Sequence[str],
     frame: str,
-    grid: Sequence[Mapping[str, int]],
     thresholds: Mapping[str, float],
     fps: float,
+    grid: Sequence[Mapping[str, int]] = DEFAULT_GRID,
     n_classes: int = 3,
     metric: str = "macro_auroc",
     rows: int | None = SEGMENT_ROWS,

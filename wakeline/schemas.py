@@ -135,6 +135,22 @@ HEAD_POSE = (1, 152, 33, 263, 61, 291)
 LEFT_IRIS = (468, 469, 470, 471, 472)
 RIGHT_IRIS = (473, 474, 475, 476, 477)
 
+# Split ratios (train, validation, test): videos, their inner validation, recordings.
+MIRROR_RATIOS = (0.78, 0.0, 0.22)
+VALIDATION_RATIOS = (0.8, 0.2, 0.0)
+RECORDING_RATIOS = (0.7, 0.0, 0.3)
+# Window size and stride of the tuned configurations.
+WINDOW_GRID = ((100, 50), (150, 75), (200, 100), (150, 50))
+
+# File names: `<num>-<Gender><Glasses>[-<Action>].avi`, annotation and video endings.
+FACE_NAME = (
+    r"^(\d+)-(Male|Female)(NoGlasses|SunGlasses|GlassesBeard|Glassesmoustache|Glasses)"
+    r"(?:-([A-Za-z&]+))?\s*(?:\.avi)+$"
+)
+ALL_ACTIVITIES = "AllActivities"
+ANNOTATION_SUFFIX = "_rgb_ann_distraction.json"
+BODY_SUFFIX = "_rgb_body.mp4"
+
 PRECISION_BAR = 0.70
 RECALL_FLOOR = 0.90
 RECALL_DROP = 0.05

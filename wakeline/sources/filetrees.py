@@ -12,19 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions.scalars import directory_subject, encode, sanitise_id
-from wakeline.schemas import ACTIVITIES, CLIP_STEM_LABELS, IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
+from wakeline.schemas import (
+    ACTIVITIES,
+    ALL_ACTIVITIES,
+    ANNOTATION_SUFFIX,
+    BODY_SUFFIX,
+    CLIP_STEM_LABELS,
+    FACE_NAME,
+    IMAGE_EXTENSIONS,
+    VIDEO_EXTENSIONS,
+)
 from wakeline.sources.annotations import action_intervals, read_documents
 from wakeline.sources.paths import relative_path
 
-FACE_NAME = (
-    r"^(\d+)-(Male|Female)(NoGlasses|SunGlasses|GlassesBeard|Glassesmoustache|Glasses)"
-    r"(?:-([A-Za-z&]+))?\s*(?:\.avi)+$"
-)
-ALL_ACTIVITIES = "AllActivities"
-ANNOTATION_SUFFIX = "_rgb_ann_distraction.json"
-BODY_SUFFIX = "_rgb_body.mp4"
-
-
 def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """(path, length) of every file under a root that is not empty, paths relative to it."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)

@@ -17,6 +17,7 @@ import sys
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -270,7 +271,7 @@ class MonitorProcessor(StatefulProcessor):
         s = Session(**json.loads(self.session.get()[0])) if self.session.exists() else Session()
         out: list[dict] = []
         for v in sorted(due, key=lambda v: (v["ts"], v["frame"])):
-            row = pd.Series(v)
+            row = SimpleNamespace(**v)
             for event in advance(s, self.config, row):
                 out.append({"session": session, "frame": v["frame"], "ts": row.ts.timestamp(), **event})
         if due:
