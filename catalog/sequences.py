@@ -268,7 +268,7 @@ def video_scores_at_duration(spark, sf):
     f"""WITH {EV}, f AS (SELECT s, frame, zone FROM ev WHERE face),
         n AS (SELECT s, frame, zone, CASE WHEN lag(frame) OVER w = frame - 1 AND lag(zone) OVER w = zone THEN 0 ELSE 1 END AS st
               FROM f WINDOW w AS (PARTITION BY s ORDER BY frame))
-        SELECT s, frame, zone, sum(st) OVER (PARTITION BY s ORDER BY frame) - 1 AS interval_id FROM n""",
+        SELECT s, frame, zone, CAST(sum(st) OVER (PARTITION BY s ORDER BY frame) - 1 AS BIGINT) AS interval_id FROM n""",
 )
 def sessionise(spark, sf):
     frames, rows = event_frames(spark, sf)
