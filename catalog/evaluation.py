@@ -671,14 +671,12 @@ def subject_folds(spark, sf):
 
 @query(
     "leaked_subjects",
-    """WITH t AS (SELECT c_nationkey AS subject_id, CASE WHEN c_custkey % 40 < 30 THEN 'train' ELSE 'test' END AS split FROM customer WHERE c_custkey % 40 < 38)
+    """WITH t AS (SELECT c_nationkey AS subject_id, CASE WHEN c_custkey % 40 < 30 THEN 'train' ELSE 'test' END AS split FROM customer)
        SELECT subject_id, count(DISTINCT split) AS splits FROM t GROUP BY subject_id HAVING count(DISTINCT split) > 1""",
 )
 def leaked_subjects(spark, sf):
-    place = F.col("c_custkey") % 40
-    rows = table(spark, sf, "customer").filter(place < 38).select(
-        F.col("c_nationkey").alias("subject_id"), F.when(place < 30, "train").otherwise("test").alias("split")
-    )
+    side = F.when(F.col("c_custkey") % 40 < 30, "train").otherwise("test")
+    rows = table(spark, sf, "customer").select(F.col("c_nationkey").alias("subject_id"), side.alias("split"))
     return splits.leaked_subjects(rows)
 
 

@@ -49,16 +49,16 @@ def check_steps(*steps: int) -> None:
 # --- Debounced tracks (fatigue levels 0/1/2 and the binary distraction track) -----------
 
 
-def _rank(level: Column, upward: Column | bool) -> Column:
+def level_rank(level: Column, upward: Column | bool) -> Column:
     """Order in which a level wins the running maximum."""
     if isinstance(upward, bool):
         return level if upward else 3 - level
     return F.when(upward, level).otherwise(3 - level)
 
 
-def _apply(state: Column, packed: Column, upward: Column | bool) -> Column:
+def committed_after(state: Column, packed: Column, upward: Column | bool) -> Column:
     """Committed level after the packed summary ``packed``, from ``state`` before it."""
-    level = _rank(packed % 4, upward)
+    level = level_rank(packed % 4, upward)
     if isinstance(upward, bool):
         joined = F.greatest(state, level) if upward else F.least(state, level)
     else:
@@ -66,7 +66,7 @@ def _apply(state: Column, packed: Column, upward: Column | bool) -> Column:
     return F.when(packed.isNull(), state).when(packed >= 4, level).otherwise(joined)
 
 
-def _chain(summary: DataFrame, keys: Sequence[str], upward: Column | bool) -> DataFrame:
+def committed_before(summary: DataFrame, keys: Sequence[str], upward: Column | bool) -> DataFrame:
     """Committed level before each segment, from the packed summaries of the earlier ones."""
     before = W.partitionBy(*keys).orderBy(SEG)
     upto = before.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -74,7 +74,7 @@ def _chain(summary: DataFrame, keys: Sequence[str], upward: Column | bool) -> Da
     packed = F.max(resets * 4 + F.col("_packed") % 4).over(upto)
     after = summary.withColumn("_after", packed)
     return after.withColumn("_in", F.lag("_after").over(before)).select(
-        *keys, SEG, _apply(F.lit(0), F.col("_in"), upward).alias("_state")
+        *keys, SEG, committed_after(F.lit(0), F.col("_in"), upward).alias("_state")
     )
 
 
@@ -109,7 +109,7 @@ def _debounced(
     reset = F.col("_pos") == hi
     event = reset | (F.col("_pos") == lo)
     packed = placed.withColumn("_resets", F.sum(reset.cast("bigint")).over(upto)).withColumn(
-        "_event", F.when(event, F.col("_resets") * 4 + _rank(F.col(level), upward))
+        "_event", F.when(event, F.col("_resets") * 4 + level_rank(F.col(level), upward))
     )
     local = packed.withColumn("_seen", F.max("_event").over(upto))
     if rows is None:
@@ -120,9 +120,9 @@ def _debounced(
         summary = packed.groupBy(*keys, SEG).agg(
             F.max(F.when(handed_on, F.col("_event"))).alias("_packed")
         )
-        local = local.join(_chain(summary, keys, upward), [*keys, SEG])
+        local = local.join(committed_before(summary, keys, upward), [*keys, SEG])
     tracked = local.withColumn(
-        "committed", _apply(F.col("_state"), F.col("_seen"), upward).cast("int")
+        "committed", committed_after(F.col("_state"), F.col("_seen"), upward).cast("int")
     )
     below = F.last(F.when(F.col("committed") != top, F.col(frame)), ignorenulls=True).over(upto)
     held = F.col(frame) - F.coalesce(below, F.greatest(zone, F.lit(0)) - 1)

@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wakeline.operators.alerts import _apply, _chain, _rank, check_steps
+from wakeline.operators.alerts import (
+    check_steps,
+    committed_after,
+    committed_before,
+    level_rank,
+)
 from wakeline.operators.percentiles import exact_percentiles
 from wakeline.operators.runs import equal_runs
 from wakeline.operators.segments import (
@@ -59,13 +64,13 @@ def level_changes(
     order = W.partitionBy(*part).orderBy("start")
     packed = base.withColumn(
         "_resets", F.sum(reset.cast("bigint")).over(scan(part, "start"))
-    ).withColumn("_event", F.col("_resets") * 4 + _rank(F.col("value"), upward))
+    ).withColumn("_event", F.col("_resets") * 4 + level_rank(F.col("value"), upward))
     before = F.max("_event").over(order.rowsBetween(W.unboundedPreceding, -1))
     known = packed.withColumn("_seen", before).withColumn("_state", F.lit(0))
     if rows is not None:
         summary = packed.groupBy(*part).agg(F.max("_event").alias("_packed"))
-        known = known.drop("_state").join(_chain(summary, group, upward), part)
-    was = _apply(F.col("_state"), F.col("_seen"), upward)
+        known = known.drop("_state").join(committed_before(summary, group, upward), part)
+    was = committed_after(F.col("_state"), F.col("_seen"), upward)
     step = F.when(F.col("value") > F.col("was"), F.col("escalate")).otherwise(F.col("de_escalate"))
     return (
         known.withColumn("was", was.cast("int"))
