@@ -566,11 +566,6 @@ def interval_metrics(spark, sf):
     return out.select(*[F.col(c) if c in exact else r6(c).alias(c) for c in out.columns])
 
 
-def _mean_level(window):
-    mean = window[:, 0].mean()
-    return 2 if mean >= 54.06 else 1 if mean >= 20.28 else 0
-
-
 @query(
     "monitor_stream",
     f"""WITH RECURSIVE {EV}, f AS (SELECT s, frame AS raw, value, row_number() OVER (PARTITION BY s ORDER BY frame) - 1 AS frame
@@ -585,8 +580,12 @@ def _mean_level(window):
         SELECT CAST(s AS VARCHAR) AS session, event_id AS frame, tier, fatigue FROM j""",
 )
 def monitor_stream(spark, sf):
+    def level(window):
+        mean = window[:, 0].mean()
+        return 2 if mean >= 54.06 else 1 if mean >= 20.28 else 0
+
     config = monitor.MonitorConfig(
-        classify=_mean_level, window=4, fatigue=(2, 3, 2), distraction=None, gaze_min_s=None, idle_s=30 * 86400.0
+        classify=level, window=4, fatigue=(2, 3, 2), distraction=None, gaze_min_s=None, idle_s=30 * 86400.0
     )
     out = run_stream(spark, monitor.monitor_stream(event_stream(spark, sf), config, "0 seconds"))
     return out.filter("event = 'frame'").select("session", "frame", "tier", "fatigue")
