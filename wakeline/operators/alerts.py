@@ -445,20 +445,21 @@ def parallel_tracks(
 
     Adds ``fatigue_tier``, ``fatigue_level``, ``distraction_tier`` and the fused ``tier``.
     """
-    faces = index_rows(
-        df.filter(F.col(face)).select(*keys, F.col(frame).alias("_f"), F.col(level).alias("_level")),
-        keys,
-        ["_f"],
-        "_k",
-        rows,
-    )
-    fatigue = debounce(cut(faces, rows), keys, "_k", "_level", *params, rows=rows).select(
-        *keys, F.col("_f").alias(frame), F.struct(F.col("tier").alias("t"), F.col("_level").alias("l")).alias("_s")
-    )
     binary = debounce_binary(df, keys, frame, distracted, *(distraction_params or params), rows=rows)
-    named = binary.withColumnRenamed("tier", "distraction_tier").drop("committed")
-    joined = cut(named.join(fatigue, [*keys, frame], "left"), rows)
-    held = hold_last(joined, keys, frame, "_s", "_s", rows)
+    seen = (
+        binary.withColumnRenamed("tier", "distraction_tier")
+        .drop("committed")
+        .withColumn("_face", F.coalesce(F.col(face), F.lit(False)))
+        .withColumn("_level", F.when(F.col("_face"), F.col(level)).otherwise(0))
+    )
+    # Face frames are numbered and debounced on their own, beside the others of the session,
+    # so nothing is filtered out and joined back.
+    by_face = [*keys, "_face"]
+    placed = cut(index_rows(cut(seen, rows), by_face, [frame], "_k", rows), rows)
+    fatigue = debounce(placed, by_face, "_k", "_level", *params, rows=rows)
+    state = F.when(F.col("_face"), F.struct(F.col("tier").alias("t"), F.col("_level").alias("l")))
+    stated = fatigue.withColumn("_s", state).drop("tier", "committed", "_level", "_face", "_k")
+    held = hold_last(cut(stated, rows), keys, frame, "_s", "_s", rows)
     return (
         held.withColumn("fatigue_tier", F.coalesce(F.col("_s.t"), F.lit(NONE)))
         .withColumn("fatigue_level", F.coalesce(F.col("_s.l"), F.lit(0)))
