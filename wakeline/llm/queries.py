@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import quality
+from wakeline.llm import jaccard_trie, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,3 +103,30 @@ FROM based"""
 @query("op1_quality_rules", _quality_sql())
 def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(table(spark, sf, "documents"))
+
+
+_JACCARD_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_transform({WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0) AS x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common
+  FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT u, v FROM pairs JOIN n AS x ON x.doc_id = u JOIN n AS y ON y.doc_id = v
+  WHERE 100 * common >= 90 * (x.n + y.n - common)),
+reach(u, v) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION
+  SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.v) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON reach.u = d.doc_id GROUP BY d.doc_id"""
+
+
+@query("op2_ngram_jaccard_join", _JACCARD_SQL)
+def ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_trie.jaccard_components(table(spark, sf, "documents"))
