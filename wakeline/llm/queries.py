@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import jaccard_trie, quality
+from wakeline.llm import jaccard_trie, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -130,3 +130,24 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON reach.u = d.doc_id GROUP
 @query("op2_ngram_jaccard_join", _JACCARD_SQL)
 def ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_trie.jaccard_components(table(spark, sf, "documents"))
+
+
+_REPEATS_SQL = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+win AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d) AS x),
+marked AS (SELECT doc_id, i, doc_id > min(doc_id) OVER (PARTITION BY h) AS hit FROM win),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM marked, range(50) AS t(k) WHERE hit),
+words AS (SELECT doc_id, i, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) AS y),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed,
+  sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+
+@query("op9_substring_dedup", _REPEATS_SQL)
+def substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf, "documents"))
