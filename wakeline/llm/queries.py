@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import jaccard_trie, quality, substrings
+from wakeline.llm import jaccard_trie, packing, quality, substrings, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -151,3 +151,13 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
 @query("op9_substring_dedup", _REPEATS_SQL)
 def substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf, "documents"))
+
+
+@query("op5_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"))
+
+
+@query("op6_token_counts")
+def token_limits(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.token_limits(table(spark, sf, "documents"))
