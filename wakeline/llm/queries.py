@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import jaccard_trie, packing, quality, substrings, token_counts
+from wakeline.llm import jaccard_trie, mixing, packing, quality, secrets, substrings, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -161,3 +161,34 @@ def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_token_counts")
 def token_limits(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_limits(table(spark, sf, "documents"))
+
+
+@query("op3_secret_scans")
+def secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.scan(table(spark, sf, "documents")).drop("secrets")
+
+
+_MIXING_SQL = f"""
+WITH sizes AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS size FROM documents GROUP BY source),
+rates AS (
+  SELECT source, round(sqrt(size) / (SELECT sum(sqrt(size)) FROM sizes)
+    * (SELECT sum(size) FROM sizes) / size, 9) AS rate FROM sizes),
+steps AS (
+  SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
+  FROM (SELECT source, rate, unnest(range(CAST(ceil(rate + 12 * sqrt(rate) + 26) AS BIGINT))) AS k FROM rates) AS r),
+drawn AS (
+  SELECT doc_id, source,
+    CAST(CAST('0x' || md5('{mixing.SEED}:' || doc_id || ':' || source)[1:13] AS BIGINT) AS DOUBLE) / 16::DOUBLE ** 13 AS u
+  FROM documents),
+counted AS (
+  SELECT doc_id, d.source, (SELECT count(*) FROM steps AS s WHERE s.source = d.source AND s.c <= d.u) AS times
+  FROM drawn AS d)
+SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, md5('order {mixing.SEED}:' || doc_id || ':' || copy) AS shuffle_key
+FROM (SELECT doc_id, source, unnest(range(times)) AS copy FROM counted) AS x"""
+
+
+@query("op10_mixing_to_weights", _MIXING_SQL)
+def mixing_to_weights(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    rates = mixing.repetition_rates(docs)
+    return mixing.replicate(docs.select("doc_id", "source"), rates)
