@@ -119,7 +119,7 @@ def signatures(
         out_sig.append(mix(total + mix(name)))
         for d in np.flatnonzero((k > 0) & (k - filled > _SPARE)):
             gone = np.setdiff1d(np.arange(k[d], dtype=_U), part[at][t[at] == d])
-            name = gone * _U(0xA24BAED4963EE407) + _U(cls[d]) * _U(0x9FB21C651E98DF25)
+            name = gone * _U(0xA24BAED4963EE407) + cls[d : d + 1].astype(_U) * _U(0x9FB21C651E98DF25)
             out_text.append(np.full(len(gone), d))
             out_sig.append(mix(mix(name)))
     if not out_text:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import jaccard_trie, mixing, packing, quality, secrets, substrings, token_counts
+from wakeline.llm import jaccard_trie, mixing, packing, quality, secrets, substrings, token_counts, url_model
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -192,3 +192,17 @@ def mixing_to_weights(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     rates = mixing.repetition_rates(docs)
     return mixing.replicate(docs.select("doc_id", "source"), rates)
+
+
+URL_RULES = (
+    url_model.Rule("org", "/", "allow"),
+    url_model.Rule("example.org", "/es/", "block"),
+    url_model.Rule("example.org", "/en/1", "block"),
+    url_model.Rule("com", "/fr/", "allow"),
+    url_model.Rule("com", "/de/", "block"),
+)
+
+
+@query("op4_url_filters")
+def url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return url_model.judge(table(spark, sf, "pages"), URL_RULES)
