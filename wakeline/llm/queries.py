@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import jaccard_trie, mixing, packing, quality, secrets, substrings, token_counts, url_model
+from wakeline.llm import fingerprints, jaccard_trie, mixing, packing, quality, secrets, substrings, token_counts, url_model
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -206,3 +206,8 @@ URL_RULES = (
 @query("op4_url_filters")
 def url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return url_model.judge(table(spark, sf, "pages"), URL_RULES)
+
+
+@query("op8_document_fingerprints")
+def document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf, "documents"))
