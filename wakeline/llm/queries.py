@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import fingerprints, jaccard_trie, mixing, packing, quality, secrets, substrings, token_counts, url_model
+from wakeline.llm import fingerprints, html_text, jaccard_trie, mixing, packing, quality, secrets, substrings, token_counts, url_model
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -211,3 +211,8 @@ def url_filters(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_document_fingerprints")
 def document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf, "documents"))
+
+
+@query("op7_html_extraction")
+def html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf, "pages"))
