@@ -28,7 +28,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to their source's target rate, in a global random order."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs).drop("copy", "shuffle_key")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

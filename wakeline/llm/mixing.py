@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.staging import staged
+from wakeline.llm.staging import staged, unused
 
 SEED = 17
 POWER = 0.5
@@ -44,7 +44,7 @@ def repetition_rates(
     ``weights`` names target weights (sources without one get 0); without it a source weighs
     its size to the power ``power``. The mixture is ``epochs`` times as large as the corpus.
     """
-    sizes = docs.groupBy(F.col(by).alias(by)).agg(F.sum(F.coalesce(F.length(text), F.lit(0))).alias("size"))
+    sizes = docs.groupBy(by).agg(F.sum(F.coalesce(F.length(text), F.lit(0))).alias("size"))
     if weights is None:
         weight = F.pow(F.col("size").cast("double"), F.lit(float(power)))
     else:
@@ -78,19 +78,20 @@ def cumulative(rate: Column) -> Column:
 def replicate(
     docs: DataFrame, rates: DataFrame, by: str = "source", id: str = "doc_id", seed: int = SEED
 ) -> DataFrame:
-    """``docs`` with ``copy`` (from 0) and ``shuffle_key``, in the order of the key.
+    """``docs`` with ``copy`` (from 0) and ``shuffle_key``, in the order of the key; columns of
+    those names are replaced.
 
     The distribution is tabulated once per source. That table is read from files, so the
     planner knows its size: it is broadcast while small, and else the join splits hot sources.
     """
-    steps = staged(rates.select(F.col(by).alias("_by"), cumulative(F.col("rate")).alias("_cdf")))
+    group, steps, n = (unused(docs, stem) for stem in ("mixed_source", "mixed_steps", "mixed_times"))
+    table = staged(rates.select(F.col(by).alias(group), cumulative(F.col("rate")).alias(steps)))
     draw = uniform(F.lit(seed), id, by)
-    times = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    rows = docs.join(steps, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_u", draw)
-    rows = rows.withColumn("_times", times).where("_times > 0")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
+    rows = docs.join(table, F.col(by).eqNullSafe(F.col(group)))
+    rows = rows.withColumn(n, F.size(F.filter(steps, lambda c: c <= draw))).where(F.col(n) > 0)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     key = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), F.coalesce(F.col(id).cast("string"), F.lit("null")), F.col("copy").cast("string")))
-    return rows.withColumn("shuffle_key", key).drop("_by", "_cdf", "_u", "_times").orderBy("shuffle_key")
+    return rows.withColumn("shuffle_key", key).drop(group, steps, n).orderBy("shuffle_key")
 
 
 def mix(docs: DataFrame, by: str = "source", text: str = "text", id: str = "doc_id", **targets) -> DataFrame:

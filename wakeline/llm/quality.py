@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wakeline.llm.staging import staged
+from wakeline.llm.staging import staged, unused
 from wakeline.llm.words import (
     IS_CODE_POINT,
     IS_SEPARATOR,
@@ -236,15 +236,12 @@ def keep_good(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     The verdict depends on text, language and source alone, so it is joined by those: rows
     that share an id but not a text are judged apart.
     """
-    judged = judge(
-        docs.select("doc_id", F.xxhash64("text").alias("_hash"), "text", "lang", "source"),
-        keep=("doc_id", "_hash", "lang", "source"),
-        min_docs=min_docs,
-    )
-    good = judged.where("kept").select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(("doc_id", "_hash", "lang", "source"))])
-    mine = (F.col("doc_id"), F.xxhash64("text"), F.col("lang"), F.col("source"))
+    mine = [F.col("doc_id"), F.xxhash64("text"), F.col("lang"), F.col("source")]
+    names = [unused(docs, f"kept_{i}") for i in range(len(mine))]
+    rows = docs.select(*[c.alias(n) for c, n in zip(mine, names)], "text", "lang", "source")
+    good = judge(rows, keep=names, min_docs=min_docs).where("kept").select(*names)
     on = None
-    for i, column in enumerate(mine):
-        same = column.eqNullSafe(F.col(f"_g{i}"))
+    for column, name in zip(mine, names):
+        same = column.eqNullSafe(F.col(name))
         on = same if on is None else on & same
     return docs.join(good, on, "left_semi")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.staging import staged
+from wakeline.llm.staging import staged, unused
 
 KINDS = ("assign", "access", "hex", "live")
 MIN_OWNERS = 5
@@ -171,15 +171,15 @@ def mask(text: str, spans: Sequence[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _mask(column: str) -> Callable:
+def _mask(column: str, spans_in: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(column), batch.column("_spans")
+            texts, spans = batch.column(column), batch.column(spans_in)
             done = [
                 mask(t.as_py(), [(x["start"], x["end"]) for x in s.as_py()]) if s.is_valid and t.is_valid else t.as_py()
                 for t, s in zip(texts, spans)
             ]
-            names = [n for n in batch.schema.names if n != "_spans"]
+            names = [n for n in batch.schema.names if n != spans_in]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(done, texts.type) if n == column else batch.column(n) for n in names], names=names
             )
@@ -193,11 +193,12 @@ def mask_live(docs: DataFrame, text: str = "text", **limits: int) -> DataFrame:
     Spans depend on the text alone once the corpus is counted, so rows with equal texts share
     them.
     """
-    rows = docs.select(F.sha2(text, 256).alias("_key"), text, "source", "lang")
-    spans = scan(rows, keep=("_key",), text=text, **limits).where("n_live > 0")
+    key, live = unused(docs, "text_hash"), unused(docs, "live_spans")
+    rows = docs.select(F.sha2(text, 256).alias("hash"), F.col(text).alias("text"), "source", "lang")
+    spans = scan(rows, keep=("hash",), **limits).where("n_live > 0")
     spans = staged(
-        spans.select("_key", F.filter("secrets", lambda s: s["live"]).alias("_spans")).dropDuplicates(["_key"])
+        spans.select(F.col("hash").alias(key), F.filter("secrets", lambda s: s["live"]).alias(live)).dropDuplicates([key])
     )
-    out = docs.join(spans, F.sha2(docs[text], 256) == F.col("_key"), "left").drop("_key")
+    out = docs.join(spans, F.sha2(docs[text], 256) == F.col(key), "left").drop(key)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return out.mapInArrow(_mask(text), kinds)
+    return out.mapInArrow(_mask(text, live), kinds)
