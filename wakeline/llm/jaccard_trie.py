@@ -8,11 +8,11 @@ share the whole first part. A part's signature therefore names a subtree that ho
 
 1. Every document gives its set hash and the signatures of its parts; equal sets are one node.
 2. Nodes that share a signature form the star of the least of them. Stars are cut into blocks
-   of at most ``BLOCK`` nodes, each with the centre; a block is one trie.
-3. In a block every set walks the trie. The overlap along a shared path is counted once, and
-   a subtree is left when the overlap so far and the lengths that remain, in the set and
-   below the node, cannot reach what the smallest set below needs. Subtrees that are already
-   one component with the walker are left too. A leaf gives the exact overlap.
+   of about ``BLOCK`` grams, each with the centre; a block is one trie.
+3. In a block all sets walk the trie together. The overlap along a shared path is counted
+   once, and a subtree is left when the overlap so far and the lengths that remain, in the set
+   and below the node, cannot reach what the smallest set below needs. Subtrees that are
+   already one component with the walker are left too. A leaf gives the exact overlap.
 4. Stars of several blocks whose nodes are not one component after that are finished pair of
    blocks by pair of blocks, again by tries, for the pairs in different components only.
 
@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm.components import components
-from wakeline.llm.staging import staged
+from wakeline.llm.staging import staged, unused
 from wakeline.llm.words import LOWER, Chunk, chunks, mix, sequences, span_hashes, words
 
-BLOCK = 256
+BLOCK = 1 << 19
 _SPARE = 2
 _U = np.uint64
 
@@ -184,53 +184,78 @@ def _sets(n: int) -> Callable:
 
 
 class Trie:
-    """Ascending gram sets of a block as a compressed trie.
+    """Ascending gram sets of a block as a compressed trie that all of them walk together.
 
     A node is ``(edge, depth at its end, smallest and largest set below, first and last
-    member below, children)``; members are in lexicographic order.
+    member below, children)``; members are in lexicographic order. ``holders`` lists the
+    members that hold each gram, one gram after the other.
     """
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
+        self.size = np.array([len(s) for s in sets])
+        _, gram = np.unique(np.concatenate(sets), return_inverse=True)
+        self.sets = np.split(gram, np.cumsum(self.size)[:-1])
+        self.holders = np.repeat(np.arange(len(sets)), self.size)[np.argsort(gram, kind="stable")]
+        self.held = np.bincount(gram)
+        self.keys = np.repeat(np.arange(len(sets)), self.size) * len(self.held) + gram
+        self.begin = np.cumsum(self.size) - self.size
+        self.first = np.cumsum(self.held) - self.held
         shared = [0]
-        for a, b in zip(sets, sets[1:]):
+        for a, b in zip(self.sets, self.sets[1:]):
             m = min(len(a), len(b))
             apart = np.flatnonzero(a[:m] != b[:m])
             shared.append(int(apart[0]) if len(apart) else m)
-        self.shared = shared
-        self.root = self._node(0, len(sets), 0)
+        self.shared = np.array(shared)
 
-    def _node(self, lo: int, hi: int, depth: int) -> tuple:
+    def _node(self, lo: int, hi: int, depth: int) -> tuple[np.ndarray, int, list[tuple[int, int]]]:
+        """Edge, depth at its end and the ranges of members of the children."""
         if hi - lo == 1:
-            size = len(self.sets[lo])
-            return self.sets[lo][depth:], size, size, size, lo, hi, ()
-        end = min(self.shared[lo + 1 : hi])
-        cuts = [lo, *(i for i in range(lo + 1, hi) if self.shared[i] == end), hi]
-        below = tuple(self._node(a, b, end) for a, b in zip(cuts, cuts[1:]))
-        least, most = min(c[2] for c in below), max(c[3] for c in below)
-        return self.sets[lo][depth:end], end, least, most, lo, hi, below
-
-    def matches(self, x: np.ndarray, percent: int, skip: Callable[[int, int], bool]) -> Iterator[int]:
-        """Members that link with ``x``; subtrees ``skip(lo, hi)`` names are left out."""
-        stack = [(self.root, 0)]
+            return self.sets[lo][depth:], int(self.size[lo]), []
+        end = int(self.shared[lo + 1 : hi].min())
+        cuts = [lo, *(lo + 1 + np.flatnonzero(self.shared[lo + 1 : hi] == end)).tolist(), hi]
+        return self.sets[lo][depth:end], end, list(zip(cuts, cuts[1:]))
+
+    def _overlaps(self, edge: np.ndarray) -> np.ndarray:
+        """How many grams of an edge each member holds."""
+        count = self.held[edge]
+        before = np.cumsum(count) - count
+        place = np.arange(int(count.sum())) + np.repeat(self.first[edge] - before, count)
+        return np.bincount(self.holders[place], minlength=len(self.sets))
+
+    def _passed(self, walkers: np.ndarray, gram: int) -> np.ndarray:
+        """How many grams up to this one each walker holds."""
+        return np.searchsorted(self.keys, walkers * len(self.held) + gram, side="right") - self.begin[walkers]
+
+    def walk(self, percent: int, component: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Members and the walkers that link with each.
+
+        ``component`` may change meanwhile: walkers leave a subtree that is all in their
+        component, and one that cannot reach the overlap its smallest set asks for, given the
+        overlap so far and the grams left to them and to the largest set below.
+        """
+        every = np.arange(len(self.sets))
+        stack = [(0, len(self.sets), 0, every, np.zeros(len(every), np.int64))]
         while stack:
-            (edge, depth, least, most, lo, hi, below), overlap = stack.pop()
-            if skip(lo, hi):
+            lo, hi, depth, walkers, overlap = stack.pop()
+            same = component[lo:hi]
+            if (same == same[0]).all():
+                stay = component[walkers] != same[0]
+                walkers, overlap = walkers[stay], overlap[stay]
+            if not len(walkers):
                 continue
-            passed = 0
+            edge, end, children = self._node(lo, hi, depth)
+            left = self.size[walkers]
             if len(edge):
-                at = np.searchsorted(x, edge)
-                inside = at < len(x)
-                hit = x[at[inside]] == edge[inside]
-                overlap += int(hit.sum())
-                passed = int(at[-1]) + int(inside[-1] and hit[-1])
-            if not below:
-                if 100 * overlap >= percent * (len(x) + least - overlap):
-                    yield lo
-                continue
-            reach = overlap + min(most - depth, len(x) - passed)
-            if (100 + percent) * reach >= percent * (len(x) + least):
-                stack.extend((c, overlap) for c in reversed(below))
+                overlap = overlap + self._overlaps(edge)[walkers]
+                left = left - self._passed(walkers, int(edge[-1]))
+            least, most = int(self.size[lo:hi].min()), int(self.size[lo:hi].max())
+            reach = overlap + np.minimum(most - end, left)
+            stay = (100 + percent) * reach >= percent * (self.size[walkers] + least)
+            walkers, overlap = walkers[stay], overlap[stay]
+            if children:
+                stack.extend((a, b, end, walkers, overlap) for a, b in reversed(children) if len(walkers))
+            elif len(walkers):
+                yield lo, walkers
 
 
 def link_block(nodes: list, sets: list[np.ndarray], labels: list, percent: int) -> list[tuple]:
@@ -240,17 +265,13 @@ def link_block(nodes: list, sets: list[np.ndarray], labels: list, percent: int)
     """
     order = sorted(range(len(nodes)), key=lambda i: sets[i].astype(">u8").tobytes())
     nodes, labels = [nodes[i] for i in order], [labels[i] for i in order]
-    trie = Trie([sets[i] for i in order])
-    parent = np.arange(len(nodes))
-    first: dict = {}
-    for i, label in enumerate(labels):
-        parent[i] = first.setdefault(label, i)
+    component = np.unique(np.array(labels), return_inverse=True)[1]
     links = []
-    for i in range(len(nodes)):
-        for j in trie.matches(trie.sets[i], percent, lambda lo, hi: bool((parent[lo:hi] == parent[i]).all())):
-            if parent[j] != parent[i]:
-                links.append((nodes[i], nodes[j]))
-                parent[parent == parent[j]] = parent[i]
+    for i, found in Trie([sets[j] for j in order]).walk(percent, component):
+        other, at = np.unique(component[found], return_index=True)
+        fresh = other != component[i]
+        links += [(nodes[i], nodes[j]) for j in found[at[fresh]]]
+        component[np.isin(component, other)] = component[i]
     return links
 
 
@@ -285,7 +306,8 @@ def _joined_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     """Links of the blocks ``members(block, node, label)``."""
     held = sets.withColumnRenamed("node", "_node")
     rows = members.join(held, F.col("node") == F.col("_node")).select("block", "node", "label", "grams")
-    rows = rows.repartition("block").sortWithinPartitions("block", "node")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "block").sortWithinPartitions("block", "node")
     return rows.mapInArrow(_blocks(percent), "u bigint, v bigint")
 
 
@@ -299,33 +321,38 @@ def _finish(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
     named = labels.withColumnRenamed("node", "_n")
     rows = staged(
         stars.join(named, F.col("node") == F.col("_n"), "left").select(
-            "pivot", "node", F.coalesce("label", "node").alias("label")
+            "pivot", "node", "n", F.coalesce("label", "node").alias("label")
         )
     )
-    sizes = rows.groupBy("pivot", "label").agg(F.count(F.lit(1)).alias("size"))
-    totals = sizes.groupBy("pivot").agg(
+    sizes = rows.groupBy("pivot", "label").agg(F.sum("n").alias("size"))
+    totals = sizes.groupBy(F.col("pivot").alias("_t")).agg(
         F.count(F.lit(1)).alias("parts"),
         F.sum(F.when(F.col("size") < block, F.col("size")).otherwise(0)).alias("small"),
     )
-    sizes = sizes.join(totals.where("parts > 1"), "pivot")
+    sizes = sizes.join(totals.where("parts > 1"), F.col("pivot") == F.col("_t"))
+    sizes = staged(sizes.select(F.col("pivot").alias("_p"), F.col("label").alias("_l"), "size", "small"))
     big = F.col("size") >= block
     slot = F.when(big, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block))).otherwise(
         F.pmod(F.xxhash64("label"), F.ceil(F.col("small") / block))
     )
-    cut = staged(
-        rows.join(staged(sizes).withColumnsRenamed({"pivot": "_p", "label": "_l"}), (F.col("pivot") == F.col("_p")) & (F.col("label") == F.col("_l")))
-        .select("pivot", "node", "label", F.struct(F.when(big, F.col("label")).alias("of"), slot.alias("slot")).alias("cut"))
+    cut = F.struct(F.when(big, F.col("label")).alias("of"), slot.alias("slot")).alias("cut")
+    cuts = staged(
+        rows.join(sizes, (F.col("pivot") == F.col("_p")) & (F.col("label") == F.col("_l"))).select("pivot", "node", "label", cut)
     )
-    cuts = cut.select("pivot", "cut").distinct()
+    kinds = cuts.select("pivot", "cut").distinct()
     pairs = (
-        cuts.join(cuts.withColumnsRenamed({"pivot": "_p", "cut": "other"}), F.col("pivot") == F.col("_p"))
+        kinds.join(kinds.withColumnsRenamed({"pivot": "_p", "cut": "other"}), F.col("pivot") == F.col("_p"))
         .where(
             "(cut < other and (cut.of is null or other.of is null or cut.of <> other.of))"
             " or (cut = other and cut.of is null)"
         )
-        .select(F.xxhash64("pivot", "cut", "other").alias("block"), "pivot", F.explode(F.array_distinct(F.array("cut", "other"))).alias("cut"))
+        .select(
+            F.xxhash64("pivot", "cut", "other").alias("block"),
+            F.col("pivot").alias("_p"),
+            F.explode(F.array_distinct(F.array("cut", "other"))).alias("_c"),
+        )
     )
-    members = staged(pairs).withColumnsRenamed({"pivot": "_p", "cut": "_c"}).join(cut, (F.col("pivot") == F.col("_p")) & (F.col("cut") == F.col("_c")))
+    members = staged(pairs).join(cuts, (F.col("pivot") == F.col("_p")) & (F.col("cut") == F.col("_c")))
     return _joined_blocks(members.select("block", "node", "label"), sets, percent)
 
 
@@ -345,42 +372,43 @@ def jaccard_components(
     )
     classes = staged(described.where("n > 0").groupBy("node").agg(F.min("id").alias("rep")))
 
-    named = described.select("node", F.explode("sigs").alias("sig"))
+    named = described.select("node", "n", F.explode("sigs").alias("sig"))
     shared = named.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
     shared = staged(shared.where("pivot <> last").select(F.col("sig").alias("_sig"), "pivot"))
-    stars = staged(named.join(shared, F.col("sig") == F.col("_sig")).select("pivot", "node").distinct())
+    # A merge join at every size: it splits the rows of a signature that many sets share.
+    shared = shared.hint("merge")
+    stars = staged(named.join(shared, F.col("sig") == F.col("_sig")).select("pivot", "node", "n").distinct())
 
     wanted = stars.select(F.col("node").alias("_w")).distinct().join(classes, F.col("_w") == F.col("node"))
-    wanted = staged(wanted.select("node", F.col("rep").alias("_rep")))
-    texts = rows.join(wanted.select("_rep").distinct(), F.col("id").eqNullSafe(F.col("_rep")), "left_semi")
+    wanted = staged(wanted.select(F.col("node").alias("_w"), F.col("rep").alias("_rep")))
+    reps = wanted.select("_rep").hint("merge")
+    texts = rows.join(reps, F.col("id").eqNullSafe(F.col("_rep")), "left_semi")
     sets = texts.select("text").mapInArrow(_sets(n), "node bigint, grams binary")
-    sets = staged(sets.join(wanted.select(F.col("node").alias("_w")), F.col("node") == F.col("_w"), "left_semi"))
+    sets = staged(sets.join(wanted.select("_w"), F.col("node") == F.col("_w"), "left_semi"))
 
-    sizes = staged(stars.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).alias("cuts")))
-    sized = stars.join(sizes.withColumnRenamed("pivot", "_p"), F.col("pivot") == F.col("_p"))
-    members = sized.select(
-        F.xxhash64("pivot", F.pmod(F.xxhash64("node"), "cuts")).alias("block"), "node"
-    )
+    sizes = staged(stars.groupBy(F.col("pivot").alias("_p")).agg(F.ceil(F.sum("n") / block).alias("cuts")))
+    sized = stars.join(sizes, F.col("pivot") == F.col("_p"))
+    members = sized.select(F.xxhash64("pivot", F.pmod(F.xxhash64("node"), "cuts")).alias("block"), "node")
     centres = sizes.select(
-        F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("cut")
+        F.col("_p").alias("node"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("cut")
     ).select(F.xxhash64("node", "cut").alias("block"), "node")
     members = members.union(centres).distinct().withColumn("label", F.col("node"))
-    links = staged(_joined_blocks(members, sets, percent))
-    labels = components(links)
+    labels = staged(components(_joined_blocks(members, sets, percent)))
 
-    large = sizes.where("cuts > 1").select(F.col("pivot").alias("_p"))
+    large = sizes.where("cuts > 1").select("_p")
     if not large.isEmpty():
-        labels = staged(labels)
         rest = stars.join(large, F.col("pivot") == F.col("_p"), "left_semi")
+        named = labels.select(F.col("node").alias("_n"), "label")
         more = _finish(rest, labels, sets, percent, block)
-        labels = components(
-            labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(more)
-        )
-    labels = staged(labels)
+        for end in ("u", "v"):
+            more = more.join(named, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("label", end)).drop("_n", "label")
+        moved = components(more).withColumnsRenamed({"node": "_m", "label": "moved"})
+        known = classes.select("node").join(named, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("label", "node").alias("label"))
+        labels = staged(known.join(moved, F.col("label") == F.col("_m"), "left").select("node", F.coalesce("moved", "label").alias("label")))
     found = classes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     found = staged(found.select("node", "rep", F.coalesce("label", "node").alias("label")))
-    least = found.groupBy("label").agg(F.min("rep").alias("component"))
-    placed = staged(found.join(staged(least).withColumnRenamed("label", "_l"), F.col("label") == F.col("_l")).select(F.col("node").alias("_n"), "component"))
+    least = staged(found.groupBy(F.col("label").alias("_l")).agg(F.min("rep").alias("component")))
+    placed = staged(found.join(least, F.col("label") == F.col("_l")).select(F.col("node").alias("_n"), "component"))
     return described.select("id", "n", "node").join(
         placed, (F.col("node") == F.col("_n")) & (F.col("n") > 0), "left"
     ).select(
@@ -395,7 +423,7 @@ def keep_first(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     Of rows that share that id one stays; rows without id or without words all stay.
     """
-    found = jaccard_components(docs, n=n, percent=percent)
-    dropped = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    rest = docs.join(dropped.distinct(), F.col("doc_id") == F.col("_id"), "left_anti")
-    return rest
+    dropped = unused(docs, "dropped_id")
+    found = jaccard_components(docs, n=n, percent=percent).where("n_shingles > 0 and doc_id <> component_id")
+    found = found.select(F.col("doc_id").alias(dropped)).distinct()
+    return docs.join(found, F.col("doc_id") == F.col(dropped), "left_anti")
