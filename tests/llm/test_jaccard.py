@@ -74,9 +74,10 @@ def test_small_sets_at_the_threshold(spark):
 
 
 def test_signatures_never_miss_a_pair():
+    """A pair shares more signatures than either set may leave out."""
     rng = np.random.default_rng(3)
     for percent in (70, 80, 90, 95):
-        for _ in range(300):
+        for _ in range(400):
             a = int(rng.integers(1, 120))
             pool = np.unique(rng.integers(0, 2**64 - 1, 400, dtype=np.uint64))
             rng.shuffle(pool)
@@ -87,8 +88,13 @@ def test_signatures_never_miss_a_pair():
             if 100 * both < percent * (len(pair[0]) + len(pair[1]) - both) or np.array_equal(*pair):
                 continue
             text = np.repeat([0, 1], [len(p) for p in pair])
-            owner, sig = jt.signatures(text, np.concatenate(pair), np.array([len(p) for p in pair]), percent)
-            assert np.intersect1d(sig[owner == 0], sig[owner == 1]).size
+            owner, sig, kind = jt.signatures(text, np.concatenate(pair), np.array([len(p) for p in pair]), percent)
+            enough = []
+            for cls in np.unique(kind >> 32):
+                mine = [(owner == t) & (kind >> 32 == cls) for t in (0, 1)]
+                shared = np.intersect1d(sig[mine[0]], sig[mine[1]]).size
+                enough.append(all(m.any() and shared > (kind[m][0] & 0xFFFFFFFF) for m in mine))
+            assert any(enough)
 
 
 def test_trie_finds_what_comparison_finds():

@@ -6,8 +6,16 @@ a path in a trie. Two sets of sizes a and b that link differ in at most
 some part holds the same grams in both: with the order rotated to start there, the two paths
 share the whole first part. A part's signature therefore names a subtree that holds both.
 
-1. Every document gives its set hash and the signatures of its parts; equal sets are one node.
-2. Nodes that share a signature form the star of the least of them. Stars are cut into blocks
+Parts are more than needed by a spare r, so a pair shares r + 1 of them at least. A set may
+therefore leave out its r most frequent parts, and a set of which no more than r parts occur
+elsewhere links with nothing: texts that only share passages go no further than that.
+
+1. Every document gives its set hash (equal sets are one node) and the signatures of its
+   parts. A batch of documents sends one row for each signature on, so the rows of one that
+   all documents share grow with the batches; the others of the batch follow it by a join
+   that can split them.
+2. Signatures found in several nodes are ranked per node, the spare ones dropped, and nodes
+   that still share a signature form the star of the least of them. Stars are cut into blocks
    of about ``BLOCK`` grams, each with the centre; a block is one trie.
 3. In a block all sets walk the trie together. The overlap along a shared path is counted
    once, and a subtree is left when the overlap so far and the lengths that remain, in the set
@@ -31,6 +39,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wakeline.llm.components import components
@@ -38,7 +47,6 @@ from wakeline.llm.staging import staged, unused
 from wakeline.llm.words import LOWER, Chunk, chunks, mix, sequences, span_hashes, words
 
 BLOCK = 1 << 19
-_SPARE = 2
 _U = np.uint64
 
 
@@ -77,28 +85,30 @@ def size_classes(largest: int, percent: int) -> np.ndarray:
     return np.array(firsts, np.int64)
 
 
-def class_parts(firsts: np.ndarray, percent: int) -> np.ndarray:
-    """Parts of a class: more than any pair of it, or of it and the next, can differ in.
+def class_parts(firsts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of a class, and how many of them are spare.
 
-    0 where sets must be equal to link.
+    Without the spare ones there is one part more than any pair of the class, or of it and the
+    next, can differ in; 0 where sets must be equal to link.
     """
     top = firsts[1:] - 1
     differ = (top + 100 * top // percent) * (100 - percent) // (100 + percent)
-    return np.where(differ > 0, differ + 1 + _SPARE, 0)
+    spare = 2 + differ // 8
+    return np.where(differ > 0, differ + 1 + spare, 0), spare
 
 
 def signatures(
     text: np.ndarray, gram: np.ndarray, size: np.ndarray, percent: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and signature of every part, text by text.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, signature, and size class with parts to spare, of every part.
 
-    With ``_SPARE`` parts to spare, a pair has more equal parts than a set may have empty
-    ones without naming them; sets with more empty parts name those too.
+    Empty parts have no signature; as both sets of a pair may have them, each takes one off
+    what a set can spare. A set with more empty parts than that names them, and spares none.
     """
     firsts = size_classes(int(size.max(initial=1)), percent)
-    parts = class_parts(firsts, percent)
+    parts, spares = class_parts(firsts, percent)
     own = np.searchsorted(firsts, size, side="right") - 1
-    out_text, out_sig = [], []
+    out_text, out_sig, out_class = [], [], []
     for below in (0, 1):
         cls = own - below
         k = np.where((size > 0) & (cls >= 0), parts[np.maximum(cls, 0)], 0)
@@ -114,19 +124,22 @@ def signatures(
         at = np.flatnonzero(begins)
         total = np.add.reduceat(mix(g), at)
         name = part[at] * _U(0xA24BAED4963EE407) + cls[t[at]].astype(_U) * _U(0x9FB21C651E98DF25)
-        filled = np.bincount(t[at], minlength=len(size))
+        empty = k - np.bincount(t[at], minlength=len(size))
+        spare = spares[np.maximum(cls, 0)] - empty
+        kind = (cls << 32) + np.maximum(spare, 0)
         out_text.append(t[at])
         out_sig.append(mix(total + mix(name)))
-        for d in np.flatnonzero((k > 0) & (k - filled > _SPARE)):
+        out_class.append(kind[t[at]])
+        for d in np.flatnonzero((k > 0) & (spare < 0)):
             gone = np.setdiff1d(np.arange(k[d], dtype=_U), part[at][t[at] == d])
             name = gone * _U(0xA24BAED4963EE407) + cls[d : d + 1].astype(_U) * _U(0x9FB21C651E98DF25)
             out_text.append(np.full(len(gone), d))
             out_sig.append(mix(mix(name)))
+            out_class.append(np.full(len(gone), kind[d]))
     if not out_text:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    t, s = np.concatenate(out_text), np.concatenate(out_sig)
-    order = np.argsort(t, kind="stable")
-    return t[order], s[order]
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, np.uint64), none
+    return np.concatenate(out_text), np.concatenate(out_sig), np.concatenate(out_class)
 
 
 def set_hashes(text: np.ndarray, gram: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -138,32 +151,103 @@ def set_hashes(text: np.ndarray, gram: np.ndarray, size: np.ndarray) -> np.ndarr
     return mix(h + size.astype(_U)).view(np.int64)
 
 
-def _lists(values: np.ndarray, count: np.ndarray, kind: pa.DataType) -> pa.Array:
-    ends = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
+def _batch_signatures(texts: pa.Array, n: int, percent: int) -> tuple[np.ndarray, ...]:
+    """Set sizes and nodes of the rows of a batch; then, by signature and node: signature,
+    node, class, nodes of the signature in this batch, and whether the node is the first."""
+    sizes, nodes, parts = [], [], []
+    for chunk in chunks(texts):
+        text, gram = gram_sets(chunk, n)
+        size = np.bincount(text, minlength=chunk.texts)
+        node = set_hashes(text, gram, size)
+        owner, sig, kind = signatures(text, gram, size, percent)
+        sizes.append(size)
+        nodes.append(node)
+        parts.append((sig.view(np.int64), node[owner], kind))
+    none = np.zeros(0, np.int64)
+    sig, node, kind = (np.concatenate([p[i] for p in parts] or [none]) for i in range(3))
+    order = np.lexsort((node, sig))
+    sig, node, kind = sig[order], node[order], kind[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+    sig, node, kind = sig[new], node[new], kind[new]
+    head = np.ones(len(sig), bool)
+    head[1:] = sig[1:] != sig[:-1]
+    at = np.flatnonzero(head)
+    count = np.diff(np.append(at, len(sig)))
+    return np.concatenate(sizes or [none]), np.concatenate(nodes or [none]), sig, node, kind, count, head
 
 
 def _describe(n: int, percent: int) -> Callable:
+    """Rows with set size and node, and the nodes of a batch that are not first of a signature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column("text")):
-                text, gram = gram_sets(chunk, n)
-                size = np.bincount(text, minlength=chunk.texts)
-                owner, sig = signatures(text, gram, size, percent)
-                count = np.bincount(owner, minlength=chunk.texts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id").slice(chunk.first, chunk.texts),
-                        pa.array(size.astype(np.int64)),
-                        pa.array(set_hashes(text, gram, size)),
-                        _lists(sig.view(np.int64), count, pa.int64()),
-                    ],
-                    names=["id", "n", "node", "sigs"],
-                )
+            size, node, sig, member, kind, _, head = _batch_signatures(batch.column("text"), n, percent)
+            rest = int((~head).sum())
+            gone = pa.nulls(rest, batch.column("id").type)
+            none = pa.nulls(len(size), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([batch.column("id"), gone]),
+                    pa.concat_arrays([pa.array(size.astype(np.int64)), pa.nulls(rest, pa.int64())]),
+                    pa.array(np.concatenate((node, member[~head]))),
+                    pa.concat_arrays([none, pa.array(sig[~head])]),
+                    pa.concat_arrays([none, pa.array(kind[~head])]),
+                ],
+                names=["id", "n", "node", "sig", "kind"],
+            )
 
     return run
 
 
+def _first_nodes(n: int, percent: int) -> Callable:
+    """One row for each signature of a batch: its first node and how many nodes it has here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, sig, node, kind, count, head = _batch_signatures(batch.column("text"), n, percent)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sig[head]), pa.array(node[head]), pa.array(kind[head]), pa.array(count)],
+                names=["sig", "node", "kind", "times"],
+            )
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by signature to those whose signature several nodes have, with their sum.
+
+    What is held back between batches is one signature: a row for each batch of documents
+    that has it, at most.
+    """
+    names = ("sig", "node", "kind", "times")
+
+    def passed(held: list[np.ndarray]) -> pa.RecordBatch:
+        sig, node, kind, times = held
+        head = np.ones(len(sig), bool)
+        head[1:] = sig[1:] != sig[:-1]
+        at = np.flatnonzero(head)
+        group = np.cumsum(head) - 1
+        total = np.add.reduceat(times, at)
+        several = (np.minimum.reduceat(node, at) != np.maximum.reduceat(node, at)) | (np.maximum.reduceat(times, at) > 1)
+        use = several[group]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x[use]) for x in (sig, node, kind, total[group])], names=names
+        )
+
+    held = None
+    for batch in batches:
+        new = [batch.column(c).to_numpy() for c in names]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        if len(held[0]):
+            last = int(np.searchsorted(held[0], held[0][-1], side="left"))
+            if last:
+                yield passed([x[:last] for x in held])
+            held = [x[last:] for x in held]
+    if held is not None and len(held[0]):
+        yield passed(held)
+
+
 def _sets(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,17 +451,36 @@ def jaccard_components(
     """``id, n_shingles, component_id`` of every row; the component's id is its least id."""
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    described = staged(
-        rows.mapInArrow(_describe(n, percent), f"id {kind}, n bigint, node bigint, sigs array<bigint>")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = staged(
+        rows.mapInArrow(_describe(n, percent), f"id {kind}, n bigint, node bigint, sig bigint, kind bigint")
+    )
+    described = seen.where("sig is null").select("id", "n", "node")
+    classes = staged(
+        described.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
+    )
+
+    firsts = rows.select("text").mapInArrow(_first_nodes(n, percent), "sig bigint, node bigint, kind bigint, times bigint")
+    firsts = firsts.repartition(parts, "sig").sortWithinPartitions("sig")
+    shared = staged(firsts.mapInArrow(_shared, "sig bigint, node bigint, kind bigint, times bigint"))
+    times = shared.groupBy(F.col("sig").alias("_sig")).agg(F.max("times").alias("times"))
+    # A merge join at every size: it splits the nodes of a signature that many sets share.
+    others = seen.where("sig is not null").select("sig", "node", "kind")
+    others = others.join(staged(times).hint("merge"), F.col("sig") == F.col("_sig"))
+    found = shared.unionByName(others.drop("_sig")).distinct()
+    own = W.partitionBy("node", "kind")
+    ranked = found.select(
+        "sig",
+        "node",
+        F.row_number().over(own.orderBy("times", "sig")).alias("rank"),
+        (F.count(F.lit(1)).over(own) - F.col("kind").bitwiseAND(F.lit((1 << 32) - 1))).alias("needed"),
     )
-    classes = staged(described.where("n > 0").groupBy("node").agg(F.min("id").alias("rep")))
-
-    named = described.select("node", "n", F.explode("sigs").alias("sig"))
-    shared = named.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-    shared = staged(shared.where("pivot <> last").select(F.col("sig").alias("_sig"), "pivot"))
-    # A merge join at every size: it splits the rows of a signature that many sets share.
-    shared = shared.hint("merge")
-    stars = staged(named.join(shared, F.col("sig") == F.col("_sig")).select("pivot", "node", "n").distinct())
+    kept = staged(ranked.where("rank <= needed").select("sig", "node"))
+    pivots = kept.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
+    pivots = staged(pivots.where("pivot <> last").select(F.col("sig").alias("_sig"), "pivot"))
+    stars = kept.join(pivots.hint("merge"), F.col("sig") == F.col("_sig")).select("pivot", "node").distinct()
+    sized = classes.select(F.col("node").alias("_n"), "n")
+    stars = staged(stars.join(sized, F.col("node") == F.col("_n")).drop("_n"))
 
     wanted = stars.select(F.col("node").alias("_w")).distinct().join(classes, F.col("_w") == F.col("node"))
     wanted = staged(wanted.select(F.col("node").alias("_w"), F.col("rep").alias("_rep")))
