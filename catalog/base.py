@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.operators.segments import index_rows, measure
+from wakeline.operators.segments import SEGMENT_ROWS, index_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +18,9 @@ ORACLES: dict[str, str] = {}
 ZONES = ("click", "error", "purchase", "signup", "view")
 HOUR_US = 3_600_000_000
 
+#: Segment size of the checked queries; tests set a small one.
+ROWS = int(os.environ.get("CHECK_ROWS", SEGMENT_ROWS))
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query and, where plain SQL can say the same, its check."""
@@ -62,17 +66,15 @@ def event_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def event_frames(spark: SparkSession, sf: str) -> tuple[DataFrame, int | None]:
-    """Events as frames of a session per user, and the measured segment size."""
+def event_frames(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """Events as frames of a session per user, and the segment size."""
     rows = event_rows(spark, sf)
-    size = measure(rows, ["s"])
-    return index_rows(rows, ["s"], ["us", "event_id"], "frame", size), size
+    return index_rows(rows, ["s"], ["us", "event_id"], "frame"), ROWS
 
 
-def long_frames(spark: SparkSession, sf: str) -> tuple[DataFrame, int | None]:
-    """Line items as long sessions per supplier, and the measured segment size."""
+def long_frames(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """Line items as long sessions per supplier, and the segment size."""
     items = table(spark, sf, "lineitem")
-    size = measure(items, ["l_suppkey"])
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice"]
     rows = items.select(
         F.col("l_suppkey").alias("s"),
@@ -83,7 +85,7 @@ def long_frames(spark: SparkSession, sf: str) -> tuple[DataFrame, int | None]:
         "l_returnflag",
         "l_linestatus",
     )
-    return index_rows(rows, ["s"], order, "frame", size).drop(*order), size
+    return index_rows(rows, ["s"], order, "frame").drop(*order), ROWS
 
 
 def clip_labels(spark: SparkSession, sf: str) -> DataFrame:

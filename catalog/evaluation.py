@@ -535,7 +535,7 @@ _SWEPT = (
 def swept(spark, sf, threshold):
     frames, rows = long_frames(spark, sf)
     levels = rolled_levels(frames, rows)
-    levels = cut(levels, rows)
+    levels = cut(levels)
     counts = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s")).agg(F.count(F.lit(1)).alias("n_frames"))
     clips = clip_labels(spark, sf).join(counts, ["s"])
     return sweeps.sweep_alerts(levels, clips, ["s"], "frame", "level", 10.0, threshold=threshold, rows=rows)
@@ -842,7 +842,7 @@ _DETECTORS = f"""{_RUNS}, {VIDEOS}, l AS (SELECT s, max(length) AS longest, max(
 )
 def detector_comparison(spark, sf):
     frames, rows = mouth_frames(spark, sf)
-    found = cut(runs.event_runs(frames, ["s"], "frame", "mar", 40.0, rows=rows), rows)
+    found = cut(runs.event_runs(frames, ["s"], "frame", "mar", 40.0, rows=rows))
     longest = found.groupBy("s").agg(F.max("length").alias("longest"))
     videos = video_labels(spark, sf).join(longest, ["s"], "left").withColumn("longest", F.coalesce("longest", F.lit(0)))
     events = found.filter("length >= 2").withColumn("score", F.col("peak") / 200.0)

@@ -323,7 +323,7 @@ def kept_row_labels(spark, sf):
     """Stride, no-face filter and numbering, then the label of the raw frame."""
     rows, spans, lengths, size = closures(spark, sf)
     flagged = rows.withColumn("face", F.when(F.col("face"), True))
-    kept = frames.kept_rows(flagged, ["s"], "frame", "face", 2, rows=size).select("s", "row", "frame")
+    kept = frames.kept_rows(flagged, ["s"], "frame", "face", 2).select("s", "row", "frame")
     labels = intervals.closure_labels(rows.select("s", "frame"), spans, lengths, ["s"], "frame", 30.0, 0.2, rows=size)
     return intervals.label_rows(kept, labels, ["s"], "frame")
 
@@ -777,9 +777,9 @@ def ordered_intervals(spark, sf):
     """Every interval with its place in (start, end, action) order over the whole corpus."""
     rows = annotations.action_intervals(activity_documents(spark, sf), "json", ["event_id"])
     short = rows.withColumn("action", F.replace("action", F.lit("driver_actions/"), F.lit("")))
-    known = short.filter(F.col("action").isin(*ACTIVITIES)).withColumn("_all", F.lit(0))
+    known = short.filter(F.col("action").isin(*ACTIVITIES))
     order = ["start_frame", "end_frame", "action", "event_id"]
-    return index_rows(known, ["_all"], order, "place").drop("_all")
+    return index_rows(known, [], order, "place")
 
 
 @query(

@@ -338,14 +338,14 @@ _CHANGES = f"""{_TIERS}, changes AS (SELECT s, frame, tier FROM (SELECT s, frame
 
 def event_tiers(spark, sf):
     frames, rows = event_frames(spark, sf)
-    levels = cut(frames.select("s", "frame", "level"), rows)
+    levels = cut(frames.select("s", "frame", "level"))
     return alerts.debounce(levels, ["s"], "frame", "level", 2, 3, 2, rows=rows), rows
 
 
 @query("tier_events", f"{_CHANGES} SELECT s, frame, tier FROM changes")
 def tier_events(spark, sf):
     tiers, rows = event_tiers(spark, sf)
-    return alerts.tier_events(cut(tiers, rows), ["s"], "frame", rows=rows)
+    return alerts.tier_events(cut(tiers), ["s"], "frame", rows=rows)
 
 
 @query(
@@ -356,8 +356,8 @@ def tier_events(spark, sf):
 )
 def alarm_counts(spark, sf):
     tiers, rows = event_tiers(spark, sf)
-    events = alerts.tier_events(cut(tiers, rows), ["s"], "frame", rows=rows)
-    return alerts.alarm_counts(cut(events, rows), ["s"], "frame", 2, rows=rows)
+    events = alerts.tier_events(cut(tiers), ["s"], "frame", rows=rows)
+    return alerts.alarm_counts(cut(events), ["s"], "frame", 2, rows=rows)
 
 
 # --- Gaze tracks --------------------------------------------------------------------------------
@@ -376,7 +376,7 @@ def voted_zones(spark, sf):
     frames, rows = event_frames(spark, sf)
     seen = frames.select("s", "frame", "us", F.when(F.col("face"), F.col("zone")).alias("zone"))
     return (
-        alerts.majority_smooth(cut(seen, rows), ["s"], "frame", "us", "zone", 48 * HOUR_US, ZONES, rows=rows),
+        alerts.majority_smooth(cut(seen), ["s"], "frame", "us", "zone", 48 * HOUR_US, ZONES, rows=rows),
         rows,
     )
 
@@ -396,7 +396,7 @@ _STREAK = f"""{_VOTED}, o AS (SELECT s, frame, us, smoothed, coalesce(smoothed <
 @query("streak_tier", f"WITH {_STREAK} SELECT s, frame, gaze_tier FROM streaks")
 def streak_tier(spark, sf):
     voted, rows = voted_zones(spark, sf)
-    off = cut(voted, rows).withColumn("off", F.col("smoothed") != "view")
+    off = cut(voted).withColumn("off", F.col("smoothed") != "view")
     out = alerts.streak_tier(off, ["s"], "frame", "us", "off", 12 * HOUR_US, 24 * HOUR_US, rows=rows)
     return out.select("s", "frame", "gaze_tier")
 
@@ -425,7 +425,7 @@ def cadenced_ema(spark, sf):
     probs = F.array(F.col("value") / 193.0, F.col("k") / 97.0, F.lit(0.4))
     seen = frames.select("s", "frame", F.when(F.col("face"), probs).alias("probs"))
     out = alerts.cadenced_ema(
-        cut(seen, rows), ["s"], "frame", "probs", ["radio", "drinking", "safe_drive"], 3, 0.5, rows=rows
+        cut(seen), ["s"], "frame", "probs", ["radio", "drinking", "safe_drive"], 3, 0.5, rows=rows
     )
     return out.select(
         "s", "frame", "ran", *[r6(F.get("probabilities", F.lit(i))).alias(f"p{i}") for i in range(3)], "activity"
@@ -453,7 +453,7 @@ def fused_frames(spark, sf):
         "s", "frame", "face", "zone", "level", (~F.col("zone").isin("view", "click")).alias("distracted")
     )
     out = alerts.parallel_tracks(
-        cut(seen, rows), ["s"], "frame", "face", "level", "distracted", (2, 3, 2), rows=rows
+        cut(seen), ["s"], "frame", "face", "level", "distracted", (2, 3, 2), rows=rows
     )
     return out, rows
 
@@ -479,7 +479,7 @@ def parallel_tracks(spark, sf):
 )
 def change_events(spark, sf):
     fused, rows = fused_frames(spark, sf)
-    named = cut(fused, rows).select(
+    named = cut(fused).select(
         "s",
         "frame",
         tier_name(F.col("tier")).alias("tier"),
@@ -516,7 +516,7 @@ def event_stream(spark, sf):
         (k % 10 != 0).alias("has_face"),
         F.array(F.col("value")).alias("features"),
         F.lit(None).cast("array<double>").alias("probabilities"),
-        F.lit(None).cast("string").alias("zone"),
+        F.col("event_type").alias("zone"),
         (F.col("value") / 1000.0).alias("latency_s"),
     )
 
@@ -595,9 +595,37 @@ def monitor_stream(spark, sf):
     "interval_metrics_stream",
     """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session, epoch_us(ts) // 86400000000 * 86400000000 AS window_start_us, value FROM events)
         SELECT session, window_start_us, count(*) AS frames, round(quantile_cont(value, 0.5), 6) AS lat_ms_p50
-        FROM e WHERE window_start_us + 86400000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events) GROUP BY 1, 2""",
+        FROM e GROUP BY 1, 2""",
 )
 def interval_metrics_stream(spark, sf):
-    """Closed days only: the last one is still open when the stream ends."""
-    out = run_stream(spark, live.interval_metrics(event_stream(spark, sf), "1 day", "0 seconds"))
+    """Every day, the last one too: a mark after the last frame closes it, as a stop does."""
+    out = run_stream(spark, live.interval_metrics(ended_stream(spark, sf), "1 day", "0 seconds"))
     return out.select("session", "window_start_us", "frames", r6("lat_ms_p50").alias("lat_ms_p50"))
+
+
+def ended_stream(spark, sf):
+    """The event stream and a mark a year after its last frame, in a session of its own."""
+    frames = event_stream(spark, sf)
+    last = table(spark, sf, "events").agg(F.max("ts").cast("timestamp").alias("ts"))
+    mark = cut(live.end_mark(last, "ts", 365 * 86400.0))
+    return frames.unionByName(spark.readStream.schema(mark.schema).parquet(mark.inputFiles()[0].rsplit("/", 1)[0]))
+
+
+@query(
+    "monitor_events",
+    f"""WITH {EV}, z AS (SELECT *, lag(face) OVER w AS had, CASE WHEN face THEN zone END AS gaze,
+            lag(CASE WHEN face THEN zone END IGNORE NULLS) OVER w AS was FROM ev WINDOW w AS (PARTITION BY s ORDER BY frame))
+        SELECT CAST(s AS VARCHAR) AS session, event_id AS frame, CASE WHEN face THEN 'face_regained' ELSE 'face_lost' END AS event,
+          NULL AS before, NULL AS after FROM z WHERE had IS NOT NULL AND had <> face
+        UNION ALL SELECT CAST(s AS VARCHAR), event_id, 'gaze_change', was, gaze FROM z WHERE gaze <> was
+        UNION ALL SELECT CAST(s AS VARCHAR), max_by(event_id, frame), 'stop', NULL, NULL FROM z GROUP BY s""",
+)
+def monitor_events(spark, sf):
+    """Face and gaze changes and the stop of every session, votes reaching back a moment only."""
+    config = monitor.MonitorConfig(
+        classify=lambda window: 0, window=1, distraction=None, gaze_min_s=1.0, gaze_audible_s=None, gaze_vote_s=1e-7,
+        metrics_s=1e9, idle_s=40 * 86400.0, emit_frames=False,
+    )
+    out = run_stream(spark, monitor.monitor_stream(ended_stream(spark, sf), config, "0 seconds"))
+    kept = out.filter(F.col("event").isin("face_lost", "face_regained", "gaze_change", "stop"))
+    return kept.select("session", "frame", "event", F.col("from").alias("before"), F.col("to").alias("after"))

@@ -110,18 +110,15 @@ def test_track_parameter_checks(spark):
         runs.event_runs(df, ["s"], "frame", "ts", 0.5, 0)
 
 
-def test_measure_and_hot_session(spark):
-    """One session holds a third of the rows; both plan forms give the same tiers and runs."""
+def test_hot_session_is_cut(spark):
+    """One session holds a third of the rows; segment sizes give the same tiers and runs."""
     base = spark.range(90_000).selectExpr("if(id < 30000, 0, 1 + id % 60) as s", "id", "hash(id) as h")
-    assert segments.measure(base, ["s"], 30_000) is None
-    rows = segments.measure(base, ["s"], 4096)
-    assert rows == 4096
     held = base.selectExpr("s", "id", "cast(pmod(hash(id div 7), 3) as int) as level")
     out = []
-    for size in (rows, None):
-        indexed = segments.index_rows(held, ["s"], ["id"], "frame", size)
-        tiers = alerts.debounce(segments.cut(indexed, size), ["s"], "frame", "level", 4, 9, 12, rows=size)
-        islands = runs.equal_runs(segments.cut(tiers, size), ["s"], "frame", "tier", rows=size)
+    for size in (4096, 1 << 20):
+        indexed = segments.index_rows(held, ["s"], ["id"], "frame")
+        tiers = alerts.debounce(segments.cut(indexed), ["s"], "frame", "level", 4, 9, 12, rows=size)
+        islands = runs.equal_runs(segments.cut(tiers), ["s"], "frame", "tier", rows=size)
         out.append((tiers, islands))
     for a, b in zip(*out):
         columns = sorted(a.columns)
@@ -142,10 +139,3 @@ def test_stage_folder_needs_a_shared_place(spark):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         segments.stage_folder(Session())
-
-
-def test_join_dimension(spark):
-    facts = spark.range(10).selectExpr("id % 3 as s", "id")
-    dim = spark.range(3).selectExpr("id as s", "id * 10 as v")
-    for limit in (2, 5):
-        assert segments.join_dimension(facts, dim, ["s"], limit).count() == 10

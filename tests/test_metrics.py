@@ -10,7 +10,7 @@ from wakeline.operators import metrics, percentiles, windows
 def test_perclos_and_onsets(spark):
     series = [0.30, 0.30, 0.05, 0.05, 0.30, 0.05]
     df = spark.createDataFrame([(0, i, v) for i, v in enumerate(series)], "s int, frame long, ear double")
-    for rows in (2, None):
+    for rows in (2, 1 << 20):
         r = windows.session_onsets(df, ["s"], "frame", "ear", 0.1, "below", rows).first()
         assert (r.frames, r.onsets, r.mean_duration) == (6, 2, 1.5)
     assert df.agg(windows.perclos("ear", 0.1)).first()[0] == 0.5
@@ -28,7 +28,7 @@ def test_windows_need_positive_sizes(spark):
         windows.rolling_window(df, ["s"], "frame", ["ear"], 0)
 
 
-@pytest.mark.parametrize("size,stride,rows", [(4, 2, 5), (5, 3, 6), (3, 7, 4), (6, 4, None)])
+@pytest.mark.parametrize("size,stride,rows", [(4, 2, 5), (5, 3, 6), (3, 7, 4), (6, 4, 1 << 20)])
 def test_window_summary_equals_direct(spark, size, stride, rows):
     rng = np.random.default_rng(size)
     n, fps = 40, 10.0
@@ -173,3 +173,13 @@ def test_binary_report(spark):
     df = spark.createDataFrame([(False, True), (False, False)], "t boolean, p boolean")
     r = metrics.binary_drowsy_report(df, "t", "p").first()
     assert math.isnan(r.drowsy_recall) and (r.n_windows, r.n_drowsy_true, r.false_alarm_rate, r.overall_accuracy) == (2, 0, 0.5, 0.5)
+
+
+def test_rows_outside_the_classes_count(spark):
+    df = spark.createDataFrame([(0, 0), (0, 7), (1, None), (5, 1), (1, 1)], "t int, p int")
+    got = {r["class"]: (r.support, r.recall) for r in metrics.class_recall(df, "t", "p", 3, 0.0).collect()}
+    assert got == {0: (2, 0.5), 1: (2, 0.5), 2: (0, 0.0)}
+    with pytest.raises(Exception, match="none of the 3 classes"):
+        metrics.confusion_matrix(df, "t", "p", 3).collect()
+    weights = {r["class"]: r.weight for r in metrics.class_weights(df, "t", 3).collect()}
+    assert weights == {0: pytest.approx(5 / 6), 1: pytest.approx(5 / 6), 2: pytest.approx(5 / 3)}

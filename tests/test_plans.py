@@ -27,7 +27,7 @@ def clips(spark):
     return frames, manifest
 
 
-@pytest.mark.parametrize("rows", [64, None])
+@pytest.mark.parametrize("rows", [64, 1 << 20])
 def test_validate_alerts(spark, rows):
     frames, manifest = clips(spark)
     scorer = scoring.batch_scorer(peak_model, "int")
@@ -47,7 +47,7 @@ def test_validate_alerts_sweep(spark):
     frames, manifest = clips(spark)
     scorer = scoring.batch_scorer(peak_model, "int")
     out = tempfile.mkdtemp(prefix="rep-") + "/r"
-    report = alerting.validate_alerts(frames, manifest, scorer, 10.0, out, "sweep", 10, rows=None)
+    report = alerting.validate_alerts(frames, manifest, scorer, 10.0, out, "sweep", 10, rows=1 << 20)
     chosen = report.filter("selected").collect()
     assert report.count() == 64 and len(chosen) == 1 and chosen[0].escalate == 3
 

@@ -37,7 +37,7 @@ def level_sessions(rng, n=25):
 
 
 @pytest.mark.parametrize(
-    "params,rows", [((3, 8, 15), 32), ((8, 3, 4), 16), ((1, 1, 1), 4), ((4, 4, 2), 8), ((2, 3, 2), 7), ((5, 2, 6), None), ((2, 3, 2), None)]
+    "params,rows", [((3, 8, 15), 32), ((8, 3, 4), 16), ((1, 1, 1), 4), ((4, 4, 2), 8), ((2, 3, 2), 7), ((5, 2, 6), 1 << 20), ((2, 3, 2), 1 << 20)]
 )
 def test_debounce_equals_fold(spark, params, rows):
     rng = random.Random(hash(params) & 0xFFFF)
@@ -50,7 +50,7 @@ def test_debounce_equals_fold(spark, params, rows):
         assert [t for _, t in got[s]] == folds.debounce([r[0] for r in rows_], *params), s
 
 
-@pytest.mark.parametrize("params,rows", [((3, 8, 15), 32), ((6, 2, 3), 9), ((2, 2, 5), 7), ((3, 8, 4), None)])
+@pytest.mark.parametrize("params,rows", [((3, 8, 15), 32), ((6, 2, 3), 9), ((2, 2, 5), 7), ((3, 8, 4), 1 << 20)])
 def test_binary_debounce_equals_fold(spark, params, rows):
     rng = random.Random(5)
     sessions = {s: [(r[0] > 0,) for r in v] for s, v in level_sessions(rng).items()}
@@ -70,7 +70,7 @@ def test_debounce_rejects_bad_input(spark):
         alerts.debounce(df, ["s"], "frame", "level", 0, 1, 1)
 
 
-@pytest.mark.parametrize("rows", [3, 5, None])
+@pytest.mark.parametrize("rows", [3, 5, 1 << 20])
 def test_event_runs_hold_on_nan(spark, rows):
     rng = random.Random(rows or 0)
     sessions = {
@@ -93,7 +93,7 @@ def test_event_runs_literals(spark):
     assert got == {0: [(1, 2), (4, 4)], 1: [(0, 2)]}
 
 
-@pytest.mark.parametrize("rows", [2, 7, None])
+@pytest.mark.parametrize("rows", [2, 7, 1 << 20])
 def test_majority_and_streak(spark, rows):
     rng = random.Random(11)
     sessions = {}
@@ -118,7 +118,7 @@ def test_majority_and_streak(spark, rows):
         )
 
 
-@pytest.mark.parametrize("alpha,every,rows", [(0.5, 3, 64), (0.9, 1, 5), (1.0, 2, 4), (0.3, 2, 512), (0.4, 3, None)])
+@pytest.mark.parametrize("alpha,every,rows", [(0.5, 3, 64), (0.9, 1, 5), (1.0, 2, 4), (0.3, 2, 512), (0.4, 3, 1 << 20)])
 def test_cadenced_ema(spark, alpha, every, rows):
     rng = random.Random(3)
     labels = ["a", "safe_drive", "c"]
@@ -140,18 +140,36 @@ def test_cadenced_ema(spark, alpha, every, rows):
                 assert distracted == (activity != "safe_drive")
 
 
-@pytest.mark.parametrize("rows,levels", [(3, 1), (4, 2), (1000, 1), (None, 1)])
-def test_index_rows(spark, rows, levels):
+def test_index_rows(spark):
     rng = random.Random(9)
     data = [(s, rng.randint(0, 60) ** 2, i) for i, s in enumerate([0] * 60 + [1] * 3 + [2] * 20)]
     df = spark.createDataFrame(data, "s int, t long, id int")
-    got = by_session(segments.index_rows(df, ["s"], ["t", "id"], rows=rows, levels=levels).collect(), "frame", "id")
+    got = by_session(segments.index_rows(df, ["s"], ["t", "id"]).collect(), "frame", "id")
     for s in (0, 1, 2):
         want = [i for _, _, i in sorted(d for d in data if d[0] == s)]
         assert got[s] == list(enumerate(want))
 
 
-@pytest.mark.parametrize("rows", [4, None])
+@pytest.mark.parametrize(
+    "name,t,subject",
+    [
+        ("one outlying time", "if(id = 7, 100000000000L, id)", "0"),
+        ("a constant first column", "5L", "0"),
+        ("texts that start alike", "concat('subject_000000', id)", "0"),
+        ("a hot session", "id", "if(id % 3 > 0, 0, id)"),
+    ],
+)
+def test_slices_are_even_whatever_the_order(spark, name, t, subject):
+    df = spark.range(20_000).selectExpr(f"{subject} as s", f"{t} as t", "id")
+    sliced = segments.slice_by_order(df, ["s"], ["t", "id"])
+    sizes = [r["count"] for r in sliced.groupBy(segments.SLICE).count().collect()]
+    assert max(sizes) <= 2 * 20_000 / int(spark.conf.get("spark.sql.shuffle.partitions")), name
+    got = segments.index_rows(df, ["s"], ["t", "id"]).orderBy("s", "frame").collect()
+    assert [r.frame for r in got if r.s == 0] == list(range(sum(r.s == 0 for r in got)))
+    assert sorted(got, key=lambda r: (r.s, r.t, r.id)) == got
+
+
+@pytest.mark.parametrize("rows", [4, 1 << 20])
 def test_sessionise_and_first_seen(spark, rows):
     rng = random.Random(2)
     data, want = [], []
@@ -174,7 +192,7 @@ def test_sessionise_and_first_seen(spark, rows):
         assert [ids[(s, z)] for z in order] == list(range(len(order)))
 
 
-@pytest.mark.parametrize("rows", [3, None])
+@pytest.mark.parametrize("rows", [3, 1 << 20])
 def test_equal_runs_merge_over_borders(spark, rows):
     rng = random.Random(4)
     sessions = level_sessions(rng, 10)
@@ -194,7 +212,7 @@ def test_equal_runs_merge_over_borders(spark, rows):
         assert got[s] == [tuple(w) for w in want]
 
 
-@pytest.mark.parametrize("rows", [8, None])
+@pytest.mark.parametrize("rows", [8, 1 << 20])
 def test_parallel_tracks_and_changes(spark, rows):
     rng = random.Random(8)
     sessions = {
@@ -235,6 +253,6 @@ def test_parallel_tracks_and_changes(spark, rows):
 def test_alarm_counts(spark):
     df = make(spark, {0: [(10, 1), (20, 2), (30, 3), (40, 0), (50, 2)]}, "s int, i int, frame long, tier int")
     for threshold, want in ((2, (2, 20)), (3, (1, 30)), (1, (2, 10))):
-        for rows in (15, None):
+        for rows in (15, 1 << 20):
             r = alerts.alarm_counts(df, ["s"], "frame", threshold, rows=rows).first()
             assert (r.alarms, r.first_frame) == want

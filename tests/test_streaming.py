@@ -93,14 +93,14 @@ def batch(spark, rows):
     mean = F.avg(F.get("features", F.lit(0))).over(W.partitionBy("session").orderBy("frame").rowsBetween(-5, 0))
     level = F.when(F.col("k") < 6, 0).when(mean < 0.35, 2).when(mean < 0.5, 1).otherwise(0)
     levels = faces.select("session", "frame", level.alias("level"))
-    ema = alerts.cadenced_ema(df, ["session"], "frame", "probabilities", LABELS, 3, 0.5, rows=None)
+    ema = alerts.cadenced_ema(df, ["session"], "frame", "probabilities", LABELS, 3, 0.5)
     base = ema.join(levels, ["session", "frame"], "left")
     tracks = alerts.parallel_tracks(
-        base, ["session"], "frame", "has_face", "level", "distracted", (2, 4, 5), (2, 3, 4), rows=None
+        base, ["session"], "frame", "has_face", "level", "distracted", (2, 4, 5), (2, 3, 4)
     )
-    voted = alerts.majority_smooth(tracks, ["session"], "frame", "us", "zone", 1_000_000, ["front", "left", "right"], "gaze_zone", rows=None)
+    voted = alerts.majority_smooth(tracks, ["session"], "frame", "us", "zone", 1_000_000, ["front", "left", "right"], "gaze_zone")
     off = voted.withColumn("off", F.col("gaze_zone") != "front")
-    out = alerts.streak_tier(off, ["session"], "frame", "us", "off", 1_000_000, 2_500_000, rows=None)
+    out = alerts.streak_tier(off, ["session"], "frame", "us", "off", 1_000_000, 2_500_000)
     return out.withColumn("tier", alerts.fuse_tiers("tier", "gaze_tier"))
 
 
@@ -116,7 +116,7 @@ def test_stream_equals_batch(spark, replay):
             assert g[a] == r[b], (r["session"], r["frame"], a)
     assert {g["tier"] for g in got.values()} >= {0, 1, 2}
     named = final.withColumn("tier", tier_name(F.col("tier")))
-    want = alerts.change_events(named, ["session"], "frame", rows=None).collect()
+    want = alerts.change_events(named, ["session"], "frame").collect()
     kinds = ("tier_change", "gaze_change", "face_lost", "face_regained")
     key = lambda r: (r["session"], r["frame"], r["event"], r["from"], r["to"], r["fatigue"])
     assert sorted(map(str, (key(r) for r in out if r["event"] in kinds))) == sorted(map(str, map(key, want)))

@@ -20,7 +20,7 @@ from wakeline.operators.metrics import (
     macro_auroc,
 )
 from wakeline.operators.runs import event_runs, sessionise
-from wakeline.operators.segments import index_rows, measure
+from wakeline.operators.segments import index_rows
 from wakeline.operators.splits import (
     assert_subject_independent,
     subject_folds,
@@ -46,7 +46,6 @@ __all__ = [
     "index_rows",
     "macro_auroc",
     "majority_smooth",
-    "measure",
     "nearest_rows",
     "parallel_tracks",
     "replay_summary",

@@ -92,35 +92,31 @@ def _debounced(
     """Adds ``committed`` and ``_escalated`` (the top level held for enough steps)."""
     check_steps(escalate, de_escalate, escalated_after)
     hi, lo, upward = max(escalate, de_escalate), min(escalate, de_escalate), escalate <= de_escalate
-    part = within(keys, rows)
+    part = within(keys)
     w = W.partitionBy(*part).orderBy(frame)
     upto = scan(part, frame)
     # A segment borrows `hi` rows to know run positions and `escalated_after` more to know
     # how long the top level has been held; its state starts at `_zone`.
-    zone = F.lit(0) if rows is None else F.col(SEG) * rows - escalated_after
+    zone = F.col(SEG) * rows - escalated_after
     wide = halo(df, frame, before=hi + escalated_after, rows=rows)
     turned = ~F.col(level).eqNullSafe(F.lag(level).over(w))
     placed = wide.withColumn("_turn", turned).withColumn(
         "_pos",
         F.col(frame) - F.last(F.when(F.col("_turn"), F.col(frame)), ignorenulls=True).over(upto) + 1,
     )
-    if rows is not None:
-        placed = placed.filter(F.col(frame) >= zone)
+    placed = placed.filter(F.col(frame) >= zone)
     reset = F.col("_pos") == hi
     event = reset | (F.col("_pos") == lo)
     packed = placed.withColumn("_resets", F.sum(reset.cast("bigint")).over(upto)).withColumn(
         "_event", F.when(event, F.col("_resets") * 4 + level_rank(F.col(level), upward))
     )
     local = packed.withColumn("_seen", F.max("_event").over(upto))
-    if rows is None:
-        local = local.withColumn("_state", F.lit(0))
-    else:
-        # The next segment's state starts `escalated_after` rows before its own first row.
-        handed_on = F.col(frame) < (F.col(SEG) + 1) * rows - escalated_after
-        summary = packed.groupBy(*keys, SEG).agg(
-            F.max(F.when(handed_on, F.col("_event"))).alias("_packed")
-        )
-        local = local.join(committed_before(summary, keys, upward), [*keys, SEG])
+    # The next segment's state starts `escalated_after` rows before its own first row.
+    handed_on = F.col(frame) < (F.col(SEG) + 1) * rows - escalated_after
+    summary = packed.groupBy(*keys, SEG).agg(
+        F.max(F.when(handed_on, F.col("_event"))).alias("_packed")
+    )
+    local = local.join(committed_before(summary, keys, upward), [*keys, SEG])
     tracked = local.withColumn(
         "committed", committed_after(F.col("_state"), F.col("_seen"), upward).cast("int")
     )
@@ -140,7 +136,7 @@ def debounce(
     escalate: int = 3,
     de_escalate: int = 8,
     alarm_after: int = 15,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Fatigue track: adds ``committed`` (0/1/2) and ``tier`` (0..3) to dense frames."""
     valid = F.when(F.col(level).isin(0, 1, 2), F.col(level).cast("int")).otherwise(
@@ -160,7 +156,7 @@ def debounce_binary(
     escalate: int = 3,
     de_escalate: int = 8,
     audible_after: int = 15,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Distraction track: adds ``committed`` (0/1) and ``tier`` (0, 1 or 2)."""
     levels = df.withColumn(flag, F.col(flag).cast("int"))
@@ -177,17 +173,17 @@ def with_previous(
     keys: Sequence[str],
     frame: str,
     columns: Sequence[str],
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Adds ``prev_<column>`` from the row before, over dense frames."""
-    w = W.partitionBy(*within(keys, rows)).orderBy(frame)
+    w = W.partitionBy(*within(keys)).orderBy(frame)
     out = halo(df, frame, before=1, rows=rows)
     lagged = out.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns})
     return own_rows(lagged, frame, rows)
 
 
 def tier_events(
-    df: DataFrame, keys: Sequence[str], frame: str, tier: str = "tier", rows: int | None = SEGMENT_ROWS
+    df: DataFrame, keys: Sequence[str], frame: str, tier: str = "tier", rows: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Rows where the tier differs from the one before, which is 0 at the start."""
     out = with_previous(df.select(*keys, frame, tier), keys, frame, [tier], rows)
@@ -201,14 +197,14 @@ def alarm_counts(
     frame: str,
     threshold: int,
     tier: str = "tier",
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Alarms and first alarm frame per session, over sparse tier events.
 
     An alarm is an event at or above the threshold whose predecessor is below it.
     """
     base = segment(events, frame, rows)
-    w = W.partitionBy(*within(keys, rows)).orderBy(frame)
+    w = W.partitionBy(*within(keys)).orderBy(frame)
     local = base.withColumn("_prev", F.lag(tier).over(w))
     seen = attach_carry(
         local,
@@ -216,7 +212,6 @@ def alarm_counts(
         keys,
         {"_tail": F.max_by(tier, F.col(frame))},
         {"_carry": lambda s: F.last("_tail").over(s)},
-        rows,
     )
     before = F.coalesce("_prev", "_carry", F.lit(NONE))
     rises = (F.col(tier) >= threshold) & (before < threshold)
@@ -235,23 +230,29 @@ def majority_smooth(
     ts: str,
     zone: str,
     window_us: int,
-    zones: Sequence[str],
+    zones: Sequence[str] | None = None,
     out: str = "smoothed",
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Most frequent zone of the last ``window_us`` microseconds, bounds included.
 
     A null zone yields null and clears the history. Ties go to the zone seen last. ``ts``
     holds microseconds and does not decrease with ``frame``. Every vote is counted in when
     it is seen and out when it expires, so the cost does not depend on the window length.
+    ``zones`` is the vocabulary if it is known; any zone counts, and those of the table are
+    looked up without it.
     """
     if window_us <= 0:
         raise ValueError(f"window must be positive, got {window_us}")
-    unknown = F.raise_error(F.concat(F.lit("zone is not in the list: "), F.col(zone)))
-    listed = F.col(zone).isNull() | F.col(zone).isin(*zones)
-    df = df.withColumn(zone, F.when(listed, F.col(zone)).otherwise(unknown))
+    if zones is None:  # a vocabulary of places to look at, a handful of words
+        found = df.select(F.col(zone).alias("z")).where("z is not null").distinct().orderBy("z").collect()
+        zones = [r["z"] for r in found] or ["none"]
+    else:
+        unknown = F.raise_error(F.concat(F.lit("not in the vocabulary: "), F.col(zone)))
+        listed = F.col(zone).isNull() | F.col(zone).isin(*zones)
+        df = df.withColumn(zone, F.when(listed, F.col(zone)).otherwise(unknown))
     gaps = F.col(zone).isNull().cast("bigint")
-    epochs = cut(running_sum(df, keys, frame, gaps, "_epoch", rows), rows)
+    epochs = cut(running_sum(df, keys, frame, gaps, "_epoch", rows))
     group = [*keys, "_epoch"]
     # Votes come in at ts (0) and leave after ts + window (1), in that order at equal times.
     in_and_out = F.when(F.col(zone).isNull(), F.array(F.lit(0))).otherwise(
@@ -260,8 +261,8 @@ def majority_smooth(
     moves = epochs.withColumn("_move", F.explode(in_and_out)).withColumn(
         "_at", F.col(ts) + F.when(F.col("_move") == 1, window_us).otherwise(0)
     )
-    sliced = slice_by_order(moves, group, "_at", rows)
-    upto = scan(within(group, rows, SLICE), "_at", "_move", frame)
+    sliced = slice_by_order(moves, group, ["_at", "_move", frame])
+    upto = scan(within(group, SLICE), "_at", "_move", frame)
     delta = F.when(F.col("_move") == 0, 1).otherwise(-1)
     counted, summaries, carries = {}, {}, {}
     for i, name in enumerate(zones):
@@ -274,7 +275,7 @@ def majority_smooth(
         carries[f"_pc{i}"] = lambda s, i=i: F.sum(f"_sc{i}").over(s)
         carries[f"_pl{i}"] = lambda s, i=i: F.max(f"_sl{i}").over(s)
     known = attach_carry(
-        sliced.withColumns(counted), sliced, group, summaries, carries, rows, SLICE
+        sliced.withColumns(counted), sliced, group, summaries, carries, SLICE
     )
     ranked = [
         F.struct(
@@ -297,7 +298,7 @@ def streak_tier(
     min_us: int,
     audible_us: int | None = None,
     out: str = "gaze_tier",
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Tier by the time the flag has been true without a break: VISUAL, then AUDIBLE."""
     if min_us <= 0:
@@ -306,8 +307,8 @@ def streak_tier(
         raise ValueError("the audible duration must not precede the minimum duration")
     off = F.coalesce(F.col(off_road), F.lit(False))
     base = segment(df.withColumn("_off", off), frame, rows)
-    order = W.partitionBy(*within(keys, rows)).orderBy(frame)
-    upto = scan(within(keys, rows), frame)
+    order = W.partitionBy(*within(keys)).orderBy(frame)
+    upto = scan(within(keys), frame)
     # Inside the segment a streak begins on an off row that follows an on row (or nothing).
     begins = F.col("_off") & ~F.coalesce(F.lag("_off").over(order), F.lit(False))
     marked = base.withColumns(
@@ -316,9 +317,7 @@ def streak_tier(
             "_cut": F.max(~F.col("_off")).over(upto),
         }
     )
-    known = marked.withColumn("_carry", F.lit(None).cast("bigint"))
-    if rows is not None:
-        known = marked.join(_open_streaks(marked, keys, frame), [*keys, SEG])
+    known = marked.join(_open_streaks(marked, keys, frame), [*keys, SEG])
     start = F.when(F.col("_cut"), F.col("_began")).otherwise(F.coalesce("_carry", "_began"))
     elapsed = F.when(F.col("_off"), F.col(ts) - start)
     tier = F.when(elapsed >= min_us, VISUAL).otherwise(NONE)
@@ -357,7 +356,7 @@ def cadenced_ema(
     every_n: int = 5,
     alpha: float = 0.5,
     safe_label: str = SAFE_ACTIVITY,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Score every Nth frame, smooth the probabilities, hold them in between.
 
@@ -377,12 +376,12 @@ def cadenced_ema(
     ran = ((F.col(frame) + 1) % every_n == 0) & F.col(probs).isNotNull()
     flagged = df.withColumn("ran", ran)
     samples = index_rows(
-        flagged.filter("ran").select(*keys, frame, probs), keys, [frame], "_k", rows
+        flagged.filter("ran").select(*keys, frame, probs), keys, [frame], "_k"
     )
     smooth = _ema(samples, keys, "_k", probs, len(labels), alpha).select(
         *keys, frame, F.col("_ema")
     )
-    joined = cut(flagged.join(smooth, [*keys, frame], "left"), rows)
+    joined = cut(flagged.join(smooth, [*keys, frame], "left"))
     held = hold_last(joined, keys, frame, "_ema", "_p", rows)
     best = F.array_position("_p", F.array_max("_p")).cast("int")
     uniform = F.array_repeat(F.lit(1.0 / len(labels)), len(labels))
@@ -439,7 +438,7 @@ def parallel_tracks(
     distracted: str,
     params: tuple[int, int, int] = (3, 8, 15),
     distraction_params: tuple[int, int, int] | None = None,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Fatigue on face frames only (held in between), distraction on every frame.
 
@@ -455,11 +454,11 @@ def parallel_tracks(
     # Face frames are numbered and debounced on their own, beside the others of the session,
     # so nothing is filtered out and joined back.
     by_face = [*keys, "_face"]
-    placed = cut(index_rows(cut(seen, rows), by_face, [frame], "_k", rows), rows)
+    placed = cut(index_rows(cut(seen), by_face, [frame], "_k"))
     fatigue = debounce(placed, by_face, "_k", "_level", *params, rows=rows)
     state = F.when(F.col("_face"), F.struct(F.col("tier").alias("t"), F.col("_level").alias("l")))
     stated = fatigue.withColumn("_s", state).drop("tier", "committed", "_level", "_face", "_k")
-    held = hold_last(cut(stated, rows), keys, frame, "_s", "_s", rows)
+    held = hold_last(cut(stated), keys, frame, "_s", "_s", rows)
     return (
         held.withColumn("fatigue_tier", F.coalesce(F.col("_s.t"), F.lit(NONE)))
         .withColumn("fatigue_level", F.coalesce(F.col("_s.l"), F.lit(0)))
@@ -479,14 +478,14 @@ def change_events(
     fatigue: str = "fatigue_level",
     face: str = "has_face",
     gaze: str = "gaze_zone",
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Telemetry rows on every change: tier_change, gaze_change, face_lost, face_regained.
 
     Nothing is emitted on the first row. A missing zone holds the last known one.
     """
     base = df.select(*keys, frame, tier, fatigue, face, gaze)
-    known = cut(hold_last(base, keys, frame, gaze, "_zone", rows, include_current=False), rows)
+    known = cut(hold_last(base, keys, frame, gaze, "_zone", rows, include_current=False))
     seen = with_previous(known, keys, frame, [tier, face], rows)
     no_text, no_int = F.lit(None).cast("string"), F.lit(None).cast("int")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wakeline.operators.segments import SEGMENT_ROWS, attach_carry, scan, segment, within
@@ -23,7 +24,7 @@ def closure_labels(
     min_seconds: float = CLOSURE_SECONDS,
     closed_action: str = "eyes_state/close",
     out: str = "drowsy",
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Frames inside an eye closure of at least ``min_seconds``.
 
@@ -54,7 +55,7 @@ def closure_labels(
 
 
 def _covered(
-    frames: DataFrame, steps: DataFrame, keys: Sequence[str], frame: str, out: str, rows: int | None
+    frames: DataFrame, steps: DataFrame, keys: Sequence[str], frame: str, out: str, rows: int
 ) -> DataFrame:
     # Steps at one frame are summed first, so the scan holds at most one row per frame.
     total = steps.groupBy(*keys, frame).agg(F.sum("_step").alias("_step"))
@@ -66,7 +67,7 @@ def _covered(
     )
     both = segment(real.unionByName(marks), frame, rows)
     # A step counts from its own frame on, so it sorts before the frame itself.
-    upto = scan(within(keys, rows), frame, F.col("_row").isNotNull())
+    upto = scan(within(keys), frame, F.col("_row").isNotNull())
     local = both.withColumn("_open", F.sum("_step").over(upto))
     known = attach_carry(
         local,
@@ -74,7 +75,6 @@ def _covered(
         keys,
         {"_s": F.sum("_step")},
         {"_carry": lambda s: F.sum("_s").over(s)},
-        rows,
     )
     covered = F.col("_open") + F.coalesce("_carry", F.lit(0)) > 0
     kept = known.filter(F.col("_row").isNotNull())
@@ -143,29 +143,33 @@ def nearest_rows(
 ) -> DataFrame:
     """Nearest available row of every wanted row, the lower one on a tie.
 
-    Adds ``crop_row`` and ``distance``. A row farther than ``tolerance`` from all
-    available rows is an error, or null when not strict. Each wanted row probes
-    2 * tolerance + 1 positions by equality.
+    Adds ``crop_row`` and ``distance``; rows wanted twice come out twice. A row farther than
+    ``tolerance`` from all available rows is an error, or null when not strict. Both tables
+    are put on one line per session stretch; the last and the next available row are read off
+    it, and stretches borrow the available rows ``tolerance`` beyond their borders.
     """
-    probes = wanted.withColumn("_id", F.struct(*wanted.columns)).withColumn(
-        "_off", F.explode(F.sequence(F.lit(-tolerance), F.lit(tolerance)))
+    span = max(SEGMENT_ROWS, tolerance)
+    home = F.expr(f"_at div {span}")
+    inside = F.expr(f"_at % {span}")
+    borrowed = F.array_compact(
+        F.array(home, F.when(inside >= span - tolerance, home + 1), F.when((inside < tolerance) & (home > 0), home - 1))
     )
-    probes = probes.withColumn("_probe", F.col(row) + F.col("_off"))
-    have = available.select(*keys, F.col(crop_row).alias("_probe")).distinct()
-    found = have.withColumn("_hit", F.lit(True))
-    nearest = (
-        probes.join(found, [*keys, "_probe"], "left")
-        .groupBy(*wanted.columns)
-        .agg(
-            F.min(
-                F.when(F.col("_hit"), F.struct(F.abs("_off").alias("d"), F.col("_probe").alias("r")))
-            ).alias("_n")
-        )
-    )
-    missing = F.raise_error(F.lit("no crop row within the accepted distance")).cast("bigint")
+    asked = wanted.select(*keys, F.col(row).cast("bigint").alias("_at"), F.struct(*wanted.columns).alias("_w"))
+    offered = available.select(*keys, F.col(crop_row).cast("bigint").alias("_at"), F.lit(None).cast(asked.schema["_w"].dataType).alias("_w"))
+    line = asked.withColumn("_seg", home).unionByName(offered.distinct().withColumn("_seg", F.explode(borrowed)))
+    have = F.when(F.col("_w").isNull(), F.col("_at"))
+    w = W.partitionBy(*keys, "_seg").orderBy("_at")
+    upto = w.rangeBetween(W.unboundedPreceding, W.currentRow)
+    onward = w.rangeBetween(W.currentRow, W.unboundedFollowing)
+    near = line.withColumn("_lo", F.max(have).over(upto)).withColumn("_hi", F.min(have).over(onward)).where("_w is not null")
+    below, above = F.col("_at") - F.col("_lo"), F.col("_hi") - F.col("_at")
+    closest = F.when(F.col("_hi").isNull() | (below <= above), F.col("_lo")).otherwise(F.col("_hi"))
+    distance = F.least(below, above)
+    missing = F.raise_error(F.lit("an event row is too far from every crop")).cast("bigint")
     none = missing if strict else F.lit(None).cast("bigint")
-    return nearest.select(
-        *wanted.columns,
-        F.when(F.col("_n").isNotNull(), F.col("_n.r").cast("bigint")).otherwise(none).alias(crop_row),
-        F.col("_n.d").alias("distance"),
+    close = distance <= tolerance
+    return near.select(
+        "_w.*",
+        F.when(close, closest).otherwise(none).alias(crop_row),
+        F.when(close, distance).cast("int").alias("distance"),
     )

@@ -15,11 +15,9 @@ from pyspark.sql import functions as F
 from wakeline.functions.scalars import argmax, eyes_on_road
 from wakeline.operators.percentiles import exact_percentiles
 from wakeline.operators.segments import (
-    SEGMENT_ROWS,
     SLICE,
     attach_carry,
     scan,
-    settle,
     slice_by_order,
     within,
 )
@@ -115,22 +113,37 @@ def label_coverage(labels: DataFrame, recordings: DataFrame, keys: Sequence[str]
 # --- Confusion and class recall -----------------------------------------------------------
 
 
-def confusion_matrix(df: DataFrame, true: str, pred: str, n_classes: int) -> DataFrame:
-    """Dense n x n counts, zeros included: (y_true, y_pred, n)."""
-    counts = df.groupBy(F.col(true).cast("int").alias("y_true"), F.col(pred).cast("int").alias("y_pred")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+def _known(column: Column, n_classes: int) -> Column:
+    return F.coalesce((column >= 0) & (column < n_classes), F.lit(False))
+
+
+def confusion_matrix(
+    df: DataFrame, true: str, pred: str, n_classes: int, strict: bool = True
+) -> DataFrame:
+    """Dense n x n counts, zeros included: (y_true, y_pred, n).
+
+    A label or prediction that is no class is an error; when not ``strict`` such pairs
+    follow as rows of their own.
+    """
+    y_true, y_pred = F.col(true).cast("int"), F.col(pred).cast("int")
+    counts = df.groupBy(y_true.alias("y_true"), y_pred.alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
     every = _classes(df, n_classes, "y_true").withColumn(
         "y_pred", F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1)))
     )
-    return every.join(counts, ["y_true", "y_pred"], "left").select(
-        "y_true", "y_pred", F.coalesce("n", F.lit(0)).alias("n")
-    )
+    inside = _known(F.col("y_true"), n_classes) & _known(F.col("y_pred"), n_classes)
+    if strict:
+        alien = F.raise_error(F.lit(f"a label or prediction is none of the {n_classes} classes")).cast("bigint")
+        counts = counts.withColumn("n", F.when(inside, F.col("n")).otherwise(alien))
+    zeros = every.withColumn("n", F.lit(0).cast("bigint"))
+    return zeros.unionByName(counts).groupBy("y_true", "y_pred").agg(F.sum("n").alias("n"))
 
 
 def class_recall(df: DataFrame, true: str, pred: str, n_classes: int, empty: float = float("nan")) -> DataFrame:
-    """(class, support, recall) of every class; ``empty`` for classes without a row."""
-    cells = confusion_matrix(df, true, pred, n_classes)
+    """(class, support, recall) of every class; ``empty`` for classes without a row.
+
+    A prediction that is no class is a miss of its row's class.
+    """
+    cells = confusion_matrix(df, true, pred, n_classes, strict=False).where(_known(F.col("y_true"), n_classes))
     hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)
     per_class = cells.groupBy(F.col("y_true").alias("class")).agg(
         F.sum("n").alias("support"), F.sum(hit).alias("_hit")
@@ -164,7 +177,7 @@ def frame_accuracy(df: DataFrame, true: str, pred: str, by: Sequence[str] = ())
 
 
 def auroc_per_class(
-    df: DataFrame, true: str, scores: str, n_classes: int, rows: int | None = SEGMENT_ROWS
+    df: DataFrame, true: str, scores: str, n_classes: int
 ) -> DataFrame:
     """One-vs-rest area under the ROC curve per class, ties counted half.
 
@@ -188,9 +201,8 @@ def auroc_per_class(
         .groupBy("class", "score")
         .agg(F.count_if("hit").alias("_p"), F.count_if(~F.col("hit")).alias("_q"))
     )
-    cells, rows = settle(cells, ["class"], rows)
-    sliced = slice_by_order(cells, ["class"], "score", rows, levels=2)
-    upto = scan(within(["class"], rows, SLICE), "score")
+    sliced = slice_by_order(cells, ["class"], ["score"])
+    upto = scan(within(["class"], SLICE), "score")
     local = sliced.withColumn("_below", F.sum("_q").over(upto) - F.col("_q"))
     known = attach_carry(
         local,
@@ -198,7 +210,6 @@ def auroc_per_class(
         ["class"],
         {"_s": F.sum("_q")},
         {"_off": lambda s: F.sum("_s").over(s)},
-        rows,
         SLICE,
     )
     wins = F.col("_p") * (F.col("_below") + F.coalesce("_off", F.lit(0)) + F.col("_q") / 2.0)
@@ -208,10 +219,10 @@ def auroc_per_class(
 
 
 def macro_auroc(
-    df: DataFrame, true: str, scores: str, n_classes: int, strict: bool = True, rows: int | None = SEGMENT_ROWS
+    df: DataFrame, true: str, scores: str, n_classes: int, strict: bool = True
 ) -> DataFrame:
     """Unweighted mean of the class areas; a class without both kinds of rows is an error."""
-    per_class = auroc_per_class(df, true, scores, n_classes, rows)
+    per_class = auroc_per_class(df, true, scores, n_classes)
     undefined = F.raise_error(F.lit("AUROC is undefined: a class has no positives or no negatives"))
     fallback = undefined.cast("double") if strict else F.lit(None).cast("double")
     whole = F.count("auroc") == (1 if n_classes == 2 else n_classes)
@@ -222,7 +233,7 @@ def evaluate_predictions(
     df: DataFrame, true: str, pred: str, scores: str, n_classes: int, alarm_class: int
 ) -> DataFrame:
     """One row: accuracy, macro AUROC, false-alarm rate and the class recalls (a map)."""
-    cells = confusion_matrix(df, true, pred, n_classes)
+    cells = confusion_matrix(df, true, pred, n_classes, strict=False)
     right = F.col("y_true") == F.col("y_pred")
     quiet = F.col("y_true") != alarm_class
     total = lambda which: F.sum(F.when(which, F.col("n")).otherwise(0))
@@ -233,7 +244,8 @@ def evaluate_predictions(
         total(quiet & (F.col("y_pred") == alarm_class)).alias("_fa"),
     )
     recall = _ratio("_ok", "_n", float("nan"))
-    entries = F.sort_array(F.collect_list(F.struct(F.col("y_true").cast("string"), recall)))
+    named = F.when(_known(F.col("y_true"), n_classes), F.struct(F.col("y_true").cast("string"), recall))
+    entries = F.sort_array(F.collect_list(named))
     rates = per_class.agg(
         _ratio(F.sum("_ok"), F.sum("_n"), 0.0).alias("overall_accuracy"),
         _ratio(F.sum("_fa"), F.sum("_neg"), 0.0).alias("false_alarm_rate"),
@@ -511,9 +523,9 @@ def class_weights(df: DataFrame, label: str, n_classes: int) -> DataFrame:
     counts = df.groupBy(F.col(label).cast("int").alias("class")).agg(F.count(F.lit(1)).alias("n"))
     dense = _classes(df, n_classes).join(counts, ["class"], "left")
     n = F.coalesce("n", F.lit(0))
-    total = F.sum("n").over(W.partitionBy(F.lit(0)))  # over the class rows
-    weight = total / (F.lit(n_classes) * F.greatest(n, F.lit(1)))
-    return dense.select("class", n.alias("n"), weight.alias("weight"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_total"))  # every row, a class or not
+    weight = F.col("_total") / (F.lit(n_classes) * F.greatest(n, F.lit(1)))
+    return dense.crossJoin(F.broadcast(total)).select("class", n.alias("n"), weight.alias("weight"))
 
 
 def pooled_vectors(
@@ -532,7 +544,6 @@ def throughput(
     latency_ms: Column,
     face: Column,
     elapsed_s: Column,
-    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Frames, frames per second, median and p95 latency and face rate per group.
 
@@ -542,7 +553,7 @@ def throughput(
     counts = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("frames"), F.count_if("_face").alias("_faces"), elapsed_s.alias("_s")
     )
-    points = exact_percentiles(base, keys, "_ms", {"lat_ms_p50": 0.5, "lat_ms_p95": 0.95}, rows)
+    points = exact_percentiles(base, keys, "_ms", {"lat_ms_p50": 0.5, "lat_ms_p95": 0.95})
     joined = counts.join(points, list(keys)) if keys else counts.crossJoin(points)
     fps = F.when(F.col("_s") > 0, F.col("frames") / F.col("_s")).otherwise(0.0)
     return joined.select(

@@ -13,18 +13,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wakeline.operators.segments import (
-    SEGMENT_ROWS,
     SLICE,
     attach_carry,
     scan,
-    settle,
     slice_by_order,
     within,
 )
 
 
 def ranked_values(
-    df: DataFrame, keys: Sequence[str], value: str, rows: int | None = SEGMENT_ROWS
+    df: DataFrame, keys: Sequence[str], value: str
 ) -> DataFrame:
     """(keys, value, first_rank, last_rank, total): 0-based ranks of every distinct value."""
     counts = (
@@ -32,26 +30,21 @@ def ranked_values(
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    counts, rows = settle(counts, keys, rows)
-    sliced = slice_by_order(counts, keys, value, rows, levels=2)
-    local = sliced.withColumn("_cum", F.sum("_n").over(scan(within(keys, rows, SLICE), value)))
+    sliced = slice_by_order(counts, keys, [value])
+    local = sliced.withColumn("_cum", F.sum("_n").over(scan(within(keys, SLICE), value)))
     known = attach_carry(
         local,
         sliced,
         keys,
         {"_s": F.sum("_n")},
         {"_off": lambda s: F.sum("_s").over(s)},
-        rows,
         SLICE,
     )
     last = F.coalesce(F.col("_off").cast("bigint"), F.lit(0)) + F.col("_cum") - 1
     ranked = known.withColumn("last_rank", last)
-    if rows is None:
-        ranked = ranked.withColumn("total", F.sum("_n").over(W.partitionBy(*keys)))
-    else:
-        # One row per group; with no keys that is a single row.
-        totals = counts.groupBy(*keys).agg(F.sum("_n").alias("total"))
-        ranked = ranked.join(totals, list(keys)) if keys else ranked.crossJoin(F.broadcast(totals))
+    # One row per group; with no keys that is a single row.
+    totals = sliced.groupBy(*keys).agg(F.sum("_n").alias("total"))
+    ranked = ranked.join(totals, list(keys)) if keys else ranked.crossJoin(F.broadcast(totals))
     first = F.col("last_rank") - F.col("_n") + 1
     return ranked.select(*keys, value, first.alias("first_rank"), "last_rank", "total")
 
@@ -61,7 +54,6 @@ def exact_percentiles(
     keys: Sequence[str],
     value: str,
     points: Mapping[str, float],
-    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Linear-interpolated percentiles per group; ``points`` maps names to 0..1.
 
@@ -70,7 +62,7 @@ def exact_percentiles(
     if not points or any(not 0.0 <= p <= 1.0 for p in points.values()):
         raise ValueError("percentiles must lie in 0..1")
     counted = df.withColumn("_x", F.col(value).cast("double"))
-    ranks = ranked_values(counted.select(*keys, "_x"), keys, "_x", rows)
+    ranks = ranked_values(counted.select(*keys, "_x"), keys, "_x")
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("first_rank") <= rank) & (rank <= F.col("last_rank")), F.col("_x")))

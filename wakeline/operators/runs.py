@@ -29,7 +29,7 @@ def equal_runs(
     value: str | Column,
     extras: Mapping[str, tuple[str, str]] | None = None,
     keep: Column | None = None,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Maximal runs of one value: (keys, value, start, end, length, extras…).
 
@@ -50,7 +50,7 @@ def _merge_runs(
     keep: Column | None,
     rows: int | None,
 ) -> DataFrame:
-    part = within(keys, rows)
+    part = within(keys)
     w = W.partitionBy(*part).orderBy(frame)
     previous = F.lag("value").over(w)
     first = F.row_number().over(w) == 1
@@ -65,11 +65,8 @@ def _merge_runs(
         F.max(frame).alias("end"),
         *[_MERGE[fn](src).alias(name) for name, (fn, src) in extras.items()],
     )
-    if rows is None:
-        whole = partial.select(*keys, "value", "start", "end", *extras)
-        return whole.withColumn("length", F.col("end") - F.col("start") + 1)
     # Only runs that touch a border can go on in the next segment: at most two a segment.
-    partial = cut(partial, rows)
+    partial = cut(partial)
     at_border = (F.col("start") % rows == 0) | ((F.col("end") + 1) % rows == 0)
     columns = [*keys, "value", "start", "end", *extras]
     inner = partial.filter(~at_border).select(*columns)
@@ -100,7 +97,7 @@ def event_runs(
     signal: str,
     threshold: float,
     min_duration: int = 1,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Maximal runs at or above a threshold: (keys, start, end, length, peak).
 
@@ -113,7 +110,7 @@ def event_runs(
         "_mark", F.when(known, (F.col(signal) >= threshold).cast("int"))
     )
     local = base.withColumn(
-        "_held", F.last("_mark", ignorenulls=True).over(scan(within(keys, rows), frame))
+        "_held", F.last("_mark", ignorenulls=True).over(scan(within(keys), frame))
     )
     state = attach_carry(
         local,
@@ -121,7 +118,6 @@ def event_runs(
         keys,
         {"_tail": F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col(frame)))},
         {"_carry": lambda s: F.last("_tail", ignorenulls=True).over(s)},
-        rows,
     ).withColumn("value", F.coalesce("_held", "_carry", F.lit(0)))
     state = state.withColumn("_peak", F.when(known, F.col(signal)))
     runs = _merge_runs(state, keys, frame, {"peak": ("max", "_peak")}, F.col("value") == 1, rows)
@@ -135,7 +131,7 @@ def proposal_events(
     signal: str,
     threshold: float,
     min_duration: int = 1,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Every event, whatever the label of its video; ``label`` is a placeholder 0."""
     runs = event_runs(df, keys, frame, signal, threshold, min_duration, rows)
@@ -151,7 +147,7 @@ def training_events(
     threshold: float,
     min_duration: int = 1,
     label: str = "label",
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Labelled events: the longest one of a yawning video, and all of any other video.
 
@@ -180,14 +176,14 @@ def sessionise(
     frame: str,
     value: str,
     out: str = "interval_id",
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Number the stretches of equal value and consecutive frames, from 0.
 
     ``frame`` is unique per session but may have gaps; a gap starts a new stretch.
     """
     base = segment(df, frame, rows)
-    part = within(keys, rows)
+    part = within(keys)
     w = W.partitionBy(*part).orderBy(frame)
     here = F.struct(F.col(frame).alias("f"), F.col(value).alias("v"))
     local = base.withColumn("_prev", F.lag(here).over(w))
@@ -197,7 +193,6 @@ def sessionise(
         keys,
         {"_tail": F.max_by(here, F.col(frame))},
         {"_carry": lambda s: F.last("_tail").over(s)},
-        rows,
     )
     prev = F.coalesce("_prev", "_carry")
     goes_on = prev.isNotNull() & prev["v"].eqNullSafe(F.col(value)) & (prev["f"] + 1 == F.col(frame))
@@ -209,7 +204,6 @@ def sessionise(
         keys,
         {"_starts": F.sum("_new")},
         {"_off": lambda s: F.sum("_starts").over(s)},
-        rows,
     )
     number = F.col("_n") + F.coalesce("_off", F.lit(0)) - 1
     return known.withColumn(out, number).drop("_prev", "_carry", "_new", "_n", "_off", SEG)
@@ -221,8 +215,8 @@ def first_seen_ids(
     frame: str,
     value: str,
     out: str = "interval_id",
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Dense ids of a column's values in order of first appearance: (keys, value, id)."""
     firsts = df.groupBy(*keys, value).agg(F.min(frame).alias("first_frame"))
-    return index_rows(firsts, keys, ["first_frame", value], out, rows)
+    return index_rows(firsts, keys, ["first_frame", value], out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -9,12 +10,14 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.scalars import argmax
 from wakeline.operators.metrics import class_weights, evaluate_predictions, frame_accuracy
-from wakeline.operators.splits import check_fold_subjects, held_out_rows, train_rows
+from wakeline.operators.segments import stage_folder
+from wakeline.operators.splits import held_out_rows, subject_folds, train_rows
 
 # --- Scoring with a model that is loaded once per task ------------------------------------
 
@@ -139,19 +142,23 @@ def leave_one_subject_out(
     corpus: DataFrame,
     subject: str,
     fit: Callable[[DataFrame], object],
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Pooled predictions, every subject predicted by a model that never saw them.
 
-    ``fit`` takes training rows and returns a model with ``transform``. Subjects are the
-    few people of a study; each costs one fit.
+    ``fit`` takes training rows and returns a model with ``transform``. Each subject costs
+    one fit, by the definition of the method. Folds are read one at a time and the
+    predictions of each are written, so neither the list of subjects nor a plan that grows
+    with it is held. ``columns`` of the predictions are kept (all plain ones by default).
     """
-    subjects = [r[0] for r in corpus.select(subject).distinct().collect()]
-    pooled: DataFrame | None = None
-    for held_out in check_fold_subjects(subjects):
-        model = fit(train_rows(corpus, held_out, subject))
-        scored = model.transform(held_out_rows(corpus, held_out, subject))
-        pooled = scored if pooled is None else pooled.unionByName(scored)
-    return pooled
+    spark = corpus.sparkSession
+    path = f"{stage_folder(spark)}/folds-{uuid.uuid4().hex}"
+    for fold in subject_folds(corpus, subject).select("held_out").toLocalIterator():
+        model = fit(train_rows(corpus, fold["held_out"], subject))
+        scored = model.transform(held_out_rows(corpus, fold["held_out"], subject))
+        kept = columns or [f.name for f in scored.schema if not isinstance(f.dataType, VectorUDT)]
+        scored.select(*kept).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 def run_sweep(

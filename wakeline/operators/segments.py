@@ -1,14 +1,8 @@
 """Ordered scans over sessions of any length.
 
-Most sessions are short: a camera hour is some 100,000 rows. Then a window over the session
-is the right plan, and operators chained on the same session share one exchange and sort.
-One session may also hold a third of a table. Which case a table is, is measured once::
-
-    rows = measure(frames, ["session"])      # None: every session fits one segment
-
-and passed on as ``rows``. With ``rows=None`` operators are plain session windows. With a
-number, sessions are cut into *segments* of at most that many rows, every window runs inside
-a segment, and what crosses a border travels in one of two ways:
+Most sessions are short; one may hold a third of a table. There is one plan for both:
+sessions are cut into *segments* of at most ``rows`` frames, every window runs inside a
+segment, and what crosses a border travels in one of two ways:
 
 ``halo``
     for bounded look-back or look-ahead: the few rows near a border are also given to the
@@ -18,9 +12,11 @@ a segment, and what crosses a border travels in one of two ways:
     (rows / segment size of them) are scanned per session, and the carried value is joined
     back on the segment key the rows are already partitioned by.
 
-Both depend only on column values, so a recomputed task gives the same rows. Because a
-carry reads its input twice, operators made of several scans write it out in between
-(`cut`) when they run segmented.
+Where rows have no frame number yet, they are cut by range partitioning on the whole order
+(`slice_by_order`), so slices are even whatever the order's values look like. Segments and
+slices are columns of the rows, slices of written rows, so a recomputed task gives the same.
+Because a carry reads its input twice, operators made of several scans write it out in
+between (`cut`).
 """
 
 from __future__ import annotations
@@ -28,8 +24,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -38,73 +35,39 @@ SEGMENT_ROWS = 1 << 20
 SEG = "_seg"
 SLICE = "_slice"
 
-_SLICE_FANOUT = 1 << 20
-
 
-def measure(df: DataFrame, keys: Sequence[str], rows: int = SEGMENT_ROWS) -> int | None:
-    """None when no group has more than ``rows`` rows, else ``rows``.
-
-    One pass over the key columns, counted on the map side. The answer stays valid for
-    tables that keep a subset of the rows of every group.
-    """
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return None if (largest or 0) <= rows else rows
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="wakeline-")
 
 
-def stage_folder(spark) -> str:
+def stage_folder(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
     Only a local session may do without one; it gets a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not folder and not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="wakeline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return (folder or _own_folder()).rstrip("/")
 
 
-def cut(df: DataFrame, rows: int | None) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Write an intermediate result once, so that it is not computed for every reader.
 
-    Session-window plans (``rows=None``) are single passes and are left alone.
+    The files go when the driver's JVM ends.
     """
-    if rows is None:
-        return df
-    path = f"{stage_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{stage_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def settle(
-    df: DataFrame, keys: Sequence[str], rows: int | None
-) -> tuple[DataFrame, int | None]:
-    """Write a reduced table once and measure its groups: the table and its segment size.
-
-    For scans over derived groups, whose sizes the caller cannot know.
-    """
-    if rows is None:
-        return df, None
-    written = cut(df, rows)
-    return written, measure(written, keys, rows)
-
-
-def join_dimension(
-    df: DataFrame, dimension: DataFrame, keys: Sequence[str], limit: int = 1_000_000
-) -> DataFrame:
-    """Join a table with one row per session, which is broadcast when it is counted small.
-
-    Beyond ``limit`` rows it is a shuffled join, where adaptive execution splits hot keys.
-    """
-    small = dimension.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(dimension) if small else dimension, list(keys))
-
-
-def within(keys: Sequence[str], rows: int | None, part: str = SEG) -> list[str]:
-    """Partitioning of a scan: the session, or the session's segments."""
-    return [*keys] if rows is None else [*keys, part]
+def within(keys: Sequence[str], part: str = SEG) -> list[str]:
+    """Partitioning of a scan: the segments (or slices) of the sessions."""
+    return [*keys, part]
 
 
 def scan(keys: Sequence[str], *order: str | Column) -> WindowSpec:
@@ -112,13 +75,13 @@ def scan(keys: Sequence[str], *order: str | Column) -> WindowSpec:
     return W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
-def segment(df: DataFrame, frame: str, rows: int | None = SEGMENT_ROWS) -> DataFrame:
+def segment(df: DataFrame, frame: str, rows: int = SEGMENT_ROWS) -> DataFrame:
     """Number the segments of a table whose ``frame`` is unique per session."""
-    return df if rows is None else df.withColumn(SEG, F.expr(f"`{frame}` div {rows}"))
+    return df.withColumn(SEG, F.expr(f"`{frame}` div {rows}"))
 
 
 def halo(
-    df: DataFrame, frame: str, before: int = 0, after: int = 0, rows: int | None = SEGMENT_ROWS
+    df: DataFrame, frame: str, before: int = 0, after: int = 0, rows: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Segments that also see ``before`` rows of the previous and ``after`` of the next one.
 
@@ -127,8 +90,6 @@ def halo(
     """
     if before < 0 or after < 0:
         raise ValueError("halo sizes must not be negative")
-    if rows is None:
-        return df
     if max(before, after) > rows:
         raise ValueError(f"a halo of {max(before, after)} rows needs segments of at least that size")
     home = F.expr(f"`{frame}` div {rows}")
@@ -143,8 +104,8 @@ def halo(
     return df.withColumn(SEG, F.explode(F.array_compact(F.array(*targets))))
 
 
-def own_rows(df: DataFrame, frame: str, rows: int | None = SEGMENT_ROWS) -> DataFrame:
-    return df if rows is None else df.filter(f"`{frame}` div {rows} = {SEG}").drop(SEG)
+def own_rows(df: DataFrame, frame: str, rows: int = SEGMENT_ROWS) -> DataFrame:
+    return df.filter(f"`{frame}` div {rows} = {SEG}").drop(SEG)
 
 
 def attach_carry(
@@ -153,7 +114,6 @@ def attach_carry(
     keys: Sequence[str],
     aggs: Mapping[str, Column],
     carries: Mapping[str, Callable[[WindowSpec], Column]],
-    rows: int | None,
     part: str = SEG,
     following: bool = False,
 ) -> DataFrame:
@@ -161,12 +121,10 @@ def attach_carry(
 
     ``aggs`` reduce each segment of ``base`` to a summary row; each entry of ``carries``
     builds its column from a window over the summary rows strictly before (after) the
-    current segment. Without segments the carried columns are null. Keys are not null.
+    current segment. Keys are not null.
     The join is inner, so that both of its sides start from the same filtered scan and
     Spark can share their exchange.
     """
-    if rows is None:
-        return scanned.withColumns({name: F.lit(None) for name in carries})
     order = W.partitionBy(*keys).orderBy(part)
     span = (
         order.rowsBetween(1, W.unboundedFollowing)
@@ -178,60 +136,30 @@ def attach_carry(
     return scanned.join(carried, [*keys, part])
 
 
-def slice_by_order(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    rows: int | None = SEGMENT_ROWS,
-    levels: int = 1,
-) -> DataFrame:
-    """Cut every group into stretches of a numeric order column, about ``rows`` rows each.
+def slice_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Cut a table into even stretches of (keys, order): adds the slice number.
 
-    Only groups of more than ``rows`` rows are cut. The broadcast side lists those groups,
-    so it has fewer than (table rows / ``rows``) entries. Each further level cuts the
-    stretches that are still too dense, for orders that are far from evenly spread.
+    Slices are the ranges of a range exchange on the whole order, one for each shuffle
+    partition, so neither outliers nor a constant leading column nor text that starts alike
+    makes one slice long; rows that agree in keys and order stay together. The slices are
+    written, so every later reader sees the same.
     """
-    if rows is None:
-        return df
-    out = df.withColumn(SLICE, F.lit(0).cast("bigint"))
-    for _ in range(levels):
-        dense = (
-            out.groupBy(*keys, SLICE)
-            .agg(
-                F.count(F.lit(1)).alias("_n"),
-                F.min(order).cast("double").alias("_lo"),
-                F.max(order).cast("double").alias("_hi"),
-            )
-            .filter((F.col("_n") > rows) & (F.col("_hi") > F.col("_lo")))
-            .withColumn("_parts", F.least(F.ceil(F.col("_n") / rows), F.lit(_SLICE_FANOUT)))
-            .drop("_n")
-        )
-        share = (F.col(order).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-        place = F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1)
-        out = (
-            out.join(F.broadcast(dense), [*keys, SLICE], "left")
-            .withColumn(SLICE, F.col(SLICE) * _SLICE_FANOUT + F.coalesce(place, F.lit(0)))
-            .drop("_lo", "_hi", "_parts")
-        )
-    return cut(out, rows)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *keys, *order)
+    return cut(ranged.withColumn(SLICE, F.spark_partition_id().cast("bigint")))
 
 
 def index_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    out: str = "frame",
-    rows: int | None = SEGMENT_ROWS,
-    levels: int = 1,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "frame"
 ) -> DataFrame:
     """Dense 0-based position of every row in its session.
 
-    ``order`` must be a total order; its first column must be numeric. The offsets come
-    from per-slice counts, so a long session is numbered by many tasks.
+    ``order`` must be a total order. The offsets come from per-slice counts, so a long
+    session is numbered by many tasks.
     """
-    sliced = slice_by_order(df, keys, order[0], rows, levels)
+    sliced = slice_by_order(df, keys, order)
     local = sliced.withColumn(
-        "_rn", F.row_number().over(W.partitionBy(*within(keys, rows, SLICE)).orderBy(*order))
+        "_rn", F.row_number().over(W.partitionBy(*within(keys, SLICE)).orderBy(*order))
     )
     known = attach_carry(
         local,
@@ -239,7 +167,6 @@ def index_rows(
         keys,
         {"_n": F.count(F.lit(1))},
         {"_before": lambda w: F.sum("_n").over(w)},
-        rows,
         SLICE,
     )
     position = F.coalesce(F.col("_before").cast("bigint"), F.lit(0)) + F.col("_rn") - 1
@@ -252,13 +179,13 @@ def hold_last(
     frame: str,
     value: str | Column,
     out: str,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
     include_current: bool = True,
 ) -> DataFrame:
     """Last non-null value so far; over the rows before the current one on request."""
     named = df.withColumn(out, value if isinstance(value, Column) else F.col(value))
     base = segment(named, frame, rows)
-    w = W.partitionBy(*within(keys, rows)).orderBy(frame)
+    w = W.partitionBy(*within(keys)).orderBy(frame)
     span = w.rowsBetween(W.unboundedPreceding, W.currentRow if include_current else -1)
     local = base.withColumn("_held", F.last(out, ignorenulls=True).over(span))
     known = attach_carry(
@@ -267,7 +194,6 @@ def hold_last(
         keys,
         {"_tail": F.max_by(out, F.when(F.col(out).isNotNull(), F.col(frame)))},
         {"_carry": lambda s: F.last("_tail", ignorenulls=True).over(s)},
-        rows,
     )
     return known.withColumn(out, F.coalesce("_held", "_carry")).drop("_held", "_carry", SEG)
 
@@ -278,18 +204,17 @@ def running_sum(
     frame: str,
     value: Column,
     out: str,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Cumulative sum over the whole session, current row included."""
     base = segment(df.withColumn("_v", value), frame, rows)
-    local = base.withColumn(out, F.sum("_v").over(scan(within(keys, rows), frame)))
+    local = base.withColumn(out, F.sum("_v").over(scan(within(keys), frame)))
     known = attach_carry(
         local,
         base,
         keys,
         {"_s": F.sum("_v")},
         {"_carry": lambda s: F.sum("_s").over(s)},
-        rows,
     )
     total = F.coalesce(out, F.lit(0)) + F.coalesce("_carry", F.lit(0))
     return known.withColumn(out, total).drop("_carry", "_v", SEG)

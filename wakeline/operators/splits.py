@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.scalars import recording_subject
-from wakeline.operators.segments import SEGMENT_ROWS, index_rows, settle
+from wakeline.operators.segments import cut, index_rows
 from wakeline.schemas import MIRROR_RATIOS, RECORDING_RATIOS, VALIDATION_RATIOS
 
 class SubjectLeakageError(AssertionError):
@@ -28,7 +28,6 @@ def subject_independent_split(
     ratios: tuple[float, float, float] = (0.7, 0.15, 0.15),
     seed: int = 0,
     subject: str = "subject_id",
-    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Adds ``split``: round(r0 * n) subjects train, round(r1 * n) validate, the rest test.
 
@@ -36,14 +35,11 @@ def subject_independent_split(
     """
     place = subject_hash(F.col(subject), seed)
     subjects = manifest.select(F.col(subject).cast("string").alias("_s")).distinct().select(
-        F.lit(0).alias("_g"),
-        # The leading hex digits order like the hash itself and are evenly spread.
-        F.conv(F.substring(subject_hash(F.col("_s"), seed), 1, 12), 16, 10).cast("bigint").alias("_lead"),
         subject_hash(F.col("_s"), seed).alias("_h"),
         "_s",
     )
-    subjects, rows = settle(subjects, ["_g"], rows)
-    ranked = index_rows(subjects, ["_g"], ["_lead", "_h", "_s"], "_rank", rows)
+    subjects = cut(subjects)
+    ranked = index_rows(subjects, [], ["_h", "_s"], "_rank")
     n = subjects.agg(F.count(F.lit(1)).alias("_n"))
     n_train = F.rint(F.lit(ratios[0]) * F.col("_n"))
     n_val = F.rint(F.lit(ratios[1]) * F.col("_n"))
@@ -114,24 +110,18 @@ def recording_split(
     return subject_independent_split(named, ratios, seed)
 
 
-def subject_folds(df: DataFrame, subject: str = "subject_id") -> DataFrame:
+def subject_folds(df: DataFrame, subject: str = "subject_id", strict: bool = True) -> DataFrame:
     """One fold per subject: (fold, held_out, n_train_subjects, n_train, n_test).
 
     The training side of a fold is every row of the other subjects (`train_rows`); its
-    size is the total less the held-out rows, so no pairs of subjects are formed.
+    size is the total less the held-out rows, so no pairs of subjects are formed. A table
+    without subjects is an error.
     """
-    per_subject = df.groupBy(F.col(subject).alias("held_out")).agg(F.count(F.lit(1)).alias("n_test"))
-    numeric = dict(per_subject.dtypes)["held_out"] in ("int", "bigint", "smallint", "tinyint")
-    keyed, rows = settle(per_subject.withColumn("_g", F.lit(0)), ["_g"], SEGMENT_ROWS)
-    if numeric:
-        ordered = index_rows(keyed, ["_g"], ["held_out"], "fold", rows)
-    else:
-        # Text subjects: number by a prefix of the text, which is a numeric order.
-        prefix = F.conv(F.rpad(F.substring(F.hex(F.encode(F.col("held_out"), "UTF-8")), 1, 12), 12, "0"), 16, 10)
-        ordered = index_rows(
-            keyed.withColumn("_p", prefix.cast("bigint")), ["_g"], ["_p", "held_out"], "fold", rows
-        ).drop("_p")
-    totals = keyed.agg(F.count(F.lit(1)).alias("_subjects"), F.sum("n_test").alias("_rows"))
+    per_subject = cut(df.groupBy(F.col(subject).alias("held_out")).agg(F.count(F.lit(1)).alias("n_test")))
+    if strict and per_subject.isEmpty():
+        raise ValueError("no subjects to make folds of")
+    ordered = index_rows(per_subject, [], ["held_out"], "fold")
+    totals = per_subject.agg(F.count(F.lit(1)).alias("_subjects"), F.sum("n_test").alias("_rows"))
     return ordered.crossJoin(F.broadcast(totals)).select(  # totals is a single row
         "fold",
         "held_out",
@@ -141,16 +131,6 @@ def subject_folds(df: DataFrame, subject: str = "subject_id") -> DataFrame:
     )
 
 
-def check_fold_subjects(subjects: Sequence[str]) -> list[str]:
-    """Sorted subjects of a fold list given by hand; duplicates and nothing are errors."""
-    twice = sorted({s for s in subjects if list(subjects).count(s) > 1})
-    if twice:
-        raise ValueError(f"duplicate subjects in the corpus: {twice}")
-    if not subjects:
-        raise ValueError("cannot build folds from an empty subject list")
-    return sorted(subjects)
-
-
 def train_rows(df: DataFrame, held_out: str, subject: str = "subject_id") -> DataFrame:
     return df.filter(F.col(subject) != held_out)
 

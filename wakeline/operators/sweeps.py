@@ -20,7 +20,6 @@ from wakeline.operators.segments import (
     SEGMENT_ROWS,
     attach_carry,
     cut,
-    measure,
     scan,
     segment,
     within,
@@ -37,7 +36,7 @@ def level_changes(
     runs: DataFrame,
     keys: Sequence[str],
     steps: Sequence[tuple[int, int]],
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Every commit of the debounce machine, for each (escalate, de-escalate) pair.
 
@@ -60,16 +59,14 @@ def level_changes(
     upward = F.col("escalate") <= F.col("de_escalate")
     reset = F.col("length") >= F.greatest("escalate", "de_escalate")
     base = segment(long_runs, "start", rows)
-    part = within(group, rows)
+    part = within(group)
     order = W.partitionBy(*part).orderBy("start")
     packed = base.withColumn(
         "_resets", F.sum(reset.cast("bigint")).over(scan(part, "start"))
     ).withColumn("_event", F.col("_resets") * 4 + level_rank(F.col("value"), upward))
     before = F.max("_event").over(order.rowsBetween(W.unboundedPreceding, -1))
-    known = packed.withColumn("_seen", before).withColumn("_state", F.lit(0))
-    if rows is not None:
-        summary = packed.groupBy(*part).agg(F.max("_event").alias("_packed"))
-        known = known.drop("_state").join(committed_before(summary, group, upward), part)
+    summary = packed.groupBy(*part).agg(F.max("_event").alias("_packed"))
+    known = packed.withColumn("_seen", before).join(committed_before(summary, group, upward), part)
     was = committed_after(F.col("_state"), F.col("_seen"), upward)
     step = F.when(F.col("value") > F.col("was"), F.col("escalate")).otherwise(F.col("de_escalate"))
     return (
@@ -91,7 +88,7 @@ def alarms(
     keys: Sequence[str],
     threshold: int,
     alarm_steps: Sequence[int],
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Frames where the tier rises to the threshold, per parameter set (adds alarm_after).
 
@@ -105,15 +102,14 @@ def alarms(
         return rises.select(*group, "frame", after)
     if threshold != ALARM:
         raise ValueError(f"no such alarm threshold: {threshold}")
-    base = segment(cut(changes, rows), "frame", rows)
-    order = W.partitionBy(*within(group, rows)).orderBy("frame")
+    base = segment(cut(changes), "frame", rows)
+    order = W.partitionBy(*within(group)).orderBy("frame")
     known = attach_carry(
         base.withColumn("_next", F.lead("frame").over(order)),
         base,
         group,
         {"_head": F.min("frame")},
         {"_later": lambda s: F.min("_head").over(s)},
-        rows,
         following=True,
     )
     held = known.filter(F.col("now") == 2).join(clips.select(*keys, "n_frames"), list(keys))
@@ -133,7 +129,7 @@ def replay_summary(
     params: Sequence[str],
     grid: DataFrame,
     fps: float,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Clip-level alert metrics per parameter set.
 
@@ -160,21 +156,16 @@ def replay_summary(
     labelled = per_clip.join(checked.select(*keys, "label"), list(keys))
     first = F.when(drowsy, F.col("_first") / fps)
     median = "median_time_to_first_alert_s"
-    # A parameter set has one first alert per clip; few clips need no distributed median.
-    few_clips = measure(clips, [], rows or SEGMENT_ROWS) is None
-    if not few_clips:
-        labelled = cut(labelled.withColumn("_t", first), SEGMENT_ROWS)
+    labelled = cut(labelled.withColumn("_t", first))
     sums = labelled.groupBy(*params).agg(
         F.sum(F.when(~drowsy, F.col("_alarms")).otherwise(0)).alias("_nd"),
         F.sum(F.when(alert_only, F.col("_alarms")).otherwise(0)).alias("_ao"),
         F.count_if(~drowsy).alias("_nd_clips"),
         F.count_if(drowsy).alias("_hits"),
-        *([F.percentile(first, F.lit(0.5)).alias(median)] if few_clips else []),
     )
     out = grid.join(sums, list(params), "left")
-    if not few_clips:
-        medians = exact_percentiles(labelled, params, "_t", {median: 0.5}, rows or SEGMENT_ROWS)
-        out = out.join(medians, list(params), "left")
+    medians = exact_percentiles(labelled, params, "_t", {median: 0.5})
+    out = out.join(medians, list(params), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.crossJoin(F.broadcast(totals)).select(  # totals is a single row
         *grid.columns,
@@ -207,7 +198,7 @@ def sweep_alerts(
     fps: float,
     grid: Sequence[Params] = ALERT_GRID,
     threshold: int = AUDIBLE,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Replay every clip under every parameter set: one metrics row per set.
 
@@ -216,7 +207,7 @@ def sweep_alerts(
     steps = sorted({(e, d) for e, d, _ in grid})
     afters = sorted({a for _, _, a in grid})
     runs = equal_runs(levels.select(*keys, frame, level), keys, frame, level, rows=rows)
-    changes = level_changes(cut(runs, rows), keys, steps, rows)
+    changes = level_changes(cut(runs), keys, steps, rows)
     rises = alarms(changes, clips, keys, threshold, afters, rows)
     params = ["escalate", "de_escalate", "alarm_after"]
     return replay_summary(

@@ -24,7 +24,7 @@ def rolling_window(
     frame: str,
     columns: Sequence[str],
     capacity: int,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """The last ``capacity`` rows at every row, oldest first: ``window`` and ``is_full``."""
     if capacity <= 0:
@@ -32,7 +32,7 @@ def rolling_window(
     if not columns:
         raise ValueError("a window needs at least one column")
     wide = halo(df, frame, before=capacity - 1, rows=rows)
-    recent = W.partitionBy(*within(keys, rows)).orderBy(frame).rowsBetween(1 - capacity, 0)
+    recent = W.partitionBy(*within(keys)).orderBy(frame).rowsBetween(1 - capacity, 0)
     item = F.struct(*columns) if len(columns) > 1 else F.col(columns[0])
     out = wide.withColumn("window", F.collect_list(item).over(recent))
     return own_rows(out.withColumn("is_full", F.size("window") == capacity), frame, rows)
@@ -45,7 +45,7 @@ def rolling_level(
     capacity: int,
     features: Mapping[str, Column],
     level: Column,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Level of every row, 0 until the window has filled.
 
@@ -53,7 +53,7 @@ def rolling_level(
     expression over their names.
     """
     wide = halo(df, frame, before=capacity - 1, rows=rows)
-    recent = W.partitionBy(*within(keys, rows)).orderBy(frame).rowsBetween(1 - capacity, 0)
+    recent = W.partitionBy(*within(keys)).orderBy(frame).rowsBetween(1 - capacity, 0)
     scored = wide.withColumns({name: agg.over(recent) for name, agg in features.items()})
     full = F.col(frame) >= capacity - 1
     scored = scored.withColumn("level", F.when(full, level).otherwise(0).cast("int"))
@@ -66,7 +66,7 @@ def sliding_windows(
     frame: str,
     size: int,
     stride: int,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """One row per (window, frame) for every complete window; adds ``window_id``.
 
@@ -75,7 +75,7 @@ def sliding_windows(
     """
     _check_window(size, stride)
     wide = halo(df, frame, after=size - 1, rows=rows)
-    seen = wide.withColumn("_last", F.max(frame).over(W.partitionBy(*within(keys, rows))))
+    seen = wide.withColumn("_last", F.max(frame).over(W.partitionBy(*within(keys))))
     mine = own_rows(seen, frame, rows)
     first = F.greatest(F.lit(0), F.ceil((F.col(frame) - size + 1) / stride))
     last = F.least(
@@ -99,7 +99,7 @@ def labelled_windows(
     size: int,
     stride: int,
     label: str = "label",
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Training windows: (keys, window_id, features array ordered by frame, label).
 
@@ -155,7 +155,7 @@ def window_summary(
     ear: str = "ear",
     mar: str = "mar",
     pitch: str = "pitch",
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Eleven fatigue features per complete window.
 
@@ -178,7 +178,7 @@ def window_summary(
         F.abs(F.col(pitch)).alias("_pitch"),
         *[s.alias(f"_{name}") for name, s in states.items()],
     )
-    w = W.partitionBy(*within(keys, rows)).orderBy(frame)
+    w = W.partitionBy(*within(keys)).orderBy(frame)
     wide = halo(base, frame, before=1, rows=rows)
     onset = {n: F.col(f"_{n}") & ~F.coalesce(F.lag(f"_{n}").over(w), F.lit(False)) for n in states}
     flagged = wide.withColumns({f"_{n}_on": c for n, c in onset.items()})
@@ -245,13 +245,13 @@ def gate_with_margin(
     has_crop: str,
     gate: float,
     margin: int,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Rows within ``margin`` rows of one at or above the gate that have a crop."""
     if margin < 0:
         raise ValueError(f"margin must not be negative, got {margin}")
     wide = halo(df, frame, before=margin, after=margin, rows=rows)
-    around = W.partitionBy(*within(keys, rows)).orderBy(frame).rowsBetween(-margin, margin)
+    around = W.partitionBy(*within(keys)).orderBy(frame).rowsBetween(-margin, margin)
     near = F.max(in_state(F.col(signal), gate, "above")).over(around)
     return own_rows(wide.withColumn("_near", near), frame, rows).filter(
         F.col("_near") & F.col(has_crop)
@@ -272,14 +272,14 @@ def session_onsets(
     signal: str,
     threshold: float,
     mode: str,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Onsets, rows in state and mean run length of a whole session.
 
     A run is one onset, so the mean run length is rows in state over onsets, 0 for none.
     """
     base = df.select(*keys, frame, in_state(F.col(signal), threshold, mode).alias("_in"))
-    w = W.partitionBy(*within(keys, rows)).orderBy(frame)
+    w = W.partitionBy(*within(keys)).orderBy(frame)
     wide = halo(base, frame, before=1, rows=rows)
     started = F.col("_in") & ~F.coalesce(F.lag("_in").over(w), F.lit(False))
     flagged = own_rows(wide.withColumn("_on", started), frame, rows)

@@ -23,7 +23,7 @@ def classify_frames(
     scorer,
     window: int = 150,
     columns: Sequence[str] = FEATURE_COLUMNS,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Fatigue level of every frame from its rolling window, scored once per frame."""
     packed = frames.select(*keys, frame, F.array(*columns).alias("_x"))
@@ -45,7 +45,7 @@ def evaluate(
     frame: str,
     fps: float,
     params: tuple[int, int, int] = BASELINE_PARAMS,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """One parameter set at all three thresholds, one row per threshold tier."""
     out: DataFrame | None = None
@@ -65,7 +65,7 @@ def validate_alerts(
     mode: str = "sweep",
     window: int = 150,
     params: tuple[int, int, int] = BASELINE_PARAMS,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int = SEGMENT_ROWS,
     classify: Callable[..., DataFrame] = classify_frames,
 ) -> DataFrame:
     """Score the labelled frames, sweep or evaluate the alert machine, write the report.
@@ -77,7 +77,7 @@ def validate_alerts(
         raise ValueError(f"mode must be 'sweep' or 'evaluate', got {mode!r}")
     keys = ["sample_id"]
     known = labelled_frames(frames, manifest.select("sample_id", "label"))
-    levels = cut(classify(known, keys, "frame", scorer, window, rows=rows), rows or 1)
+    levels = cut(classify(known, keys, "frame", scorer, window, rows=rows))
     clips = clip_lengths(levels, manifest, keys)
     config = {"fps": fps, "window": window, "mode": mode}
     if mode == "sweep":

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.scalars import encode, on_stride
 from wakeline.operators.runs import first_seen_ids
-from wakeline.operators.segments import SEGMENT_ROWS, index_rows, join_dimension
+from wakeline.operators.segments import SEGMENT_ROWS, index_rows
 from wakeline.schemas import FATIGUE_CLASSES
 from wakeline.sources.filetrees import require_rows
 
@@ -28,7 +28,7 @@ def labelled_frames(
     if strict:
         require_rows(manifest, frames, [key], "missing features")
     named = manifest.withColumn("class_index", encode(F.col("label"), classes, strict))
-    return join_dimension(frames, named, [key])
+    return frames.join(named, [key])
 
 
 def kept_rows(
@@ -38,11 +38,10 @@ def kept_rows(
     face: str,
     step: int = 1,
     out: str = "row",
-    rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Stride over raw frames, drop those without a face, number what is left."""
     kept = raw.filter(on_stride(F.col(frame), step)).filter(F.col(face).isNotNull())
-    return index_rows(kept, keys, [frame], out, rows)
+    return index_rows(kept, keys, [frame], out)
 
 
 def gaze_corpus(
@@ -58,9 +57,8 @@ def gaze_corpus(
     if interval_key is None:
         return recordings.withColumn("interval", F.struct("recording", "interval_id"))
     ids = first_seen_ids(recordings, ["recording"], "frame", interval_key)
-    numbered = join_dimension(
-        recordings.drop("interval_id"), ids.drop("first_frame"), ["recording", interval_key]
-    )
+    named = ids.drop("first_frame")
+    numbered = recordings.drop("interval_id").join(named, ["recording", interval_key])
     return numbered.withColumn("interval", F.struct("recording", "interval_id"))
 
 

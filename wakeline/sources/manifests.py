@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +22,23 @@ BUCKETS = ("train", "val", "test")
 
 
 def read_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Manifest rows, columns found by name whatever else the file holds."""
+    """Manifest rows, columns found by name whatever else a file holds and in which order.
+
+    Files are grouped by their header line, and each group is read with its own names.
+    """
     columns = [f.name for f in MANIFEST.fields]
-    return spark.read.option("header", True).option("escape", '"').csv(path).select(*columns)
+    options = {"header": True, "escape": '"'}
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    groups = heads.groupBy("head").agg(F.collect_list("file").alias("files")).orderBy("head").collect()
+    out = None
+    for group in groups:
+        rows = spark.read.options(**options).csv([unquote(f) for f in group["files"]])
+        missing = [c for c in columns if c not in rows.columns]
+        if missing:
+            raise ValueError(f"{group['files'][0]} has no column {', '.join(missing)}")
+        out = rows.select(*columns) if out is None else out.unionByName(rows.select(*columns))
+    return out if out is not None else spark.createDataFrame([], MANIFEST)
 
 
 def read_interval_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -26,6 +26,17 @@ def frame_stream(
     return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 
 
+def end_mark(last: DataFrame, ts: str, seconds: float) -> DataFrame:
+    """A frame of a session of its own, ``seconds`` after a recorded stream's last time.
+
+    Replayed after the recording, it moves the watermark past everything, so open intervals
+    and sessions are flushed as they are when a camera stops.
+    """
+    after = F.timestamp_micros(F.unix_micros(ts) + F.lit(int(seconds * 1_000_000)))
+    values = {"session": F.lit("end of recording"), "ts": after, "frame": F.lit(-1), "has_face": F.lit(False), "latency_s": F.lit(0.0)}
+    return last.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in INPUT.fields])
+
+
 def kafka_frames(
     spark: SparkSession, servers: str, topic: str, schema: T.StructType = INPUT
 ) -> DataFrame:

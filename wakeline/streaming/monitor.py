@@ -1,10 +1,11 @@
 """Live monitor as a keyed stateful stream.
 
 Frames of a session arrive out of order within the watermark. They wait in keyed state
-until the watermark has passed them, are put in (ts, frame) order, and go through one step
-each: rolling window and classifier, debounced fatigue track, cadenced distraction track,
-voted gaze zone and off-road streak, fusion, change events and periodic metrics. A session
-that falls silent is flushed, reported as stopped and forgotten.
+until the watermark has passed them and are put in (ts, frame) order. All that are due at a
+timer are taken together, column by column: rolling windows and classifier, debounced fatigue
+track, cadenced distraction track, voted gaze zones and off-road streaks, fusion, changes
+between rows and metrics intervals. A session that falls silent is flushed, reported as
+stopped and forgotten.
 
 State per session is bounded: the window, one second of gaze votes, one metrics interval of
 latencies and the frames newer than the watermark.
@@ -12,12 +13,9 @@ latencies and the frames newer than the watermark.
 
 from __future__ import annotations
 
-import json
 import sys
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
-from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -94,18 +92,18 @@ class MonitorConfig:
 
     def __post_init__(self) -> None:
         if min(self.fatigue) <= 0 or (self.distraction and min(self.distraction) <= 0):
-            raise ValueError("step thresholds must be positive")
+            raise ValueError("steps of a track count from one")
         if self.window <= 0:
-            raise ValueError("window must be positive")
+            raise ValueError("a window holds at least one frame")
         if self.every_n < 1 or not 0.0 < self.alpha <= 1.0:
             raise ValueError("every_n must be at least 1 and alpha in (0, 1]")
         if self.safe_label not in self.labels:
             raise ValueError(f"safe label {self.safe_label!r} is not among the labels")
         if self.gaze_min_s is not None:
             if self.gaze_min_s <= 0 or self.gaze_vote_s <= 0:
-                raise ValueError("gaze durations must be positive")
+                raise ValueError("gaze times are longer than nothing")
             if self.gaze_audible_s is not None and self.gaze_audible_s < self.gaze_min_s:
-                raise ValueError("the audible duration must not precede the minimum duration")
+                raise ValueError("audible comes no earlier than visual")
 
 
 @dataclass
@@ -130,113 +128,212 @@ class Debounce:
 
 @dataclass
 class Session:
-    """Everything a session remembers between frames; plain values, stored as JSON."""
+    """Everything a session remembers between timers."""
 
     window: list = field(default_factory=list)
     level: int = 0
-    fatigue: dict = field(default_factory=dict)
-    binary: dict = field(default_factory=dict)
+    fatigue: list = field(default_factory=lambda: [0, -1, 0, 0])
+    binary: list = field(default_factory=lambda: [0, -1, 0, 0])
     seen: int = 0
     probs: list | None = None
-    votes: list = field(default_factory=list)
-    streak: float | None = None
-    last_tier: int | None = None
-    last_face: bool | None = None
-    last_zone: str | None = None
-    flushed: float | None = None
+    vote_ts: list = field(default_factory=list)
+    vote_zone: list = field(default_factory=list)
+    off_since: float | None = None
+    tier: int | None = None
+    face: bool | None = None
+    zone: str | None = None
+    since: float | None = None
     latencies: list = field(default_factory=list)
     faces: int = 0
     last_ts: float = 0.0
     last_frame: int = -1
 
 
-def _metrics(s: Session, now: float) -> dict:
-    n = len(s.latencies)
-    elapsed = now - s.flushed if s.flushed is not None else 0.0
-    low, high = np.percentile(np.array(s.latencies) * 1000.0, [50, 95]) if n else (0.0, 0.0)
-    out = {
+_NUMBERS = T.ArrayType(T.DoubleType())
+STATE = T.StructType(
+    [
+        T.StructField("window", T.ArrayType(_NUMBERS)),
+        T.StructField("level", T.IntegerType()),
+        T.StructField("fatigue", T.ArrayType(T.LongType())),
+        T.StructField("binary", T.ArrayType(T.LongType())),
+        T.StructField("seen", T.LongType()),
+        T.StructField("probs", _NUMBERS),
+        T.StructField("vote_ts", _NUMBERS),
+        T.StructField("vote_zone", T.ArrayType(T.StringType())),
+        T.StructField("off_since", T.DoubleType()),
+        T.StructField("tier", T.IntegerType()),
+        T.StructField("face", T.BooleanType()),
+        T.StructField("zone", T.StringType()),
+        T.StructField("since", T.DoubleType()),
+        T.StructField("latencies", _NUMBERS),
+        T.StructField("faces", T.LongType()),
+        T.StructField("last_ts", T.DoubleType()),
+        T.StructField("last_frame", T.LongType()),
+    ]
+)
+
+
+def debounced(levels: Sequence[int], state: list, steps: tuple[int, int, int], top: int) -> tuple[list, list]:
+    """Tiers of a level series and the track's state after it."""
+    track, tiers = Debounce(*state), []
+    for level in levels:
+        track.step(int(level), steps[0], steps[1], top)
+        tiers.append(track.tier(top, steps[2]))
+    return tiers, [track.committed, track.level, track.run, track.held]
+
+
+def fatigue_levels(s: Session, c: MonitorConfig, features: list) -> list[int]:
+    """Level at every face frame: the class of the last full window, the last one before."""
+    rows = s.window + features
+    s.window = rows[-c.window :]
+    early = max(len(features) - max(len(rows) - c.window + 1, 0), 0)
+    levels = [s.level] * early
+    if len(rows) >= c.window and features:
+        views = np.lib.stride_tricks.sliding_window_view(np.asarray(rows, dtype=float), c.window, axis=0)
+        levels += [int(c.classify(v.T)) for v in views[len(views) - (len(features) - early) :]]
+    if any(x not in (0, 1, 2) for x in levels):
+        raise ValueError("the classifier gave a level other than 0, 1 and 2")
+    s.level = levels[-1] if levels else s.level
+    return levels
+
+
+def activities(s: Session, c: MonitorConfig, probabilities: list) -> list[str]:
+    """Activity at every frame: the largest smoothed probability, renewed every n-th frame."""
+    out = []
+    for p in probabilities:
+        s.seen += 1
+        if p is not None and s.seen % c.every_n == 0:
+            fresh = np.asarray(p, dtype=float)
+            s.probs = (fresh if s.probs is None else c.alpha * fresh + (1 - c.alpha) * np.asarray(s.probs)).tolist()
+        out.append(c.safe_label if s.probs is None else c.labels[int(np.argmax(s.probs))])
+    return out
+
+
+def voted_zones(ts: np.ndarray, zones: np.ndarray, seconds: float) -> np.ndarray:
+    """Most frequent zone among those of the last ``seconds``, bounds included, at every row.
+
+    A missing zone starts the history anew; of zones with equal votes the one seen last wins.
+    """
+    n = len(ts)
+    if not n:
+        return zones
+    names = sorted({z for z in zones if z is not None})
+    gone = np.array([z is None for z in zones])
+    cast = np.array([[z == name for name in names] for z in zones], bool).reshape(n, len(names))
+    place = np.arange(n)
+    fresh = np.maximum.accumulate(np.where(gone, place + 1, 0))
+    start = np.maximum(np.searchsorted(ts, ts - seconds, side="left"), fresh)
+    total = np.vstack((np.zeros((1, len(names)), np.int64), np.cumsum(cast, axis=0)))
+    votes = total[1:] - total[np.minimum(start, place + 1)]
+    latest = np.maximum.accumulate(np.where(cast, place[:, None], -1), axis=0)
+    score = np.where(votes > 0, votes * (n + 1) + latest, -1)
+    best = score.argmax(axis=1) if names else np.zeros(n, int)
+    return np.array([None if g else names[b] for g, b in zip(gone, best)], object)
+
+
+def off_road_tiers(s: Session, c: MonitorConfig, ts: np.ndarray, zones: np.ndarray) -> np.ndarray:
+    """Tier by the time since the gaze left the road for good, which the session carries on."""
+    off = np.array([z is not None and z != ON_ROAD_ZONE for z in zones], bool)
+    place = np.arange(len(ts))
+    broken = np.maximum.accumulate(np.where(off, -1, place))
+    carried = ts[0] if s.off_since is None else s.off_since
+    began = np.where(broken < 0, carried, ts[np.minimum(broken + 1, len(ts) - 1)])
+    away = np.where(off, ts - began, -np.inf)
+    s.off_since = float(began[-1]) if off[-1] else None
+    audible = np.inf if c.gaze_audible_s is None else c.gaze_audible_s
+    return (away >= c.gaze_min_s).astype(int) + (away >= audible)
+
+
+def metrics_event(s: Session, latencies: Sequence[float], faces: int, now: float) -> dict:
+    """Throughput record of the interval that ends now; the next one begins here."""
+    spent = now - s.since if s.since is not None else 0.0
+    n = len(latencies)
+    halves = np.percentile(np.asarray(latencies) * 1000.0, [50, 95]) if n else np.zeros(2)
+    s.since, s.latencies, s.faces = now, [], 0
+    return {
         "event": "metrics",
         "frames": n,
-        "fps": n / elapsed if n and elapsed > 0 else 0.0,
-        "lat_ms_p50": float(low),
-        "lat_ms_p95": float(high),
-        "face_rate": s.faces / n if n else 0.0,
+        "fps": n / spent if spent > 0 else 0.0,
+        "lat_ms_p50": float(halves[0]),
+        "lat_ms_p95": float(halves[1]),
+        "face_rate": faces / n if n else 0.0,
     }
-    s.latencies, s.faces, s.flushed = [], 0, now
-    return out
 
 
-def _gaze(s: Session, c: MonitorConfig, now: float, zone: str | None) -> tuple[str | None, int]:
-    """Voted zone and the tier of the time spent off the road."""
-    if zone is None:
-        s.votes, s.streak = [], None
-        return None, 0
-    s.votes = [v for v in [*s.votes, [now, zone]] if v[0] >= now - c.gaze_vote_s]
-    counts = Counter(z for _, z in s.votes)
-    most = max(counts.values())
-    voted = next(z for _, z in reversed(s.votes) if counts[z] == most)
-    if voted == ON_ROAD_ZONE:
-        s.streak = None
-        return voted, 0
-    s.streak = now if s.streak is None else s.streak
-    away = now - s.streak
-    if c.gaze_audible_s is not None and away >= c.gaze_audible_s:
-        return voted, 2
-    return voted, int(away >= c.gaze_min_s)
-
-
-def advance(s: Session, c: MonitorConfig, row) -> Iterator[dict]:
-    """Take one frame in order; yields its state and the events it causes."""
-    now = row.ts.timestamp()
-    face = bool(row.has_face)
-    if s.flushed is None:
-        s.flushed = now
-    track = Debounce(**s.fatigue)
-    if face:
-        s.window = [*s.window, [float(x) for x in row.features]][-c.window :]
-        if len(s.window) == c.window:
-            s.level = int(c.classify(np.asarray(s.window, dtype=float)))
-        if s.level not in (0, 1, 2):
-            raise ValueError(f"fatigue level must be 0, 1 or 2, got {s.level}")
-        track.step(s.level, c.fatigue[0], c.fatigue[1], top=2)
-        s.fatigue = vars(track)
-    state = {"fatigue_tier": track.tier(2, c.fatigue[2]), "fatigue": s.level}
+def _interval_ends(s: Session, c: MonitorConfig, ts: np.ndarray) -> list[int]:
+    """Rows at which a metrics interval is full."""
+    ends, since, at = [], s.since, 0
+    while True:
+        full = at + np.flatnonzero(ts[at:] - since >= c.metrics_s)[:1]
+        if not len(full):
+            return ends
+        ends.append(int(full[0]))
+        since, at = float(ts[full[0]]), int(full[0]) + 1
+
+
+def advance(s: Session, c: MonitorConfig, rows: Sequence[dict]) -> list[dict]:
+    """Take frames in order, all that are due at once; the frame states and events they cause."""
+    ts = np.array([r["ts"].timestamp() for r in rows], float)
+    face = np.array([bool(r["has_face"]) for r in rows], bool)
+    seen = np.flatnonzero(face)
+    n = len(rows)
+    if s.since is None:
+        s.since = float(ts[0])
+
+    # Tracks: fatigue moves on face frames and is held between them.
+    held = np.maximum.accumulate(np.where(face, np.cumsum(face), 0))
+    before = (Debounce(*s.fatigue).tier(2, c.fatigue[2]), s.level)
+    levels = fatigue_levels(s, c, [[float(x) for x in rows[i]["features"]] for i in seen])
+    tiers, s.fatigue = debounced(levels, s.fatigue, c.fatigue, 2)
+    fatigue_tier = np.array([before[0], *tiers])[held]
+    level = np.array([before[1], *levels])[held]
+    state: dict[str, Sequence] = {"fatigue_tier": fatigue_tier.tolist(), "fatigue": level.tolist()}
     if c.distraction is not None:
-        s.seen += 1
-        if row.probabilities is not None and s.seen % c.every_n == 0:
-            new = np.asarray(row.probabilities, dtype=float)
-            s.probs = list(new if s.probs is None else c.alpha * new + (1 - c.alpha) * np.asarray(s.probs))
-        activity = c.safe_label if s.probs is None else c.labels[int(np.argmax(s.probs))]
-        binary = Debounce(**s.binary)
-        binary.step(int(activity != c.safe_label), c.distraction[0], c.distraction[1], top=1)
-        s.binary = vars(binary)
-        state |= {"activity": activity, "distraction_tier": binary.tier(1, c.distraction[2])}
+        doing = activities(s, c, [r["probabilities"] for r in rows])
+        tiers, s.binary = debounced([a != c.safe_label for a in doing], s.binary, c.distraction, 1)
+        state |= {"activity": doing, "distraction_tier": tiers}
+    zones = np.full(n, None, object)
     if c.gaze_min_s is not None:
-        zone, tier = _gaze(s, c, now, row.zone if face else None)
-        state |= {"gaze_zone": zone, "gaze_tier": tier}
-    tiers = [v for k, v in state.items() if k.endswith("_tier")]
-    state["tier"] = max(tiers)
-    s.latencies.append(float(row.latency_s))
-    s.faces += face
+        known = np.array([r["zone"] if f else None for r, f in zip(rows, face)], object)
+        all_ts = np.concatenate((np.array(s.vote_ts, float), ts))
+        all_zones = np.concatenate((np.array(s.vote_zone, object), known))
+        zones = voted_zones(all_ts, all_zones, c.gaze_vote_s)[len(s.vote_ts) :]
+        state |= {"gaze_zone": zones.tolist(), "gaze_tier": off_road_tiers(s, c, ts, zones).tolist()}
+        missing = [i for i, z in enumerate(all_zones) if z is None]
+        keep = [i for i in range(missing[-1] + 1 if missing else 0, len(all_ts)) if all_ts[i] >= ts[-1] - c.gaze_vote_s]
+        s.vote_ts, s.vote_zone = all_ts[keep].tolist(), all_zones[keep].tolist()
+    state["tier"] = np.max([v for k, v in state.items() if k.endswith("_tier")], axis=0).tolist()
+
+    # Changes: every column against the same column one row (for zones: one known zone) earlier.
+    events: list[list[dict]] = [[] for _ in rows]
     if c.emit_frames:
-        yield {"event": "frame", **state}
-    if s.last_tier is not None and state["tier"] != s.last_tier:
-        yield {
-            "event": "tier_change",
-            "from": TIER_NAMES[s.last_tier],
-            "to": TIER_NAMES[state["tier"]],
-            "fatigue": s.level,
-        }
-    zone = state.get("gaze_zone")
-    if zone is not None:
-        if s.last_zone is not None and zone != s.last_zone:
-            yield {"event": "gaze_change", "from": s.last_zone, "to": zone}
-        s.last_zone = zone
-    if s.last_face is not None and face != s.last_face:
-        yield {"event": "face_regained" if face else "face_lost"}
-    s.last_tier, s.last_face, s.last_ts, s.last_frame = state["tier"], face, now, int(row.frame)
-    if now - s.flushed >= c.metrics_s:
-        yield _metrics(s, now)
+        for i in range(n):
+            events[i].append({"event": "frame", **{k: v[i] for k, v in state.items()}})
+    tier_before = [s.tier, *state["tier"][:-1]]
+    face_before = [s.face, *face.tolist()[:-1]]
+    for i, (was, now) in enumerate(zip(tier_before, state["tier"])):
+        if was not in (None, now):
+            names = {"from": TIER_NAMES[was], "to": TIER_NAMES[now], "fatigue": state["fatigue"][i]}
+            events[i].append({"event": "tier_change", **names})
+    shown = [(-1, s.zone), *((i, z) for i, z in enumerate(zones) if z is not None)]
+    for (_, was), (i, now) in zip(shown, shown[1:]):
+        if was not in (None, now):
+            events[i].append({"event": "gaze_change", "from": was, "to": now})
+    for i, (was, now) in enumerate(zip(face_before, face.tolist())):
+        if was not in (None, now):
+            events[i].append({"event": "face_regained" if now else "face_lost"})
+
+    # Metrics: rows up to the end of an interval belong to it.
+    latencies = [float(r["latency_s"]) for r in rows]
+    start = 0
+    for end in _interval_ends(s, c, ts):
+        part = s.latencies + latencies[start : end + 1]
+        events[end].append(metrics_event(s, part, s.faces + int(face[start : end + 1].sum()), float(ts[end])))
+        start = end + 1
+    s.latencies, s.faces = s.latencies + latencies[start:], s.faces + int(face[start:].sum())
+    s.tier, s.face, s.zone = state["tier"][-1], bool(face[-1]), shown[-1][1]
+    s.last_ts, s.last_frame = float(ts[-1]), int(rows[-1]["frame"])
+    return [{"frame": int(r["frame"]), "ts": float(t), **e} for r, t, found in zip(rows, ts, events) for e in found]
 
 
 class MonitorProcessor(StatefulProcessor):
@@ -245,7 +342,7 @@ class MonitorProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.session = handle.getValueState("session", "json string")
+        self.session = handle.getValueState("session", STATE)
         pending = T.StructType([f for f in INPUT.fields if f.name != "session"])
         self.pending = handle.getListState("pending", pending)
 
@@ -265,39 +362,47 @@ class MonitorProcessor(StatefulProcessor):
         session = key[0]
         upto = timerValues.getCurrentWatermarkInMs()
         names = [f.name for f in INPUT.fields if f.name != "session"]
-        waiting = [dict(zip(names, v)) for v in (self.pending.get() if self.pending.exists() else ())]
-        due = [v for v in waiting if _millis(v["ts"]) <= upto]
-        later = [v for v in waiting if _millis(v["ts"]) > upto]
-        s = Session(**json.loads(self.session.get()[0])) if self.session.exists() else Session()
+        due, later = [], []
+        for v in self.pending.get() if self.pending.exists() else ():
+            row = dict(zip(names, v))
+            (due if _millis(row["ts"]) <= upto else later).append(row)
+        s = _session(self.session.get()) if self.session.exists() else Session()
         out: list[dict] = []
-        for v in sorted(due, key=lambda v: (v["ts"], v["frame"])):
-            row = SimpleNamespace(**v)
-            for event in advance(s, self.config, row):
-                out.append({"session": session, "frame": v["frame"], "ts": row.ts.timestamp(), **event})
         if due:
+            out = advance(s, self.config, sorted(due, key=lambda v: (v["ts"], v["frame"])))
             self.pending.clear()
             if later:
                 self.pending.put([tuple(v[n] for n in names) for v in later])
         idle_ms = int(self.config.idle_s * 1000)
         if later:
             self.handle.registerTimer(min(_millis(v["ts"]) for v in later))
-            self.session.update((json.dumps(vars(s)),))
+            self.session.update(_values(s))
         elif s.last_frame >= 0 and upto >= s.last_ts * 1000 + idle_ms:
-            end = {"session": session, "frame": s.last_frame, "ts": s.last_ts}
-            out += [{**end, **_metrics(s, s.last_ts)}, {**end, "event": "stop"}]
+            end = {"frame": s.last_frame, "ts": s.last_ts}
+            out += [{**end, **metrics_event(s, s.latencies, s.faces, s.last_ts)}, {**end, "event": "stop"}]
             self.session.clear()
             self.pending.clear()
         else:
-            self.session.update((json.dumps(vars(s)),))
+            self.session.update(_values(s))
             self.handle.registerTimer(int(s.last_ts * 1000) + idle_ms)
         if out:
             columns = {f.name: [event.get(f.name) for event in out] for f in OUTPUT.fields}
+            columns["session"] = [session] * len(out)
             yield pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in columns.items()})
 
     def close(self) -> None:
         pass
 
 
+def _values(s: Session) -> tuple:
+    return tuple(getattr(s, f.name) for f in STATE.fields)
+
+
+def _session(values) -> Session:
+    plain = lambda v: [plain(x) for x in v] if isinstance(v, (list, tuple, np.ndarray)) else v
+    return Session(**{f.name: plain(v) for f, v in zip(STATE.fields, values)})
+
+
 def _millis(ts) -> int:
     return int(ts.timestamp() * 1000)
 
