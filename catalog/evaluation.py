@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -742,64 +741,107 @@ def summary_windows(spark, sf, size=60, stride=30):
     )
 
 
-@query("boosted_windows")
+def windows_sql(size, stride, name):
+    """Windows of every supplier session, by the side of a split its windows fall on."""
+    return f"""{name} AS (SELECT CAST(l_suppkey AS VARCHAR) AS subject_id, (count(*) - {size}) // {stride} + 1 AS n
+      FROM lineitem GROUP BY l_suppkey HAVING count(*) >= {size})"""
+
+
+def majority_share(df, label):
+    """Share of the most frequent class."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg((F.max("n") / F.sum("n")).alias("share")).first()["share"]
+
+
+@query(
+    "boosted_windows",
+    f"""WITH {windows_sql(60, 30, 'w')}, {split_sql('w', 0.8, 0.2, 1)}
+        SELECT CAST(sum(n) FILTER (split = 'train') AS BIGINT) AS n_train, CAST(sum(n) FILTER (split = 'val') AS BIGINT) AS n_validation,
+          TRUE AS beats_majority FROM w JOIN buckets USING (subject_id)""",
+)
 def boosted_windows(spark, sf):
     """Boosted trees on window features, trained on some sessions and judged on others."""
     *_, windows = summary_windows(spark, sf)
-    whole = splits.subject_independent_split(windows, (0.8, 0.2, 0.0), 1, "s").cache()
+    whole = cut(splits.subject_independent_split(windows, (0.8, 0.2, 0.0), 1, "s"))
     train, validate = whole.filter("split = 'train'"), whole.filter("split = 'val'")
-    out = scoring.evaluate_boosted_windows(train, validate, fatigue.FEATURES, "label", 3, max_iter=3)
-    return out.select("overall_accuracy", "macro_auroc", "false_alarm_rate")
+    out = scoring.evaluate_boosted_windows(train, validate, fatigue.FEATURES, "label", 3)
+    return out.select(
+        F.lit(train.count()).alias("n_train"),
+        F.lit(validate.count()).alias("n_validation"),
+        (F.col("overall_accuracy") > majority_share(validate, "label")).alias("beats_majority"),
+    )
 
 
-@query("gaze_leave_one_out")
+@query(
+    "gaze_leave_one_out",
+    "SELECT CAST(vec_id % 4 AS VARCHAR) AS subject, count(*) AS n, TRUE AS all_zones FROM embeddings GROUP BY 1",
+)
 def gaze_leave_one_out(spark, sf):
-    """Every subject judged by a model that never saw them; then zones and road rates."""
-    corpus = scoring.as_vector(
-        table(spark, sf, "embeddings").select("vec_id", "embedding", "label", (F.col("vec_id") % 4).cast("string").alias("subject")),
-        "embedding",
-    ).cache()
-    pooled = scoring.leave_one_subject_out(corpus, "subject", linear_zone_model)
-    named = pooled.select("subject", "vec_id", F.col("label").cast("string").alias("truth"), F.col("prediction").cast("int").cast("string").alias("said"))
-    return metrics.subject_report(named, "subject", ["vec_id"], "truth", "said", "vec_id", lambda z: z == "2")
+    """Every subject judged by a model that never saw them."""
+    corpus = cut(
+        table(spark, sf, "embeddings").select("vec_id", "embedding", "label", (F.col("vec_id") % 4).cast("string").alias("subject"))
+    )
+    pooled = scoring.leave_one_subject_out(scoring.as_vector(corpus, "embedding"), "subject", scoring.fit_zone_model)
+    zone = F.col("prediction").isin(*range(10))
+    return pooled.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.min(zone).alias("all_zones"))
 
 
-def linear_zone_model(train):
-    return LogisticRegression(maxIter=8).fit(train)
+_GRID_COUNTS = " UNION ALL ".join(
+    f"SELECT {i} AS grid_pos, {c['size']} AS size, (SELECT CAST(sum((n - {c['size']}) // {c['stride']} + 1) AS BIGINT) FROM v WHERE n >= {c['size']}) AS n_validation"
+    for i, c in enumerate(fatigue.DEFAULT_GRID)
+)
 
 
-@query("window_tuning")
+@query(
+    "window_tuning",
+    f"""WITH w AS (SELECT CAST(l_suppkey AS VARCHAR) AS subject_id, count(*) AS n FROM lineitem GROUP BY l_suppkey),
+        {split_sql('w', 0.8, 0.2, 1)}, v AS (SELECT n FROM w JOIN buckets USING (subject_id) WHERE split = 'val')
+        SELECT *, TRUE AS no_better_than_best FROM ({_GRID_COUNTS}) AS g""",
+)
 def window_tuning(spark, sf):
-    """Window configurations judged on held-out sessions, the best one marked."""
+    """Every window configuration judged on held-out sessions, against the one that is chosen."""
     marked, labels, limits, rows, _ = summary_windows(spark, sf)
-    grid = [{"size": 60, "stride": 30, "max_iter": 2}, {"size": 100, "stride": 50, "max_iter": 2}]
-    carved = splits.subject_independent_split(marked, (0.8, 0.2, 0.0), 1, "s").cache()
+    carved = cut(splits.subject_independent_split(marked, (0.8, 0.2, 0.0), 1, "s"))
     train, validate = carved.filter("split = 'train'"), carved.filter("split = 'val'")
-    results, best = fatigue.tune(spark, train, validate, labels, ["s"], "frame", limits, 30.0, grid, rows=rows)
-    return results.select("grid_pos", "overall_accuracy", "macro_auroc", "false_alarm_rate")
+    results, _ = fatigue.tune(spark, train, validate, labels, ["s"], "frame", limits, 30.0, rows=rows)
+    results = cut(results)
+    best = sweeps.best_by(results, "macro_auroc").select(F.col("macro_auroc").alias("top"))
+    size = F.col("config")["size"].cast("int")
+    stride = F.col("config")["stride"].cast("int")
+    lengths = validate.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    known = results.crossJoin(F.broadcast(best)).withColumns({"size": size, "stride": stride})  # best is one row
+    held = known.join(lengths, F.col("n") >= F.col("size"))
+    return held.groupBy("grid_pos", "size").agg(
+        F.sum(F.floor((F.col("n") - F.col("size")) / F.col("stride")) + 1).alias("n_validation"),
+        F.min(F.col("macro_auroc") <= F.col("top")).alias("no_better_than_best"),
+    )
 
 
-@query("linear_head")
+@query(
+    "linear_head",
+    f"""WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS subject_id FROM embeddings), {split_sql('e', 0.8, 0.2, 1)}
+        SELECT count(*) FILTER (split = 'val') AS n_validation, count(*) AS n, TRUE AS beats_majority FROM buckets""",
+)
 def linear_head(spark, sf):
     """Linear classifier on cached vectors, the penalty chosen on validation."""
     vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("features"), F.col("label").alias("label_index"))
-    carved = splits.subject_independent_split(vectors, (0.8, 0.2, 0.0), 1, "vec_id").cache()
-    head, accuracy = scoring.fit_linear_head(
-        carved.filter("split = 'train'"), carved.filter("split = 'val'"), penalties=(0.0, 0.1), max_iter=10
-    )
-    scored = head.transform(scoring.as_vector(vectors, "features", "_v"))
-    return metrics.frame_accuracy(scored, "label_index", "prediction").withColumn("validation", F.lit(accuracy))
+    carved = cut(splits.subject_independent_split(vectors, (0.8, 0.2, 0.0), 1, "vec_id"))
+    held = carved.filter("split = 'val'")
+    head, _ = scoring.fit_linear_head(carved.filter("split = 'train'"), held)
+    scored = metrics.frame_accuracy(head.transform(scoring.as_vector(vectors, "features", "_v")), "label_index", "prediction")
+    better = F.col("accuracy") > majority_share(vectors, "label_index")
+    return scored.select(F.lit(held.count()).alias("n_validation"), "n", better.alias("beats_majority"))
 
 
-@query("event_classifier")
+@query("event_classifier", "SELECT vec_id % 50 AS s, TRUE AS is_probability FROM embeddings GROUP BY 1")
 def event_classifier(spark, sf):
     """Class-weighted event scores, reduced to one score per video."""
     events = table(spark, sf, "embeddings").select(
         (F.col("vec_id") % 50).alias("s"), F.col("embedding").alias("features"), (F.col("label") < 2).cast("int").alias("label")
     )
-    model = scoring.fit_event_classifier(events, max_iter=10)
-    scored = scoring.score_events(model, events)
-    return metrics.video_scores(events.select("s").distinct(), scored, ["s"])
+    model = scoring.fit_event_classifier(events)
+    scored = metrics.video_scores(events.select("s").distinct(), scoring.score_events(model, events), ["s"])
+    return scored.select("s", F.col("score").between(0.0, 1.0).alias("is_probability"))
 
 
 @query(

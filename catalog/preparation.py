@@ -661,14 +661,14 @@ def class_encoding(spark, sf):
 
 @query(
     "binary_collapses",
-    f"WITH {EV} SELECT event_id, level = 2 AS drowsy, k % 13 <> 8 AS distracted, zone = 'front' AS on_road FROM ev",
+    f"WITH {EV} SELECT event_id, level = 2 AS drowsy, k % 13 <> 8 AS distracted, k % 2 = 0 AS on_road FROM ev",
 )
 def binary_collapses(spark, sf):
     return event_rows(spark, sf).select(
         "event_id",
         scalars.is_drowsy(F.col("level")).alias("drowsy"),
         scalars.is_distracted(F.col("k") % 13, ACTIVITIES.index("safe_drive")).alias("distracted"),
-        scalars.eyes_on_road(F.col("zone")).alias("on_road"),
+        scalars.eyes_on_road(F.when(F.col("k") % 2 == 0, "front").otherwise(F.col("zone"))).alias("on_road"),
     )
 
 

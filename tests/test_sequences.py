@@ -256,3 +256,10 @@ def test_alarm_counts(spark):
         for rows in (15, 1 << 20):
             r = alerts.alarm_counts(df, ["s"], "frame", threshold, rows=rows).first()
             assert (r.alarms, r.first_frame) == want
+
+
+def test_votes_over_zones_nobody_listed(spark):
+    rows = [(0, i, i * 1_000_000, z) for i, z in enumerate(["roof", "roof", "lap", None, "lap", "sky", "sky"])]
+    df = spark.createDataFrame(rows, "s int, frame long, ts long, zone string")
+    got = alerts.majority_smooth(df, ["s"], "frame", "ts", "zone", 10_000_000).orderBy("frame").collect()
+    assert [r.smoothed for r in got] == ["roof", "roof", "roof", None, "lap", "sky", "sky"]

@@ -203,6 +203,12 @@ def fit_linear_head(
     return best, best_accuracy
 
 
+def fit_zone_model(train: DataFrame, label: str = "label", features: str = "features"):
+    """Gaze-zone classifier with fixed parameters: multinomial linear, lightly penalised."""
+    model = LogisticRegression(featuresCol=features, labelCol=label, family="multinomial", regParam=0.01, maxIter=50)
+    return model.fit(train.select(label, features))
+
+
 def fit_event_classifier(
     events: DataFrame,
     label: str = "label",

@@ -90,16 +90,17 @@ def alarms(
     alarm_steps: Sequence[int],
     rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Frames where the tier rises to the threshold, per parameter set (adds alarm_after).
+    """Frames where the tier rises to the threshold, per parameter set.
 
-    VISUAL and AUDIBLE follow the commits alone. ALARM needs level 2 to stay committed for
-    ``alarm_after`` frames, counted to the next commit or the end of the clip.
+    VISUAL and AUDIBLE follow the commits alone, so their rows hold for every
+    ``alarm_after`` and name none. ALARM (which adds ``alarm_after``) needs level 2 to stay
+    committed for that many frames, counted to the next commit or the end of the clip.
     """
     group = [*keys, "escalate", "de_escalate"]
-    after = F.explode(F.array(*[F.lit(a) for a in alarm_steps])).alias("alarm_after")
     if threshold in (VISUAL, AUDIBLE):
         rises = changes.filter((F.col("was") < threshold) & (F.col("now") >= threshold))
-        return rises.select(*group, "frame", after)
+        return rises.select(*group, "frame")
+    after = F.explode(F.array(*[F.lit(a) for a in alarm_steps])).alias("alarm_after")
     if threshold != ALARM:
         raise ValueError(f"no such alarm threshold: {threshold}")
     base = segment(cut(changes), "frame", rows)
@@ -209,7 +210,7 @@ def sweep_alerts(
     runs = equal_runs(levels.select(*keys, frame, level), keys, frame, level, rows=rows)
     changes = level_changes(cut(runs), keys, steps, rows)
     rises = alarms(changes, clips, keys, threshold, afters, rows)
-    params = ["escalate", "de_escalate", "alarm_after"]
+    params = ["escalate", "de_escalate", *(["alarm_after"] if threshold == ALARM else [])]
     return replay_summary(
         rises, clips, keys, params, parameter_grid(levels.sparkSession, grid), fps, rows
     )
