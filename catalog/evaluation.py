@@ -26,7 +26,6 @@ from catalog.sequences import _RUNS, mouth_frames, rolled_levels
 from wakeline.functions.scalars import argmax, deploy_decision, is_yawning, one_hot, softmax
 from wakeline.operators import metrics, percentiles, runs, scoring, splits, sweeps
 from wakeline.operators.segments import cut
-from wakeline.operators.windows import rolling_window
 from wakeline.plans import fatigue, yawning
 
 def rounded(df, *columns):
@@ -703,7 +702,11 @@ def batch_scoring(spark, sf):
 
 def window_level_model():
     def load():
-        return lambda batch: np.where(batch.mean(axis=1) >= 60, 2, np.where(batch.mean(axis=1) >= 30, 1, 0))
+        def level(windows):
+            mean = windows[:, :, 0].mean(axis=1)
+            return np.where(mean >= 60, 2, np.where(mean >= 30, 1, 0))
+
+        return level
 
     return load
 
@@ -716,9 +719,7 @@ def window_level_model():
 def window_classifier(spark, sf):
     frames, rows = event_frames(spark, sf)
     seen = frames.select("s", "frame", F.round("value").alias("x"))
-    packed = rolling_window(seen, ["s"], "frame", ["x"], 5, rows)
-    scorer = scoring.batch_scorer(window_level_model(), "int")
-    return scoring.window_levels(packed, scorer).select("s", "frame", "level")
+    return scoring.window_levels(seen, ["s"], "frame", ["x"], window_level_model(), 5, rows)
 
 
 @query(

@@ -30,7 +30,7 @@ def clips(spark):
 @pytest.mark.parametrize("rows", [64, 1 << 20])
 def test_validate_alerts(spark, rows):
     frames, manifest = clips(spark)
-    scorer = scoring.batch_scorer(peak_model, "int")
+    scorer = peak_model
     out = tempfile.mkdtemp(prefix="rep-") + "/r"
     report = alerting.validate_alerts(frames, manifest, scorer, 10.0, out, "evaluate", 10, (5, 15, 45), rows)
     got = {r.threshold: r for r in report.collect()}
@@ -45,7 +45,7 @@ def test_validate_alerts(spark, rows):
 
 def test_validate_alerts_sweep(spark):
     frames, manifest = clips(spark)
-    scorer = scoring.batch_scorer(peak_model, "int")
+    scorer = peak_model
     out = tempfile.mkdtemp(prefix="rep-") + "/r"
     report = alerting.validate_alerts(frames, manifest, scorer, 10.0, out, "sweep", 10, rows=1 << 20)
     chosen = report.filter("selected").collect()

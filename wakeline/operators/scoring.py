@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.scalars import argmax
 from wakeline.operators.metrics import class_weights, evaluate_predictions, frame_accuracy
-from wakeline.operators.segments import stage_folder
+from wakeline.operators.segments import SEG, SEGMENT_ROWS, halo, stage_folder
 from wakeline.operators.splits import held_out_rows, subject_folds, train_rows
 
+#: Windows handed to a model at once.
+_VIEWS = 4096
+
 # --- Scoring with a model that is loaded once per task ------------------------------------
 
 
@@ -56,10 +59,41 @@ def onnx_loader(path: str, output: int = 0) -> Callable[[], Callable[[np.ndarray
     return load
 
 
-def window_levels(windows: DataFrame, scorer, window: str = "window", full: str = "is_full") -> DataFrame:
-    """Level of every row from its rolling window of feature arrays, 0 until it is full."""
-    level = scorer(F.when(F.col(full), F.col(window))).cast("int")
-    return windows.withColumn("level", F.coalesce(level, F.lit(0))).drop(window, full)
+def window_levels(
+    frames: DataFrame,
+    keys: Sequence[str],
+    frame: str,
+    columns: Sequence[str],
+    load: Callable[[], Callable[[np.ndarray], np.ndarray]],
+    window: int,
+    rows: int = SEGMENT_ROWS,
+) -> DataFrame:
+    """(keys, frame, level): class of every frame's last ``window`` frames, 0 until there are so many.
+
+    ``load`` builds a model from (windows, window, columns) float32 arrays to one level per
+    window, once per task. A frame goes to Python once, and the ``window - 1`` frames before a
+    segment once more; windows are views of the segment's array, never copies of the rows.
+    """
+    wide = halo(frames.select(*keys, frame, *columns), frame, before=window - 1, rows=rows)
+    models: list = []
+
+    def score(part: pd.DataFrame) -> pd.DataFrame:
+        if not models:
+            models.append(load())
+        part = part.sort_values(frame, ignore_index=True)
+        values = part[list(columns)].to_numpy(dtype=np.float32)
+        levels = np.zeros(len(part), dtype=np.int32)
+        if len(part) >= window:
+            views = np.lib.stride_tricks.sliding_window_view(values, window, axis=0).transpose(0, 2, 1)
+            for lo in range(0, len(views), _VIEWS):
+                batch = views[lo : lo + _VIEWS]
+                levels[window - 1 + lo : window - 1 + lo + len(batch)] = np.asarray(models[0](batch))
+        out = part[[*keys, frame]].copy()
+        out["level"] = levels
+        return out[(part[frame] // rows == part[SEG]).to_numpy()]
+
+    plain = [f"`{f.name}` {f.dataType.simpleString()}" for f in frames.select(*keys, frame).schema]
+    return wide.groupBy(*keys, SEG).applyInPandas(score, ", ".join([*plain, "level int"]))
 
 
 # --- Spark ML ------------------------------------------------------------------------------

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from wakeline.operators.scoring import window_levels
 from wakeline.operators.segments import SEGMENT_ROWS, cut
 from wakeline.operators.sweeps import select_alert_params, sweep_alerts
-from wakeline.operators.windows import rolling_window
 from wakeline.schemas import ALERT_GRID, AUDIBLE, BASELINE_PARAMS, FEATURE_COLUMNS, TIER_NAMES
 from wakeline.sources.frames import labelled_frames
 from wakeline.sources.sinks import write_report
@@ -20,15 +19,13 @@ def classify_frames(
     frames: DataFrame,
     keys: Sequence[str],
     frame: str,
-    scorer,
+    load,
     window: int = 150,
     columns: Sequence[str] = FEATURE_COLUMNS,
     rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Fatigue level of every frame from its rolling window, scored once per frame."""
-    packed = frames.select(*keys, frame, F.array(*columns).alias("_x"))
-    windows = rolling_window(packed, keys, frame, ["_x"], window, rows)
-    return window_levels(windows, scorer).select(*keys, frame, "level")
+    return window_levels(frames, keys, frame, columns, load, window, rows)
 
 
 def clip_lengths(
@@ -59,7 +56,7 @@ def evaluate(
 def validate_alerts(
     frames: DataFrame,
     manifest: DataFrame,
-    scorer,
+    load,
     fps: float,
     out: str,
     mode: str = "sweep",
@@ -77,7 +74,7 @@ def validate_alerts(
         raise ValueError(f"mode must be 'sweep' or 'evaluate', got {mode!r}")
     keys = ["sample_id"]
     known = labelled_frames(frames, manifest.select("sample_id", "label"))
-    levels = cut(classify(known, keys, "frame", scorer, window, rows=rows))
+    levels = cut(classify(known, keys, "frame", load, window, rows=rows))
     clips = clip_lengths(levels, manifest, keys)
     config = {"fps": fps, "window": window, "mode": mode}
     if mode == "sweep":
