@@ -43,6 +43,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wakeline.llm.components import components
+from wakeline.llm.grouped import groups
 from wakeline.llm.staging import staged, unused
 from wakeline.llm.words import LOWER, Chunk, chunks, mix, sequences, span_hashes, words
 
@@ -152,17 +153,14 @@ def set_hashes(text: np.ndarray, gram: np.ndarray, size: np.ndarray) -> np.ndarr
 
 
 def _batch_signatures(texts: pa.Array, n: int, percent: int) -> tuple[np.ndarray, ...]:
-    """Set sizes and nodes of the rows of a batch; then, by signature and node: signature,
-    node, class, nodes of the signature in this batch, and whether the node is the first."""
-    sizes, nodes, parts = [], [], []
+    """By signature and node: signature, node, class, and at the first node of a signature
+    how many nodes of the batch have it, 0 at the others."""
+    parts = []
     for chunk in chunks(texts):
         text, gram = gram_sets(chunk, n)
         size = np.bincount(text, minlength=chunk.texts)
-        node = set_hashes(text, gram, size)
         owner, sig, kind = signatures(text, gram, size, percent)
-        sizes.append(size)
-        nodes.append(node)
-        parts.append((sig.view(np.int64), node[owner], kind))
+        parts.append((sig.view(np.int64), set_hashes(text, gram, size)[owner], kind))
     none = np.zeros(0, np.int64)
     sig, node, kind = (np.concatenate([p[i] for p in parts] or [none]) for i in range(3))
     order = np.lexsort((node, sig))
@@ -173,49 +171,50 @@ def _batch_signatures(texts: pa.Array, n: int, percent: int) -> tuple[np.ndarray
     head = np.ones(len(sig), bool)
     head[1:] = sig[1:] != sig[:-1]
     at = np.flatnonzero(head)
-    count = np.diff(np.append(at, len(sig)))
-    return np.concatenate(sizes or [none]), np.concatenate(nodes or [none]), sig, node, kind, count, head
+    times = np.zeros(len(sig), np.int64)
+    times[at] = np.diff(np.append(at, len(sig)))
+    return sig, node, kind, times
 
 
-def _describe(n: int, percent: int) -> Callable:
-    """Rows with set size and node, and the nodes of a batch that are not first of a signature."""
+def _describe(n: int) -> Callable:
+    """Rows to their set size and node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, node, sig, member, kind, _, head = _batch_signatures(batch.column("text"), n, percent)
-            rest = int((~head).sum())
-            gone = pa.nulls(rest, batch.column("id").type)
-            none = pa.nulls(len(size), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([batch.column("id"), gone]),
-                    pa.concat_arrays([pa.array(size.astype(np.int64)), pa.nulls(rest, pa.int64())]),
-                    pa.array(np.concatenate((node, member[~head]))),
-                    pa.concat_arrays([none, pa.array(sig[~head])]),
-                    pa.concat_arrays([none, pa.array(kind[~head])]),
-                ],
-                names=["id", "n", "node", "sig", "kind"],
-            )
+            for chunk in chunks(batch.column("text")):
+                text, gram = gram_sets(chunk, n)
+                size = np.bincount(text, minlength=chunk.texts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id").slice(chunk.first, chunk.texts),
+                        pa.array(size.astype(np.int64)),
+                        pa.array(set_hashes(text, gram, size)),
+                    ],
+                    names=["id", "n", "node"],
+                )
 
     return run
 
 
-def _first_nodes(n: int, percent: int) -> Callable:
-    """One row for each signature of a batch: its first node and how many nodes it has here."""
+def _part_rows(n: int, percent: int) -> Callable:
+    """Signatures of a batch: one row each with its first node and how many nodes it has here
+    (``times``), to be dealt by signature; and a row of 0 times for every other node, which
+    is known to share it and is dealt by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, _, sig, node, kind, count, head = _batch_signatures(batch.column("text"), n, percent)
+            sig, node, kind, times = _batch_signatures(batch.column("text"), n, percent)
+            deal = np.where(times > 0, sig, mix((sig ^ node).view(_U)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sig[head]), pa.array(node[head]), pa.array(kind[head]), pa.array(count)],
-                names=["sig", "node", "kind", "times"],
+                [pa.array(x) for x in (deal, sig, node, kind, times)], names=["deal", "sig", "node", "kind", "times"]
             )
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by signature to those whose signature several nodes have, with their sum.
+    """Rows sorted by signature to those whose signature several nodes have: first nodes with
+    the sum of times, others as they are.
 
     What is held back between batches is one signature: a row for each batch of documents
     that has it, at most.
@@ -238,6 +237,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = None
     for batch in batches:
         new = [batch.column(c).to_numpy() for c in names]
+        first = new[3] > 0
+        yield pa.RecordBatch.from_arrays([pa.array(x[~first]) for x in new], names=names)
+        new = [x[first] for x in new]
         held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
         if len(held[0]):
             last = int(np.searchsorted(held[0], held[0][-1], side="left"))
@@ -371,17 +373,10 @@ def _blocks(percent: int) -> Callable:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, members = None, {}
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("block", "node", "label", "grams")]
-            for block, node, label, grams in zip(*columns):
-                if block != now:
-                    if len(members) > 1:
-                        yield links_of(members)
-                    now, members = block, {}
-                members[node] = (label, grams)
-        if len(members) > 1:
-            yield links_of(members)
+        for rows in groups(batches, ("block", "node", "label", "grams")):
+            members = {node: (label, grams) for _, node, label, grams in rows}
+            if len(members) > 1:
+                yield links_of(members)
 
     return run
 
@@ -452,22 +447,21 @@ def jaccard_components(
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seen = staged(
-        rows.mapInArrow(_describe(n, percent), f"id {kind}, n bigint, node bigint, sig bigint, kind bigint")
-    )
-    described = seen.where("sig is null").select("id", "n", "node")
+    described = staged(rows.mapInArrow(_describe(n), f"id {kind}, n bigint, node bigint"))
     classes = staged(
         described.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     )
 
-    firsts = rows.select("text").mapInArrow(_first_nodes(n, percent), "sig bigint, node bigint, kind bigint, times bigint")
-    firsts = firsts.repartition(parts, "sig").sortWithinPartitions("sig")
-    shared = staged(firsts.mapInArrow(_shared, "sig bigint, node bigint, kind bigint, times bigint"))
-    times = shared.groupBy(F.col("sig").alias("_sig")).agg(F.max("times").alias("times"))
+    columns = "sig bigint, node bigint, kind bigint, times bigint"
+    dealt = rows.select("text").mapInArrow(_part_rows(n, percent), f"deal bigint, {columns}")
+    dealt = dealt.repartition(parts, "deal").sortWithinPartitions("sig")
+    shared = staged(dealt.mapInArrow(_shared, columns))
+    firsts = shared.where("times > 0")
+    times = firsts.groupBy(F.col("sig").alias("_sig")).agg(F.max("times").alias("times"))
     # A merge join at every size: it splits the nodes of a signature that many sets share.
-    others = seen.where("sig is not null").select("sig", "node", "kind")
+    others = shared.where("times = 0").drop("times")
     others = others.join(staged(times).hint("merge"), F.col("sig") == F.col("_sig"))
-    found = shared.unionByName(others.drop("_sig")).distinct()
+    found = firsts.unionByName(others.drop("_sig")).distinct()
     own = W.partitionBy("node", "kind")
     ranked = found.select(
         "sig",

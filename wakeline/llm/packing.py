@@ -114,7 +114,7 @@ class Places:
 _PIECES = "part bigint, id {}, piece int, start bigint, length bigint, ids_crc32 bigint, nth bigint{}"
 
 
-def _pieces(path: str, capacity: int, closing: int, with_ids: bool, id_type: pa.DataType) -> Callable:
+def _pieces(path: str, capacity: int, closing: int, with_ids: bool) -> Callable:
     """Texts to pieces; ``part`` and ``nth`` number the pieces of a length within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,7 @@ def pack(
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = _PIECES.format(kind, ", ids binary" if with_ids else "")
-    pieces = staged(rows.mapInArrow(_pieces(path or default_path(), capacity, closing, with_ids, None), schema))
+    pieces = staged(rows.mapInArrow(_pieces(path or default_path(), capacity, closing, with_ids), schema))
     counts = staged(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")))
     # One row per length: at most ``capacity``.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm.fm_index import FMIndex
+from wakeline.llm.grouped import groups
 from wakeline.llm.staging import staged
 from wakeline.llm.words import Chunk, chunks, mix, sequences, span_hashes, words
 
@@ -236,16 +237,8 @@ def _search(window: int) -> Callable:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in _RUN_NAMES)):
-                if row[0] != now:
-                    if held:
-                        yield results(held)
-                    now, held = row[0], []
-                held.append(row)
-        if held:
-            yield results(held)
+        for rows in groups(batches, _RUN_NAMES):
+            yield results(rows)
 
     return run
 
