@@ -15,8 +15,9 @@ elsewhere links with nothing: texts that only share passages go no further than
    all documents share grow with the batches; the others of the batch follow it by a join
    that can split them.
 2. Signatures found in several nodes are ranked per node, the spare ones dropped, and nodes
-   that still share a signature form the star of the least of them. Stars are cut into blocks
-   of about ``BLOCK`` grams, each with the centre; a block is one trie.
+   that still share a signature form the star of the least of them; stars that overlap much
+   become one family. Stars and families are cut into blocks of about ``BLOCK`` grams, each
+   with the centre; a block is one trie.
 3. In a block all sets walk the trie together. The overlap along a shared path is counted
    once, and a subtree is left when the overlap so far and the lengths that remain, in the set
    and below the node, cannot reach what the smallest set below needs. Subtrees that are
@@ -47,7 +48,7 @@ from wakeline.llm.grouped import groups
 from wakeline.llm.staging import staged, unused
 from wakeline.llm.words import LOWER, Chunk, chunks, mix, sequences, span_hashes, words
 
-BLOCK = 1 << 19
+BLOCK = 1 << 20
 _U = np.uint64
 
 
@@ -390,6 +391,23 @@ def _joined_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     return rows.mapInArrow(_blocks(percent), "u bigint, v bigint")
 
 
+def _families(stars: DataFrame, block: int) -> DataFrame:
+    """Stars that overlap put together, where that moves less than the stars do.
+
+    The stars of a component of candidates become one family if its grams, times the blocks
+    they take, are no more than the grams of its stars. Others stay stars, so a component that
+    grows with the corpus costs no more than its stars.
+    """
+    label = staged(components(stars.select(F.col("pivot").alias("u"), F.col("node").alias("v"))))
+    placed = stars.join(label.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
+    moved = placed.groupBy("label").agg(F.sum("n").alias("by_star"))
+    whole = placed.select("label", "node", "n").distinct().groupBy(F.col("label").alias("_l")).agg(F.sum("n").alias("grams"))
+    cost = F.col("grams") * F.ceil(F.col("grams") / block)
+    whole = staged(moved.join(whole, F.col("label") == F.col("_l")).where(cost <= F.col("by_star")).select("_l"))
+    family = placed.join(whole, F.col("label") == F.col("_l"), "left")
+    return family.select(F.coalesce("_l", "pivot").alias("pivot"), "node", "n").distinct()
+
+
 def _finish(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Links between components of the stars that took several blocks.
 
@@ -475,6 +493,7 @@ def jaccard_components(
     stars = kept.join(pivots.hint("merge"), F.col("sig") == F.col("_sig")).select("pivot", "node").distinct()
     sized = classes.select(F.col("node").alias("_n"), "n")
     stars = staged(stars.join(sized, F.col("node") == F.col("_n")).drop("_n"))
+    stars = staged(_families(stars, block))
 
     wanted = stars.select(F.col("node").alias("_w")).distinct().join(classes, F.col("_w") == F.col("node"))
     wanted = staged(wanted.select(F.col("node").alias("_w"), F.col("rep").alias("_rep")))
