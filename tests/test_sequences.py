@@ -64,7 +64,7 @@ def test_binary_debounce_equals_fold(spark, params, rows):
 
 def test_debounce_rejects_bad_input(spark):
     df = spark.createDataFrame([(1, 0, 5)], "s int, frame long, level int")
-    with pytest.raises(Exception, match="fatigue level"):
+    with pytest.raises(Exception, match="no such fatigue level"):
         alerts.debounce(df, ["s"], "frame", "level").collect()
     with pytest.raises(ValueError):
         alerts.debounce(df, ["s"], "frame", "level", 0, 1, 1)

@@ -74,7 +74,7 @@ def test_replay_literals(spark):
     assert r.drowsy_detection_rate == 0.5
     assert r.median_time_to_first_alert_s == 20.0
     wrong = clips.withColumn("label", F.lit("asleep"))
-    with pytest.raises(Exception, match="unknown clip label"):
+    with pytest.raises(Exception, match="no clip is labelled"):
         sweeps.replay_summary(rises, wrong, ["s"], ["p"], grid, 10.0).collect()
 
 

@@ -55,7 +55,7 @@ def iris_offset(landmarks: Column, eye: str) -> Column:
     """Iris centre from the socket centre, in socket widths; (0, 0) for no width."""
     eyes = {"left": (LEFT_EYE, LEFT_IRIS), "right": (RIGHT_EYE, RIGHT_IRIS)}
     if eye not in eyes:
-        raise ValueError(f"eye must be 'left' or 'right', got {eye!r}")
+        raise ValueError(f"a face has no {eye!r} eye")
     contour, iris = eyes[eye]
     return socket_offset(
         F.get(landmarks, F.lit(contour[0])),

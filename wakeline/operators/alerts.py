@@ -43,7 +43,7 @@ from wakeline.schemas import AUDIBLE, NONE, SAFE_ACTIVITY, VISUAL
 
 def check_steps(*steps: int) -> None:
     if min(steps) <= 0:
-        raise ValueError("step thresholds must be positive")
+        raise ValueError("steps of a track count from one")
 
 
 # --- Debounced tracks (fatigue levels 0/1/2 and the binary distraction track) -----------
@@ -140,7 +140,7 @@ def debounce(
 ) -> DataFrame:
     """Fatigue track: adds ``committed`` (0/1/2) and ``tier`` (0..3) to dense frames."""
     valid = F.when(F.col(level).isin(0, 1, 2), F.col(level).cast("int")).otherwise(
-        F.raise_error(F.concat(F.lit("fatigue level must be 0, 1 or 2, got "), F.col(level)))
+        F.raise_error(F.concat(F.lit("no such fatigue level: "), F.col(level)))
     )
     checked = df.withColumn(level, valid)
     out = _debounced(checked, keys, frame, level, 2, escalate, de_escalate, alarm_after, rows)
@@ -243,7 +243,7 @@ def majority_smooth(
     looked up without it.
     """
     if window_us <= 0:
-        raise ValueError(f"window must be positive, got {window_us}")
+        raise ValueError(f"votes cannot be taken over {window_us} microseconds")
     if zones is None:  # a vocabulary of places to look at, a handful of words
         found = df.select(F.col(zone).alias("z")).where("z is not null").distinct().orderBy("z").collect()
         zones = [r["z"] for r in found] or ["none"]
@@ -302,9 +302,9 @@ def streak_tier(
 ) -> DataFrame:
     """Tier by the time the flag has been true without a break: VISUAL, then AUDIBLE."""
     if min_us <= 0:
-        raise ValueError(f"min duration must be positive, got {min_us}")
+        raise ValueError(f"a streak of {min_us} microseconds says nothing")
     if audible_us is not None and audible_us < min_us:
-        raise ValueError("the audible duration must not precede the minimum duration")
+        raise ValueError("audible comes no earlier than visual")
     off = F.coalesce(F.col(off_road), F.lit(False))
     base = segment(df.withColumn("_off", off), frame, rows)
     order = W.partitionBy(*within(keys)).orderBy(frame)
@@ -368,11 +368,11 @@ def cadenced_ema(
     becomes one scaled cumulative sum per class.
     """
     if every_n < 1:
-        raise ValueError("every_n must be at least 1")
+        raise ValueError("the classifier runs every frame or less often")
     if not 0.0 < alpha <= 1.0:
-        raise ValueError("alpha must be in (0, 1]")
+        raise ValueError("a smoothing weight lies above 0 and up to 1")
     if safe_label not in labels:
-        raise ValueError(f"safe label {safe_label!r} is not among the labels")
+        raise ValueError(f"{safe_label!r} is none of the activities")
     ran = ((F.col(frame) + 1) % every_n == 0) & F.col(probs).isNotNull()
     flagged = df.withColumn("ran", ran)
     samples = index_rows(

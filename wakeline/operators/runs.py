@@ -104,7 +104,7 @@ def event_runs(
     A value that is NaN or null neither starts a run nor ends one.
     """
     if min_duration < 1:
-        raise ValueError(f"min_duration must be positive, got {min_duration}")
+        raise ValueError(f"an event of {min_duration} frames is none")
     known = F.col(signal).isNotNull() & ~F.isnan(signal)
     base = segment(df, frame, rows).withColumn(
         "_mark", F.when(known, (F.col(signal) >= threshold).cast("int"))

@@ -61,7 +61,7 @@ def leaked_subjects(split: DataFrame, subject: str = "subject_id") -> DataFrame:
 def assert_subject_independent(split: DataFrame, subject: str = "subject_id") -> DataFrame:
     leaked = [r[0] for r in leaked_subjects(split, subject).orderBy(subject).limit(20).collect()]
     if leaked:
-        raise SubjectLeakageError(f"subjects appear in multiple splits: {leaked}")
+        raise SubjectLeakageError(f"not on one side of the split only: {leaked}")
     return split
 
 
@@ -142,14 +142,14 @@ def held_out_rows(df: DataFrame, held_out: str, subject: str = "subject_id") ->
 def union_manifests(*manifests: DataFrame, strict: bool = True, key: str = "sample_id") -> DataFrame:
     """Concatenate manifests; a sample id found twice is an error."""
     if not manifests:
-        raise ValueError("no manifests given")
+        raise ValueError("a union needs a manifest")
     out = manifests[0]
     for other in manifests[1:]:
         out = out.unionByName(other)
     if strict:
         twice = [r[0] for r in duplicate_ids(out, key).limit(5).collect()]
         if twice:
-            raise ValueError(f"duplicate sample id across manifests: {twice}")
+            raise ValueError(f"sample ids that two manifests share: {twice}")
     return out
 
 

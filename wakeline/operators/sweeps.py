@@ -139,7 +139,7 @@ def replay_summary(
     enter through the totals, so clips and grid are never multiplied.
     """
     label = F.col("label")
-    unknown = F.raise_error(F.concat(F.lit("unknown clip label: "), label))
+    unknown = F.raise_error(F.concat(F.lit("no clip is labelled "), label))
     known = F.when(label.isin("alert", "low_vigilance", "drowsy"), label).otherwise(unknown)
     checked = clips.withColumn("label", known)
     drowsy, alert_only = label == "drowsy", label == "alert"
@@ -232,7 +232,7 @@ def select_alert_params(
     whole_grid = W.partitionBy(F.lit(0))
     bar = F.max(F.when(is_default, F.col("drowsy_detection_rate"))).over(whole_grid)
     if strict:
-        missing = F.raise_error(F.lit("sweep rows must include the default parameters"))
+        missing = F.raise_error(F.lit("the sweep lacks the default parameters"))
         no_rate = F.raise_error(F.lit("the baseline row has no drowsy clips"))
         defaults = F.count_if(is_default).over(whole_grid)
         bar = (

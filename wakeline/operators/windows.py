@@ -15,7 +15,7 @@ from wakeline.operators.segments import SEGMENT_ROWS, halo, own_rows, within
 
 def _check_window(size: int, stride: int) -> None:
     if size <= 0 or stride <= 0:
-        raise ValueError("window size and stride must be positive")
+        raise ValueError("windows hold and move by at least one frame")
 
 
 def rolling_window(
@@ -28,7 +28,7 @@ def rolling_window(
 ) -> DataFrame:
     """The last ``capacity`` rows at every row, oldest first: ``window`` and ``is_full``."""
     if capacity <= 0:
-        raise ValueError("capacity must be positive")
+        raise ValueError("a rolling window holds at least one frame")
     if not columns:
         raise ValueError("a window needs at least one column")
     wide = halo(df, frame, before=capacity - 1, rows=rows)
@@ -249,7 +249,7 @@ def gate_with_margin(
 ) -> DataFrame:
     """Rows within ``margin`` rows of one at or above the gate that have a crop."""
     if margin < 0:
-        raise ValueError(f"margin must not be negative, got {margin}")
+        raise ValueError(f"a margin of {margin} frames reaches nowhere")
     wide = halo(df, frame, before=margin, after=margin, rows=rows)
     around = W.partitionBy(*within(keys)).orderBy(frame).rowsBetween(-margin, margin)
     near = F.max(in_state(F.col(signal), gate, "above")).over(around)

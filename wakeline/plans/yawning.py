@@ -40,7 +40,7 @@ def longest_runs(
 
 def score_videos(longest: DataFrame, min_duration: int = 1, label: str = "label") -> DataFrame:
     if min_duration < 1:
-        raise ValueError(f"min_duration must be positive, got {min_duration}")
+        raise ValueError(f"an event of {min_duration} frames is none")
     return video_report(longest, label, F.col("longest") >= min_duration).withColumn(
         "min_duration", F.lit(min_duration)
     )

@@ -143,10 +143,10 @@ RECORDING_RATIOS = (0.7, 0.0, 0.3)
 WINDOW_GRID = ((100, 50), (150, 75), (200, 100), (150, 50))
 
 # File names: `<num>-<Gender><Glasses>[-<Action>].avi`, annotation and video endings.
-FACE_NAME = (
-    r"^(\d+)-(Male|Female)(NoGlasses|SunGlasses|GlassesBeard|Glassesmoustache|Glasses)"
-    r"(?:-([A-Za-z&]+))?\s*(?:\.avi)+$"
-)
+# The words of a face video's name.
+_GENDERS = ("Male", "Female")
+_GLASSES = ("NoGlasses", "SunGlasses", "GlassesBeard", "Glassesmoustache", "Glasses")
+FACE_NAME = rf"^([0-9]+)-({'|'.join(_GENDERS)})({'|'.join(_GLASSES)})(?:-([&A-Za-z]+))?\s*(?:[.]avi)+$"
 ALL_ACTIVITIES = "AllActivities"
 ANNOTATION_SUFFIX = "_rgb_ann_distraction.json"
 BODY_SUFFIX = "_rgb_body.mp4"

@@ -91,7 +91,7 @@ def parse_face_videos(files: DataFrame, camera: str, strict: bool = True) -> Dat
     activities. An unrecognised name is an error, or dropped when not strict.
     """
     if camera not in ("mirror", "dash"):
-        raise ValueError(f"unknown camera {camera!r}; expected 'mirror' or 'dash'")
+        raise ValueError(f"videos come from the mirror or the dash, not from {camera!r}")
     name = file_name(F.col("path"))
     part = lambda i: F.regexp_extract(name, FACE_NAME, i)
     # Capitalised as a word: first letter upper, the rest lower.

@@ -53,7 +53,7 @@ def gaze_corpus(
     recording when ``interval_key`` names the annotated interval, else as stored.
     """
     if strict and recordings.isEmpty():
-        raise FileNotFoundError("no gaze feature rows found")
+        raise FileNotFoundError("the gaze corpus is empty")
     if interval_key is None:
         return recordings.withColumn("interval", F.struct("recording", "interval_id"))
     ids = first_seen_ids(recordings, ["recording"], "frame", interval_key)
@@ -142,6 +142,6 @@ def verify_checksums(files: DataFrame, expected: DataFrame) -> None:
     bad = checksum_status(files, expected).filter(F.col("status") != "ok").limit(5).collect()
     missing = [r["name"] for r in bad if r["status"] == "missing"]
     if missing:
-        raise FileNotFoundError(f"expected dataset files not found: {missing}")
+        raise FileNotFoundError(f"files of the dataset that are not there: {missing}")
     if bad:
-        raise ValueError(f"checksum mismatch for {[r['name'] for r in bad]}")
+        raise ValueError(f"mismatch of contents and checksum: {[r['name'] for r in bad]}")

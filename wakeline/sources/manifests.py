@@ -47,7 +47,7 @@ def read_interval_manifest(spark: SparkSession, path: str | list[str]) -> DataFr
     header = spark.read.options(**options).csv(path).columns
     wanted = [f.name for f in INTERVAL_MANIFEST.fields]
     if header != wanted:
-        raise ValueError(f"unexpected interval manifest header: {header}")
+        raise ValueError(f"an interval manifest has another header than {header}")
     # Every file is checked against the schema, and a value that is no number is an error.
     return (
         spark.read.options(**options, enforceSchema=False, mode="FAILFAST")
@@ -126,10 +126,10 @@ def build_dataset_splits(
 ) -> DataFrame:
     """Build, split, check and write one dataset's manifest."""
     if dataset not in builders:
-        raise ValueError(f"unknown dataset {dataset!r}; expected one of {sorted(builders)}")
+        raise ValueError(f"no builder for dataset {dataset!r}, only for {sorted(builders)}")
     manifest = builders[dataset](spark, root)
     if manifest.isEmpty():
-        raise ValueError(f"no samples found under {root!r}; check the dataset path and layout")
+        raise ValueError(f"{root!r} holds no samples in the layout of this dataset")
     split = assert_subject_independent(subject_independent_split(manifest, ratios, seed))
     SPLIT_WRITERS.get(dataset, write_split)(split, out_dir, seed)
     return split

@@ -96,9 +96,9 @@ class MonitorConfig:
         if self.window <= 0:
             raise ValueError("a window holds at least one frame")
         if self.every_n < 1 or not 0.0 < self.alpha <= 1.0:
-            raise ValueError("every_n must be at least 1 and alpha in (0, 1]")
+            raise ValueError("the cadence counts from one and the weight lies above 0 and up to 1")
         if self.safe_label not in self.labels:
-            raise ValueError(f"safe label {self.safe_label!r} is not among the labels")
+            raise ValueError(f"{self.safe_label!r} is none of the activities")
         if self.gaze_min_s is not None:
             if self.gaze_min_s <= 0 or self.gaze_vote_s <= 0:
                 raise ValueError("gaze times are longer than nothing")
