@@ -95,7 +95,7 @@ def class_parts(firsts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarra
     """
     top = firsts[1:] - 1
     differ = (top + 100 * top // percent) * (100 - percent) // (100 + percent)
-    spare = 2 + differ // 8
+    spare = 2 + differ // 3
     return np.where(differ > 0, differ + 1 + spare, 0), spare
 
 
