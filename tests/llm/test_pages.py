@@ -135,3 +135,44 @@ def test_probabilities_sum_to_one():
     assert len(contexts) == url_model.ORDERS and all(len(c) == 7 for c in contexts)
     assert models.scores(chunk).tolist() == [0.0, 0.0]
     del rng
+
+
+def test_url_scores_are_exact(spark):
+    import math
+    import zlib
+    from collections import Counter
+
+    rng = random.Random(4)
+    paths = ["/fr/", "/de/", "/x/"]
+    urls = ["http://h.com" + rng.choice(paths) + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789é") for _ in range(30)) for _ in range(600)]
+    urls += urls[:40]
+    pad = lambda u: [257] * 4 + list(u.encode()) + [256]
+    pairs = [Counter(), Counter()]
+    for u in urls:
+        verdict = rule_of(u)[3]
+        if verdict and zlib.crc32(u.encode()) % url_model.FOLDS:
+            s = pad(u)
+            pairs[verdict == "allow"].update((tuple(s[i - k : i]), s[i]) for i in range(4, len(s)) for k in range(5))
+    totals, kinds = [Counter(), Counter()], [Counter(), Counter()]
+    for m in (0, 1):
+        for (context, _), n in pairs[m].items():
+            totals[m][context] += n
+            kinds[m][context] += 1
+
+    def score(u):
+        s, total = pad(u), 0.0
+        for i in range(4, len(s)):
+            for m in (0, 1):
+                p = 1 / 257
+                for k in range(5):
+                    c = tuple(s[i - k : i])
+                    if totals[m][c]:
+                        p = (pairs[m][c, s[i]] + kinds[m][c] * p) / (totals[m][c] + kinds[m][c])
+                total += math.log(p) * (1 if m else -1)
+        return total / (len(s) - 4)
+
+    rows = list(enumerate(urls))
+    for hot in (1, 100, 1 << 20):
+        got = url_model.judge(frame(spark, rows, "page_id bigint, url string"), URL_RULES, hot=hot).collect()
+        assert len(got) == len(rows)
+        assert max(abs(r.score - score(urls[r.page_id])) for r in got) < 1e-9
