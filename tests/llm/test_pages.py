@@ -51,6 +51,20 @@ def test_host_boilerplate_goes(spark):
     assert got[99] == f"{top}\n{bottom}"
 
 
+def test_notice_on_few_pages_of_a_hot_host_goes(spark):
+    rng = random.Random(5)
+    vocab = vocabulary(3000, 1)
+    notice = "This page was moved here from the old site"
+    rows, want = [], {}
+    for i in range(60):
+        own = " ".join(rng.choice(vocab) for _ in range(30))
+        rows.append((i, f"http://hot.org/{i}", f"<div>{own}</div>" + (f"<p>{notice}</p>" if i % 20 == 0 else "")))
+        want[i] = own
+    df = frame(spark, rows, "page_id bigint, url string, html string")
+    for cut in (4, 256):
+        assert {r.page_id: r.text for r in html_text.main_texts(df, host_pages=cut).collect()} == want
+
+
 def test_shared_words_match_plain_count():
     rng = random.Random(2)
     pages = [[" ".join(rng.choice("ab") for _ in range(rng.randint(1, 12))) for _ in range(3)] for _ in range(6)]

@@ -1,16 +1,14 @@
-"""Main text of web pages, with boilerplate found by a suffix array per host.
+"""Main text of web pages, without the boilerplate that pages of a host share.
 
 1. A page is read into blocks: the text between block-level tags, outside scripts, styles,
    navigation, headers, footers, asides, forms and elements whose class, id or role names
    such a part, a notice, an advert or comments. Blocks inside an ``article`` or ``main``
-   element are the page's body if any of them has text; else all blocks are candidates.
-2. The pages of a host are put together, at most ``HOST_PAGES`` at a time, as one stream of
-   words with a mark at each block's end. In its suffix order equal passages are neighbours,
-   so stretches of ``PASSAGE`` words or more that several distinct pages share are found in
-   one walk.
-3. Words that such stretches cover are boilerplate where a page has no body element, if
-   ``SHARED`` pages or more have them; inside one only if most pages (``EVERYWHERE`` of them,
-   and ``MANY`` pages at least) do. Covered words go, unique runs stay.
+   element are the page's body if any of them has text, and stay; else all blocks are
+   candidates.
+2. A run is the fewest whole blocks, from one on or up to one, with ``PASSAGE`` words or more.
+   The runs of all pages of a host without a body element are counted by 128-bit digest, each
+   once for every distinct page text, over the whole cluster: no host is cut.
+3. Blocks of runs that ``SHARED`` distinct page texts or more of the host have are boilerplate.
 
 Defined results: null and empty pages have empty text; null or odd URLs are one host; a tag
 that is never closed ends where an article begins, or with the page; text that is not markup
@@ -20,9 +18,10 @@ columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm.fm_index import suffix_order
-from wakeline.llm.grouped import groups
 from wakeline.llm.staging import staged
 from wakeline.llm.url_model import host_and_path
 
 HOST_PAGES = 256
 PASSAGE = 6
 SHARED = 3
-MANY = 16
-EVERYWHERE = 0.8
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -133,13 +129,53 @@ def page_blocks(page: str) -> tuple[list[str], bool]:
     return (inside, True) if inside else ([text for text, _ in found], False)
 
 
+def _digest(host: str, blocks: list[str]) -> bytes:
+    return hashlib.blake2b("\n".join((host, *blocks)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def runs(sizes: list[int], passage: int = PASSAGE) -> list[tuple[int, int]]:
+    """First and last block of the shortest runs of ``passage`` words from and up to each block."""
+    out = set()
+    for i in range(len(sizes)):
+        for step, stop in ((1, len(sizes)), (-1, -1)):
+            words = 0
+            for j in range(i, stop, step):
+                words += sizes[j]
+                if words >= passage:
+                    out.add((min(i, j), max(i, j)))
+                    break
+    return sorted(out)
+
+
+_RUNS = pa.schema(
+    [("content", pa.binary()), ("run", pa.binary()), ("first", pa.int32()), ("words", pa.list_(pa.int32())), ("total", pa.int64())]
+)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of the pages without a body element: page text, run, first block, words of its
+    blocks, and words of the page."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            found, body = page_blocks(page or "")
+            if body:
+                continue
+            sizes = [len(b.split()) for b in found]
+            content, total = _digest(host, found), sum(sizes)
+            rows += [(content, _digest(host, found[i : j + 1]), i, sizes[i : j + 1], total) for i, j in runs(sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_RUNS)], schema=_RUNS)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         read = [page_blocks(p.as_py() or "") for p in batch.column("html")]
-        kept = [n for n in batch.schema.names if n != "html"]
+        # Only equality with the text of a page without a body element matters.
+        content = [None if body else _digest(h.as_py(), found) for h, (found, body) in zip(batch.column("host"), read)]
+        kept = [n for n in batch.schema.names if n not in ("html", "host")]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(n) for n in kept), pa.array([r[0] for r in read], pa.list_(pa.string())), pa.array([r[1] for r in read], pa.bool_())],
-            names=[*kept, "blocks", "body"],
+            [*(batch.column(n) for n in kept), pa.array([r[0] for r in read], pa.list_(pa.string())), pa.array(content, pa.binary())],
+            names=[*kept, "blocks", "content"],
         )
 
 
@@ -168,44 +204,40 @@ def shared_words(pages: list[list[str]], passage: int = PASSAGE) -> list[np.ndar
     return [most[(page_of == p) & (symbols > 0)] for p in range(len(pages))]
 
 
-def clean(pages: list[tuple[list[str], bool]]) -> list[str]:
-    """Main texts of pages of one host."""
-    if not any(p for p, _ in pages):
-        return ["" for _ in pages]
-    most = shared_words([p for p, _ in pages])
-    everywhere = max(MANY, EVERYWHERE * len(pages))
-    out = []
-    for (page, body), covered in zip(pages, most):
-        gone = covered >= (everywhere if body else SHARED)
-        if not gone.any():
-            out.append("\n".join(page))
-            continue
-        lines, at = [], 0
-        for block in page:
-            words = block.split()
-            left = [w for w, g in zip(words, gone[at : at + len(words)]) if not g]
-            at += len(words)
-            if left:
-                lines.append(" ".join(left))
-        out.append("\n".join(lines))
-    return out
+def _spread(found: DataFrame) -> DataFrame:
+    """Runs that enough distinct page texts have."""
+    n = found.groupBy(F.col("run").alias("_run")).agg(F.countDistinct("content").alias("n"))
+    return n.where(F.col("n") >= SHARED).select("_run")
+
+
+def _blocks_of(found: DataFrame) -> DataFrame:
+    """``content, total, block, n`` of every block in the runs, once."""
+    each = found.select("content", "total", "first", F.posexplode("words").alias("at", "n"))
+    return each.select("content", "total", (F.col("first") + F.col("at")).alias("block"), "n").distinct()
+
 
+def boilerplate(rows: DataFrame) -> DataFrame:
+    """``content, gone`` (block numbers) of the page texts that have boilerplate, from ``host, html``."""
+    found = rows.select("host", "html").mapInArrow(_runs, "content binary, run binary, first int, words array<int>, total bigint")
+    found = staged(found.distinct())
+    shared = staged(found.join(_spread(found), F.col("run") == F.col("_run"), "left_semi"))
+    return staged(_blocks_of(shared).groupBy("content").agg(F.collect_list("block").alias("gone")))
 
-def _clean(id_type: pa.DataType) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in groups(batches, ("host", "slot", "id", "url", "blocks", "body"), key=2):
-            texts = clean([(r[4], r[5]) for r in rows])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[2] for r in rows], id_type),
-                    pa.array([r[3] for r in rows], pa.string()),
-                    pa.array(texts, pa.string()),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                ],
-                names=["id", "url", "text", "n_chars"],
-            )
 
-    return run
+def left_blocks(blocks: list[str], gone: list[int] | None) -> list[str]:
+    """Blocks of a page without its boilerplate."""
+    out = set(gone or ())
+    return [b for i, b in enumerate(blocks) if i not in out]
+
+
+def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pages = zip(batch.column("blocks").to_pylist(), batch.column("gone").to_pylist())
+        texts = ["\n".join(left_blocks(b, g)) for b, g in pages]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+            names=["id", "url", "text", "n_chars"],
+        )
 
 
 def main_texts(
@@ -213,18 +245,17 @@ def main_texts(
 ) -> DataFrame:
     """``id, url, text, n_chars`` of every row.
 
-    A host with more than ``host_pages`` pages is cut by page, so that no task holds more;
-    passages that most of its pages share are in every cut.
+    Counts are those of whole hosts; ``host_pages`` is accepted for earlier callers, and the
+    result does not depend on it.
     """
     rows = pages.select(
         F.col(id).cast("bigint").alias("id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html")
     )
     rows = rows.withColumn("host", host_and_path("url")[0])
-    cuts = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / host_pages).alias("cuts"))
-    cuts = staged(cuts.withColumnRenamed("host", "_host"))
-    slot = F.pmod(F.xxhash64("id", "url"), F.col("cuts"))
-    read = rows.mapInArrow(_read, "id bigint, url string, host string, blocks array<string>, body boolean")
-    cut = read.join(cuts, F.col("host") == F.col("_host")).withColumn("slot", slot).drop("_host", "cuts")
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = cut.repartition(parts, "host", "slot").sortWithinPartitions("host", "slot", "id", "url")
-    return cut.mapInArrow(_clean(pa.int64()), "id bigint, url string, text string, n_chars bigint").withColumnRenamed("id", id)
+    gone = boilerplate(rows).withColumnRenamed("content", "_content")
+    read = rows.mapInArrow(_read, "id bigint, url string, blocks array<string>, content binary")
+    # Pages with a body element get keys of their own, so that a join by shuffle deals them evenly.
+    key = F.coalesce("content", F.encode(F.concat_ws(" ", F.lit("body"), "id", "url"), "UTF-8"))
+    read = read.withColumn("content", key).join(gone, F.col("content") == F.col("_content"), "left")
+    out = read.select("id", "url", "blocks", "gone").mapInArrow(_write, "id bigint, url string, text string, n_chars bigint")
+    return out.withColumnRenamed("id", id)
