@@ -65,6 +65,34 @@ def test_notice_on_few_pages_of_a_hot_host_goes(spark):
         assert {r.page_id: r.text for r in html_text.main_texts(df, host_pages=cut).collect()} == want
 
 
+def test_article_text_stays(spark):
+    rng = random.Random(6)
+    vocab = vocabulary(3000, 1)
+    some = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    lines = lambda *blocks: "".join(f"<p>{b}</p>" for b in blocks)
+    phrase, bar, told = "in the course of the last year", "Home News Sport Weather Shop About", some(40)
+    copy, near, rows, want = some(50), [some(40) for _ in range(4)], [], {}
+
+    def add(host, page, *text):
+        rows.append((len(rows), f"http://{host}/{len(rows)}", page))
+        want[len(rows) - 1] = "\n".join(text)
+
+    for i in range(6):
+        add("copies.org", lines(copy), copy)
+        date = f"seen {i} times"
+        add("near.org", lines(bar, *near, date), *near, date)
+        sentence = f"{some(20)} {phrase} {some(20)}"
+        add("phrases.org", lines(sentence), sentence)
+        own = some(60)
+        add("near.org", lines(bar, own), own)
+    add("near.org", lines(bar), bar)
+    for i in range(20):
+        text = told if i < 18 else some(40)
+        add("told.org", f"<article>{lines(text)}</article>", text)
+    df = frame(spark, rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html_text.main_texts(df).collect()} == want
+
+
 def test_shared_words_match_plain_count():
     rng = random.Random(2)
     pages = [[" ".join(rng.choice("ab") for _ in range(rng.randint(1, 12))) for _ in range(3)] for _ in range(6)]

@@ -8,7 +8,10 @@
 2. A run is the fewest whole blocks, from one on or up to one, with ``PASSAGE`` words or more.
    The runs of all pages of a host without a body element are counted by 128-bit digest, each
    once for every distinct page text, over the whole cluster: no host is cut.
-3. Blocks of runs that ``SHARED`` distinct page texts or more of the host have are boilerplate.
+3. A page text counts only if a fifth of its words (``OWN``) or more are outside the runs that
+   ``SHARED`` texts have: copies and near copies of a page say nothing of its parts.
+4. Blocks of runs that ``SHARED`` such texts or more of the host have are boilerplate and go,
+   unless the page would have no text left.
 
 Defined results: null and empty pages have empty text; null or odd URLs are one host; a tag
 that is never closed ends where an article begins, or with the page; text that is not markup
@@ -35,6 +38,7 @@ from wakeline.llm.url_model import host_and_path
 HOST_PAGES = 256
 PASSAGE = 6
 SHARED = 3
+OWN = 0.2
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -221,13 +225,17 @@ def boilerplate(rows: DataFrame) -> DataFrame:
     found = rows.select("host", "html").mapInArrow(_runs, "content binary, run binary, first int, words array<int>, total bigint")
     found = staged(found.distinct())
     shared = staged(found.join(_spread(found), F.col("run") == F.col("_run"), "left_semi"))
+    covered = _blocks_of(shared).groupBy(F.col("content").alias("_c"), "total").agg(F.sum("n").alias("covered"))
+    voters = covered.where(F.col("total") - F.col("covered") >= OWN * F.col("total")).select("_c")
+    voted = staged(_spread(shared.join(voters, F.col("content") == F.col("_c"), "left_semi")))
+    shared = shared.join(voted, F.col("run") == F.col("_run"), "left_semi")
     return staged(_blocks_of(shared).groupBy("content").agg(F.collect_list("block").alias("gone")))
 
 
 def left_blocks(blocks: list[str], gone: list[int] | None) -> list[str]:
-    """Blocks of a page without its boilerplate."""
+    """Blocks of a page without its boilerplate; all of them if nothing else is there."""
     out = set(gone or ())
-    return [b for i, b in enumerate(blocks) if i not in out]
+    return [b for i, b in enumerate(blocks) if i not in out] or blocks
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
