@@ -120,3 +120,25 @@ def test_one_of_each_group_stays(spark):
     want = expected(rows, 5, 80)
     assert out.columns == frame(spark, rows).columns
     assert sorted(r.doc_id for r in out.collect()) == sorted({c for _, _, c in want})
+
+
+def test_repeated_ids_are_told_apart(spark):
+    rng = random.Random(9)
+    vocab = vocabulary(3000, 9)
+    some = [" ".join(rng.choice(vocab) for _ in range(60)) for _ in range(7)]
+    rows = [
+        (1, some[0]), (1, some[0]), (1, some[0]), (2, some[0]),  # repeated rows of the least id
+        (3, some[1]), (4, some[1]), (4, some[2]),  # an id with a copy and an unrelated text
+        (5, some[3]), (6, some[3]), (5, some[4]), (7, some[4]),  # two groups with one least id
+        (8, some[5]), (8, some[5] + " more"), (8, some[5].upper()), (9, some[5]),  # one id, near copies
+        (10, some[6]), (10, some[6]),  # repeated rows without another copy
+        (11, ""), (11, ""), (None, some[0]), (None, some[0]),
+    ]
+    docs = frame(spark, [(*r, "en", f"s{i}") for i, r in enumerate(rows)])
+    out = jt.keep_first(docs, n=5, percent=80)
+    assert out.columns == docs.columns
+    out = out.collect()
+    eights = [r.text for r in out if r.doc_id == 8]
+    assert len(eights) == 1 and eights[0].lower().startswith(some[5])
+    want = [(1, some[0]), (3, some[1]), (4, some[2]), (5, some[3]), (5, some[4]), (10, some[6]), (11, ""), (11, ""), (None, some[0]), (None, some[0])]
+    assert sorted(((r.doc_id, r.text) for r in out if r.doc_id != 8), key=str) == sorted(want, key=str)

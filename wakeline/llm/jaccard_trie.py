@@ -535,11 +535,22 @@ def jaccard_components(
 
 
 def keep_first(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """One row of each group of near copies: that of the least id; rows unchanged.
+    """One row of each group of near copies: one of the least id; rows unchanged.
 
-    Of rows that share that id one stays; rows without id or without words all stay.
+    The verdict is that of an id and a text, so rows that share an id but not a text are told
+    apart; of texts that share the least id that of the least hash stays, and of its repeated
+    rows one. Rows without id or without words all stay.
     """
-    dropped = unused(docs, "dropped_id")
-    found = jaccard_components(docs, n=n, percent=percent).where("n_shingles > 0 and doc_id <> component_id")
-    found = found.select(F.col("doc_id").alias(dropped)).distinct()
-    return docs.join(found, F.col("doc_id") == F.col(dropped), "left_anti")
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    found = jaccard_components(docs.select(key.alias("doc_id"), "text"), n=n, percent=percent)
+    found = found.where("n_shingles > 0 and not doc_id.missing").groupBy("doc_id").agg(
+        F.min(F.col("doc_id") == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("times")
+    )
+    same, text, mine = unused(docs, "same_id"), unused(docs, "same_text"), unused(docs, "text_hash")
+    found = found.where("not first or times > 1")
+    found = staged(found.select(F.col("doc_id.id").alias(same), F.col("doc_id.text").alias(text), "first"))
+    rows = docs.withColumn(mine, F.xxhash64("text"))
+    on = (F.col("doc_id") == F.col(same)) & (F.col(mine) == F.col(text))
+    once = rows.join(found.select(same, text), on, "left_anti")
+    repeated = rows.join(found.where("first").select(same, text), on, "left_semi").dropDuplicates(["doc_id", mine])
+    return once.unionByName(repeated).drop(mine)
