@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wakeline.llm import fingerprints, html_text, jaccard_trie, mixing, packing, quality, secrets, substrings, token_counts, url_model
+from wakeline.llm import fill_middle, fingerprints, html_text, jaccard_trie, mixing, packing, quality, secrets, substrings, token_counts, url_model
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -216,3 +217,39 @@ def document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_html_extraction")
 def html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.main_texts(table(spark, sf, "pages"))
+
+
+_MIDDLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+  FROM documents),
+drawn AS (
+  SELECT doc_id, t, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS x,
+    CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+        OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+cut AS (
+  SELECT *, array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m,
+    array_to_string(u[greatest(x, y) + 1:n], '') AS s
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM cut"""
+
+
+@query("op13_fill_in_middle", _MIDDLE_SQL)
+def fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf, "documents"))
+    return made.withColumns(
+        {
+            "output_sha256": F.sha2("output", 256),
+            "restored_sha256": F.sha2(fill_middle.restore(F.col("form"), F.col("output")), 256),
+        }
+    ).drop("output")
