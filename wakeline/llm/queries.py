@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import fill_middle, fingerprints, html_text, jaccard_trie, mixing, packing, quality, secrets, substrings, token_counts, url_model
+from wakeline.llm import fill_middle, fingerprints, html_text, jaccard_trie, mixing, packing, quality, secrets, substrings, token_counts, url_model, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -253,3 +253,11 @@ def fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
             "restored_sha256": F.sha2(fill_middle.restore(F.col("form"), F.col("output")), 256),
         }
     ).drop("output")
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """A deviation beyond 64 bits, which takes millions of vectors, is null here; the operator
+    gives it as a decimal."""
+    white = whitening.whiten(table(spark, sf, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("bigint"))
