@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import fill_middle, fingerprints, html_text, jaccard_trie, mixing, packing, quality, secrets, substrings, token_counts, url_model, whitening
+from wakeline.llm import fill_middle, fingerprints, html_text, jaccard_trie, mixing, packing, quality, secrets, substrings, token_counts, url_model, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -261,3 +261,30 @@ def embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
     gives it as a decimal."""
     white = whitening.whiten(table(spark, sf, "embeddings"))
     return white.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+_WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner,
+    strftime(TIMESTAMP '2000-01-01' + to_seconds(greatest(coalesce(page_id, 0), 0)), '%Y%m%d%H%M%S') AS captured
+  FROM pages),
+k AS (
+  SELECT *, sha1(html) AS h,
+    CASE WHEN contains(url, '://') THEN array_to_string(list_reverse(string_split(
+        translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.')), ',')
+      || ')' || regexp_extract(url, '://[^/?#]*([^#]*)', 1) ELSE url END AS urlkey
+  FROM p)
+SELECT page_id, strlen(html) AS payload_bytes,
+  translate(array_to_string(list_transform(range(8), lambda i: to_base(CAST('0x' || h[5 * i + 1:5 * i + 5] AS BIGINT), 32, 4)), ''),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> owner THEN owner END AS refers_to, urlkey, captured,
+  row_number() OVER (ORDER BY urlkey, captured, page_id) AS position,
+  row_number() OVER (PARTITION BY urlkey ORDER BY captured, page_id) AS capture
+FROM k"""
+
+
+@query("op12_warc_captures", _WARC_SQL)
+def warc_captures(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.captures(table(spark, sf, "pages")).drop("file", "offset", "length")
