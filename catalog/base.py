@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.operators.segments import SEGMENT_ROWS, index_rows
+from wakeline.operators.segments import SEGMENT_ROWS, SLICE_ROWS, index_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ HOUR_US = 3_600_000_000
 
 #: Segment size of the checked queries; tests set a small one.
 ROWS = int(os.environ.get("CHECK_ROWS", SEGMENT_ROWS))
+SLICE = min(ROWS, SLICE_ROWS)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -69,7 +70,7 @@ def event_rows(spark: SparkSession, sf: str) -> DataFrame:
 def event_frames(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     """Events as frames of a session per user, and the segment size."""
     rows = event_rows(spark, sf)
-    return index_rows(rows, ["s"], ["us", "event_id"], "frame"), ROWS
+    return index_rows(rows, ["s"], ["us", "event_id"], "frame", SLICE), ROWS
 
 
 def long_frames(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
@@ -85,7 +86,7 @@ def long_frames(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
         "l_returnflag",
         "l_linestatus",
     )
-    return index_rows(rows, ["s"], order, "frame").drop(*order), ROWS
+    return index_rows(rows, ["s"], order, "frame", SLICE).drop(*order), ROWS
 
 
 def clip_labels(spark: SparkSession, sf: str) -> DataFrame:

@@ -144,10 +144,27 @@ def test_index_rows(spark):
     rng = random.Random(9)
     data = [(s, rng.randint(0, 60) ** 2, i) for i, s in enumerate([0] * 60 + [1] * 3 + [2] * 20)]
     df = spark.createDataFrame(data, "s int, t long, id int")
-    got = by_session(segments.index_rows(df, ["s"], ["t", "id"]).collect(), "frame", "id")
-    for s in (0, 1, 2):
-        want = [i for _, _, i in sorted(d for d in data if d[0] == s)]
-        assert got[s] == list(enumerate(want))
+    for rows in (1, 7, 1 << 17):
+        got = by_session(segments.index_rows(df, ["s"], ["t", "id"], rows=rows).collect(), "frame", "id")
+        for s in (0, 1, 2):
+            want = [i for _, _, i in sorted(d for d in data if d[0] == s)]
+            assert got[s] == list(enumerate(want))
+    whole = segments.index_rows(df, [], ["s", "t", "id"], rows=9).orderBy("frame").collect()
+    assert [r.frame for r in whole] == list(range(len(data))) and whole == sorted(whole, key=lambda r: (r.s, r.t, r.id))
+
+
+def test_numbering_moves_and_writes_nothing_but_one_exchange(spark):
+    df = spark.range(1000).selectExpr("id % 3 as s", "id as t")
+    plan = segments.index_rows(df, ["s"], ["t"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan.lower() and "Join" not in plan and plan.count("Window") == 1
+
+
+def test_slices_know_nulls_and_odd_numbers(spark):
+    rows = [(0, x, i) for i, x in enumerate([None, float("nan"), -0.0, 0.0, 1e300, -1e300, None, 5.0] * 20)]
+    df = spark.createDataFrame(rows, "s int, t double, id int")
+    got = segments.index_rows(df, ["s"], ["t", "id"], rows=8).orderBy("frame").collect()
+    want = df.orderBy("s", "t", "id").collect()
+    assert [r.id for r in got] == [r.id for r in want] and [r.frame for r in got] == list(range(len(rows)))
 
 
 @pytest.mark.parametrize(
@@ -161,10 +178,11 @@ def test_index_rows(spark):
 )
 def test_slices_are_even_whatever_the_order(spark, name, t, subject):
     df = spark.range(20_000).selectExpr(f"{subject} as s", f"{t} as t", "id")
-    sliced = segments.slice_by_order(df, ["s"], ["t", "id"])
-    sizes = [r["count"] for r in sliced.groupBy(segments.SLICE).count().collect()]
-    assert max(sizes) <= 2 * 20_000 / int(spark.conf.get("spark.sql.shuffle.partitions")), name
-    got = segments.index_rows(df, ["s"], ["t", "id"]).orderBy("s", "frame").collect()
+    sliced = segments.slice_by_order(df, ["s"], ["t", "id"], rows=1_000)
+    sizes = [r["count"] for r in sliced.groupBy("s", segments.SLICE).count().collect()]
+    assert max(sizes) <= 2 * 1_000, name
+    assert sum(n >= 500 for n in sizes) >= 11, name
+    got = segments.index_rows(df, ["s"], ["t", "id"], rows=1_000).orderBy("s", "frame").collect()
     assert [r.frame for r in got if r.s == 0] == list(range(sum(r.s == 0 for r in got)))
     assert sorted(got, key=lambda r: (r.s, r.t, r.id)) == got
 

@@ -12,26 +12,33 @@ segment, and what crosses a border travels in one of two ways:
     (rows / segment size of them) are scanned per session, and the carried value is joined
     back on the segment key the rows are already partitioned by.
 
-Where rows have no frame number yet, they are cut by range partitioning on the whole order
-(`slice_by_order`), so slices are even whatever the order's values look like. Segments and
-slices are columns of the rows, slices of written rows, so a recomputed task gives the same.
+Where rows have no frame number yet, they are cut at quantiles of a sketch of their whole
+order (`slice_by_order`), a literal table, so slices are even whatever the order's values look
+like. Segments and slices are functions of the row, so a recomputed task gives the same.
 Because a carry reads its input twice, operators made of several scans write it out in
 between (`cut`).
 """
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from functools import cache
+from itertools import groupby
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 SEGMENT_ROWS = 1 << 20
+SLICE_ROWS = 1 << 17
+#: Most bounds a table is cut at, and rows of the sketch for each of them.
+MOST_BOUNDS = 4096
+SKETCH = 32
 SEG = "_seg"
 SLICE = "_slice"
 
@@ -136,40 +143,92 @@ def attach_carry(
     return scanned.join(carried, [*keys, part])
 
 
-def slice_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def order_bounds(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Where to cut a table into even stretches of (keys, order): ``keys, _bounds``.
+
+    The bounds are quantiles of a sketch of the rows: those whose hash of keys and order is
+    among the smallest, whatever task reads them, so sketches merge by union and the bounds
+    depend on nothing but the rows. About ``rows`` rows lie between two bounds, more in tables
+    of over ``rows * MOST_BOUNDS`` rows, so the sketch fits the driver and the bounds are a
+    literal table that can be broadcast. Sessions between two bounds are not in it.
+    """
+    count = df.count()
+    wanted = min(-(-count // rows) - 1, MOST_BOUNDS)
+    picked: list[Row] = []
+    if wanted > 0:
+        share = min(1.0, SKETCH * (wanted + 1) / count)
+        low = F.pmod(F.xxhash64(*keys, *order), F.lit(1 << 30)) < math.ceil(share * (1 << 30))
+        sketch = df.select(*keys, *order).where(low).orderBy(*keys, *order).collect()
+        picked = [sketch[len(sketch) * i // (wanted + 1)] for i in range(1, wanted + 1)] if sketch else []
+    if not picked:  # a table without rows, which the optimizer takes out of joins
+        return df.select(*keys, F.array(F.struct(*order)).alias("_bounds")).limit(0)
+    table = [
+        (*key, [tuple(r[c] for c in order) for r in stretch])
+        for key, stretch in groupby(picked, key=lambda r: tuple(r[c] for c in keys))
+    ]
+    place = T.StructType([T.StructField(c, df.schema[c].dataType) for c in order])
+    fields = [*(df.schema[c] for c in keys), T.StructField("_bounds", T.ArrayType(place))]
+    return df.sparkSession.createDataFrame(table, T.StructType(fields))
+
+
+def _cut_at(df: DataFrame, bounds: DataFrame, keys: Sequence[str], order: Sequence[str], how: str) -> DataFrame:
+    """Adds the slice: how many bounds of the session lie at or before the row."""
+    here, end = F.struct(*order), F.size("_bounds")
+
+    def half(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        after = F.get("_bounds", mid) <= here
+        lo = F.when((s["lo"] < s["hi"]) & after, mid + 1).otherwise(s["lo"])
+        hi = F.when((s["lo"] < s["hi"]) & ~after, mid).otherwise(s["hi"])
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(end + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("lo"), end.alias("hi"))
+    place = F.aggregate(steps, start, half, lambda s: s["lo"])
+    # At most MOST_BOUNDS bounds are broadcast.
+    on = list(keys) if keys else F.lit(True)
+    out = df.join(F.broadcast(bounds), on, how)
+    return out.withColumn(SLICE, F.coalesce(place, F.lit(0)).cast("bigint")).drop("_bounds")
+
+
+def slice_by_order(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = SLICE_ROWS
+) -> DataFrame:
     """Cut a table into even stretches of (keys, order): adds the slice number.
 
-    Slices are the ranges of a range exchange on the whole order, one for each shuffle
-    partition, so neither outliers nor a constant leading column nor text that starts alike
-    makes one slice long; rows that agree in keys and order stay together. The slices are
-    written, so every later reader sees the same.
+    Slices are per session and cut at literal bounds (:func:`order_bounds`), so a row's slice
+    is a function of the row: nothing is moved or written, and neither outliers nor a constant
+    leading column nor text that starts alike makes one slice long. Rows that agree in keys and
+    order stay together.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *keys, *order)
-    return cut(ranged.withColumn(SLICE, F.spark_partition_id().cast("bigint")))
+    return _cut_at(df, order_bounds(df, keys, order, rows), keys, order, "left")
 
 
 def index_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "frame"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    out: str = "frame",
+    rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Dense 0-based position of every row in its session.
 
-    ``order`` must be a total order. The offsets come from per-slice counts, so a long
-    session is numbered by many tasks.
+    ``order`` must be a total order. Rows are numbered inside their slices; where a session has
+    several, the sizes of its earlier slices are added, so a long session is numbered by many
+    tasks, at one exchange for all sessions.
     """
-    sliced = slice_by_order(df, keys, order)
-    local = sliced.withColumn(
-        "_rn", F.row_number().over(W.partitionBy(*within(keys, SLICE)).orderBy(*order))
-    )
-    known = attach_carry(
-        local,
-        sliced,
-        keys,
-        {"_n": F.count(F.lit(1))},
-        {"_before": lambda w: F.sum("_n").over(w)},
-        SLICE,
-    )
-    position = F.coalesce(F.col("_before").cast("bigint"), F.lit(0)) + F.col("_rn") - 1
+    bounds = order_bounds(df, keys, order, rows)
+    sliced = _cut_at(df, bounds, keys, order, "left")
+    inside = F.row_number().over(W.partitionBy(*within(keys, SLICE)).orderBy(*order))
+    # Only sessions that are cut have anything to add: at most twice as many slices as bounds.
+    cuts = _cut_at(df.select(*keys, *order), bounds, keys, order, "inner")
+    sizes = cuts.groupBy(*within(keys, SLICE)).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select(*keys, SLICE, F.sum("_n").over(earlier).alias("_before"))
+    known = sliced.withColumn("_rn", inside).join(F.broadcast(before), within(keys, SLICE), "left")
+    position = F.coalesce("_before", F.lit(0)).cast("bigint") + F.col("_rn") - 1
     return known.withColumn(out, position).drop(SLICE, "_rn", "_before")
 
 
