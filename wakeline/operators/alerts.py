@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,7 +31,6 @@ from wakeline.operators.segments import (
     cut,
     halo,
     hold_last,
-    index_rows,
     own_rows,
     running_sum,
     scan,
@@ -78,54 +78,175 @@ def committed_before(summary: DataFrame, keys: Sequence[str], upward: Column | b
     )
 
 
-def _debounced(
+class Track(NamedTuple):
+    """A debounced track: levels from 0 to ``top``, and (escalate, de-escalate, alarm after).
+
+    Frames where ``active`` is not true do not count: they take no step and hold the state.
+    """
+
+    name: str
+    level: Column
+    top: int
+    steps: tuple[int, int, int]
+    active: Column | None = None
+
+    @property
+    def upward(self) -> bool:
+        return self.steps[0] <= self.steps[1]
+
+    @property
+    def lo(self) -> int:
+        return min(self.steps[:2])
+
+    @property
+    def hi(self) -> int:
+        return max(self.steps[:2])
+
+
+def debounce_tracks(
     df: DataFrame,
     keys: Sequence[str],
     frame: str,
-    level: str,
-    top: int,
-    escalate: int,
-    de_escalate: int,
-    escalated_after: int,
-    rows: int | None,
+    wanted: Sequence[Track],
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Adds ``committed`` and ``_escalated`` (the top level held for enough steps)."""
-    check_steps(escalate, de_escalate, escalated_after)
-    hi, lo, upward = max(escalate, de_escalate), min(escalate, de_escalate), escalate <= de_escalate
-    part = within(keys)
-    w = W.partitionBy(*part).orderBy(frame)
-    upto = scan(part, frame)
-    # A segment borrows `hi` rows to know run positions and `escalated_after` more to know
-    # how long the top level has been held; its state starts at `_zone`.
-    zone = F.col(SEG) * rows - escalated_after
-    wide = halo(df, frame, before=hi + escalated_after, rows=rows)
-    turned = ~F.col(level).eqNullSafe(F.lag(level).over(w))
-    placed = wide.withColumn("_turn", turned).withColumn(
-        "_pos",
-        F.col(frame) - F.last(F.when(F.col("_turn"), F.col(frame)), ignorenulls=True).over(upto) + 1,
-    )
-    placed = placed.filter(F.col(frame) >= zone)
-    reset = F.col("_pos") == hi
-    event = reset | (F.col("_pos") == lo)
-    packed = placed.withColumn("_resets", F.sum(reset.cast("bigint")).over(upto)).withColumn(
-        "_event", F.when(event, F.col("_resets") * 4 + level_rank(F.col(level), upward))
-    )
-    local = packed.withColumn("_seen", F.max("_event").over(upto))
-    # The next segment's state starts `escalated_after` rows before its own first row.
-    handed_on = F.col(frame) < (F.col(SEG) + 1) * rows - escalated_after
-    summary = packed.groupBy(*keys, SEG).agg(
-        F.max(F.when(handed_on, F.col("_event"))).alias("_packed")
-    )
-    local = local.join(committed_before(summary, keys, upward), [*keys, SEG])
-    tracked = local.withColumn(
-        "committed", committed_after(F.col("_state"), F.col("_seen"), upward).cast("int")
-    )
-    below = F.last(F.when(F.col("committed") != top, F.col(frame)), ignorenulls=True).over(upto)
-    held = F.col(frame) - F.coalesce(below, F.greatest(zone, F.lit(0)) - 1)
-    done = tracked.withColumn("_escalated", held >= escalated_after)
-    return own_rows(done, frame, rows).drop(
-        "_turn", "_pos", "_resets", "_event", "_seen", "_state"
-    )
+    """Adds ``<name>_level``, ``<name>_committed`` and ``<name>_tier`` of every track.
+
+    All tracks share one scan of the segments, one summary row per segment and one join. What
+    a segment cannot know are the run it begins in, the level committed before it and since
+    when the top level has been committed. All but its first run is therefore worked out for
+    each level that may have been committed, and the summaries say which one was.
+    """
+    for track in wanted:
+        check_steps(*track.steps)
+    tracks = [(f"_t{i}", t) for i, t in enumerate(wanted)]
+    seen = {f"{p}l": t.level if t.active is None else F.when(t.active, t.level) for p, t in tracks}
+    scanned = _scan_tracks(segment(df.withColumns(seen), frame, rows), keys, frame, tracks)
+    known = scanned.join(_carried_tracks(scanned, keys, frame, tracks), within(keys))
+    return known.select(*df.columns, *[c for p, t in tracks for c in _track_columns(p, t)])
+
+
+def _scan_tracks(
+    base: DataFrame, keys: Sequence[str], frame: str, tracks: Sequence[tuple[str, Track]]
+) -> DataFrame:
+    """Running columns of each track, by its counted frames in the segment.
+
+    ``c`` counts them; ``prev`` is the level before, ``b`` and ``f`` the count where the present
+    and the second run began, ``r`` the resets, ``p`` the packed event of all runs but the
+    first, and ``z<s>`` the last count at which the top level was not committed after these,
+    from level s.
+    """
+    w = W.partitionBy(*within(keys)).orderBy(frame)
+    upto, earlier = scan(within(keys), frame), w.rowsBetween(W.unboundedPreceding, -1)
+    out, steps = base, [{}, {}, {}, {}, {}]
+    for p, t in tracks:
+        level, c, b, r = (F.col(p + x) for x in "lcbr")
+        counts = level.isNotNull()
+        turn = counts & (level != F.col(f"{p}prev"))
+        later = counts & b.isNotNull()
+        reset = later & (c - b + 1 == t.hi)
+        event = reset | (later & (c - b + 1 == t.lo))
+        steps[0] |= {f"{p}c": F.count(level).over(upto), f"{p}prev": F.last(level, ignorenulls=True).over(earlier)}
+        steps[1] |= {f"{p}b": F.max(F.when(turn, c)).over(upto), f"{p}f": F.min(F.when(turn, c)).over(upto)}
+        steps[2] |= {f"{p}r": F.sum(F.when(reset, 1).otherwise(0)).over(upto)}
+        steps[3] |= {f"{p}p": F.max(F.when(event, r * 4 + level_rank(level, t.upward))).over(upto)}
+        for s in range(t.top + 1):
+            after = committed_after(F.lit(s), F.col(f"{p}p"), t.upward)
+            steps[4] |= {f"{p}z{s}": F.max(F.when(later & (after != t.top), c)).over(upto)}
+    for columns in steps:
+        out = out.withColumns(columns)
+    return out
+
+
+def _either(level: Column, top: int, of: str) -> Column:
+    """The one of the columns ``<of>0`` … ``<of><top>`` that belongs to a level."""
+    return F.coalesce(*[F.when(level == s, F.col(f"{of}{s}")) for s in range(top + 1)])
+
+
+def _carried_tracks(
+    scanned: DataFrame, keys: Sequence[str], frame: str, tracks: Sequence[tuple[str, Track]]
+) -> DataFrame:
+    """What every segment inherits: a row for each, worked out over the summaries.
+
+    ``n0`` counted frames before it, ``lp`` the level they end with, ``carry`` of them in the
+    run it begins in, ``in`` committed before and ``mid`` after its first run, and since which
+    count the top level has been (``si``, ``sm``).
+    """
+    aggs = {}
+    for p, t in tracks:
+        level = F.col(f"{p}l")
+        aggs |= {f"{p}{x}": F.max(f"{p}{x}") for x in "cbfp"}
+        aggs |= {f"{p}z{s}": F.max(f"{p}z{s}") for s in range(t.top + 1)}
+        aggs[f"{p}first"] = F.min_by(level, F.when(level.isNotNull(), F.col(frame)))
+        aggs[f"{p}last"] = F.max_by(level, F.when(level.isNotNull(), F.col(frame)))
+    out = scanned.groupBy(*within(keys)).agg(*[c.alias(n) for n, c in aggs.items()])
+    w = W.partitionBy(*keys).orderBy(SEG)
+    upto, earlier = scan(keys, SEG), w.rowsBetween(W.unboundedPreceding, -1)
+    for p, t in tracks:
+        n, begun, second, packed = (F.col(p + x) for x in "cbfp")
+        whole = second.isNull()
+        out = out.withColumns(
+            {
+                f"{p}n0": F.coalesce(F.sum(n).over(earlier), F.lit(0)),
+                f"{p}lp": F.last(f"{p}last", ignorenulls=True).over(earlier),
+            }
+        )
+        same = F.col(f"{p}first") == F.col(f"{p}lp")
+        # Segments that are one run prolong the run before them.
+        parted = (n > 0) & ~F.coalesce(whole & same, F.lit(False))
+        out = out.withColumn(f"{p}g", F.sum(parted.cast("int")).over(upto))
+        tail = F.when(whole, n).otherwise(n - begun + 1)
+        out = out.withColumn(f"{p}tail", F.sum(tail).over(scan([*keys, f"{p}g"], SEG)))
+        carry = F.when(same, F.lag(f"{p}tail").over(w)).otherwise(0)
+        out = out.withColumn(f"{p}carry", F.coalesce(carry, F.lit(0)))
+        first = level_rank(F.col(f"{p}first"), t.upward)
+        reach = F.col(f"{p}carry") + F.when(whole, n).otherwise(second - 1)
+        hits = {x: (F.col(f"{p}carry") < x) & (reach >= x) for x in (t.lo, t.hi)}
+        lead = F.when(hits[t.hi], 4 + first).when(hits[t.lo], first)
+        out = out.withColumn(f"{p}lead", lead)
+        joined = F.greatest(f"{p}lead", F.when(hits[t.hi], 4).otherwise(0) + packed)
+        out = out.withColumn(f"{p}all", joined)
+        resets = F.sum(F.when(F.col(f"{p}all") >= 4, 1).otherwise(0)).over(upto)
+        out = out.withColumn(f"{p}resets", resets)
+        out = out.withColumn(f"{p}after", F.max(F.col(f"{p}resets") * 4 + F.col(f"{p}all") % 4).over(upto))
+        out = out.withColumn(f"{p}in", committed_after(F.lit(0), F.lag(f"{p}after").over(w), t.upward))
+        out = out.withColumn(f"{p}mid", committed_after(F.col(f"{p}in"), F.col(f"{p}lead"), t.upward))
+        mid, n0 = F.col(f"{p}mid"), F.col(f"{p}n0")
+        at_lo = hits[t.lo] & (committed_after(F.col(f"{p}in"), first, t.upward) == t.top)
+        rose = n0 + F.when(at_lo, t.lo).otherwise(t.hi) - F.col(f"{p}carry")
+        rose = F.when((mid == t.top) & (F.col(f"{p}in") != t.top), rose)
+        ends = committed_after(mid, packed, t.upward) == t.top
+        below = _either(mid, t.top, f"{p}z")
+        since = F.when(below.isNotNull(), n0 + below + 1).when(mid == t.top, rose).otherwise(n0 + second)
+        out = out.withColumn(f"{p}since", F.when(ends, since))
+        out = out.withColumn(f"{p}si", F.last(f"{p}since", ignorenulls=True).over(earlier))
+        out = out.withColumn(f"{p}sm", F.coalesce(rose, F.col(f"{p}si")))
+    kept = [f"{p}{x}" for p, _ in tracks for x in ("n0", "lp", "carry", "in", "mid", "si", "sm")]
+    return out.select(*within(keys), *kept)
+
+
+def _track_columns(p: str, t: Track) -> list[Column]:
+    """Level, committed level and tier of a row from its running columns and what it inherits."""
+    c, begun, second, n0, carry, before, mid = (F.col(p + x) for x in ("c", "b", "f", "n0", "carry", "in", "mid"))
+    level = F.coalesce(f"{p}l", f"{p}prev")
+    at = carry + c
+    ranked = committed_after(before, level_rank(level, t.upward), t.upward)
+    lead = F.when(at >= t.hi, level).when(at >= t.lo, ranked).otherwise(before)
+    rose = F.when((at >= t.lo) & (ranked == t.top), t.lo).otherwise(t.hi)
+    lead_since = F.when(before == t.top, F.col(f"{p}si")).otherwise(n0 + rose - carry)
+    below = _either(mid, t.top, f"{p}z")
+    later = F.when(below.isNotNull(), n0 + below + 1).when(mid == t.top, F.col(f"{p}sm")).otherwise(n0 + second)
+    committed = F.when(c == 0, before).when(begun.isNull(), lead).otherwise(committed_after(mid, F.col(f"{p}p"), t.upward))
+    since = F.when(c == 0, F.col(f"{p}si")).when(begun.isNull(), lead_since).otherwise(later)
+    held = n0 + c - since + 1
+    tier = F.when((committed == t.top) & (held >= t.steps[2]), t.top + 1).otherwise(committed)
+    named = {"level": F.coalesce(level, F.col(f"{p}lp"), F.lit(0)), "committed": committed, "tier": tier}
+    return [x.cast("int").alias(f"{t.name}_{n}") for n, x in named.items()]
+
+
+def _fatigue_level(level: str) -> Column:
+    wrong = F.raise_error(F.concat(F.lit("no such fatigue level: "), F.col(level)))
+    return F.when(F.col(level).isin(0, 1, 2), F.col(level).cast("int")).otherwise(wrong)
 
 
 def debounce(
@@ -139,13 +260,10 @@ def debounce(
     rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Fatigue track: adds ``committed`` (0/1/2) and ``tier`` (0..3) to dense frames."""
-    valid = F.when(F.col(level).isin(0, 1, 2), F.col(level).cast("int")).otherwise(
-        F.raise_error(F.concat(F.lit("no such fatigue level: "), F.col(level)))
-    )
-    checked = df.withColumn(level, valid)
-    out = _debounced(checked, keys, frame, level, 2, escalate, de_escalate, alarm_after, rows)
-    tier = F.when((F.col("committed") == 2) & F.col("_escalated"), 3).otherwise(F.col("committed"))
-    return out.withColumn("tier", tier).drop("_escalated")
+    checked = df.withColumn(level, _fatigue_level(level))
+    track = Track("_d", F.col(level), 2, (escalate, de_escalate, alarm_after))
+    out = debounce_tracks(checked, keys, frame, [track], rows).drop("_d_level")
+    return out.withColumnsRenamed({"_d_committed": "committed", "_d_tier": "tier"})
 
 
 def debounce_binary(
@@ -159,10 +277,9 @@ def debounce_binary(
     rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Distraction track: adds ``committed`` (0/1) and ``tier`` (0, 1 or 2)."""
-    levels = df.withColumn(flag, F.col(flag).cast("int"))
-    out = _debounced(levels, keys, frame, flag, 1, escalate, de_escalate, audible_after, rows)
-    tier = F.when((F.col("committed") == 1) & F.col("_escalated"), 2).otherwise(F.col("committed"))
-    return out.withColumns({"tier": tier, flag: F.col(flag) == 1}).drop("_escalated")
+    track = Track("_d", F.col(flag).cast("int"), 1, (escalate, de_escalate, audible_after))
+    out = debounce_tracks(df, keys, frame, [track], rows).drop("_d_level")
+    return out.withColumnsRenamed({"_d_committed": "committed", "_d_tier": "tier"})
 
 
 # --- Tier changes and alarm counts ------------------------------------------------------
@@ -363,9 +480,11 @@ def cadenced_ema(
     Adds ``ran``, ``probabilities``, ``activity`` and ``distracted``. The frame counter
     also counts frames without an image (null ``probs``); those do not run.
 
-    Samples are cut into blocks long enough for ``(1 - alpha) ** block`` to vanish in a
-    double, so a block needs only itself and the block before it, and the recursion
-    becomes one scaled cumulative sum per class.
+    A run of samples maps the average before it to ``a p + b``. Segments are scanned with
+    nothing before them, their (a, b) are composed over the session, and what a segment
+    inherits fades with the samples since. Inside a segment the recursion is one scaled
+    cumulative sum per class and block; blocks are long enough for what lies before the
+    previous one to fall below 1e-200.
     """
     if every_n < 1:
         raise ValueError("the classifier runs every frame or less often")
@@ -375,14 +494,10 @@ def cadenced_ema(
         raise ValueError(f"{safe_label!r} is none of the activities")
     ran = ((F.col(frame) + 1) % every_n == 0) & F.col(probs).isNotNull()
     flagged = df.withColumn("ran", ran)
-    samples = index_rows(
-        flagged.filter("ran").select(*keys, frame, probs), keys, [frame], "_k"
-    )
-    smooth = _ema(samples, keys, "_k", probs, len(labels), alpha).select(
-        *keys, frame, F.col("_ema")
-    )
-    joined = cut(flagged.join(smooth, [*keys, frame], "left"))
-    held = hold_last(joined, keys, frame, "_ema", "_p", rows)
+    if alpha == 1.0:
+        held = hold_last(flagged, keys, frame, F.when(F.col("ran"), F.col(probs).cast("array<double>")), "_p", rows)
+    else:
+        held = _ema(flagged, keys, frame, probs, len(labels), alpha, rows)
     best = F.array_position("_p", F.array_max("_p")).cast("int")
     uniform = F.array_repeat(F.lit(1.0 / len(labels)), len(labels))
     names = F.array(*[F.lit(x) for x in labels])
@@ -390,32 +505,70 @@ def cadenced_ema(
         held.withColumn("probabilities", F.coalesce("_p", uniform))
         .withColumn("activity", F.coalesce(F.get(names, best - 1), F.lit(safe_label)))
         .withColumn("distracted", F.col("activity") != safe_label)
-        .drop("_ema", "_p")
+        .drop("_p")
     )
 
 
 def _ema(
-    samples: DataFrame, keys: Sequence[str], k: str, probs: str, classes: int, alpha: float
+    flagged: DataFrame, keys: Sequence[str], frame: str, probs: str, classes: int, alpha: float, rows: int
 ) -> DataFrame:
+    """Adds ``_p``: the average after the last sample (``ran``), null before the first.
+
+    The first sample counts in full, as if the average before it were that sample.
+    """
     keep = 1.0 - alpha
-    if keep == 0.0:
-        return samples.withColumn("_ema", F.col(probs).cast("array<double>"))
-    block = math.ceil(math.log(1e-20) / math.log(keep))
-    # Positions 0 .. 2 * block - 1 in a block and its predecessor; position 0 is given its
-    # full weight only when it is the very first sample.
-    wide = halo(samples, k, before=block, rows=block)
-    at = (F.col(k) - (F.greatest(F.col(SEG) - 1, F.lit(0)) * block)).cast("double")
-    weight = F.when(F.col(k) == 0, 1.0).otherwise(alpha)
-    scaled = weight * F.pow(F.lit(keep), -at)
-    upto = scan([*keys, SEG], k)
-    unscale = F.pow(F.lit(keep), at)
-    smooth = F.array(
-        *[
-            F.sum(F.get(probs, F.lit(c)).cast("double") * scaled).over(upto) * unscale
-            for c in range(classes)
-        ]
+    block = max(1, math.floor(math.log(1e-200) / math.log(keep)))
+    fades = math.ceil(math.log(1e-20) / math.log(keep))
+    every = range(classes)
+    part = within(keys)
+    w = W.partitionBy(*part).orderBy(frame)
+    upto, earlier = scan(part, frame), w.rowsBetween(W.unboundedPreceding, -1)
+    power = lambda n: F.pow(F.lit(keep), n.cast("double"))
+
+    base = segment(flagged, frame, rows).withColumn("_x", F.when(F.col("ran"), F.col(probs).cast("array<double>")))
+    scanned = base.withColumn("_c", F.count("_x").over(upto))
+    scanned = scanned.withColumn("_block", F.greatest(F.floor((F.col("_c") - 1) / block), F.lit(0)))
+    m = F.col("_c") - F.col("_block") * block
+    inside = scan([*part, "_block"], frame)
+    sums = [F.sum(F.get("_x", F.lit(k)) * alpha * power(-m)).over(inside) * power(m) for k in every]
+    scanned = scanned.withColumn("_s", F.when(F.col("ran"), F.array(*sums)))
+    full = F.last(F.when(m == block, F.col("_s")), ignorenulls=True).over(earlier)
+    scanned = scanned.withColumn("_full", full)
+    own = F.array(*[F.get("_s", F.lit(k)) + F.coalesce(F.get("_full", F.lit(k)), F.lit(0.0)) * power(m) for k in every])
+    scanned = scanned.withColumn("_own", F.last(F.when(F.col("ran"), own), ignorenulls=True).over(upto))
+
+    summary = scanned.groupBy(*part).agg(
+        F.max("_c").alias("_n"),
+        F.max_by("_own", frame).alias("_b"),
+        F.min_by("_x", F.when(F.col("_x").isNotNull(), F.col(frame))).alias("_first"),
     )
-    return own_rows(wide.withColumn("_ema", smooth), k, block)
+    upto, earlier = scan(keys, SEG), W.partitionBy(*keys).orderBy(SEG).rowsBetween(W.unboundedPreceding, -1)
+    summary = summary.withColumn("_upto", F.sum("_n").over(upto))
+    # Segments without a sample change nothing; of the others at most `fades` matter.
+    recent = W.partitionBy(*keys).orderBy("_upto").rangeBetween(-fades, 0)
+    left = F.when(F.col("_n") > 0, F.struct(F.col("_upto").alias("at"), F.col("_b").alias("b")))
+    summary = summary.withColumn("_left", F.collect_list(left).over(recent))
+
+    def ended(k: int) -> Column:
+        faded = lambda sum, x: sum + F.get(x["b"], F.lit(k)) * power(F.col("_upto") - x["at"])
+        return F.aggregate("_left", F.lit(0.0), faded)
+
+    summary = summary.withColumn("_end", F.when(F.col("_n") > 0, F.array(*[ended(k) for k in every])))
+    summary = summary.withColumns(
+        {
+            "_before": F.col("_upto") - F.col("_n"),
+            "_end": F.last("_end", ignorenulls=True).over(earlier),
+            "_first": F.first("_first", ignorenulls=True).over(upto),
+        }
+    )
+    inherited = [
+        F.coalesce(F.get("_end", F.lit(k)), F.lit(0.0)) + F.get("_first", F.lit(k)) * power(F.col("_before")) for k in every
+    ]
+    carried = summary.select(*part, "_before", F.array(*inherited).alias("_carry"))
+    known = scanned.join(carried, part)
+    fresh = F.when(F.col("_block") == 0, power(F.col("_c"))).otherwise(0.0)
+    smooth = [F.coalesce(F.get("_own", F.lit(k)), F.lit(0.0)) + F.get("_carry", F.lit(k)) * fresh for k in every]
+    return known.select(*flagged.columns, F.when(F.col("_c") + F.col("_before") > 0, F.array(*smooth)).alias("_p"))
 
 
 # --- Fusion ---------------------------------------------------------------------------------
@@ -444,26 +597,17 @@ def parallel_tracks(
 
     Adds ``fatigue_tier``, ``fatigue_level``, ``distraction_tier`` and the fused ``tier``.
     """
-    binary = debounce_binary(df, keys, frame, distracted, *(distraction_params or params), rows=rows)
-    seen = (
-        binary.withColumnRenamed("tier", "distraction_tier")
-        .drop("committed")
-        .withColumn("_face", F.coalesce(F.col(face), F.lit(False)))
-        .withColumn("_level", F.when(F.col("_face"), F.col(level)).otherwise(0))
-    )
-    # Face frames are numbered and debounced on their own, beside the others of the session,
-    # so nothing is filtered out and joined back.
-    by_face = [*keys, "_face"]
-    placed = cut(index_rows(cut(seen), by_face, [frame], "_k"))
-    fatigue = debounce(placed, by_face, "_k", "_level", *params, rows=rows)
-    state = F.when(F.col("_face"), F.struct(F.col("tier").alias("t"), F.col("_level").alias("l")))
-    stated = fatigue.withColumn("_s", state).drop("tier", "committed", "_level", "_face", "_k")
-    held = hold_last(cut(stated), keys, frame, "_s", "_s", rows)
-    return (
-        held.withColumn("fatigue_tier", F.coalesce(F.col("_s.t"), F.lit(NONE)))
-        .withColumn("fatigue_level", F.coalesce(F.col("_s.l"), F.lit(0)))
-        .withColumn("tier", fuse_tiers("fatigue_tier", "distraction_tier"))
-        .drop("_s")
+    tracks = [
+        Track("_distraction", F.col(distracted).cast("int"), 1, distraction_params or params),
+        Track("_fatigue", _fatigue_level(level), 2, params, F.coalesce(F.col(face), F.lit(False))),
+    ]
+    out = debounce_tracks(df, keys, frame, tracks, rows)
+    return out.select(
+        *df.columns,
+        F.col("_distraction_tier").alias("distraction_tier"),
+        F.col("_fatigue_tier").alias("fatigue_tier"),
+        F.col("_fatigue_level").alias("fatigue_level"),
+        fuse_tiers("_fatigue_tier", "_distraction_tier").alias("tier"),
     )
 
 
@@ -484,9 +628,20 @@ def change_events(
 
     Nothing is emitted on the first row. A missing zone holds the last known one.
     """
-    base = df.select(*keys, frame, tier, fatigue, face, gaze)
-    known = cut(hold_last(base, keys, frame, gaze, "_zone", rows, include_current=False))
-    seen = with_previous(known, keys, frame, [tier, face], rows)
+    base = segment(df.select(*keys, frame, tier, fatigue, face, gaze), frame, rows)
+    w = W.partitionBy(*within(keys)).orderBy(frame)
+    here = F.struct(F.col(tier).alias("tier"), F.col(face).alias("face"))
+    zone = F.last(gaze, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    local = base.withColumns({"_was": F.lag(here).over(w), "_zone": zone})
+    seen = attach_carry(
+        local,
+        base,
+        keys,
+        {"_tail": F.max_by(here, F.col(frame)), "_seen": F.max_by(gaze, F.when(F.col(gaze).isNotNull(), F.col(frame)))},
+        {"_before": lambda s: F.last("_tail").over(s), "_known": lambda s: F.last("_seen", ignorenulls=True).over(s)},
+    )
+    was = F.coalesce("_was", "_before")
+    seen = seen.withColumns({f"prev_{tier}": was["tier"], f"prev_{face}": was["face"], "_zone": F.coalesce("_zone", "_known")})
     no_text, no_int = F.lit(None).cast("string"), F.lit(None).cast("int")
 
     def event(kind: Column, was: Column, now: Column, fatigue_now: Column) -> Column:
