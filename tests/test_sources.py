@@ -145,6 +145,27 @@ def test_gaze_last_writer_wins(spark):
         intervals.zone_per_frame(odd, ["doc"], "frame").collect()
 
 
+def test_swept_zones_match_painting_frame_by_frame(spark):
+    import random
+
+    rng = random.Random(11)
+    span = intervals.SEGMENT_ROWS
+    spans, want = [], {}
+    for doc in (0, 1, None):
+        for position in rng.sample(range(200), 60):
+            start = rng.choice([rng.randint(-20, 300), span - rng.randint(0, 40)])
+            end = start + rng.randint(-2, 50)
+            zone = rng.choice(["front", "left", "not_valid"])
+            spans.append((doc, position, zone, start, end))
+    for doc, _, zone, start, end in sorted(spans, key=lambda s: s[1]):
+        if zone != "not_valid":
+            want |= {(doc, f): (zone, f"{zone}:{start}-{end}") for f in range(start, end + 1)}
+    df = spark.createDataFrame(spans, "doc int, position int, zone string, start_frame int, end_frame int")
+    got = intervals.zone_per_frame(df.repartition(3), ["doc"], "frame").collect()
+    assert {(r.doc, r.frame): (r.zone, r.interval_key) for r in got} == want and len(got) == len(want)
+    assert intervals.zone_per_frame(df.limit(0), ["doc"], "frame").count() == 0
+
+
 def test_activity_tree_and_registry(spark):
     root, out = folder(), folder()
     base = "gA/{}/s1/gA_{}_s1"

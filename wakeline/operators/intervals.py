@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from heapq import heappop, heappush
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,13 +87,87 @@ def _frames_of(intervals: DataFrame, frame: str) -> DataFrame:
     """One row per frame of [start_frame, end_frame], in two bounded steps."""
     blocks = intervals.filter(F.col("start_frame") <= F.col("end_frame")).withColumn(
         "_b",
-        F.explode(F.sequence(F.expr(f"start_frame div {_BLOCK}"), F.expr(f"end_frame div {_BLOCK}"))),
+        F.explode(F.sequence(*(F.floor(F.col(c) / _BLOCK) for c in ("start_frame", "end_frame")))),
     )
     lo = F.greatest(F.col("start_frame").cast("bigint"), F.col("_b") * _BLOCK)
     hi = F.least(F.col("end_frame").cast("bigint"), F.col("_b") * _BLOCK + _BLOCK - 1)
     return blocks.withColumn(frame, F.explode(F.sequence(lo, hi))).drop("_b")
 
 
+def _winners(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stretches of frames and the interval of the highest position there, as a sweep line.
+
+    Intervals are clipped to spans of ``SEGMENT_ROWS`` frames and dealt by document and span;
+    the bounds of a span are swept in order with the open intervals in a heap by position.
+    """
+    first, last = (F.floor(F.col(c) / SEGMENT_ROWS) for c in ("start_frame", "end_frame"))
+    spans = intervals.where("start_frame <= end_frame").withColumn("_span", F.explode(F.sequence(first, last)))
+    begin = F.greatest(F.col("start_frame").cast("bigint"), F.col("_span") * SEGMENT_ROWS)
+    end = F.least(F.col("end_frame").cast("bigint"), F.col("_span") * SEGMENT_ROWS + SEGMENT_ROWS - 1)
+    spans = spans.withColumns({"start_frame": begin, "end_frame": end})
+    by = [*keys, "_span"]
+    spans = spans.repartition(*by).sortWithinPartitions(*by, "start_frame")
+    won = spans.mapInArrow(_sweep(len(keys)), spans.schema)
+    return won.drop("_span", "position")
+
+
+class _Later(tuple):
+    """A position; the later one comes first in a heap."""
+
+    @classmethod
+    def of(cls, value, number: int) -> _Later:
+        parts = value.values() if isinstance(value, dict) else [value]
+        return cls((*((v is not None, v) for v in parts), number))
+
+    def __lt__(self, other: tuple) -> bool:
+        return tuple.__gt__(self, other)
+
+
+def _sweep(n_keys: int) -> Callable:
+    """Rows (keys, position, zone, interval key, start, end, span) sorted by document, span and
+    start to the stretches their intervals win."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, at, seen, open_, out, schema = None, 0, 0, [], [], None
+
+        def upto(stop: int | None) -> None:
+            """Settle the frames before ``stop``, or all that are covered."""
+            nonlocal at
+            while open_ and (stop is None or at < stop):
+                _, end, row = open_[0]
+                if end < at:
+                    heappop(open_)
+                    continue
+                until = end if stop is None else min(end, stop - 1)
+                out.append((*row[:-3], at, until, row[-1]))
+                at = until + 1
+
+        for batch in batches:
+            schema = batch.schema
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                here = (*row[:n_keys], row[-1])
+                if here != group:
+                    upto(None)
+                    group, at = here, row[-3]
+                    open_.clear()
+                upto(row[-3])
+                at = max(at, row[-3])
+                heappush(open_, (_Later.of(row[n_keys], seen), row[-2], row))
+                seen += 1
+            if out:
+                yield _rows_batch(out, schema)
+                out = []
+        upto(None)
+        if out:
+            yield _rows_batch(out, schema)
+
+    return run
+
+
+def _rows_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
 def zone_per_frame(
     intervals: DataFrame,
     keys: Sequence[str],
@@ -104,7 +180,9 @@ def zone_per_frame(
 
     ``intervals`` has (keys, position, zone, start_frame, end_frame) with ``position`` in
     document order. Ends are clamped to the clip, starts are not. ``strict`` rejects
-    unknown zones, as labels need; interval keys alone accept them.
+    unknown zones, as labels need; interval keys alone accept them. Frames are made of the
+    stretches that an interval wins, so their number is that of the labelled frames, however
+    intervals overlap.
     """
     known = intervals.filter(F.col("zone") != "not_valid")
     if strict:
@@ -117,12 +195,8 @@ def zone_per_frame(
     key = F.concat_ws(
         "", F.col("zone"), F.lit(":"), F.col("start_frame"), F.lit("-"), F.col("end_frame")
     )
-    spread = _frames_of(known.withColumn("interval_key", key), frame)
-    return (
-        spread.groupBy(*keys, frame)
-        .agg(F.max_by(F.struct("zone", "interval_key"), F.col("position")).alias("_z"))
-        .select(*keys, frame, "_z.*")
-    )
+    won = _winners(known.select(*keys, "position", "zone", key.alias("interval_key"), "start_frame", "end_frame"), keys)
+    return _frames_of(won, frame).select(*keys, frame, "zone", "interval_key")
 
 
 def label_rows(
