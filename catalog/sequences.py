@@ -73,12 +73,11 @@ def rolling_window(spark, sf):
 @query(
     "sliding_windows",
     f"""WITH {LF}, n AS (SELECT s, count(*) AS n FROM lf GROUP BY s),
-        w AS (SELECT lf.s, k.k AS window_id, frame FROM lf JOIN n USING (s),
-              range(0, 1000000) AS k(k)
-              WHERE k.k BETWEEN CAST(floor((frame - 149) / 75.0) AS BIGINT) AND frame // 75
-                AND k.k * 75 <= frame AND frame < k.k * 75 + 150 AND k.k * 75 + 150 <= n)
+        k AS (SELECT s, n, unnest(range(0, CAST(n // 75 + 1 AS BIGINT))) AS window_id FROM n),
+        w AS (SELECT lf.s, window_id, frame FROM k JOIN lf ON lf.s = k.s
+              AND frame >= window_id * 75 AND frame < window_id * 75 + 150 WHERE window_id * 75 + 150 <= n)
         SELECT s, window_id, count(*) AS n, min(frame) AS first_frame, max(frame) AS last_frame
-        FROM w GROUP BY s, window_id""".replace("range(0, 1000000)", "range(0, 10000)"),
+        FROM w GROUP BY s, window_id""",
 )
 def sliding_windows(spark, sf):
     frames, rows = long_frames(spark, sf)
