@@ -13,6 +13,8 @@ from catalog.base import (
     HOUR_US,
     LEVELS,
     LF,
+    ROWS,
+    SLICE,
     TIER,
     VIDEOS,
     ZONES,
@@ -28,7 +30,7 @@ from catalog.base import (
 )
 from wakeline.functions.scalars import rate_per_minute, tier_name
 from wakeline.operators import alerts, runs, windows
-from wakeline.operators.segments import cut, stage_folder
+from wakeline.operators.segments import cut, index_rows, stage_folder
 from wakeline.plans.yawning import longest_runs, score_videos
 from wakeline.streaming import metrics as live
 from wakeline.streaming import monitor
@@ -385,6 +387,31 @@ def majority_smooth(spark, sf):
     return voted_zones(spark, sf)[0].select("s", "frame", "smoothed")
 
 
+# A zone for every part and line: far too many to list.
+_PLACES = """pl AS (
+  SELECT l_suppkey AS s, l_partkey || '-' || l_linenumber % 5 AS zone, row_number() OVER (PARTITION BY l_suppkey
+      ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice) - 1 AS frame
+  FROM lineitem)"""
+
+
+@query(
+    "majority_open_vocabulary",
+    f"""WITH {_PLACES},
+        v AS (SELECT a.s, a.frame, b.zone, count(*) AS n, max(b.frame) AS last FROM pl AS a JOIN pl AS b
+              ON a.s = b.s AND b.frame BETWEEN a.frame - 60 AND a.frame GROUP BY a.s, a.frame, b.zone)
+        SELECT s, frame, zone AS smoothed FROM
+          (SELECT *, row_number() OVER (PARTITION BY s, frame ORDER BY n DESC, last DESC) AS rn FROM v) AS t
+        WHERE rn = 1""",
+)
+def majority_open_vocabulary(spark, sf):
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice"]
+    zone = F.concat_ws("-", F.col("l_partkey").cast("string"), (F.col("l_linenumber") % 5).cast("string"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), *order, zone.alias("zone"))
+    frames = index_rows(rows, ["s"], order, "frame", SLICE).select("s", "frame", "zone", (F.col("frame") * 1000).alias("us"))
+    voted = alerts.majority_smooth(frames, ["s"], "frame", "us", "zone", 60_000, rows=ROWS)
+    return voted.select("s", "frame", "smoothed")
+
+
 _STREAK = f"""{_VOTED}, o AS (SELECT s, frame, us, smoothed, coalesce(smoothed <> 'view', false) AS off FROM voted),
   i AS (SELECT *, sum(CASE WHEN off THEN 0 ELSE 1 END) OVER (PARTITION BY s ORDER BY frame) AS isl FROM o),
   t AS (SELECT *, us - min(CASE WHEN off THEN us END) OVER (PARTITION BY s, isl) AS away FROM i),

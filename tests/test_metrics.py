@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -183,3 +184,38 @@ def test_rows_outside_the_classes_count(spark):
         metrics.confusion_matrix(df, "t", "p", 3).collect()
     weights = {r["class"]: r.weight for r in metrics.class_weights(df, "t", 3).collect()}
     assert weights == {0: pytest.approx(5 / 6), 1: pytest.approx(5 / 6), 2: pytest.approx(5 / 3)}
+
+
+def test_radix_percentiles_of_odd_numbers(spark):
+    rng = random.Random(21)
+    odd = [-0.0, 0.0, 5e-324, -5e-324, 1e308, -1e308, 1.0, 1.0 + 2**-52, 1e-9, -7.25]
+    groups = {"a": [rng.choice(odd) for _ in range(101)], None: [rng.gauss(0, 10.0 ** rng.randint(-6, 6)) for _ in range(200)]}
+    groups["same"], groups["one"] = [3.5] * 40, [-2.0]
+    rows = [(k, 1, x) for k, xs in groups.items() for x in xs] + [("none", 1, None), ("a", 1, None)]
+    df = spark.createDataFrame(rows, "k string, _n int, x double").repartition(5)
+    points = {"low": 0.0, "p25": 0.25, "p50": 0.5, "p95": 0.95, "high": 1.0}
+    got = {r.k: r for r in percentiles.exact_percentiles(df, ["k"], "x", points).collect()}
+    assert set(got) == set(groups)
+    for k, xs in groups.items():
+        for name, p in points.items():
+            at = p * (len(xs) - 1)
+            low, high = sorted(xs)[int(np.floor(at))], sorted(xs)[int(np.ceil(at))]
+            assert got[k][name] == pytest.approx(low + (high - low) * (at - np.floor(at)), rel=1e-12, abs=0)
+    assert percentiles.exact_percentiles(df.where("x is null"), ["k"], "x", points).collect() == []
+
+
+def test_ordered_bits_keep_the_order(spark):
+    xs = [float("-inf"), -1e308, -1.5, -5e-324, 0.0, 5e-324, 1.5, 1e308, float("inf"), float("nan")]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select(percentiles.ordered_bits(F.col("x")).alias("u")).collect()
+    assert [r.u for r in rows] == sorted({r.u for r in rows})
+
+
+def test_radix_area_under_the_curve_counts_ties_half(spark):
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 2), [rng.choice([0.1, 0.1 + 2**-40, rng.random(), -1e-300]) for _ in range(3)]) for _ in range(300)]
+    df = spark.createDataFrame(rows, "y int, p array<double>")
+    got = {r["class"]: r.auroc for r in metrics.auroc_per_class(df, "y", "p", 3).collect()}
+    for c in range(3):
+        pos, neg = [p[c] for y, p in rows if y == c], [p[c] for y, p in rows if y != c]
+        wins = sum((a > b) + (a == b) / 2 for a in pos for b in neg)
+        assert got[c] == pytest.approx(wins / len(pos) / len(neg), abs=1e-12)

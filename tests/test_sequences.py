@@ -281,3 +281,22 @@ def test_votes_over_zones_nobody_listed(spark):
     df = spark.createDataFrame(rows, "s int, frame long, ts long, zone string")
     got = alerts.majority_smooth(df, ["s"], "frame", "ts", "zone", 10_000_000).orderBy("frame").collect()
     assert [r.smoothed for r in got] == ["roof", "roof", "roof", None, "lap", "sky", "sky"]
+
+
+@pytest.mark.parametrize("rows", [3, 16, 1 << 20])
+def test_votes_over_many_zones_match_a_recount(spark, rows):
+    rng = random.Random(rows)
+    sessions, want = {}, {}
+    for s in range(12):
+        t, seen, rows_ = 0, [], []
+        for i in range(rng.randint(1, 70)):
+            t += rng.choice([0, 1, 1, 2, 9])
+            zone = rng.choice([None, *"abcdefghij", "a", "b", "a"])
+            seen = [v for v in seen if v[0] >= t - 12] + [(t, i, zone)] if zone else []
+            counts = {z: (sum(v[2] == z for v in seen), max(v[1] for v in seen if v[2] == z)) for _, _, z in seen}
+            want[s, i] = max(counts, key=counts.get) if zone else None
+            rows_.append((t, zone))
+        sessions[s] = rows_
+    df = make(spark, sessions, "s int, frame long, ts long, zone string")
+    got = alerts.majority_smooth(df, ["s"], "frame", "ts", "zone", 12, rows=rows).collect()
+    assert {(r.s, r.frame): r.smoothed for r in got} == want and len(got) == len(want)

@@ -16,9 +16,11 @@ over segments.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from heapq import heappop, heappush
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,10 +29,12 @@ from wakeline.operators.segments import (
     SEG,
     SEGMENT_ROWS,
     SLICE,
+    SLICE_ROWS,
     attach_carry,
     cut,
     halo,
     hold_last,
+    index_rows,
     own_rows,
     running_sum,
     scan,
@@ -356,28 +360,20 @@ def majority_smooth(
     A null zone yields null and clears the history. Ties go to the zone seen last. ``ts``
     holds microseconds and does not decrease with ``frame``. Every vote is counted in when
     it is seen and out when it expires, so the cost does not depend on the window length.
-    ``zones`` is the vocabulary if it is known; any zone counts, and those of the table are
-    looked up without it.
+    ``zones`` is the vocabulary if it is small and known, a column of counts each; without it
+    any number of zones is counted in rows (:func:`_sliding_mode`).
     """
     if window_us <= 0:
         raise ValueError(f"votes cannot be taken over {window_us} microseconds")
-    if zones is None:  # a vocabulary of places to look at, a handful of words
-        found = df.select(F.col(zone).alias("z")).where("z is not null").distinct().orderBy("z").collect()
-        zones = [r["z"] for r in found] or ["none"]
-    else:
-        unknown = F.raise_error(F.concat(F.lit("not in the vocabulary: "), F.col(zone)))
-        listed = F.col(zone).isNull() | F.col(zone).isin(*zones)
-        df = df.withColumn(zone, F.when(listed, F.col(zone)).otherwise(unknown))
+    if zones is None:
+        return _sliding_mode(df, keys, frame, ts, zone, window_us, out, rows)
+    unknown = F.raise_error(F.concat(F.lit("not in the vocabulary: "), F.col(zone)))
+    listed = F.col(zone).isNull() | F.col(zone).isin(*zones)
+    df = df.withColumn(zone, F.when(listed, F.col(zone)).otherwise(unknown))
     gaps = F.col(zone).isNull().cast("bigint")
     epochs = cut(running_sum(df, keys, frame, gaps, "_epoch", rows))
     group = [*keys, "_epoch"]
-    # Votes come in at ts (0) and leave after ts + window (1), in that order at equal times.
-    in_and_out = F.when(F.col(zone).isNull(), F.array(F.lit(0))).otherwise(
-        F.array(F.lit(0), F.lit(1))
-    )
-    moves = epochs.withColumn("_move", F.explode(in_and_out)).withColumn(
-        "_at", F.col(ts) + F.when(F.col("_move") == 1, window_us).otherwise(0)
-    )
+    moves = _moves(epochs, ts, zone, window_us)
     sliced = slice_by_order(moves, group, ["_at", "_move", frame])
     upto = scan(within(group, SLICE), "_at", "_move", frame)
     delta = F.when(F.col("_move") == 0, 1).otherwise(-1)
@@ -406,6 +402,99 @@ def majority_smooth(
     return known.filter(F.col("_move") == 0).withColumn(out, voted).select(*df.columns, out)
 
 
+def _moves(votes: DataFrame, ts: str, zone: str, window_us: int) -> DataFrame:
+    """Votes come in at ts (``_move`` 0) and leave after ts + window (1), in that order at equal
+    times; rows without a zone only come in."""
+    in_and_out = F.when(F.col(zone).isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    moves = votes.withColumn("_move", F.explode(in_and_out))
+    return moves.withColumn("_at", F.col(ts) + F.when(F.col("_move") == 1, window_us).otherwise(0))
+
+
+def _sliding_mode(
+    df: DataFrame, keys: Sequence[str], frame: str, ts: str, zone: str, window_us: int, out: str, rows: int
+) -> DataFrame:
+    """The majority over any number of zones.
+
+    Every move of a vote gives its zone a new standing (count, last vote) that lasts until the
+    zone's next move. So a standing is an interval of moves, and the winner at a vote is the
+    best standing that is open there: a sweep over moves with the standings in a heap, by spans
+    of ``rows`` moves, which standings that outlast a span enter anew.
+    """
+    epochs = running_sum(df.select(*keys, frame, ts, zone), keys, frame, F.col(zone).isNull().cast("bigint"), "_epoch", rows)
+    group = [*keys, "_epoch"]
+    moves = _moves(epochs.where(F.col(zone).isNotNull()), ts, zone, window_us)
+    # Numbered once and read by four scans.
+    placed = cut(index_rows(moves, group, ["_at", "_move", frame], "_e", min(rows, SLICE_ROWS)).drop("_at", ts))
+    by_zone = [*group, zone]
+    base = segment(placed, "_e", rows)
+    upto = scan(within(by_zone), "_e")
+    delta, vote = F.when(F.col("_move") == 0, 1).otherwise(-1), F.when(F.col("_move") == 0, F.col(frame))
+    local = base.withColumns(
+        {
+            "_n": F.sum(delta).over(upto),
+            "_last": F.max(vote).over(upto),
+            "_next": F.lead("_e").over(W.partitionBy(*within(by_zone)).orderBy("_e")),
+        }
+    )
+    known = attach_carry(
+        local,
+        base,
+        by_zone,
+        {"_dn": F.sum(delta), "_dl": F.max(vote)},
+        {"_pn": lambda s: F.sum("_dn").over(s), "_pl": lambda s: F.max("_dl").over(s)},
+    )
+    heads = {"_head": F.min("_e")}, {"_later": lambda s: F.min("_head").over(s)}
+    known = attach_carry(known, base, by_zone, *heads, following=True).drop(SEG)
+    end = F.coalesce(F.coalesce("_next", "_later") - 1, F.col("_e"))
+    standing = known.select(
+        *group,
+        "_e",
+        end.alias("_end"),
+        (F.col("_n") + F.coalesce("_pn", F.lit(0))).alias("_n"),
+        F.greatest("_last", "_pl").cast("bigint").alias("_last"),
+        F.col(zone).alias("_zone"),
+        F.when(F.col("_move") == 0, F.col(frame)).cast("bigint").alias("_vote"),
+    )
+    # Nothing stands open after a zone's last move, which takes its last vote away.
+    standing = standing.withColumn("_span", F.explode(F.sequence(F.expr(f"_e div {rows}"), F.expr(f"_end div {rows}"))))
+    standing = standing.withColumn("_vote", F.when(F.expr(f"_e div {rows} = _span"), F.col("_vote")))
+    by = [*group, "_span"]
+    dealt = standing.repartition(*by).sortWithinPartitions(*by, F.greatest(F.col("_e"), F.col("_span") * rows), "_e")
+    names = [f"_k{i}" for i in range(len(keys))]
+    fields = [f"{n} {df.schema[k].dataType.simpleString()}" for n, k in zip(names, keys)]
+    kind = df.schema[zone].dataType.simpleString()
+    won = dealt.withColumnsRenamed(dict(zip(keys, names))).mapInArrow(_best_standing(len(keys)), ", ".join([*fields, "_f bigint", f"_z {kind}"]))
+    same = F.col(frame) == F.col("_f")
+    for k, n in zip(keys, names):
+        same = same & (F.col(k) == F.col(n))
+    return df.join(won, same, "left").select(*df.columns, F.col("_z").alias(out))
+
+
+def _best_standing(n_keys: int) -> Callable:
+    """Standings sorted by group, span and first move to (keys, frame, zone) of every vote."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, heap = None, []
+        for batch in batches:
+            out, columns = [], [c.to_pylist() for c in batch.columns]
+            for *names, epoch, move, end, n, last, zone, vote, span in zip(*columns):
+                if (here := (*names, epoch, span)) != group:
+                    group, heap = here, []
+                if n:
+                    heappush(heap, (-n, -last, end, zone))
+                if vote is not None:
+                    while heap[0][2] < move:
+                        heappop(heap)
+                    out.append((*names, vote, heap[0][3]))
+            if out:
+                schema = batch.schema
+                kinds = [*(schema.field(i).type for i in range(n_keys)), pa.int64(), schema.field("_zone").type]
+                labels = [*(schema.field(i).name for i in range(n_keys)), "_f", "_z"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=labels)
+
+    return run
+
+
 def streak_tier(
     df: DataFrame,
     keys: Sequence[str],

@@ -13,14 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wakeline.functions.scalars import argmax, eyes_on_road
-from wakeline.operators.percentiles import exact_percentiles
-from wakeline.operators.segments import (
-    SLICE,
-    attach_carry,
-    scan,
-    slice_by_order,
-    within,
-)
+from wakeline.operators.percentiles import SHIFTS, exact_percentiles, ordered_bits
+from wakeline.operators.segments import scan
 
 
 def _ratio(num: str | Column, den: str | Column, empty: float | None) -> Column:
@@ -181,9 +175,8 @@ def auroc_per_class(
 ) -> DataFrame:
     """One-vs-rest area under the ROC curve per class, ties counted half.
 
-    The rows of one (class, score) are counted first; the running count of lower-scored
-    negatives is a scan over slices of the score range. Null where a class has no
-    positives or no negatives. Two classes are scored by class 1 alone.
+    The rows of one (class, score) are counted first, and then by their leading bits. Null
+    where a class has no positives or no negatives. Two classes are scored by class 1 alone.
     """
     wanted = [1] if n_classes == 2 else list(range(n_classes))
     each = F.array(
@@ -201,21 +194,18 @@ def auroc_per_class(
         .groupBy("class", "score")
         .agg(F.count_if("hit").alias("_p"), F.count_if(~F.col("hit")).alias("_q"))
     )
-    sliced = slice_by_order(cells, ["class"], ["score"])
-    upto = scan(within(["class"], SLICE), "score")
-    local = sliced.withColumn("_below", F.sum("_q").over(upto) - F.col("_q"))
-    known = attach_carry(
-        local,
-        sliced,
-        ["class"],
-        {"_s": F.sum("_q")},
-        {"_off": lambda s: F.sum("_s").over(s)},
-        SLICE,
-    )
-    wins = F.col("_p") * (F.col("_below") + F.coalesce("_off", F.lit(0)) + F.col("_q") / 2.0)
-    return known.groupBy("class").agg(
-        F.try_divide(F.sum(wins), F.sum("_p").cast("double") * F.sum("_q")).alias("auroc")
-    )
+    # Two scores compare at the first of their bits that differ. From the last bits to the
+    # first: what begins alike is put in order, wins are counted and the cells become one.
+    # The window of a beginning holds the values of the next 21 or 22 bits at most.
+    cells = cells.where("score is not null").select("class", ordered_bits(F.col("score")).alias("_u"), "_p", "_q", (F.col("_p") * F.col("_q") / 2.0).alias("_w"))
+    for _ in SHIFTS[1:]:
+        cells = cells.withColumnsRenamed({"_u": "_digit"}).withColumn("_u", F.shiftright("_digit", 21))
+        below = F.sum("_q").over(scan(["class", "_u"], "_digit")) - F.col("_q")
+        cells = cells.withColumn("_w", F.col("_w") + F.col("_p") * below)
+        cells = cells.groupBy("class", "_u").agg(*[F.sum(c).alias(c) for c in ("_p", "_q", "_w")])
+    below = F.sum("_q").over(scan(["class"], "_u")) - F.col("_q")
+    whole = cells.withColumn("_w", F.col("_w") + F.col("_p") * below).groupBy("class")
+    return whole.agg(F.try_divide(F.sum("_w"), F.sum("_p").cast("double") * F.sum("_q")).alias("auroc"))
 
 
 def macro_auroc(
