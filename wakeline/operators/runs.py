@@ -12,7 +12,6 @@ from wakeline.operators.segments import (
     SEG,
     SEGMENT_ROWS,
     attach_carry,
-    cut,
     index_rows,
     scan,
     segment,
@@ -20,6 +19,12 @@ from wakeline.operators.segments import (
 )
 
 _MERGE = {"max": F.max, "min": F.min, "sum": F.sum}
+#: The same for two values, of which either may be missing.
+_BOTH = {
+    "max": F.greatest,
+    "min": F.least,
+    "sum": lambda a, b: F.when(a.isNotNull() | b.isNotNull(), F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+}
 
 
 def equal_runs(
@@ -65,29 +70,51 @@ def _merge_runs(
         F.max(frame).alias("end"),
         *[_MERGE[fn](src).alias(name) for name, (fn, src) in extras.items()],
     )
-    # Only runs that touch a border can go on in the next segment: at most two a segment.
-    partial = cut(partial)
-    at_border = (F.col("start") % rows == 0) | ((F.col("end") + 1) % rows == 0)
-    columns = [*keys, "value", "start", "end", *extras]
-    inner = partial.filter(~at_border).select(*columns)
-    border = partial.filter(at_border)
-    by_start = W.partitionBy(*keys).orderBy("start")
-    joined = (F.lag("end").over(by_start) + 1 == F.col("start")) & F.lag("value").over(
-        by_start
-    ).eqNullSafe(F.col("value"))
-    border = (
-        border.withColumn("_join", F.coalesce(joined, F.lit(False)))
-        .withColumn("_chain", F.sum((~F.col("_join")).cast("bigint")).over(scan(keys, "start")))
-        .groupBy(*keys, "_chain")
-        .agg(
-            F.first("value").alias("value"),
-            F.min("start").alias("start"),
-            F.max("end").alias("end"),
-            *[_MERGE[fn](name).alias(name) for name, (fn, _) in extras.items()],
-        )
-        .select(*columns)
+    named = {"value": F.col("value"), "start": F.col("start"), "end": F.col("end")}
+    named |= {name: F.col(name) for name in extras}
+    row = F.struct(*[c.alias(n) for n, c in named.items()])
+    ends = partial.groupBy(*part).agg(
+        F.min_by(row, "start").alias("_first"), F.max_by(row, "start").alias("_last")
+    )
+    carried = _continued(ends, keys, extras)
+    known = partial.join(carried, part)
+    # A run that goes on from the segment before is part of the run that began it.
+    begins = known.filter(~F.col("_goes_on") | (F.col("start") != F.col("_head")))
+    closes = F.col("start") == F.col("_tail")
+    more = F.when(closes, F.col("_more"))
+    out = {"end": F.coalesce(more["end"], F.col("end"))}
+    for name, (fn, _) in extras.items():
+        out[name] = _BOTH[fn](F.col(name), more[name])
+    out = begins.select(*keys, "value", "start", *[c.alias(n) for n, c in out.items()])
+    return out.withColumn("length", F.col("end") - F.col("start") + 1)
+
+
+def _continued(ends: DataFrame, keys: Sequence[str], extras: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """For every segment: whether its first run goes on from the segment before (``_goes_on``),
+    where its first and last run start, and what later segments add to the last (``_more``).
+
+    Takes the first and last run of each segment. First runs that go on through whole segments
+    form a chain; what is left of a chain is added up from its end.
+    """
+    w = W.partitionBy(*keys).orderBy(SEG)
+    was = F.lag("_last").over(w)
+    goes_on = (was["end"] + 1 == F.col("_first.start")) & was["value"].eqNullSafe(F.col("_first.value"))
+    through = F.lag(F.col("_first.start") == F.col("_last.start")).over(w)
+    linked = ends.withColumns({"_goes_on": F.coalesce(goes_on, F.lit(False)), "_through": through})
+    parted = ~(F.col("_goes_on") & F.coalesce("_through", F.lit(False)))
+    chained = linked.withColumn("_chain", F.sum(parted.cast("int")).over(scan(keys, SEG)))
+    left = W.partitionBy(*keys, "_chain").orderBy(SEG).rowsBetween(W.currentRow, W.unboundedFollowing)
+    rest = [F.max(F.col("_first.end")).over(left).alias("end")]
+    rest += [_MERGE[fn](F.col(f"_first.{name}")).over(left).alias(name) for name, (fn, _) in extras.items()]
+    summed = chained.withColumn("_rest", F.struct(*rest))
+    more = F.when(F.lead("_goes_on").over(w), F.lead("_rest").over(w))
+    return summed.select(
+        *within(keys),
+        "_goes_on",
+        F.col("_first.start").alias("_head"),
+        F.col("_last.start").alias("_tail"),
+        more.alias("_more"),
     )
-    return inner.unionByName(border).withColumn("length", F.col("end") - F.col("start") + 1)
 
 
 def event_runs(

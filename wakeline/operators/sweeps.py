@@ -103,7 +103,7 @@ def alarms(
     after = F.explode(F.array(*[F.lit(a) for a in alarm_steps])).alias("alarm_after")
     if threshold != ALARM:
         raise ValueError(f"no such alarm threshold: {threshold}")
-    base = segment(cut(changes), "frame", rows)
+    base = segment(changes, "frame", rows)
     order = W.partitionBy(*within(group)).orderBy("frame")
     known = attach_carry(
         base.withColumn("_next", F.lead("frame").over(order)),
