@@ -143,3 +143,12 @@ def test_mixing_odd_rows(spark):
     assert keys == sorted(keys)
     assert mixing.mix(frame(spark, [])).count() == 0
     assert mixing.mix(frame(spark, [(1, None, "en", "a")])).count() in range(10)
+
+
+def test_columns_of_the_same_names_stay(spark):
+    df = frame(spark, [(i, "some text", "en", "a") for i in range(20)]).selectExpr("*", "doc_id * 7 AS copy", "'mine' AS Shuffle_Key")
+    out = mixing.mix(df)
+    assert out.columns == [*df.columns, "_copy", "_shuffle_key"]
+    rows = out.collect()
+    assert rows and all(r["copy"] == 7 * r.doc_id and r["Shuffle_Key"] == "mine" for r in rows)
+    assert [r._shuffle_key for r in rows] == sorted(r._shuffle_key for r in rows)
