@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from plain import frame, vocabulary
 
 from wakeline.llm import html_text, url_model
@@ -46,7 +47,7 @@ def test_host_boilerplate_goes(spark):
         want[i] = "\n".join(own)
     rows.append((99, "http://alone.com/", f"<div>{top}</div><p>{bottom}"))
     df = frame(spark, rows, "page_id bigint, url string, html string")
-    got = {r.page_id: r.text for r in html_text.main_texts(df, host_pages=12).collect()}
+    got = {r.page_id: r.text for r in html_text.main_texts(df).collect()}
     assert {i: got[i] for i in want} == want
     assert got[99] == f"{top}\n{bottom}"
 
@@ -61,8 +62,7 @@ def test_notice_on_few_pages_of_a_hot_host_goes(spark):
         rows.append((i, f"http://hot.org/{i}", f"<div>{own}</div>" + (f"<p>{notice}</p>" if i % 20 == 0 else "")))
         want[i] = own
     df = frame(spark, rows, "page_id bigint, url string, html string")
-    for cut in (4, 256):
-        assert {r.page_id: r.text for r in html_text.main_texts(df, host_pages=cut).collect()} == want
+    assert {r.page_id: r.text for r in html_text.main_texts(df).collect()} == want
 
 
 def test_article_text_stays(spark):
@@ -93,22 +93,78 @@ def test_article_text_stays(spark):
     assert {r.page_id: r.text for r in html_text.main_texts(df).collect()} == want
 
 
-def test_shared_words_match_plain_count():
-    rng = random.Random(2)
-    pages = [[" ".join(rng.choice("ab") for _ in range(rng.randint(1, 12))) for _ in range(3)] for _ in range(6)]
-    k = 4
-    marked = [sum(([*b.split(), "|"] for b in p), []) for p in pages]
-    holds: dict = {}
-    for p, m in enumerate(marked):
-        for i in range(len(m) - k + 1):
-            holds.setdefault(tuple(m[i : i + k]), set()).add(p)
-    for m, got in zip(marked, html_text.shared_words(pages, k)):
-        want = []
-        for i, w in enumerate(m):
-            if w != "|":
-                spans = [holds[tuple(m[j : j + k])] for j in range(max(0, i - k + 1), i + 1) if j + k <= len(m)]
-                want.append(max(map(len, spans), default=1))
-        assert [max(1, x) for x in got.tolist()] == want
+STORY = "a long story that goes on for well more than a handful of words " * 6
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<main class="content with-sidebar"><p>{}</p></main>', "{}"),
+        ('<article class="post share-enabled"><p>{}</p></article>', "{}"),
+        ('<div class="wrapper has-sidebar"><p>{}</p><div class="sidebar">links</div></div>', "{}"),
+        ('<article class="comments"><p>{}</p></article>', "{}"),
+        ('<article><h2 id="notice">Notice</h2><p>{}</p></article>', "Notice\n{}"),
+        ('<article><p>{}</p><div class="related-work">Earlier work</div></article>', "{}\nEarlier work"),
+        ('<article>A teaser</article><div><p>{}</p></div>', "A teaser\n{}"),
+        ('<div class="teaser"><article>One</article><article>{}</article></div><div class="ad">Buy</div>', "One\n{}"),
+        ('<div class="notice"><p>{}</p></div>', "{}"),
+        ('<div class="site-header">Menu</div><p>{}</p><div id="commentList">me too</div><p class="ad">Buy</p>', "{}"),
+        ('<div class="cookie-notice"><article><p>{}</p></article></div>', "{}"),
+        ("<p>{}</p>" * 3, "{}\n{}\n{}"),
+    ],
+)
+def test_names_that_mislead(page, text):
+    story = STORY.strip()
+    assert "\n".join(html_text.page_blocks(page.replace("{}", STORY))[0]) == text.replace("{}", story)
+
+
+def test_very_long_pages_and_deep_nesting(spark):
+    long = "word " * 200_000
+    rows = [(1, "http://a.org/", f"<article><p>{long}</p></article>"), (2, "http://a.org/", "<div>" * 5_000 + STORY), (3, None, "<" * 50_000)]
+    got = {r.page_id: r.text for r in html_text.main_texts(frame(spark, rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1] == long.strip() and got[2] == STORY.strip() and len(got) == 3
+
+
+def test_whole_result_against_plain_counting(spark):
+    """Blocks in, boilerplate out: recounted run by run over whole hosts."""
+    rng = random.Random(12)
+    vocab = vocabulary(2000, 4)
+    some = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    bars = [some(n) for n in (3, 4, 7, 12)]
+    rows = []
+    for i in range(120):
+        parts = [some(rng.randint(1, 25)) for _ in range(rng.randint(1, 4))] + [b for b in bars if rng.random() < 0.4]
+        rng.shuffle(parts)
+        kind = "article" if i % 5 == 0 else "section"
+        rows.append((i, f"http://h{i % 3}.org/{i}", f"<{kind}>" + "".join(f"<p>{p}</p>" for p in parts) + f"</{kind}>"))
+    rows += rows[:9]
+    got = {r.page_id: r.text for r in html_text.main_texts(frame(spark, rows, "page_id bigint, url string, html string")).collect()}
+    pages = {}
+    for i, url, page in rows:
+        found, body = html_text.page_blocks(page)
+        pages[i] = (url.split("/")[2], tuple(found), body)
+
+    def spread(contents):
+        holders: dict = {}
+        for host, found in contents:
+            sizes = [len(b.split()) for b in found]
+            for a, b in html_text.runs(sizes):
+                holders.setdefault((host, found[a : b + 1]), set()).add(found)
+        return {run for run, held in holders.items() if len(held) >= html_text.SHARED}
+
+    def covered(host, found, shared):
+        sizes = [len(b.split()) for b in found]
+        return {k for a, b in html_text.runs(sizes) if (host, found[a : b + 1]) in shared for k in range(a, b + 1)}
+
+    contents = {(h, f) for h, f, body in pages.values() if not body}
+    shared = spread(contents)
+    size = lambda f, some: sum(len(f[k].split()) for k in some)
+    voters = {(h, f) for h, f in contents if size(f, range(len(f))) - size(f, covered(h, f, shared)) >= html_text.OWN * size(f, range(len(f)))}
+    shared &= spread(voters)
+    for i, (host, found, body) in pages.items():
+        gone = set() if body else covered(host, found, shared)
+        left = [b for k, b in enumerate(found) if k not in gone] or list(found)
+        assert got[i] == "\n".join(left)
 
 
 def rule_of(url):

@@ -1,16 +1,20 @@
 """Main text of web pages, without the boilerplate that pages of a host share.
 
 1. A page is read into blocks: the text between block-level tags, outside scripts, styles,
-   navigation, headers, footers, asides, forms and elements whose class, id or role names
-   such a part, a notice, an advert or comments. Blocks inside an ``article`` or ``main``
-   element are the page's body if any of them has text, and stay; else all blocks are
-   candidates.
-2. A run is the fewest whole blocks, from one on or up to one, with ``PASSAGE`` words or more.
+   navigation, headers, footers, asides, forms and containers whose class, id or role is the
+   name of such a part, a notice, an advert or comments. Names that only say that something
+   has such a part (``has-sidebar``, ``share-enabled``) do not count, headings and ``article``
+   and ``main`` elements are never set aside for their names, and where names would leave a
+   page without text they are not looked at.
+2. Blocks inside ``article`` or ``main`` elements are the page's body and stay, unless
+   ``OUTSIDE`` times as many words stand outside them (a teaser beside a story); then, and
+   without any, all blocks are candidates.
+3. A run is the fewest whole blocks, from one on or up to one, with ``PASSAGE`` words or more.
    The runs of all pages of a host without a body element are counted by 128-bit digest, each
    once for every distinct page text, over the whole cluster: no host is cut.
-3. A page text counts only if a fifth of its words (``OWN``) or more are outside the runs that
+4. A page text counts only if a fifth of its words (``OWN``) or more are outside the runs that
    ``SHARED`` texts have: copies and near copies of a page say nothing of its parts.
-4. Blocks of runs that ``SHARED`` such texts or more of the host have are boilerplate and go,
+5. Blocks of runs that ``SHARED`` such texts or more of the host have are boilerplate and go,
    unless the page would have no text left.
 
 Defined results: null and empty pages have empty text; null or odd URLs are one host; a tag
@@ -26,19 +30,17 @@ import html
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.fm_index import suffix_order
 from wakeline.llm.staging import staged
 from wakeline.llm.url_model import host_and_path
 
-HOST_PAGES = 256
 PASSAGE = 6
 SHARED = 3
 OWN = 0.2
+OUTSIDE = 3
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -59,23 +61,37 @@ _ASIDE_WORDS = set(
 )
 
 
+#: What such a name may be joined with: where a part stands or what it is made of.
+_FILLERS = set("area bar block bottom box buttons container content global inner item items left links list main outer page right section site top wrap wrapper".split())
+#: Elements that hold a part of a page; others are not set aside for their names.
+_HOLDERS = set("div section ul ol dl table header details figure center fieldset p span td tr".split())
+
+
 def _set_aside(attributes: str) -> bool:
+    """Whether a class, id or role is the name of a part that is no main text."""
     for m in _NAMED.finditer(attributes):
-        value = m[1] or m[2] or m[3] or ""
-        value = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-        if not _ASIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+        value = re.sub(r"([a-z])([A-Z])", r"\1-\2", m[1] or m[2] or m[3] or "").lower()
+        for name in value.split():
+            parts = {p for p in re.split(r"[^a-z]+", name) if p}
+            if parts & _ASIDE_WORDS and parts <= _ASIDE_WORDS | _FILLERS:
+                return True
     return False
 
 
-def blocks(page: str) -> list[tuple[str, bool]]:
-    """Text and whether it is inside a body element, block by block, in page order."""
+def blocks(page: str, by_name: bool = True) -> list[tuple[str, bool]]:
+    """Text and whether it is inside a body element, block by block, in page order.
+
+    ``by_name``: set elements aside for their class, id or role too.
+    """
     out: list[tuple[str, bool]] = []
     held: list[str] = []
     body = 0
     away: str | None = None  # the element whose end ends what is set aside
     depth, in_body_when_set = 0, 0
 
+    def aside(name: str, attributes: str) -> bool:
+        return by_name and name in _HOLDERS and _set_aside(attributes)
+
     def close() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
@@ -101,7 +117,7 @@ def blocks(page: str) -> list[tuple[str, bool]]:
                 depth += -1 if closing else not single
                 if depth == 0:
                     away = None
-            elif name in _BODY and not closing and not in_body_when_set and not _set_aside(m[3]):
+            elif name in _BODY and not closing and not in_body_when_set:
                 away, body = None, 1
             elif name in _BODY and closing and in_body_when_set:
                 away, body = None, max(body - 1, 0)
@@ -115,12 +131,12 @@ def blocks(page: str) -> list[tuple[str, bool]]:
         if name == "br":
             held.append(" ")
             continue
-        if name in _INLINE and (closing or single or not _set_aside(m[3])):
+        if name in _INLINE and (closing or single or not aside(name, m[3])):
             continue
         close()
-        if name in _BODY and not (not closing and _set_aside(m[3])):
+        if name in _BODY:
             body = max(body + (-1 if closing else 1), 0)
-        elif not closing and not single and (name in _PARTS or name == "header" and not body or name not in ("html", "body") and _set_aside(m[3])):
+        elif not closing and not single and (name in _PARTS or name == "header" and not body or aside(name, m[3])):
             away, depth, in_body_when_set = name, 1, body
     close()
     return out
@@ -128,9 +144,11 @@ def blocks(page: str) -> list[tuple[str, bool]]:
 
 def page_blocks(page: str) -> tuple[list[str], bool]:
     """Blocks that may be main text, and whether they are the page's body element."""
-    found = blocks(page)
+    found = blocks(page) or blocks(page, by_name=False)
     inside = [text for text, body in found if body]
-    return (inside, True) if inside else ([text for text, _ in found], False)
+    words = sum(len(text.split()) for text in inside)
+    outside = sum(len(text.split()) for text, body in found if not body)
+    return (inside, True) if inside and outside < OUTSIDE * words else ([text for text, _ in found], False)
 
 
 def _digest(host: str, blocks: list[str]) -> bytes:
@@ -183,31 +201,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def shared_words(pages: list[list[str]], passage: int = PASSAGE) -> list[np.ndarray]:
-    """For every word of every page (its blocks' words in order) the largest number of
-    distinct pages that share a stretch of ``passage`` words or marks that covers it."""
-    ids: dict[str, int] = {}
-    stream, owner = [], []
-    for p, page in enumerate(pages):
-        for block in page:
-            stream += [ids.setdefault(w, len(ids) + 1) for w in block.split()]
-            stream.append(0)
-        stream.append(-1 - p)
-        owner.append(len(stream))
-    symbols = np.array(stream, np.int64)
-    page_of = np.repeat(np.arange(len(pages)), np.diff([0, *owner]))
-    order, same = suffix_order(symbols - symbols.min(), passage)
-    group = np.cumsum(~same) - 1
-    pairs = np.unique(group * len(pages) + page_of[order])
-    spread = np.bincount(pairs // len(pages))
-    at = np.zeros(len(symbols), np.int64)
-    at[order] = spread[group]
-    most = at.copy()
-    for back in range(1, passage):
-        most[back:] = np.maximum(most[back:], np.where(page_of[back:] == page_of[:-back], at[:-back], 0))
-    return [most[(page_of == p) & (symbols > 0)] for p in range(len(pages))]
-
-
 def _spread(found: DataFrame) -> DataFrame:
     """Runs that enough distinct page texts have."""
     n = found.groupBy(F.col("run").alias("_run")).agg(F.countDistinct("content").alias("n"))
@@ -248,14 +241,8 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def main_texts(
-    pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html", host_pages: int = HOST_PAGES
-) -> DataFrame:
-    """``id, url, text, n_chars`` of every row.
-
-    Counts are those of whole hosts; ``host_pages`` is accepted for earlier callers, and the
-    result does not depend on it.
-    """
+def main_texts(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+    """``id, url, text, n_chars`` of every row."""
     rows = pages.select(
         F.col(id).cast("bigint").alias("id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html")
     )
