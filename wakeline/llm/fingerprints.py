@@ -119,8 +119,9 @@ class Sketches(NamedTuple):
         return np.concatenate(owners), np.concatenate(found), np.concatenate(signs), done
 
     def text(self, row: int) -> str:
-        """One sketch as base64: counts (16 bits), sums (64) and checks (32), little-endian."""
-        raw = self.count[row].astype("<i2").tobytes() + self.sums[row].astype("<u8").tobytes()
+        """One sketch as base64: counts (64 bits, as a text of any length may need), sums (64) and
+        checks (32), little-endian."""
+        raw = self.count[row].astype("<i8").tobytes() + self.sums[row].astype("<u8").tobytes()
         return base64.b64encode(raw + self.checks[row].astype("<u4").tobytes()).decode()
 
 
