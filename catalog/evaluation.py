@@ -755,36 +755,72 @@ def majority_share(df, label):
 
 
 @query(
-    "boosted_windows",
+    "boosted_split",
     f"""WITH {windows_sql(60, 30, 'w')}, {split_sql('w', 0.8, 0.2, 1)}
-        SELECT CAST(sum(n) FILTER (split = 'train') AS BIGINT) AS n_train, CAST(sum(n) FILTER (split = 'val') AS BIGINT) AS n_validation,
-          TRUE AS beats_majority FROM w JOIN buckets USING (subject_id)""",
+        SELECT split, CAST(sum(n) AS BIGINT) AS n FROM w JOIN buckets USING (subject_id) GROUP BY split""",
 )
+def boosted_split(spark, sf):
+    """Windows on each side of the split that boosted trees are fitted on."""
+    *_, windows = summary_windows(spark, sf)
+    whole = splits.subject_independent_split(windows, (0.8, 0.2, 0.0), 1, "s")
+    return whole.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("boosted_windows")
 def boosted_windows(spark, sf):
-    """Boosted trees on window features, trained on some sessions and judged on others."""
+    """Metrics of boosted trees on window features, trained on some sessions and judged on others."""
     *_, windows = summary_windows(spark, sf)
     whole = cut(splits.subject_independent_split(windows, (0.8, 0.2, 0.0), 1, "s"))
     train, validate = whole.filter("split = 'train'"), whole.filter("split = 'val'")
     out = scoring.evaluate_boosted_windows(train, validate, fatigue.FEATURES, "label", 3)
-    return out.select(
-        F.lit(train.count()).alias("n_train"),
-        F.lit(validate.count()).alias("n_validation"),
-        (F.col("overall_accuracy") > majority_share(validate, "label")).alias("beats_majority"),
-    )
+    return out.withColumn("majority", F.lit(majority_share(validate, "label")))
+
+
+# Vectors of "subjects" who look at the place whose entry, of the first five, is the largest.
+_GAZE_VECTORS = """g AS (
+  SELECT vec_id, vec_id % 25 AS subject, vec_id // 100 AS block,
+    list_position(embedding[1:5], list_max(embedding[1:5])) - 1 AS zone, embedding FROM embeddings)"""
+
+
+def gaze_vectors(spark, sf):
+    first = F.slice("embedding", 1, 5)
+    zone = F.array_position(first, F.array_max(first)).cast("int") - 1
+    at = F.floor(F.col("vec_id") / 100).alias("block")
+    return table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 25).alias("subject"), at, zone.alias("zone"), "embedding")
 
 
 @query(
     "gaze_leave_one_out",
-    "SELECT CAST(vec_id % 4 AS VARCHAR) AS subject, count(*) AS n, TRUE AS all_zones FROM embeddings GROUP BY 1",
+    f"""WITH {_GAZE_VECTORS},
+        e AS (SELECT vec_id, subject, zone AS c, unnest(range(64)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM g),
+        own AS (SELECT subject, c, d, count(*) AS n, sum(x) AS m, sum(x * x) AS q FROM e GROUP BY ALL),
+        whole AS (SELECT c, d, sum(n) AS n, sum(m) AS m, sum(q) AS q FROM own GROUP BY ALL),
+        fold AS (SELECT f.subject, w.c, w.d, w.n - coalesce(o.n, 0) AS n, w.m - coalesce(o.m, 0) AS m, w.q - coalesce(o.q, 0) AS q
+          FROM (SELECT DISTINCT subject FROM g) AS f CROSS JOIN whole AS w
+          LEFT JOIN own AS o ON o.subject = f.subject AND o.c = w.c AND o.d = w.d),
+        v AS (SELECT *, (sum(q) OVER fd - sum(m * m / n) OVER fd) / sum(n) OVER fd AS var, sum(n) OVER fd AS total
+          FROM fold WHERE n > 0 WINDOW fd AS (PARTITION BY subject, d)),
+        bias AS (SELECT subject, c, max(ln(n / total)) - sum(m / n * (m / n) / var) / 2 AS b FROM v GROUP BY ALL),
+        s AS (SELECT e.vec_id, v.c, sum(e.x * (v.m / v.n / v.var)) + any_value(b) AS score FROM e
+          JOIN v ON v.subject = e.subject AND v.d = e.d JOIN bias ON bias.subject = v.subject AND bias.c = v.c GROUP BY ALL),
+        p AS (SELECT g.subject, g.block, g.vec_id, g.zone, arg_max(s.c, s.score) AS said FROM g JOIN s USING (vec_id) GROUP BY ALL),
+        vote AS (SELECT subject, block, zone, said, row_number() OVER (PARTITION BY subject, block, zone ORDER BY count(*) DESC, min(vec_id)) AS rn
+          FROM p GROUP BY subject, block, zone, said),
+        b AS (SELECT 'frame' AS level, subject, zone, said FROM p UNION ALL SELECT 'interval', subject, zone, said FROM vote WHERE rn = 1)
+        SELECT level, CASE WHEN grouping(subject) = 1 THEN 'all' ELSE CAST(subject AS VARCHAR) END AS subject, count(*) AS n,
+          count(*) FILTER (zone = said) AS correct, count(*) FILTER (zone = 0) AS n_on_road, count(*) FILTER (zone <> 0) AS n_off_road,
+          count(*) FILTER (zone = 0 AND said <> 0) AS false_alarms, count(*) FILTER (zone <> 0 AND said <> 0) AS detected,
+          round(avg(CASE WHEN zone = said THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+          round(count(*) FILTER (zone = 0 AND said <> 0) / nullif(count(*) FILTER (zone = 0), 0), 6) AS false_alarm_rate,
+          round(count(*) FILTER (zone <> 0 AND said <> 0) / nullif(count(*) FILTER (zone <> 0), 0), 6) AS detection_rate
+        FROM b GROUP BY GROUPING SETS ((level, subject), (level))""",
 )
 def gaze_leave_one_out(spark, sf):
-    """Every subject judged by a model that never saw them."""
-    corpus = cut(
-        table(spark, sf, "embeddings").select("vec_id", "embedding", "label", (F.col("vec_id") % 4).cast("string").alias("subject"))
-    )
-    pooled = scoring.leave_one_subject_out(scoring.as_vector(corpus, "embedding"), "subject", scoring.fit_zone_model)
-    zone = F.col("prediction").isin(*range(10))
-    return pooled.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.min(zone).alias("all_zones"))
+    """Every subject judged by a model that never saw them, frame by frame and by votes."""
+    said = scoring.leave_one_subject_out_discriminant(gaze_vectors(spark, sf), "subject", "zone", "embedding", "said")
+    said = said.withColumn("stay", F.concat_ws("-", "block", "zone"))  # one true zone an interval
+    out = metrics.subject_report(said, "subject", ["stay"], "zone", "said", "vec_id", lambda c: c == 0)
+    return rounded(out, "accuracy", "false_alarm_rate", "detection_rate")
 
 
 _GRID_COUNTS = " UNION ALL ".join(
@@ -794,55 +830,69 @@ _GRID_COUNTS = " UNION ALL ".join(
 
 
 @query(
-    "window_tuning",
+    "window_tuning_sizes",
     f"""WITH w AS (SELECT CAST(l_suppkey AS VARCHAR) AS subject_id, count(*) AS n FROM lineitem GROUP BY l_suppkey),
         {split_sql('w', 0.8, 0.2, 1)}, v AS (SELECT n FROM w JOIN buckets USING (subject_id) WHERE split = 'val')
-        SELECT *, TRUE AS no_better_than_best FROM ({_GRID_COUNTS}) AS g""",
+        SELECT * FROM ({_GRID_COUNTS}) AS g WHERE n_validation > 0""",
 )
+def window_tuning_sizes(spark, sf):
+    """Validation windows of every configuration that is tried."""
+    marked, *_ = summary_windows(spark, sf)
+    carved = splits.subject_independent_split(marked, (0.8, 0.2, 0.0), 1, "s")
+    lengths = carved.filter("split = 'val'").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    grid = [F.struct(F.lit(i).alias("grid_pos"), *[F.lit(c[k]).alias(k) for k in ("size", "stride")]) for i, c in enumerate(fatigue.DEFAULT_GRID)]
+    held = lengths.select("n", F.inline(F.array(*grid))).where("n >= size")
+    windows = F.sum(F.floor((F.col("n") - F.col("size")) / F.col("stride")) + 1)
+    return held.groupBy("grid_pos", "size").agg(windows.alias("n_validation"))
+
+
+@query("window_tuning")
 def window_tuning(spark, sf):
-    """Every window configuration judged on held-out sessions, against the one that is chosen."""
+    """Metrics of every window configuration on held-out sessions; ``chosen`` marks the best."""
     marked, labels, limits, rows, _ = summary_windows(spark, sf)
     carved = cut(splits.subject_independent_split(marked, (0.8, 0.2, 0.0), 1, "s"))
     train, validate = carved.filter("split = 'train'"), carved.filter("split = 'val'")
     results, _ = fatigue.tune(spark, train, validate, labels, ["s"], "frame", limits, 30.0, rows=rows)
     results = cut(results)
-    best = sweeps.best_by(results, "macro_auroc").select(F.col("macro_auroc").alias("top"))
-    size = F.col("config")["size"].cast("int")
-    stride = F.col("config")["stride"].cast("int")
-    lengths = validate.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    known = results.crossJoin(F.broadcast(best)).withColumns({"size": size, "stride": stride})  # best is one row
-    held = known.join(lengths, F.col("n") >= F.col("size"))
-    return held.groupBy("grid_pos", "size").agg(
-        F.sum(F.floor((F.col("n") - F.col("size")) / F.col("stride")) + 1).alias("n_validation"),
-        F.min(F.col("macro_auroc") <= F.col("top")).alias("no_better_than_best"),
-    )
+    best = sweeps.best_by(results, "macro_auroc").select(F.col("grid_pos").alias("best"))
+    named = {k: F.col("config")[k].cast("int") for k in ("size", "stride")}
+    known = results.withColumns(named).drop("config").crossJoin(F.broadcast(best))  # best is one row
+    return known.withColumn("chosen", F.col("grid_pos") == F.col("best")).drop("best")
 
 
 @query(
-    "linear_head",
+    "linear_head_split",
     f"""WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS subject_id FROM embeddings), {split_sql('e', 0.8, 0.2, 1)}
-        SELECT count(*) FILTER (split = 'val') AS n_validation, count(*) AS n, TRUE AS beats_majority FROM buckets""",
+        SELECT split, count(*) AS n FROM buckets GROUP BY split""",
 )
+def linear_head_split(spark, sf):
+    """Vectors on each side of the split of the linear head."""
+    carved = splits.subject_independent_split(gaze_vectors(spark, sf), (0.8, 0.2, 0.0), 1, "vec_id")
+    return carved.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("linear_head")
 def linear_head(spark, sf):
-    """Linear classifier on cached vectors, the penalty chosen on validation."""
-    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("features"), F.col("label").alias("label_index"))
+    """Accuracy on validation for every penalty of a linear classifier; ``chosen`` is kept."""
+    vectors = gaze_vectors(spark, sf).select("vec_id", F.col("embedding").alias("features"), F.col("zone").alias("label_index"))
     carved = cut(splits.subject_independent_split(vectors, (0.8, 0.2, 0.0), 1, "vec_id"))
     held = carved.filter("split = 'val'")
-    head, _ = scoring.fit_linear_head(carved.filter("split = 'train'"), held)
-    scored = metrics.frame_accuracy(head.transform(scoring.as_vector(vectors, "features", "_v")), "label_index", "prediction")
-    better = F.col("accuracy") > majority_share(vectors, "label_index")
-    return scored.select(F.lit(held.count()).alias("n_validation"), "n", better.alias("beats_majority"))
+    best, tried = scoring.linear_head_sweep(carved.filter("split = 'train'"), held)
+    kept = best.getOrDefault("regParam")
+    rows = [(p, a, p == kept, majority_share(held, "label_index")) for p, a in tried.items()]
+    return spark.createDataFrame(rows, "penalty double, accuracy double, chosen boolean, majority double")
 
 
-@query("event_classifier", "SELECT vec_id % 50 AS s, TRUE AS is_probability FROM embeddings GROUP BY 1")
+@query("event_classifier")
 def event_classifier(spark, sf):
-    """Class-weighted event scores, reduced to one score per video."""
-    events = table(spark, sf, "embeddings").select(
-        (F.col("vec_id") % 50).alias("s"), F.col("embedding").alias("features"), (F.col("label") < 2).cast("int").alias("label")
+    """One class-weighted score per video of those with events, and whether the video has a rare one."""
+    events = gaze_vectors(spark, sf).select(
+        (F.col("vec_id") % 50).alias("s"), F.col("embedding").alias("features"), (F.col("zone") == 3).cast("int").alias("label")
     )
     model = scoring.fit_event_classifier(events)
-    scored = metrics.video_scores(events.select("s").distinct(), scoring.score_events(model, events), ["s"])
-    return scored.select("s", F.col("score").between(0.0, 1.0).alias("is_probability"))
+    scored = scoring.score_events(model, events)
+    videos = events.groupBy("s").agg(F.max("label").alias("label"))
+    return metrics.video_scores(videos, scored, ["s"])
 
 
 @query(

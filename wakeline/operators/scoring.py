@@ -11,7 +11,8 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wakeline.functions.scalars import argmax
@@ -195,6 +196,57 @@ def leave_one_subject_out(
     return spark.read.parquet(path)
 
 
+def leave_one_subject_out_discriminant(
+    corpus: DataFrame,
+    subject: str,
+    label: str,
+    features: str,
+    out: str = "prediction",
+    least_variance: float = 1e-12,
+) -> DataFrame:
+    """Adds the class that a linear discriminant fitted on all other subjects predicts.
+
+    Classes are normal with one variance per dimension. All a fold needs are counts, sums and
+    sums of squares per class and dimension, which are those of the corpus less those of the
+    subject: every fold is fitted by one aggregation, whatever the number of subjects, and a
+    subject's model (classes x dimensions numbers) is a row that joins its vectors. Classes
+    that no other subject has are never predicted. ``label`` numbers classes; rows without a
+    subject are one subject, rows without label or vector are predicted null.
+    """
+    named = corpus.withColumns({"_s": F.col(subject).cast("string"), "_c": F.col(label).cast("int"), "_x": F.col(features).cast("array<double>")})
+    entries = named.where(F.col("_c").isNotNull()).select("_s", "_c", F.posexplode("_x").alias("_d", "_v"))
+    own = entries.groupBy("_s", "_c", "_d").agg(
+        F.count(F.lit(1)).cast("double").alias("_n"), F.sum("_v").alias("_m"), F.sum(F.col("_v") * F.col("_v")).alias("_q")
+    )
+    whole = own.groupBy("_c", "_d").agg(*[F.sum(c).alias(f"{c}t") for c in ("_n", "_m", "_q")])
+    subjects = own.select("_s").distinct().withColumnRenamed("_s", "_f")
+    # A row for each fold, class and dimension: the size of the models, not of the rows.
+    folds = subjects.join(F.broadcast(whole)).join(
+        own.withColumnsRenamed({"_c": "_co", "_d": "_do"}),
+        F.col("_f").eqNullSafe(F.col("_s")) & (F.col("_c") == F.col("_co")) & (F.col("_d") == F.col("_do")),
+        "left",
+    )
+    rest = {c: F.col(f"{c}t") - F.coalesce(c, F.lit(0.0)) for c in ("_n", "_m", "_q")}
+    folds = folds.select("_f", "_c", "_d", *[v.alias(c) for c, v in rest.items()]).where("_n > 0")
+    fold = W.partitionBy("_f", "_d")
+    spread = (F.sum("_q").over(fold) - F.sum(F.col("_m") * F.col("_m") / F.col("_n")).over(fold)) / F.sum("_n").over(fold)
+    folds = folds.withColumns({"_var": F.greatest(spread, F.lit(least_variance)), "_all": F.sum("_n").over(fold)})
+    mean = F.col("_m") / F.col("_n")
+    classes = folds.groupBy("_f", "_c").agg(
+        (F.max(F.ln(F.col("_n") / F.col("_all"))) - F.sum(mean * mean / F.col("_var")) / 2).alias("_bias"),
+        F.array_sort(F.collect_list(F.struct("_d", (mean / F.col("_var")).alias("_w")))).alias("_w"),
+    )
+    models = classes.groupBy("_f").agg(F.collect_list(F.struct("_c", "_bias", "_w")).alias("_models"))
+
+    def score(m: Column) -> Column:
+        parts = F.zip_with(m["_w"], F.col("_x"), lambda w, x: w["_w"] * x)
+        return F.struct((m["_bias"] + F.aggregate(parts, F.lit(0.0), lambda t, x: t + x)).alias("score"), m["_c"].alias("of"))
+
+    known = named.join(models, F.col("_s").eqNullSafe(F.col("_f")), "left")
+    best = F.array_max(F.transform("_models", score))["of"]
+    return known.select(*corpus.columns, F.when(F.col("_c").isNotNull() & F.col("_x").isNotNull(), best).alias(out))
+
+
 def run_sweep(
     spark,
     train: DataFrame,
@@ -224,6 +276,20 @@ def fit_linear_head(
     max_iter: int = 50,
 ):
     """Multinomial linear classifier on cached vectors; the best on validation is kept."""
+    best, tried = linear_head_sweep(train, validate, label, features, penalties, max_iter)
+    return best, max(tried.values())
+
+
+def linear_head_sweep(
+    train: DataFrame,
+    validate: DataFrame,
+    label: str = "label_index",
+    features: str = "features",
+    penalties: Sequence[float] = (0.0, 0.01, 0.1),
+    max_iter: int = 50,
+) -> tuple[object, dict[float, float]]:
+    """The best linear classifier (the first on a tie), and the accuracy of every penalty."""
+    tried: dict[float, float] = {}
     vectors = as_vector(train, features, "_v").select("_v", label)
     held = as_vector(validate, features, "_v").select("_v", label)
     best, best_accuracy = None, -1.0
@@ -232,9 +298,10 @@ def fit_linear_head(
             featuresCol="_v", labelCol=label, family="multinomial", regParam=penalty, maxIter=max_iter
         ).fit(vectors)
         accuracy = frame_accuracy(head.transform(held), label, "prediction").first()["accuracy"]
+        tried[penalty] = accuracy
         if accuracy > best_accuracy:
             best, best_accuracy = head, accuracy
-    return best, best_accuracy
+    return best, tried
 
 
 def fit_zone_model(train: DataFrame, label: str = "label", features: str = "features"):
