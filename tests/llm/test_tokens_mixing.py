@@ -152,3 +152,28 @@ def test_columns_of_the_same_names_stay(spark):
     rows = out.collect()
     assert rows and all(r["copy"] == 7 * r.doc_id and r["Shuffle_Key"] == "mine" for r in rows)
     assert [r._shuffle_key for r in rows] == sorted(r._shuffle_key for r in rows)
+
+
+def test_any_limit_and_the_whole_corpus(spark):
+    rng = random.Random(15)
+    rows = [(i, " ".join("word" for _ in range(rng.choice([0, 1, 3, 3, 200, 700]))), rng.choice(["en", "de", None]), "a") for i in range(120)]
+    rows += [(500, None, "en", "a"), (501, "one text of a language", "fr", "a")]
+    df = frame(spark, rows)
+    limits = (0, 2, 150, 1024, 5000)
+    size = {r.doc_id: r.n_tokens for r in token_counts.token_lengths(df).collect()}
+    table = token_counts.corpus_limits(df, limits=limits)
+    got = {(r.lang, r.whole, r.context_limit): r for r in table.collect()}
+    assert len(got) == table.count()
+    groups = {(lang, False): [size[d] for d, _, x, _ in rows if x == lang] for lang in ("en", "de", None, "fr")}
+    groups[None, True] = list(size.values())
+    assert set(got) == {(*g, x) for g, held in groups.items() for x in {*held, *limits}}
+    for (lang, whole, x), r in got.items():
+        held = groups[lang, whole]
+        within = [n for n in held if n <= x]
+        assert (r.n_docs, r.docs_within, r.tokens_within) == (held.count(x), len(within), sum(within))
+        assert r.docs_beyond == len(held) - len(within) and r.tokens_beyond == sum(held) - sum(within)
+        assert r.truncated_tokens == sum(min(n, x) for n in held) and abs(r.share_within - len(within) / len(held)) < 1e-12
+    cuts = token_counts.quantile_lengths(token_counts.token_limits(df, by=()), (), (0.25, 0.5, 1.0)).collect()
+    every = sorted(size.values())
+    assert [r.n_tokens for r in cuts] == [every[-(-len(every) * k // 4) - 1] for k in (1, 2, 4)]
+    assert token_counts.corpus_limits(frame(spark, [])).count() == 0

@@ -161,7 +161,7 @@ def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op6_token_counts")
 def token_limits(spark: SparkSession, sf: str) -> DataFrame:
-    return token_counts.token_limits(table(spark, sf, "documents"))
+    return token_counts.corpus_limits(table(spark, sf, "documents"))
 
 
 @query("op3_secret_scans")

@@ -2,7 +2,8 @@
 
 Documents are counted by group and encoded length; sums over shorter and over longer lengths
 then give, for every length as a limit, how many documents fit, the tokens that truncation
-keeps, and the quantile that the length is.
+keeps, and the quantile that the length is. Any other limit has the answers of the longest
+length up to it.
 
 Defined results: null and empty texts have length 0 (plus the closing id, if one is added);
 null groups are groups; repeated rows count each; an empty table gives an empty result; other
@@ -18,9 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wakeline.llm.staging import staged
 from wakeline.llm.tokens import default_path, encode
 
 _SPAN = 1024
+#: Context limits that are asked for whether a document has that length or not.
+LIMITS = (128, 512, 1024, 2048, 4096, 8192, 32768, 131072)
 
 
 def _lengths(path: str, closing: int) -> Callable:
@@ -95,6 +99,45 @@ def limit_table(histogram: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def at_limits(table: DataFrame, by: Sequence[str], limits: Sequence[int]) -> DataFrame:
+    """The answers of a :func:`limit_table` at any limits, whether a document has that length
+    or not: those of the longest length up to the limit, or of none."""
+    if not limits or min(limits) < 0:
+        raise ValueError("limits count tokens")
+    at = F.struct("docs_within", "tokens_within")
+    found = table.groupBy(*by).agg(
+        *[F.max_by(at, F.when(F.col("context_limit") <= x, F.col("context_limit"))).alias(f"_at{i}") for i, x in enumerate(limits)],
+        F.max(F.col("docs_within") + F.col("docs_beyond")).alias("_docs"),
+        F.max(F.col("tokens_within") + F.col("tokens_beyond")).alias("_tokens"),
+    )
+    rows = F.array(*[F.struct(F.lit(x).cast("bigint").alias("context_limit"), F.col(f"_at{i}").alias("at")) for i, x in enumerate(limits)])
+    found = found.select(*by, "_docs", "_tokens", F.inline(rows))
+    within, tokens = (F.coalesce(F.col(f"at.{c}_within"), F.lit(0)) for c in ("docs", "tokens"))
+    beyond = F.col("_docs") - within
+    return found.select(
+        *by,
+        "context_limit",
+        within.alias("docs_within"),
+        tokens.alias("tokens_within"),
+        beyond.alias("docs_beyond"),
+        (F.col("_tokens") - tokens).alias("tokens_beyond"),
+        (tokens + beyond * F.col("context_limit")).alias("truncated_tokens"),
+        (within / F.col("_docs")).alias("share_within"),
+    )
+
+
+def quantile_lengths(table: DataFrame, by: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """``share, n_tokens`` for every group: the least length that so many documents stay within."""
+    if not shares or any(not 0.0 < s <= 1.0 for s in shares):
+        raise ValueError("shares lie above 0 and up to 1")
+    docs = F.col("docs_within") + F.col("docs_beyond")
+    each = [
+        F.struct(F.lit(s).alias("share"), F.min(F.when(F.col("docs_within") >= s * docs, F.col("context_limit"))).alias("n_tokens"))
+        for s in shares
+    ]
+    return table.groupBy(*by).agg(F.array(*each).alias("_each")).select(*by, F.inline("_each"))
+
+
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on keys that may be null."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
@@ -108,6 +151,27 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
 def token_limits(
     docs: DataFrame, by: Sequence[str] = ("lang",), text: str = "text", path: str | None = None, closing: int = 0
 ) -> DataFrame:
-    """Histogram and limit table of the documents, by group."""
+    """Histogram and limit table of the documents, by group; ``by`` may be empty."""
     lengths = token_lengths(docs, by, text, path, closing)
     return limit_table(length_histogram(lengths, by), by)
+
+
+def corpus_limits(
+    docs: DataFrame, by: str = "lang", limits: Sequence[int] = LIMITS, text: str = "text", path: str | None = None, closing: int = 0
+) -> DataFrame:
+    """Limit table of every group and of the whole corpus (``whole``, its group null), at every
+    length that occurs and at ``limits``.
+
+    Texts are encoded once; the histogram is written, as both tables and all limits read it.
+    """
+    parts = staged(length_histogram(token_lengths(docs, [by], text, path, closing), [by]))
+    every = parts.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    both = parts.withColumn("whole", F.lit(False)).unionByName(
+        every.select(F.lit(None).cast(parts.schema[by].dataType).alias(by), "n_tokens", "n_docs", F.lit(True).alias("whole"))
+    )
+    group = [by, "whole"]
+    table = staged(limit_table(both, group))
+    given = at_limits(table, group, limits).withColumn("n_docs", F.lit(0).cast("bigint"))
+    have = table.select(*[F.col(c).alias(f"_{c}") for c in (*group, "context_limit")])
+    same = F.col(by).eqNullSafe(F.col(f"_{by}")) & (F.col("whole") == F.col("_whole")) & (F.col("context_limit") == F.col("_context_limit"))
+    return table.unionByName(given.join(have, same, "left_anti"))
