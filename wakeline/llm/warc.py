@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm.staging import shared_folder, staged
+from wakeline.llm.staging import delete_at_end, shared_folder, staged
 
 END = "\r\n\r\n"
 VERSION = "WARC/1.1\r\n"
@@ -542,7 +542,6 @@ def captures(pages: DataFrame, path: str | None = None, id: str = "page_id", **c
     spark = pages.sparkSession
     if path is None:
         path = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+        delete_at_end(spark, path)
     archive = write_archive(pages, path, id=id, **columns)
     return capture_index(spark, archive).withColumnRenamed("id", id)
