@@ -15,7 +15,7 @@ empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wakeline.llm.staging import staged, unused
+from wakeline.llm.staging import dropped, staged
 from wakeline.llm.words import (
     IS_CODE_POINT,
     IS_SEPARATOR,
@@ -87,20 +87,22 @@ def count_chunk(chunk: Chunk) -> dict[str, np.ndarray]:
     }
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = [count_chunk(c) for c in chunks(batch.column("text"))]
-        kept = [batch.column(n) for n in batch.schema.names if n != "text"]
-        names = [n for n in batch.schema.names if n != "text"]
-        counts = [pa.array(np.concatenate([p[c] for p in parts] or [np.zeros(0)]).astype(np.int64)) for c in COUNTS]
-        yield pa.RecordBatch.from_arrays(kept + counts, names=names + list(COUNTS))
+def _count_batches(column: str, keep_text: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [count_chunk(c) for c in chunks(batch.column(column))]
+            names = [n for n in batch.schema.names if keep_text or n != column]
+            counts = [pa.array(np.concatenate([p[c] for p in parts] or [np.zeros(0)]).astype(np.int64)) for c in COUNTS]
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + counts, names=names + list(COUNTS))
 
+    return run
 
-def text_counts(docs: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` and the counts of every whole text."""
+
+def text_counts(docs: DataFrame, keep: Sequence[str], text: str = "text", with_text: bool = False) -> DataFrame:
+    """Columns ``keep`` and the counts of every whole text, which is ``text`` if it is kept."""
     rows = docs.select(*keep, F.col(text).cast("string").alias("text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
-    return rows.mapInArrow(_count_batches, ", ".join(fields + [f"{c} bigint" for c in COUNTS]))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if with_text or f.name != "text"]
+    return rows.mapInArrow(_count_batches("text", with_text), ", ".join(fields + [f"{c} bigint" for c in COUNTS]))
 
 
 def base_failed() -> Column:
@@ -193,6 +195,25 @@ def fences(sketch: DataFrame, by: Sequence[str], min_docs: int = MIN_DOCS) -> Da
     return rows.groupBy(*by).agg(*out)
 
 
+def _limits(counted: DataFrame, groups: Sequence[str], min_docs: int) -> DataFrame:
+    limits = fences(sketches(counted, groups), groups, min_docs)
+    return limits.withColumnsRenamed({g: f"{g}_f" for g in groups})
+
+
+def _judged(counted: DataFrame, limits: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Counted rows with their fences, and the verdict as ``kept``."""
+    on = None
+    for g in groups:
+        same = counted[g].eqNullSafe(limits[f"{g}_f"])
+        on = same if on is None else on & same
+    inside = F.lit(True)
+    for m, (_, _, _, two_sided) in MEASURES.items():
+        inside = inside & (measure(m) <= F.col(f"{m}_high"))
+        if two_sided:
+            inside = inside & (measure(m) >= F.col(f"{m}_low"))
+    return counted.join(limits, on, "left").withColumn("kept", F.coalesce(~base_failed() & inside, F.lit(False)))
+
+
 def judge(
     docs: DataFrame,
     keep: Sequence[str] = ("doc_id",),
@@ -211,37 +232,29 @@ def judge(
         F.col(text).alias("text"),
     )
     counted = staged(text_counts(named, [c for c in named.columns if c != "text"]))
-    limits = fences(sketches(counted, groups), groups, min_docs)
-    limits = limits.withColumnsRenamed({g: f"{g}_f" for g in groups})
-    on = None
-    for g in groups:
-        same = counted[g].eqNullSafe(limits[f"{g}_f"])
-        on = same if on is None else on & same
-    inside = F.lit(True)
-    for m, (_, _, _, two_sided) in MEASURES.items():
-        inside = inside & (measure(m) <= F.col(f"{m}_high"))
-        if two_sided:
-            inside = inside & (measure(m) >= F.col(f"{m}_low"))
-    return counted.join(limits, on, "left").select(
+    return _judged(counted, _limits(counted, groups, min_docs), groups).select(
         *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)],
         *COUNTS,
         base_failed().alias("base_failed"),
-        F.coalesce(~base_failed() & inside, F.lit(False)).alias("kept"),
+        "kept",
     )
 
 
 def keep_good(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """Rows of ``docs`` that the rules keep, unchanged.
 
-    The verdict depends on text, language and source alone, so it is joined by those: rows
-    that share an id but not a text are judged apart.
+    The fences, a row for each language and source, are fitted on the counts and joined to the
+    texts where they are read, which counts them again: no text is moved to meet its verdict.
     """
-    mine = [F.col("doc_id"), F.xxhash64("text"), F.col("lang"), F.col("source")]
-    names = [unused(docs, f"kept_{i}") for i in range(len(mine))]
-    rows = docs.select(*[c.alias(n) for c, n in zip(mine, names)], "text", "lang", "source")
-    good = judge(rows, keep=names, min_docs=min_docs).where("kept").select(*names)
-    on = None
-    for column, name in zip(mine, names):
-        same = column.eqNullSafe(F.col(name))
-        on = same if on is None else on & same
-    return docs.join(good, on, "left_semi")
+    groups = ["_by0", "_by1"]
+    by = [F.col("lang").alias(groups[0]), F.col("source").alias(groups[1])]
+    counted = staged(text_counts(docs.select(*by, F.col("text").alias("text")), groups))
+    limits = staged(_limits(counted, groups, min_docs))
+    dropped(counted)
+    # Columns of the documents may have any name.
+    own = {f"_c{i}": c for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(c).alias(o) for o, c in own.items()], *by)
+    text = next(o for o, c in own.items() if c == "text")
+    rows = text_counts(rows, [c for c in rows.columns if c != text], text, with_text=True)
+    kept = _judged(rows, limits, groups).where("kept")
+    return kept.select(*[F.col("text" if c == "text" else o).cast(docs.schema[c].dataType).alias(c) for o, c in own.items()])
