@@ -59,10 +59,14 @@ def find(text: str) -> tuple[list[tuple], list[tuple]]:
     base += [(m.start(), 1, m.end(), m[0]) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
     base += [(m.start(), 2, m.end(), m[0]) for m in _HEX.finditer(text)]
     base.sort(key=lambda s: s[:2])
-    more = []
+    # Tokens ascend, so one walk over the base spans knows the furthest end of all that begin
+    # before a token ends.
+    more, at, reach = [], 0, 0
     for m in _OPAQUE.finditer(text):
-        apart = all(m.end() <= s[0] or s[2] <= m.start() for s in base)
-        if apart and _opaque(m[0]):
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= m.start() and _opaque(m[0]):
             more.append((m.start(), 3, m.end(), m[0]))
     return base, more
 
@@ -187,18 +191,32 @@ def _mask(column: str, spans_in: str) -> Callable:
     return run
 
 
+def _suspect(column: str, flag: str) -> Callable:
+    """Adds whether a text holds anything that may be a secret."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [any(find(t.as_py() or "")) for t in batch.column(column)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.bool_())], names=[*batch.schema.names, flag])
+
+    return run
+
+
 def mask_live(docs: DataFrame, text: str = "text", **limits: int) -> DataFrame:
     """``docs`` with live-looking credentials masked in the text; other rows and columns as they are.
 
-    Spans depend on the text alone once the corpus is counted, so rows with equal texts share
-    them.
+    Texts that hold something like a secret are set apart and scanned; spans depend on the text
+    alone once the corpus is counted, so rows with equal texts share them. The other texts stay
+    where they are read.
     """
-    key, live = unused(docs, "text_hash"), unused(docs, "live_spans")
-    rows = docs.select(F.sha2(text, 256).alias("hash"), F.col(text).alias("text"), "source", "lang")
+    key, live, flag = unused(docs, "text_hash"), unused(docs, "live_spans"), unused(docs, "suspect")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    flagged = docs.mapInArrow(_suspect(text, flag), f"{kinds}, `{flag}` boolean")
+    held = staged(flagged.where(flag).drop(flag))
+    rows = held.select(F.sha2(text, 256).alias("hash"), F.col(text).alias("text"), "source", "lang")
     spans = scan(rows, keep=("hash",), **limits).where("n_live > 0")
     spans = staged(
         spans.select(F.col("hash").alias(key), F.filter("secrets", lambda s: s["live"]).alias(live)).dropDuplicates([key])
     )
-    out = docs.join(spans, F.sha2(docs[text], 256) == F.col(key), "left").drop(key)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return out.mapInArrow(_mask(text, live), kinds)
+    masked = held.join(spans, F.sha2(held[text], 256) == F.col(key), "left").drop(key).mapInArrow(_mask(text, live), kinds)
+    return flagged.where(~F.col(flag)).drop(flag).unionByName(masked)
