@@ -549,8 +549,10 @@ def keep_first(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     same, text, mine = unused(docs, "same_id"), unused(docs, "same_text"), unused(docs, "text_hash")
     found = found.where("not first or times > 1")
     found = staged(found.select(F.col("doc_id.id").alias(same), F.col("doc_id.text").alias(text), "first"))
+    repeats = staged(found.where("first").select(same, text))
     rows = docs.withColumn(mine, F.xxhash64("text"))
     on = (F.col("doc_id") == F.col(same)) & (F.col(mine) == F.col(text))
-    once = rows.join(found.select(same, text), on, "left_anti")
-    repeated = rows.join(found.where("first").select(same, text), on, "left_semi").dropDuplicates(["doc_id", mine])
+    # A merge join at every size: texts move once.
+    once = rows.join(found.select(same, text).hint("merge"), on, "left_anti")
+    repeated = rows.join(repeats, on, "left_semi").dropDuplicates(["doc_id", mine])
     return once.unionByName(repeated).drop(mine)
