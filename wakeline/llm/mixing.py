@@ -78,20 +78,26 @@ def cumulative(rate: Column) -> Column:
 def replicate(
     docs: DataFrame, rates: DataFrame, by: str = "source", id: str = "doc_id", seed: int = SEED
 ) -> DataFrame:
-    """``docs`` with ``copy`` (from 0) and ``shuffle_key``, in the order of the key; columns of
-    those names are replaced.
+    """``docs`` with ``copy`` (from 0) and ``shuffle_key``, in the order of the key; where
+    ``docs`` has columns of those names they stay, and the new ones begin with ``_``.
 
     The distribution is tabulated once per source. That table is read from files, so the
     planner knows its size: it is broadcast while small, and else the join splits hot sources.
+    Keys are uniform, so the order is cut at fixed points and nothing is sampled for it.
     """
+    taken = {c.lower() for c in docs.columns}
+    copy, shuffle_key = (unused(docs, c) if c in taken else c for c in ("copy", "shuffle_key"))
     group, steps, n = (unused(docs, stem) for stem in ("mixed_source", "mixed_steps", "mixed_times"))
     table = staged(rates.select(F.col(by).alias(group), cumulative(F.col("rate")).alias(steps)))
     draw = uniform(F.lit(seed), id, by)
     rows = docs.join(table, F.col(by).eqNullSafe(F.col(group)))
     rows = rows.withColumn(n, F.size(F.filter(steps, lambda c: c <= draw))).where(F.col(n) > 0)
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-    key = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), F.coalesce(F.col(id).cast("string"), F.lit("null")), F.col("copy").cast("string")))
-    return rows.withColumn("shuffle_key", key).drop(group, steps, n).orderBy("shuffle_key")
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    key = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), F.coalesce(F.col(id).cast("string"), F.lit("null")), F.col(copy).cast("string")))
+    out = rows.withColumn(shuffle_key, key).drop(group, steps, n)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.floor(F.conv(F.substring(shuffle_key, 1, 7), 16, 10).cast("bigint") * parts / 16**7).cast("int")
+    return out.repartitionById(parts, place).sortWithinPartitions(shuffle_key)
 
 
 def mix(docs: DataFrame, by: str = "source", text: str = "text", id: str = "doc_id", **targets) -> DataFrame:
