@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from wakeline.llm import jaccard_trie, mixing, packing, quality, secrets
-from wakeline.llm.staging import staged
+from wakeline.llm.staging import drop_unread, dropped, scope, staged
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Tokens of a packed sequence.
 CAPACITY = 1024
@@ -28,7 +33,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to their source's target rate, in a global random order."""
-    return mixing.mix(docs).drop("copy", "shuffle_key")
+    return mixing.mix(docs).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +41,28 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs, capacity=CAPACITY, with_ids=True)
 
 
+#: Tables that stages have written for themselves.
+_tables: list[str] = []
+
+
+def _tidy(stage: Stage) -> Stage:
+    """A stage that first deletes what earlier stages wrote and its documents do not need."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_unread(spark, _tables, docs)
+        with scope(_tables):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("n-gram Jaccard join", ngram_jaccard_join),
-    ("secret scans", secret_scans),
-    ("mixing sources to target weights", mixing_to_weights),
-    ("best-fit packing", best_fit_packing),
+    ("quality rules", _tidy(quality_rules)),
+    ("n-gram Jaccard join", _tidy(ngram_jaccard_join)),
+    ("secret scans", _tidy(secret_scans)),
+    ("mixing sources to target weights", _tidy(mixing_to_weights)),
+    ("best-fit packing", _tidy(best_fit_packing)),
 ]
 
 #: Tokenizing and tries are beyond SQL; tests/llm compares the stages with brute force.
@@ -49,8 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what a stage returns is written and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents; what a stage returns is written and read by the next, and
+    deleted when the next is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir))
+        dropped(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
