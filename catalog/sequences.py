@@ -32,6 +32,7 @@ from wakeline.functions.scalars import rate_per_minute, tier_name
 from wakeline.operators import alerts, runs, windows
 from wakeline.operators.segments import cut, index_rows, stage_folder
 from wakeline.plans.yawning import longest_runs, score_videos
+from wakeline.schemas import LIVE_PARAMS, TIER_NAMES
 from wakeline.streaming import metrics as live
 from wakeline.streaming import monitor
 
@@ -655,3 +656,99 @@ def monitor_events(spark, sf):
     out = run_stream(spark, monitor.monitor_stream(ended_stream(spark, sf), config, "0 seconds"))
     kept = out.filter(F.col("event").isin("face_lost", "face_regained", "gaze_change", "stop"))
     return kept.select("session", "frame", "event", F.col("from").alias("before"), F.col("to").alias("after"))
+
+
+# The monitor as it runs in a car: all three tracks, production parameters, metrics. Eight
+# cameras share the events, so that windows of 150 faces fill.
+_UP, _DOWN, _AFTER = LIVE_PARAMS
+_STEPS = f"{_UP} AS e, {_DOWN} AS d, {_AFTER} AS a"
+_NAMES = " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(TIER_NAMES))
+_LIVE = f"""WITH RECURSIVE raw AS MATERIALIZED (
+    SELECT user_id % 8 AS s, event_id, epoch_us(ts) AS us, value, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INTEGER) AS k,
+      CASE event_type WHEN 'view' THEN 'front' ELSE event_type END AS zone,
+      row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) - 1 AS frame FROM events),
+  ev AS MATERIALIZED (SELECT *, k % 10 <> 0 AS face FROM raw),
+  f AS MATERIALIZED (SELECT s, frame AS raw, row_number() OVER w - 1 AS frame, avg(value) OVER (w ROWS BETWEEN 149 PRECEDING AND CURRENT ROW) AS m
+    FROM ev WHERE face WINDOW w AS (PARTITION BY s ORDER BY frame)),
+  fl AS MATERIALIZED (SELECT s, raw, frame, CASE WHEN frame < 149 THEN 0 WHEN m >= 52.0013 THEN 2 WHEN m >= 48.0017 THEN 1 ELSE 0 END AS level, {_STEPS} FROM f),
+  {fold_sql("fl", "ff")},
+  p AS MATERIALIZED (SELECT s, frame, value / 193.0 AS p0, k / 97.0 AS p1, row_number() OVER (PARTITION BY s ORDER BY frame) - 1 AS q
+    FROM ev WHERE (frame + 1) % 5 = 0 AND face),
+  ema AS (SELECT s, frame, q, CAST(p0 AS DOUBLE) AS x0, CAST(p1 AS DOUBLE) AS x1 FROM p WHERE q = 0
+    UNION ALL SELECT p.s, p.frame, p.q, 0.5 * p.p0 + 0.5 * x0, 0.5 * p.p1 + 0.5 * x1 FROM ema JOIN p ON p.s = ema.s AND p.q = ema.q + 1),
+  h AS (SELECT ev.s, ev.frame, last_value(x0 IGNORE NULLS) OVER w AS x0, last_value(x1 IGNORE NULLS) OVER w AS x1
+    FROM ev LEFT JOIN ema ON ema.s = ev.s AND ema.frame = ev.frame WINDOW w AS (PARTITION BY ev.s ORDER BY ev.frame)),
+  act AS MATERIALIZED (SELECT s, frame, CASE WHEN x0 IS NULL OR (0.55 > x0 AND 0.55 > x1) THEN 'safe_drive' WHEN x0 >= x1 THEN 'radio' ELSE 'drinking' END AS activity FROM h),
+  g AS MATERIALIZED (SELECT s, frame, CASE WHEN activity = 'safe_drive' THEN 0 ELSE 1 END AS level, {_STEPS} FROM act),
+  {fold_sql("g", "gg", top=1)},
+  ep AS (SELECT *, sum(CASE WHEN face THEN 0 ELSE 1 END) OVER (PARTITION BY s ORDER BY frame) AS epoch FROM ev),
+  v AS (SELECT a.s, a.frame, b.zone, count(*) AS n, max(b.frame) AS last FROM ep AS a JOIN ep AS b
+    ON a.s = b.s AND a.epoch = b.epoch AND a.face AND b.face AND b.frame <= a.frame AND b.us >= a.us - 1000000 GROUP BY ALL),
+  best AS (SELECT s, frame, zone FROM (SELECT *, row_number() OVER (PARTITION BY s, frame ORDER BY n DESC, last DESC) AS rn FROM v) AS t WHERE rn = 1),
+  o AS (SELECT ev.s, ev.frame, us, best.zone AS gaze, coalesce(best.zone <> 'front', false) AS off
+    FROM ev LEFT JOIN best ON best.s = ev.s AND best.frame = ev.frame),
+  i AS (SELECT *, sum(CASE WHEN off THEN 0 ELSE 1 END) OVER (PARTITION BY s ORDER BY frame) AS isl FROM o),
+  away AS (SELECT s, frame, gaze, off, us - min(CASE WHEN off THEN us END) OVER (PARTITION BY s, isl) AS t FROM i),
+  j AS (SELECT ev.s, ev.frame, ev.event_id, ev.us, ev.value, ev.face, activity, gaze,
+      CASE WHEN NOT off THEN 0 WHEN t >= 4000000 THEN 2 WHEN t >= 2000000 THEN 1 ELSE 0 END AS gaze_tier,
+      coalesce(last_value(CASE WHEN ff.committed = 2 AND ff.held >= ff.a THEN 3 ELSE ff.committed END IGNORE NULLS) OVER w, 0) AS fatigue_tier,
+      coalesce(last_value(ff.level IGNORE NULLS) OVER w, 0) AS fatigue,
+      CASE WHEN gg.committed = 1 AND gg.held >= gg.a THEN 2 ELSE gg.committed END AS distraction_tier
+    FROM ev JOIN away ON away.s = ev.s AND away.frame = ev.frame JOIN act ON act.s = ev.s AND act.frame = ev.frame
+    JOIN gg ON gg.s = ev.s AND gg.frame = ev.frame LEFT JOIN fl ON fl.s = ev.s AND fl.raw = ev.frame
+    LEFT JOIN ff ON ff.s = fl.s AND ff.frame = fl.frame WINDOW w AS (PARTITION BY ev.s ORDER BY ev.frame)),
+  fused AS (SELECT *, greatest(fatigue_tier, distraction_tier, gaze_tier) AS tier FROM j),
+  turns AS (SELECT *, lag(tier) OVER (PARTITION BY s ORDER BY frame) AS was FROM fused),
+  m AS (SELECT s, frame, us AS since, 0 AS part, false AS ended FROM ev WHERE frame = 0
+    UNION ALL SELECT ev.s, ev.frame, CASE WHEN ev.us - m.since >= 5000000 THEN ev.us ELSE m.since END,
+      m.part + CASE WHEN m.ended THEN 1 ELSE 0 END, ev.us - m.since >= 5000000
+    FROM m JOIN ev ON ev.s = m.s AND ev.frame = m.frame + 1),
+  parts AS (SELECT m.s, part, bool_or(ended) AS ended, count(*) AS n, max(ev.us) AS till, arg_max(event_id, ev.frame) AS event_id,
+      quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, avg(CASE WHEN face THEN 1.0 ELSE 0.0 END) AS faces
+    FROM m JOIN ev ON ev.s = m.s AND ev.frame = m.frame GROUP BY m.s, part),
+  firsts AS (SELECT s, min(us) AS us0, max(us) AS us1, arg_max(event_id, frame) AS last FROM ev GROUP BY s),
+  timed AS (SELECT parts.*, till - coalesce(lag(till) OVER (PARTITION BY parts.s ORDER BY part), us0) AS spent FROM parts JOIN firsts USING (s)),
+  rest AS (SELECT s, last, last IN (SELECT event_id FROM parts WHERE ended AND parts.s = firsts.s) AS closed FROM firsts),
+  flushed AS (
+    SELECT s, event_id, n, n / (spent / 1000000.0) AS fps, p50, p95, faces FROM timed WHERE ended
+    UNION ALL SELECT s, event_id, n, CASE WHEN spent > 0 THEN n / (spent / 1000000.0) ELSE 0 END, p50, p95, faces FROM timed WHERE NOT ended
+    UNION ALL SELECT s, last, 0, 0, 0, 0, 0 FROM rest WHERE closed)
+  SELECT CAST(s AS VARCHAR) AS session, event_id AS frame, 'frame' AS event, NULL AS before, NULL AS after, fatigue, tier, fatigue_tier,
+    distraction_tier, gaze_tier, activity, gaze AS gaze_zone, NULL AS frames, NULL AS fps, NULL AS lat_ms_p50, NULL AS lat_ms_p95, NULL AS face_rate FROM fused
+  UNION ALL SELECT CAST(s AS VARCHAR), event_id, 'tier_change', CASE was {_NAMES} END, CASE tier {_NAMES} END, fatigue,
+    NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM turns WHERE was <> tier
+  UNION ALL SELECT CAST(s AS VARCHAR), event_id, 'metrics', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, n, round(fps, 6),
+    round(p50, 6), round(p95, 6), round(faces, 6) FROM flushed
+  UNION ALL SELECT CAST(s AS VARCHAR), last, 'stop', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM firsts"""
+
+
+@query("monitor_whole", _LIVE)
+def monitor_whole(spark, sf):
+    """Frame states, tier changes, metrics and stops of the live monitor with every track on."""
+
+    def level(window):
+        mean = window[:, 0].mean()
+        return 2 if mean >= 52.0013 else 1 if mean >= 48.0017 else 0
+
+    raw = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
+    k = F.regexp_extract("props", '"k": ([0-9]+)', 1).cast("int")
+    probabilities = F.array(F.col("value") / 193.0, k / 97.0, F.lit(0.55))
+    frames = raw.select(
+        (F.col("user_id") % 8).cast("string").alias("session"),
+        F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()).alias("ts"),
+        F.col("event_id").alias("frame"),
+        (k % 10 != 0).alias("has_face"),
+        F.array(F.col("value")).alias("features"),
+        F.when(k % 10 != 0, probabilities).alias("probabilities"),
+        F.when(F.col("event_type") == "view", "front").otherwise(F.col("event_type")).alias("zone"),
+        (F.col("value") / 1000.0).alias("latency_s"),
+    )
+    last = table(spark, sf, "events").agg(F.max("ts").cast("timestamp").alias("ts"))
+    mark = cut(live.end_mark(last, "ts", 365 * 86400.0))
+    ended = frames.unionByName(spark.readStream.schema(mark.schema).parquet(mark.inputFiles()[0].rsplit("/", 1)[0]))
+    config = monitor.MonitorConfig(classify=level, labels=("radio", "drinking", "safe_drive"), idle_s=40 * 86400.0)
+    out = run_stream(spark, monitor.monitor_stream(ended, config, "0 seconds"))
+    out = out.filter(F.col("event").isin("frame", "tier_change", "metrics", "stop") & (F.col("session") != "end of recording"))
+    exact = ("session", "frame", "event", "fatigue", "tier", "fatigue_tier", "distraction_tier", "gaze_tier", "activity", "gaze_zone", "frames")
+    rounded = ("fps", "lat_ms_p50", "lat_ms_p95", "face_rate")
+    return out.select(*exact, F.col("from").alias("before"), F.col("to").alias("after"), *[r6(c).alias(c) for c in rounded])

@@ -59,8 +59,9 @@ def compare(spark, con, sf, name, fn, sql):
     if got[0] != want[0]:
         return f"columns {got[0]} != {want[0]}", spent, False
     if got[1] != want[1]:
-        extra = [r for r in got[1] if r not in set(want[1])][:3]
-        lacking = [r for r in want[1] if r not in set(got[1])][:3]
+        here, there = set(got[1]), set(want[1])
+        extra = [r for r in got[1] if r not in there][:3]
+        lacking = [r for r in want[1] if r not in here][:3]
         return f"{len(got[1])} vs {len(want[1])} rows; only here {extra}; only there {lacking}", spent, False
     return f"ok {len(got[1])}", spent, len(got[1]) > 0
 

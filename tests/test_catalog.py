@@ -9,7 +9,7 @@ from catalog import QUERIES
 from check import compare, oracle
 
 SMOKE = entry_module.SMOKE_DIR
-SLOW = {"boosted_windows", "window_tuning", "monitor_stream"}
+SLOW = {"boosted_windows", "window_tuning", "monitor_stream", "monitor_whole"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMOKE), reason="driver tables are not here")
 

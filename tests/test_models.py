@@ -87,7 +87,7 @@ def test_boosted_windows_beat_the_majority(spark):
 
 @tables
 def test_tuning_marks_the_best_configuration(spark):
-    rows = QUERIES["window_tuning"](spark, "/root/testdata/sf0.001").collect()
+    rows = QUERIES["window_tuning"](spark, SF).collect()
     chosen = [r for r in rows if r.chosen]
     assert len(chosen) == 1 and chosen[0].macro_auroc == max(r.macro_auroc for r in rows if r.macro_auroc is not None)
     assert len({(r["size"], r.stride) for r in rows}) == len(rows) > 1
