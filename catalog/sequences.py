@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from catalog.base import (
@@ -33,6 +34,7 @@ from wakeline.operators import alerts, runs, windows
 from wakeline.operators.segments import cut, index_rows, stage_folder
 from wakeline.plans.yawning import longest_runs, score_videos
 from wakeline.schemas import LIVE_PARAMS, TIER_NAMES
+from wakeline.streaming import extraction
 from wakeline.streaming import metrics as live
 from wakeline.streaming import monitor
 
@@ -752,3 +754,37 @@ def monitor_whole(spark, sf):
     exact = ("session", "frame", "event", "fatigue", "tier", "fatigue_tier", "distraction_tier", "gaze_tier", "activity", "gaze_zone", "frames")
     rounded = ("fps", "lat_ms_p50", "lat_ms_p95", "face_rate")
     return out.select(*exact, F.col("from").alias("before"), F.col("to").alias("after"), *[r6(c).alias(c) for c in rounded])
+
+
+@query(
+    "resumed_extraction",
+    """SELECT l_suppkey AS sample_id, count(*) AS frames, round(sum(l_quantity), 6) AS ear_total, round(max(l_tax), 6) AS mar_peak
+       FROM lineitem GROUP BY 1""",
+)
+def resumed_extraction(spark, sf):
+    """Per-sample features of an extraction that stops in its second batch and is run again."""
+    folder = f"{stage_folder(spark)}/extraction-{uuid.uuid4().hex}"
+    samples = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sample_id"))
+    samples.repartition(4, "sample_id").write.parquet(f"{folder}/manifest")
+    frames = table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "sample_id")
+
+    def process(batch):
+        return frames.join(batch, "sample_id").groupBy("sample_id").agg(
+            F.count(F.lit(1)).alias("frames"), r6(F.sum("l_quantity")).alias("ear_total"), r6(F.max("l_tax")).alias("mar_peak")
+        )
+
+    started = []
+
+    def stopping(batch):
+        started.append(batch)
+        if len(started) > 1:
+            raise RuntimeError("the extraction is stopped")
+        return process(batch)
+
+    manifest = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/manifest")
+    try:
+        extraction.extract(manifest, f"{folder}/run", stopping)
+    except StreamingQueryException:
+        pass
+    extraction.extract(manifest, f"{folder}/run", process)
+    return extraction.extracted(spark, f"{folder}/run", process(samples).schema)
