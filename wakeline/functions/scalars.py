@@ -15,20 +15,23 @@ from wakeline.schemas import (
     RECALL_FLOOR,
 )
 
+#: How far below a bar still counts as on it.
+BAR_SLACK = 1e-9
+
 # --- Frame sampling ---------------------------------------------------------------------
 
 
 def on_stride(frame: Column, step: int) -> Column:
     """Keep every ``step``-th raw frame; apply before dropping frames without a face."""
     if step < 1:
-        raise ValueError(f"frame step must be positive, got {step}")
+        raise ValueError(f"every {step}-th frame is no sampling; steps start at 1")
     return frame % step == 0
 
 
 def sampled_frames(total: Column, source_fps: float, target_fps: float) -> Column:
     """Frame numbers kept when a clip is down-sampled, rounding halves to even."""
     if source_fps <= 0 or target_fps <= 0:
-        raise ValueError("frame rates must be positive")
+        raise ValueError(f"cannot sample from {source_fps} to {target_fps} frames a second")
     if target_fps >= source_fps:
         return _upto(total.cast("bigint"))
     step = source_fps / target_fps
@@ -70,7 +73,7 @@ def clamp_frames(frames: Column, frame_count: Column) -> Column:
     """Frames that exist; an interval wholly past the end of its clip is an error."""
     kept = F.filter(frames, lambda i: i < frame_count)
     return F.when(F.size(kept) > 0, kept).otherwise(
-        F.raise_error(F.lit("interval lies entirely past the end of its clip"))
+        F.raise_error(F.lit("no frame of an interval is inside its clip"))
     )
 
 
@@ -211,14 +214,17 @@ def tier_name(tier: Column) -> Column:
 def deploy_decision(
     precision: Column, recall: Column, base_precision: Column, base_recall: Column
 ) -> Column:
-    """``deploy``, or the name of the first gate whose excess is above its slack."""
-    lost = base_recall - recall
-    gates = [
-        ("blocked_precision", F.greatest(F.lit(PRECISION_BAR) - precision, F.lit(0.0)), 1e-9),
-        ("blocked_recall", F.greatest(F.lit(RECALL_FLOOR) - recall, F.lit(0.0)), 1e-9),
-        ("blocked_baseline", F.when(precision > base_precision, lost - RECALL_DROP).otherwise(1.0), 1e-9),
-    ]
-    failed = F.filter(
-        F.array(*[F.when(excess > slack, F.lit(name)) for name, excess, slack in gates]), lambda name: name.isNotNull()
+    """``deploy``, or the first gate that a detector does not pass.
+
+    It has to be precise enough, find enough, and beat the baseline's precision without giving
+    up more than ``RECALL_DROP`` of its recall. Each bar is met within ``BAR_SLACK``.
+    """
+    precise = precision >= PRECISION_BAR - BAR_SLACK
+    finds_enough = recall >= RECALL_FLOOR - BAR_SLACK
+    better = (precision > base_precision) & (base_recall - recall <= RECALL_DROP + BAR_SLACK)
+    return (
+        F.when(~precise, "blocked_precision")
+        .when(~finds_enough, "blocked_recall")
+        .when(~better, "blocked_baseline")
+        .otherwise("deploy")
     )
-    return F.coalesce(F.get(failed, F.lit(0)), F.lit("deploy"))

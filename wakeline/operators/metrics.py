@@ -69,7 +69,7 @@ def coverage_table(counts: DataFrame, strict: bool = True) -> DataFrame:
     features, crops = F.col("feature_rows"), F.col("crop_rows")
     if strict:
         bad = (features < 0) | (crops < 0) | (crops > features)
-        wrong = F.raise_error(F.lit("row counts must be non negative and crops within features"))
+        wrong = F.raise_error(F.lit("a sample has fewer than 0 rows, or more crops than features"))
         counts = counts.withColumn("crop_rows", F.when(bad, wrong.cast("bigint")).otherwise(crops))
     pooled = counts.rollup("label").agg(
         F.grouping("label").alias("_all"),
@@ -320,7 +320,7 @@ def mean_probabilities(
         F.array(*[F.avg(F.get(probs, F.lit(c)).cast("double")) for c in range(n_classes)]).alias(probs),
     )
     if strict:
-        mixed = F.raise_error(F.concat(F.lit("mixed frame labels in interval "), F.col(key).cast("string")))
+        mixed = F.raise_error(F.concat(F.lit("frames disagree about the truth of "), F.col(key).cast("string")))
         same = F.col(label) == F.col("_top")
         out = out.withColumn(label, F.when(same, F.col(label)).otherwise(mixed.cast(out.schema[label].dataType)))
     return out.drop("_top")

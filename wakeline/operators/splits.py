@@ -82,8 +82,8 @@ def contracted_split(
     train, test = counts.get("train", 0), counts.get("test", 0)
     if (train, test) != (expected_train, expected_test):
         raise ValueError(
-            f"split does not match its contract: expected {expected_train} train and "
-            f"{expected_test} test subjects, got {train} and {test}"
+            f"the contract is {expected_train} subjects to train and {expected_test} to test on, "
+            f"the split has {train} and {test}"
         )
     return split
 

@@ -65,7 +65,7 @@ def parse_eye_images(files: DataFrame, extensions: Sequence[str] = IMAGE_EXTENSI
     """Eye images whose name holds eight ``_`` fields; another count is an error."""
     wanted = extension(F.col("path")).isin(*[e.lower().lstrip(".") for e in extensions])
     fields = F.split(stem(F.col("path")), "_")
-    wrong = F.raise_error(F.concat(F.lit("expected 8 fields in "), file_name(F.col("path"))))
+    wrong = F.raise_error(F.concat(F.lit("eight parts name an eye image, unlike "), file_name(F.col("path"))))
     checked = files.filter(wanted).withColumn(
         "_f", F.when(F.size(fields) == 8, fields).otherwise(wrong.cast("array<string>"))
     )
@@ -102,7 +102,7 @@ def parse_face_videos(files: DataFrame, camera: str, strict: bool = True) -> Dat
     actions = F.when(part(4) != "", tokens).otherwise(F.array().cast("array<string>"))
     parsed = files.withColumn("_ok", name.rlike(FACE_NAME))
     if strict:
-        wrong = F.raise_error(F.concat(F.lit("unrecognised video name: "), name))
+        wrong = F.raise_error(F.concat(F.lit("a video is named like none of the cameras: "), name))
         parsed = parsed.withColumn("_ok", F.when(F.col("_ok"), True).otherwise(wrong.cast("boolean")))
     named = parsed.filter("_ok").select(
         "path",
@@ -116,7 +116,7 @@ def parse_face_videos(files: DataFrame, camera: str, strict: bool = True) -> Dat
     else:
         label = F.concat_ws("&", "actions")
         if strict:
-            none = F.raise_error(F.concat(F.lit("mirror video has no action: "), F.col("path")))
+            none = F.raise_error(F.concat(F.lit("the name of a mirror video says nothing of what is done: "), F.col("path")))
             label = F.when(F.size("actions") > 0, label).otherwise(none.cast("string"))
         else:
             named = named.filter(F.size("actions") > 0)
@@ -150,7 +150,7 @@ def parse_activity_documents(
         F.col("action").startswith(prefix) & (F.col("action") != prefix + "unclassified")
     )
     short = F.substring(F.col("action"), len(prefix) + 1, 1 << 30)
-    unknown = F.raise_error(F.concat(F.lit("unknown driver action type: "), F.col("action")))
+    unknown = F.raise_error(F.concat(F.lit("drivers are not known to do this: "), F.col("action")))
     return rows.select(
         F.concat_ws("", "video", F.lit("#"), "start_frame", F.lit("-"), "end_frame").alias("sample_id"),
         F.concat_ws("_", parent(F.col("path"), 3), parent(F.col("path"), 2)).alias("subject_id"),
@@ -171,7 +171,7 @@ def eye_image_manifest(spark: SparkSession, root: str) -> DataFrame:
 def face_video_manifest(spark: SparkSession, root: str, camera: str) -> DataFrame:
     out = parse_face_videos(list_files(spark, root, "*.avi"), camera)
     if out.isEmpty():
-        raise ValueError(f"no videos found under {root}")
+        raise ValueError(f"{root} holds no video at any depth")
     return out.select("sample_id", "subject_id", "label")
 
 
