@@ -8,33 +8,57 @@ from plain import edge_rows, frame, vocabulary, words
 
 from wakeline.llm import fingerprints as fp
 from wakeline.llm import substrings
-from wakeline.llm.fm_index import FMIndex
+from wakeline.llm.fm_index import FMIndex, suffix_order
 from wakeline.llm.words import chunks
 
 
-def test_backward_search_matches_plain_search():
+def longest(text, runs):
+    """Words from each place of a text on that some run has, by trying."""
+    pieces = {tuple(r[i:j]) for r in runs for i in range(len(r)) for j in range(i + 1, len(r) + 1)}
+    return [max((n for n in range(1, len(text) - i + 1) if tuple(text[i : i + n]) in pieces), default=0) for i in range(len(text))]
+
+
+def test_suffix_order_and_shared_lengths():
     rng = np.random.default_rng(1)
     for _ in range(20):
-        runs = [rng.integers(0, 4, rng.integers(3, 30)) for _ in range(8)]
-        ends = np.cumsum([len(r) + 1 for r in runs]) - 1
+        runs = [rng.integers(0, 3, rng.integers(1, 30)) for _ in range(8)]
         symbols = np.concatenate([np.append(r + 8, i) for i, r in enumerate(runs)])
-        index = FMIndex(symbols, 3)
-        assert [tuple(symbols[i:]) for i in index.order] == sorted(tuple(symbols[i:]) for i in range(len(symbols)))
+        order, shared = suffix_order(symbols)
         text = symbols.tolist()
-        same = [False] + [
-            text[a : a + 3] == text[b : b + 3] and min(len(text) - a, len(text) - b) >= 3
-            for a, b in zip(index.order, index.order[1:])
-        ]
-        assert index.same.tolist() == same
-        found = index.search(symbols, ends, np.array([len(r) for r in runs]))
-        for end, run in zip(ends, runs):
-            for back in range(1, len(run) + 1):
-                pattern = text[end - back : end]
-                at = index.order[found[end - back]]
-                assert text[at : at + back] == pattern
-                before = index.order[found[end - back] - 1] if found[end - back] else None
-                assert before is None or text[before : before + back] != pattern
-        assert index.search(np.array([99 % 8 + 3, 9]), np.array([2]), np.array([2]))[1] >= 0
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        assert shared[0] == -1
+        for a, b, n in zip(order, order[1:], shared[1:]):
+            assert text[a : a + n] == text[b : b + n] and text[a : a + n + 1] != text[b : b + n + 1]
+
+
+@pytest.mark.parametrize("kinds", [2, 4, 30])
+def test_matching_statistics_of_texts_that_are_not_in_the_index(kinds):
+    rng = np.random.default_rng(kinds)
+    for _ in range(10):
+        runs = [rng.integers(0, kinds, rng.integers(1, 25)).astype(np.uint64) for _ in range(12)]
+        texts = [rng.integers(0, kinds + 1, rng.integers(1, 40)).astype(np.uint64) for _ in range(9)]
+        of_run, of_text = rng.integers(0, 3, 12), rng.integers(0, 4, 9)
+        got = substrings.matching_statistics(runs, texts, of_run, of_text)
+        for text, part, found in zip(texts, of_text, got):
+            assert found.tolist() == longest(text.tolist(), [r.tolist() for r, p in zip(runs, of_run) if p == part])
+
+
+def test_index_keeps_no_suffix_order():
+    index = FMIndex(np.array([2, 3, 2, 0, 2, 3, 1]))
+    assert not {"order", "symbols"} & set(vars(index))
+    low, high = index.extend(np.array([2]), np.array([0]), np.array([7]))
+    assert (high - low).tolist() == [3]
+
+
+def test_only_earlier_documents_cover():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        ids, meet = rng.integers(0, 9, 25), rng.integers(0, 3, 25)
+        runs = [rng.integers(0, 2, rng.integers(4, 12)).astype(np.uint64) for _ in range(25)]
+        got = substrings.search_shard(runs, ids, meet, 4)
+        for run, id, m, covered in zip(runs, ids, meet, got):
+            earlier = [r for r, i, k in zip(runs, ids, meet) if i < id and k == m]
+            assert covered.tolist() == [n >= 4 for n in longest(run.tolist(), [r.tolist() for r in earlier])][: len(run) - 3]
 
 
 def expected(rows, window):

@@ -8,10 +8,12 @@ no other document has goes nowhere.
 1. Every text gives its runs: anchor, place, length and a hash of the words.
 2. Runs whose anchor is in one document only are done. Of equal runs only that of the least
    id matters; the others are wholly covered.
-3. Distinct runs of anchors with several go to shards. A shard builds an FM-index of its runs
-   (suffix order, transform in a wavelet matrix). Every run is searched backward through it;
-   the suffix interval at depth ``WINDOW`` around each hit says how far the text matches, and
-   the least id in the interval whether an earlier document has it.
+3. Distinct runs of anchors with several go to shards. A shard puts the documents of an anchor
+   in order and halves them, and halves the halves, down to single ones: any two documents are
+   in different halves once. At each depth one FM-index holds the runs of all earlier halves,
+   and the runs of the later halves are streamed through it by backward search. A window whose
+   matching statistic is ``WINDOW`` or more is covered; a run that is covered wholly is neither
+   indexed nor streamed again, as an earlier one has all of it.
 4. An anchor with more words than a shard should hold is cut over several by content. Windows
    that are first in their shard then meet once more, in shards keyed by the window's words,
    where at most one copy comes from each.
@@ -149,15 +151,16 @@ def _cut_runs(window: int) -> Callable:
                             continue
                         same = prefixes.hash(np.array([a]), np.array([b])).view(np.int64)[0] == w["content"]
                         if same:  # else the row only shares the id
-                            rows.append((w["shard"], w["split"], w["anchor"], w["content"], ids[chunk.first + t], 0, h[a:b].tobytes()))
+                            rows.append((w["shard"], w["split"], w["anchor"], w["anchor"], w["content"], ids[chunk.first + t], 0, h[a:b].tobytes()))
                 yield _run_batch(rows)
 
     return run
 
 
-_RUN_SCHEMA = "shard bigint, split boolean, anchor bigint, content bigint, id {}, offset int, words binary"
-_RUN_NAMES = ["shard", "split", "anchor", "content", "id", "offset", "words"]
-_RUN_TYPES = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+#: Runs can only have windows in common where ``meet`` is equal.
+_RUN_SCHEMA = "shard bigint, split boolean, meet bigint, anchor bigint, content bigint, id {}, offset int, words binary"
+_RUN_NAMES = ["shard", "split", "meet", "anchor", "content", "id", "offset", "words"]
+_RUN_TYPES = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
 
 def _run_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -177,7 +180,7 @@ def _split_windows(window: int) -> Callable:
                 key = Prefixes(h).hash(at, at + window).view(np.int64)
                 yield _run_batch(
                     [
-                        (int(k), False, r["anchor"], r["content"], r["id"], r["lo"] + int(i), h[i : i + window].tobytes())
+                        (int(k), False, int(k), r["anchor"], r["content"], r["id"], r["lo"] + int(i), h[i : i + window].tobytes())
                         for i, k in zip(at, key)
                     ]
                 )
@@ -185,31 +188,61 @@ def _split_windows(window: int) -> Callable:
     return run
 
 
-def search_shard(runs: list[np.ndarray], ids: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each run which of its windows also occur in a run with a smaller id.
+def matching_statistics(
+    indexed: list[np.ndarray], texts: list[np.ndarray], indexed_part: np.ndarray, text_part: np.ndarray
+) -> list[np.ndarray]:
+    """For each word of each text how many words from there on an indexed run of the same part has.
 
-    ``runs``: word hashes. The index holds the runs one after the other, each closed by a
-    symbol of its own.
+    The index holds the runs one after the other, each closed by a symbol of its own; a word
+    is another symbol in each part.
     """
-    sizes = np.array([len(r) for r in runs])
+    sizes = np.array([len(r) for r in indexed])
     ends = np.cumsum(sizes + 1) - 1
     word = np.ones(int(ends[-1]) + 1, bool)
     word[ends] = False
-    known = np.unique(np.concatenate(runs), return_inverse=True)[1]
+    known, kind = np.unique(np.concatenate(indexed), return_inverse=True)
+    pairs, symbol = np.unique(np.repeat(indexed_part, sizes) * len(known) + kind, return_inverse=True)
     symbols = np.empty(len(word), np.int64)
-    symbols[ends] = np.arange(len(runs))
-    symbols[word] = known + len(runs)
-    index = FMIndex(symbols, window)
-    suffix = index.search(symbols, ends, sizes)
-    owner = np.repeat(np.arange(len(runs)), sizes + 1)
-    group = np.cumsum(~index.same) - 1
-    least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, ids[owner[index.order]])
-    out = []
-    for r, (end, size) in enumerate(zip(ends, sizes)):
-        at = suffix[end - size : end - window + 1]
-        out.append(least[group[at]] < ids[r])
-    return out
+    symbols[ends] = np.arange(len(indexed))
+    symbols[word] = symbol + len(indexed)
+    index = FMIndex(symbols)
+
+    lengths = np.array([len(t) for t in texts])
+    stream = np.concatenate(texts)
+    kind = np.minimum(np.searchsorted(known, stream), len(known) - 1)
+    pair = np.repeat(text_part, lengths) * len(known) + kind
+    place = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+    present = (known[kind] == stream) & (pairs[place] == pair)
+    found = index.statistics(np.where(present, place + len(indexed), -1), np.cumsum(lengths), lengths)
+    return np.split(found, np.cumsum(lengths)[:-1])
+
+
+def search_shard(runs: list[np.ndarray], ids: np.ndarray, meet: np.ndarray, window: int) -> list[np.ndarray]:
+    """For each run which of its windows also occur in a run of equal ``meet`` with a smaller id.
+
+    ``runs``: word hashes.
+    """
+    covered = [np.zeros(len(r) - window + 1, bool) for r in runs]
+    group = np.unique(meet, return_inverse=True)[1]
+    order = np.lexsort((ids, group))
+    new_group = np.diff(group[order], prepend=-1) != 0
+    new = new_group | (np.diff(ids[order], prepend=ids[order[0]]) != 0)
+    step = np.cumsum(new)
+    place = np.empty(len(runs), np.int64)  # of the run's id among those of its group
+    place[order] = step - np.maximum.accumulate(np.where(new_group, step, 0))
+    open_runs = np.ones(len(runs), bool)
+    for depth in range(int(place.max()).bit_length() - 1, -1, -1):
+        part = group * (int(place.max()) + 1) + (place >> (depth + 1))
+        later = (place >> depth & 1).astype(bool)
+        early, late = np.flatnonzero(open_runs & ~later), np.flatnonzero(open_runs & later)
+        early, late = early[np.isin(part[early], part[late])], late[np.isin(part[late], part[early])]
+        if not len(late):
+            continue
+        found = matching_statistics([runs[i] for i in early], [runs[i] for i in late], part[early], part[late])
+        for i, matched in zip(late, found):
+            covered[i] |= matched[: len(covered[i])] >= window
+            open_runs[i] = not covered[i].all()
+    return covered
 
 
 def _stretches(mask: np.ndarray) -> np.ndarray:
@@ -222,10 +255,10 @@ def _search(window: int) -> Callable:
     over several shards, to the stretches that are not covered here, with their words."""
 
     def results(rows: list[tuple]) -> pa.RecordBatch:
-        runs = [np.frombuffer(r[6], _U) for r in rows]
-        ids = np.array([r[4] for r in rows], np.int64)
+        runs = [np.frombuffer(r[7], _U) for r in rows]
+        ids, meet = (np.array([r[c] for r in rows], np.int64) for c in (5, 2))
         out = []
-        for (_, split, anchor, content, id, offset, _), run, covered in zip(rows, runs, search_shard(runs, ids, window)):
+        for (_, split, _, anchor, content, id, offset, _), run, covered in zip(rows, runs, search_shard(runs, ids, meet, window)):
             for lo, hi in _stretches(covered):
                 out.append((anchor, content, id, offset + int(lo), offset + int(hi), None))
             if split:
