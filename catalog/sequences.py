@@ -34,7 +34,7 @@ from wakeline.operators import alerts, runs, windows
 from wakeline.operators.segments import cut, index_rows, stage_folder
 from wakeline.plans.yawning import longest_runs, score_videos
 from wakeline.schemas import LIVE_PARAMS, TIER_NAMES
-from wakeline.streaming import extraction
+from wakeline.streaming import camera_log, extraction
 from wakeline.streaming import metrics as live
 from wakeline.streaming import monitor
 
@@ -536,9 +536,12 @@ def fuse_tiers(spark, sf):
 def event_stream(spark, sf):
     """The events file as a stream of monitor input rows."""
     schema = table(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+    return monitor_input(spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet"))
+
+
+def monitor_input(events):
     k = F.regexp_extract("props", '"k": ([0-9]+)', 1).cast("int")
-    return raw.select(
+    return events.select(
         F.col("user_id").cast("string").alias("session"),
         F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()).alias("ts"),
         F.col("event_id").alias("frame"),
@@ -632,6 +635,43 @@ def interval_metrics_stream(spark, sf):
     return out.select("session", "window_start_us", "frames", r6("lat_ms_p50").alias("lat_ms_p50"))
 
 
+@query(
+    "camera_log_stream",
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session, epoch_us(ts) // 86400000000 * 86400000000 AS window_start_us,
+          value, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INTEGER) % 10 <> 0 AS face FROM events)
+        SELECT session, window_start_us, count(*) AS frames, round(count(*) / 86400.0, 6) AS fps,
+          round(quantile_cont(value, 0.5), 6) AS lat_ms_p50, round(quantile_cont(value, 0.95), 6) AS lat_ms_p95,
+          round(avg(CASE WHEN face THEN 1.0 ELSE 0.0 END), 6) AS face_rate FROM e GROUP BY 1, 2""",
+)
+def camera_log_stream(spark, sf):
+    """Daily metrics of cameras that write a log: the stream stops when the first half of the
+    time is in, the log grows, and the stream goes on where it was."""
+    folder = f"{stage_folder(spark)}/camera-{uuid.uuid4().hex}"
+    events = monitor_input(table(spark, sf, "events"))
+    ends = events.agg(F.min("ts").alias("a"), F.max("ts").alias("ts"))
+    half = ends.select(F.timestamp_micros(((F.unix_micros("a") + F.unix_micros("ts")) / 2).cast("long")).alias("half"))
+    events = events.crossJoin(half)  # of one row
+
+    def go_on():
+        frames = camera_log.camera_log_stream(spark, f"{folder}/log", 20_000, f"{folder}/progress")
+        out = live.interval_metrics(frames, "1 day", "0 seconds")
+        writer = out.writeStream.format("parquet").option("path", f"{folder}/out").outputMode("append")
+        running = writer.option("checkpointLocation", f"{folder}/checkpoint").start()
+        try:
+            running.processAllAvailable()
+        finally:
+            running.stop()
+        return out.schema
+
+    camera_log.append_frames(events.where("ts <= half").drop("half"), f"{folder}/log", 0)
+    go_on()
+    camera_log.append_frames(events.where("ts > half").drop("half"), f"{folder}/log", 1)
+    camera_log.append_frames(live.end_mark(ends, "ts", 365 * 86400.0), f"{folder}/log", 2, files=1)
+    out = spark.read.schema(go_on()).parquet(f"{folder}/out")
+    rounded = ("fps", "lat_ms_p50", "lat_ms_p95", "face_rate")
+    return out.select("session", "window_start_us", "frames", *[r6(c).alias(c) for c in rounded])
+
+
 def ended_stream(spark, sf):
     """The event stream and a mark a year after its last frame, in a session of its own."""
     frames = event_stream(spark, sf)

@@ -37,19 +37,6 @@ def end_mark(last: DataFrame, ts: str, seconds: float) -> DataFrame:
     return last.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in INPUT.fields])
 
 
-def kafka_frames(
-    spark: SparkSession, servers: str, topic: str, schema: T.StructType = INPUT
-) -> DataFrame:
-    """Frames as JSON messages; needs the Kafka connector on the cluster's class path."""
-    raw = (
-        spark.readStream.format("kafka")
-        .option("kafka.bootstrap.servers", servers)
-        .option("subscribe", topic)
-        .load()
-    )
-    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*")
-
-
 def interval_metrics(frames: DataFrame, interval: str = "5 seconds", delay: str = "10 seconds") -> DataFrame:
     """Frames, frames per second, latencies and face rate per session and interval.
 
