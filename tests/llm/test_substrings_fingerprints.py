@@ -50,15 +50,16 @@ def test_index_keeps_no_suffix_order():
     assert (high - low).tolist() == [3]
 
 
-def test_only_earlier_documents_cover():
-    rng = np.random.default_rng(7)
+@pytest.mark.parametrize("window", [2, 4, 6, 9])
+def test_only_earlier_documents_cover(window):
+    rng = np.random.default_rng(window)
     for _ in range(20):
         ids, meet = rng.integers(0, 9, 25), rng.integers(0, 3, 25)
-        runs = [rng.integers(0, 2, rng.integers(4, 12)).astype(np.uint64) for _ in range(25)]
-        got = substrings.search_shard(runs, ids, meet, 4)
+        runs = [rng.integers(0, 2, rng.integers(window, window + 9)).astype(np.uint64) for _ in range(25)]
+        got = substrings.search_shard(runs, ids, meet, window)
         for run, id, m, covered in zip(runs, ids, meet, got):
-            earlier = [r for r, i, k in zip(runs, ids, meet) if i < id and k == m]
-            assert covered.tolist() == [n >= 4 for n in longest(run.tolist(), [r.tolist() for r in earlier])][: len(run) - 3]
+            earlier = [r.tolist() for r, i, k in zip(runs, ids, meet) if i < id and k == m]
+            assert covered.tolist() == [n >= window for n in longest(run.tolist(), earlier)][: len(run) - window + 1]
 
 
 def expected(rows, window):

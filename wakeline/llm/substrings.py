@@ -12,8 +12,9 @@ no other document has goes nowhere.
    in order and halves them, and halves the halves, down to single ones: any two documents are
    in different halves once. At each depth one FM-index holds the runs of all earlier halves,
    and the runs of the later halves are streamed through it by backward search. A window whose
-   matching statistic is ``WINDOW`` or more is covered; a run that is covered wholly is neither
-   indexed nor streamed again, as an earlier one has all of it.
+   matching statistic is ``WINDOW`` or more is covered. Stretches with words in a sequence that
+   no other document of the anchor has are left out from the start, and stretches that are
+   covered wholly are neither indexed nor streamed again, as an earlier one has all of them.
 4. An anchor with more words than a shard should hold is cut over several by content. Windows
    that are first in their shard then meet once more, in shards keyed by the window's words,
    where at most one copy comes from each.
@@ -217,31 +218,59 @@ def matching_statistics(
     return np.split(found, np.cumsum(lengths)[:-1])
 
 
+def shared_windows(runs: list[np.ndarray], ids: np.ndarray, group: np.ndarray, window: int) -> np.ndarray:
+    """Which windows, of the runs put one after the other, have no sequence of a third of their
+    words that only one id of the group has. No other window can be covered or cover."""
+    gram = max(1, window // 3)
+    words = np.concatenate(runs)
+    owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+    n, m = len(words) - gram + 1, len(words) - window + 1
+    inside = owner[:n] == owner[gram - 1 :]
+    at = owner[:n][inside]
+    key = np.unique(mix(sequences(words, gram)[inside] ^ mix(group[at].astype(_U))), return_inverse=True)[1]
+    least, most = np.full(len(at), np.iinfo(np.int64).max), np.full(len(at), np.iinfo(np.int64).min)
+    np.minimum.at(least, key, ids[at])
+    np.maximum.at(most, key, ids[at])
+    shared = np.zeros(n, bool)
+    shared[inside] = (least < most)[key]
+    alone = np.concatenate(([0], np.cumsum(~shared)))
+    return (alone[window - gram + 1 :] == alone[:m]) & (owner[:m] == owner[window - 1 :])
+
+
 def search_shard(runs: list[np.ndarray], ids: np.ndarray, meet: np.ndarray, window: int) -> list[np.ndarray]:
     """For each run which of its windows also occur in a run of equal ``meet`` with a smaller id.
 
-    ``runs``: word hashes.
+    ``runs``: word hashes. What is indexed and streamed are stretches of :func:`shared_windows`.
     """
     covered = [np.zeros(len(r) - window + 1, bool) for r in runs]
     group = np.unique(meet, return_inverse=True)[1]
+    stretches = _stretches(shared_windows(runs, ids, group, window))
+    if not len(stretches):
+        return covered
+    first = np.cumsum([0] + [len(r) for r in runs])
+    of = np.searchsorted(first, stretches[:, 0], side="right") - 1
+    at = stretches - first[of][:, None]
+    pieces = [runs[r][lo : hi + window - 1] for r, (lo, hi) in zip(of, at)]
+    ids, group = ids[of], group[of]
     order = np.lexsort((ids, group))
     new_group = np.diff(group[order], prepend=-1) != 0
     new = new_group | (np.diff(ids[order], prepend=ids[order[0]]) != 0)
     step = np.cumsum(new)
-    place = np.empty(len(runs), np.int64)  # of the run's id among those of its group
+    place = np.empty(len(pieces), np.int64)  # of the piece's id among those of its group
     place[order] = step - np.maximum.accumulate(np.where(new_group, step, 0))
-    open_runs = np.ones(len(runs), bool)
+    open_pieces = np.ones(len(pieces), bool)
     for depth in range(int(place.max()).bit_length() - 1, -1, -1):
         part = group * (int(place.max()) + 1) + (place >> (depth + 1))
         later = (place >> depth & 1).astype(bool)
-        early, late = np.flatnonzero(open_runs & ~later), np.flatnonzero(open_runs & later)
+        early, late = np.flatnonzero(open_pieces & ~later), np.flatnonzero(open_pieces & later)
         early, late = early[np.isin(part[early], part[late])], late[np.isin(part[late], part[early])]
         if not len(late):
             continue
-        found = matching_statistics([runs[i] for i in early], [runs[i] for i in late], part[early], part[late])
+        found = matching_statistics([pieces[i] for i in early], [pieces[i] for i in late], part[early], part[late])
         for i, matched in zip(late, found):
-            covered[i] |= matched[: len(covered[i])] >= window
-            open_runs[i] = not covered[i].all()
+            lo, hi = at[i]
+            covered[of[i]][lo:hi] |= matched[: hi - lo] >= window
+            open_pieces[i] = not covered[of[i]][lo:hi].all()
     return covered
 
 
