@@ -1,11 +1,11 @@
 """Live monitor as a keyed stateful stream.
 
-Frames of a session arrive out of order within the watermark. They wait in keyed state
-until the watermark has passed them and are put in (ts, frame) order. All that are due at a
-timer are taken together, column by column: rolling windows and classifier, debounced fatigue
-track, cadenced distraction track, voted gaze zones and off-road streaks, fusion, changes
-between rows and metrics intervals. A session that falls silent is flushed, reported as
-stopped and forgotten.
+Frames of a session arrive out of order within the watermark. They wait in keyed state, in
+blocks of columns, until the watermark has passed them and are put in (ts, frame) order. Those
+that are due at a timer are taken column by column, a stretch of frames at a time: rolling
+windows and classifier, debounced fatigue track, cadenced distraction track, voted gaze zones
+and off-road streaks, fusion, changes between rows and metrics intervals. A session that falls
+silent is flushed, reported as stopped and forgotten.
 
 State per session is bounded: the window, one second of gaze votes, one metrics interval of
 latencies and the frames newer than the watermark.
@@ -14,11 +14,15 @@ latencies and the frames newer than the watermark.
 from __future__ import annotations
 
 import sys
+import time
+import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +74,22 @@ OUTPUT = T.StructType(
     ]
 )
 
+#: Columns of waiting frames; ``us`` is the time in microseconds.
+WAITING = pa.schema(
+    [
+        ("us", pa.int64()),
+        ("frame", pa.int64()),
+        ("has_face", pa.bool_()),
+        ("features", pa.list_(pa.float64())),
+        ("probabilities", pa.list_(pa.float64())),
+        ("zone", pa.string()),
+        ("latency_s", pa.float64()),
+    ]
+)
+#: Waiting frames in one block of state, and frames that are taken at once.
+BLOCK = 10_000
+STRETCH = 1 << 16
+
 
 @dataclass(frozen=True)
 class MonitorConfig:
@@ -115,13 +135,6 @@ class Debounce:
     run: int = 0
     held: int = 0
 
-    def step(self, level: int, up: int, down: int, top: int) -> None:
-        self.run = self.run + 1 if level == self.level else 1
-        self.level = level
-        if level != self.committed and self.run >= (up if level > self.committed else down):
-            self.committed = level
-        self.held = self.held + 1 if self.committed == top else 0
-
     def tier(self, top: int, after: int) -> int:
         return self.committed + (self.committed == top and self.held >= after)
 
@@ -173,40 +186,61 @@ STATE = T.StructType(
 )
 
 
-def debounced(levels: Sequence[int], state: list, steps: tuple[int, int, int], top: int) -> tuple[list, list]:
-    """Tiers of a level series and the track's state after it."""
-    track, tiers = Debounce(*state), []
-    for level in levels:
-        track.step(int(level), steps[0], steps[1], top)
-        tiers.append(track.tier(top, steps[2]))
-    return tiers, [track.committed, track.level, track.run, track.held]
-
-
-def fatigue_levels(s: Session, c: MonitorConfig, features: list) -> list[int]:
+def debounced(levels: Sequence[int], state: list, steps: tuple[int, int, int], top: int) -> tuple[np.ndarray, list]:
+    """Tiers of a level series and the track's state after it; a run commits once at most."""
+    levels, track = np.asarray(levels, np.int64), Debounce(*state)
+    n = len(levels)
+    if not n:
+        return levels, state
+    committed = np.empty(n, np.int64)
+    starts = np.flatnonzero(np.append(True, levels[1:] != levels[:-1]))
+    for lo, hi, level in zip(starts.tolist(), [*starts[1:].tolist(), n], levels[starts].tolist()):
+        before, at = track.run if level == track.level else 0, hi
+        if level != track.committed:
+            at = min(lo + max((steps[0] if level > track.committed else steps[1]) - before, 1) - 1, hi)
+        committed[lo:at] = track.committed
+        if at < hi:
+            committed[at:hi] = track.committed = level
+        track.level, track.run = level, before + hi - lo
+    full, place = committed == top, np.arange(n)
+    below = np.maximum.accumulate(np.where(full, -1, place))
+    held = np.where(full, place - below + np.where(below < 0, track.held, 0), 0)
+    return committed + (full & (held >= steps[2])), [track.committed, track.level, track.run, int(held[-1])]
+
+
+def fatigue_levels(s: Session, c: MonitorConfig, features: np.ndarray) -> np.ndarray:
     """Level at every face frame: the class of the last full window, the last one before."""
-    rows = s.window + features
-    s.window = rows[-c.window :]
-    early = max(len(features) - max(len(rows) - c.window + 1, 0), 0)
-    levels = [s.level] * early
-    if len(rows) >= c.window and features:
-        views = np.lib.stride_tricks.sliding_window_view(np.asarray(rows, dtype=float), c.window, axis=0)
-        levels += [int(c.classify(v.T)) for v in views[len(views) - (len(features) - early) :]]
-    if any(x not in (0, 1, 2) for x in levels):
+    n = len(features)
+    if not n:
+        return np.zeros(0, np.int64)
+    rows = np.concatenate((np.asarray(s.window, float), features)) if s.window else features
+    s.window = rows[-c.window :].tolist()
+    early = max(n - max(len(rows) - c.window + 1, 0), 0)
+    levels = np.full(n, s.level, np.int64)
+    if len(rows) >= c.window:
+        views = np.lib.stride_tricks.sliding_window_view(rows, c.window, axis=0)
+        levels[early:] = [int(c.classify(v.T)) for v in views[len(views) - (n - early) :]]
+    if ((levels < 0) | (levels > 2)).any():
         raise ValueError("the classifier gave a level other than 0, 1 and 2")
-    s.level = levels[-1] if levels else s.level
+    s.level = int(levels[-1])
     return levels
 
 
-def activities(s: Session, c: MonitorConfig, probabilities: list) -> list[str]:
+def activities(s: Session, c: MonitorConfig, probabilities: pa.Array) -> np.ndarray:
     """Activity at every frame: the largest smoothed probability, renewed every n-th frame."""
-    out = []
-    for p in probabilities:
-        s.seen += 1
-        if p is not None and s.seen % c.every_n == 0:
+    n = len(probabilities)
+    turns = np.flatnonzero((s.seen + 1 + np.arange(n)) % c.every_n == 0)
+    s.seen += n
+    probs = None if s.probs is None else np.asarray(s.probs)
+    names, renewed = [c.safe_label if probs is None else c.labels[int(np.argmax(probs))]], np.zeros(n, np.int64)
+    for i, p in zip(turns.tolist(), probabilities.take(pa.array(turns)).to_pylist()):
+        if p is not None:
             fresh = np.asarray(p, dtype=float)
-            s.probs = (fresh if s.probs is None else c.alpha * fresh + (1 - c.alpha) * np.asarray(s.probs)).tolist()
-        out.append(c.safe_label if s.probs is None else c.labels[int(np.argmax(s.probs))])
-    return out
+            probs = fresh if probs is None else c.alpha * fresh + (1 - c.alpha) * probs
+            names.append(c.labels[int(np.argmax(probs))])
+            renewed[i] = 1
+    s.probs = None if probs is None else probs.tolist()
+    return np.array(names, object)[np.cumsum(renewed)]
 
 
 def voted_zones(ts: np.ndarray, zones: np.ndarray, seconds: float) -> np.ndarray:
@@ -218,8 +252,9 @@ def voted_zones(ts: np.ndarray, zones: np.ndarray, seconds: float) -> np.ndarray
     if not n:
         return zones
     names = sorted({z for z in zones if z is not None})
-    gone = np.array([z is None for z in zones])
-    cast = np.array([[z == name for name in names] for z in zones], bool).reshape(n, len(names))
+    number = {name: i for i, name in enumerate(names)}
+    which = np.array([number.get(z, -1) for z in zones])
+    gone, cast = which < 0, which[:, None] == np.arange(len(names))
     place = np.arange(n)
     fresh = np.maximum.accumulate(np.where(gone, place + 1, 0))
     start = np.maximum(np.searchsorted(ts, ts - seconds, side="left"), fresh)
@@ -262,78 +297,131 @@ def metrics_event(s: Session, latencies: Sequence[float], faces: int, now: float
 
 def _interval_ends(s: Session, c: MonitorConfig, ts: np.ndarray) -> list[int]:
     """Rows at which a metrics interval is full."""
-    ends, since, at = [], s.since, 0
+    times, ends, since, at = ts.tolist(), [], s.since, 0
     while True:
-        full = at + np.flatnonzero(ts[at:] - since >= c.metrics_s)[:1]
-        if not len(full):
+        full = bisect_left(times, c.metrics_s, at, key=lambda t: t - since)
+        if full == len(times):
             return ends
-        ends.append(int(full[0]))
-        since, at = float(ts[full[0]]), int(full[0]) + 1
+        ends.append(full)
+        since, at = times[full], full + 1
+
+
+def _percentiles(values: np.ndarray, sizes: np.ndarray, share: float) -> np.ndarray:
+    """Interpolated percentile of each of the stretches that ``values``, sorted in each, consist of."""
+    first = np.cumsum(sizes) - sizes
+    at = (sizes - 1) * share
+    low = np.floor(at).astype(np.int64)
+    a, b = values[first + low], values[first + np.minimum(low + 1, sizes - 1)]
+    part = at - low
+    out = np.where(part >= 0.5, b - (b - a) * (1 - part), a + (b - a) * part)
+    return np.where(np.isnan(values[first + sizes - 1]), np.nan, out)
+
+
+def full_intervals(s: Session, c: MonitorConfig, ts: np.ndarray, face: np.ndarray, latency: np.ndarray) -> tuple[list[int], dict]:
+    """Rows that end a metrics interval and the columns of its record; the session keeps the rest."""
+    ends = _interval_ends(s, c, ts)
+    done = ends[-1] + 1 if ends else 0
+    rest = [] if ends else s.latencies
+    if not ends:
+        s.latencies, s.faces = [*rest, *latency.tolist()], s.faces + int(face.sum())
+        return ends, {}
+    values = np.concatenate((np.asarray(s.latencies, float), latency[:done])) * 1000.0
+    sizes = np.diff(ends, prepend=-1)
+    sizes[0] += len(s.latencies)
+    values = values[np.lexsort((values, np.repeat(np.arange(len(ends)), sizes)))]
+    faces = np.diff(np.cumsum(face)[ends], prepend=0)
+    faces[0] += s.faces
+    spent = np.diff(ts[ends], prepend=s.since)
+    s.since, s.latencies, s.faces = float(ts[done - 1]), latency[done:].tolist(), int(face[done:].sum())
+    return ends, {
+        "frames": sizes,
+        "fps": np.divide(sizes, spent, out=np.zeros(len(ends)), where=spent > 0),
+        "lat_ms_p50": _percentiles(values, sizes, 0.5),
+        "lat_ms_p95": _percentiles(values, sizes, 0.95),
+        "face_rate": faces / sizes,
+    }
 
 
-def advance(s: Session, c: MonitorConfig, rows: Sequence[dict]) -> list[dict]:
-    """Take frames in order, all that are due at once; the frame states and events they cause."""
-    ts = np.array([r["ts"].timestamp() for r in rows], float)
-    face = np.array([bool(r["has_face"]) for r in rows], bool)
-    seen = np.flatnonzero(face)
-    n = len(rows)
+def advance(s: Session, c: MonitorConfig, rows: pa.RecordBatch) -> pd.DataFrame:
+    """Take ``WAITING`` frames in order; the frame states and events they cause, in order too."""
+    us = rows["us"].to_numpy()
+    ts = us // 1_000_000 + us % 1_000_000 / 1e6
+    face = rows["has_face"].fill_null(False).to_numpy(zero_copy_only=False)
+    n = len(ts)
     if s.since is None:
         s.since = float(ts[0])
 
     # Tracks: fatigue moves on face frames and is held between them.
     held = np.maximum.accumulate(np.where(face, np.cumsum(face), 0))
     before = (Debounce(*s.fatigue).tier(2, c.fatigue[2]), s.level)
-    levels = fatigue_levels(s, c, [[float(x) for x in rows[i]["features"]] for i in seen])
+    levels = fatigue_levels(s, c, _matrix(rows["features"].filter(pa.array(face))))
     tiers, s.fatigue = debounced(levels, s.fatigue, c.fatigue, 2)
-    fatigue_tier = np.array([before[0], *tiers])[held]
-    level = np.array([before[1], *levels])[held]
-    state: dict[str, Sequence] = {"fatigue_tier": fatigue_tier.tolist(), "fatigue": level.tolist()}
+    state = {"fatigue_tier": np.append(before[0], tiers)[held], "fatigue": np.append(before[1], levels)[held]}
     if c.distraction is not None:
-        doing = activities(s, c, [r["probabilities"] for r in rows])
-        tiers, s.binary = debounced([a != c.safe_label for a in doing], s.binary, c.distraction, 1)
+        doing = activities(s, c, rows["probabilities"])
+        tiers, s.binary = debounced(doing != c.safe_label, s.binary, c.distraction, 1)
         state |= {"activity": doing, "distraction_tier": tiers}
     zones = np.full(n, None, object)
     if c.gaze_min_s is not None:
-        known = np.array([r["zone"] if f else None for r, f in zip(rows, face)], object)
+        known = np.where(face, rows["zone"].to_numpy(zero_copy_only=False), None)
         all_ts = np.concatenate((np.array(s.vote_ts, float), ts))
         all_zones = np.concatenate((np.array(s.vote_zone, object), known))
         zones = voted_zones(all_ts, all_zones, c.gaze_vote_s)[len(s.vote_ts) :]
-        state |= {"gaze_zone": zones.tolist(), "gaze_tier": off_road_tiers(s, c, ts, zones).tolist()}
-        missing = [i for i, z in enumerate(all_zones) if z is None]
-        keep = [i for i in range(missing[-1] + 1 if missing else 0, len(all_ts)) if all_ts[i] >= ts[-1] - c.gaze_vote_s]
+        state |= {"gaze_zone": zones, "gaze_tier": off_road_tiers(s, c, ts, zones)}
+        missing = np.flatnonzero(np.equal(all_zones, None))
+        keep = all_ts >= ts[-1] - c.gaze_vote_s
+        keep[: missing[-1] + 1 if len(missing) else 0] = False
         s.vote_ts, s.vote_zone = all_ts[keep].tolist(), all_zones[keep].tolist()
-    state["tier"] = np.max([v for k, v in state.items() if k.endswith("_tier")], axis=0).tolist()
+    tier = state["tier"] = np.max([v for k, v in state.items() if k.endswith("_tier")], axis=0)
 
     # Changes: every column against the same column one row (for zones: one known zone) earlier.
-    events: list[list[dict]] = [[] for _ in rows]
-    if c.emit_frames:
-        for i in range(n):
-            events[i].append({"event": "frame", **{k: v[i] for k, v in state.items()}})
-    tier_before = [s.tier, *state["tier"][:-1]]
-    face_before = [s.face, *face.tolist()[:-1]]
-    for i, (was, now) in enumerate(zip(tier_before, state["tier"])):
-        if was not in (None, now):
-            names = {"from": TIER_NAMES[was], "to": TIER_NAMES[now], "fatigue": state["fatigue"][i]}
-            events[i].append({"event": "tier_change", **names})
-    shown = [(-1, s.zone), *((i, z) for i, z in enumerate(zones) if z is not None)]
-    for (_, was), (i, now) in zip(shown, shown[1:]):
-        if was not in (None, now):
-            events[i].append({"event": "gaze_change", "from": was, "to": now})
-    for i, (was, now) in enumerate(zip(face_before, face.tolist())):
-        if was not in (None, now):
-            events[i].append({"event": "face_regained" if now else "face_lost"})
-
+    found = [("frame", np.arange(n), state)] if c.emit_frames else []
+    was = np.append(tier[0] if s.tier is None else s.tier, tier[:-1])
+    at = np.flatnonzero(was != tier)
+    names = np.array(TIER_NAMES, object)
+    found.append(("tier_change", at, {"from": names[was[at]], "to": names[tier[at]], "fatigue": state["fatigue"][at]}))
+    seen = np.flatnonzero(np.not_equal(zones, None))
+    shown = np.append(np.array([s.zone], object), zones[seen])
+    at = np.flatnonzero(np.not_equal(shown[:-1], None) & (shown[1:] != shown[:-1]))
+    found.append(("gaze_change", seen[at], {"from": shown[at], "to": shown[at + 1]}))
+    turned = face != np.append(face[0] if s.face is None else s.face, face[:-1])
+    found += [("face_lost", np.flatnonzero(turned & ~face), {}), ("face_regained", np.flatnonzero(turned & face), {})]
     # Metrics: rows up to the end of an interval belong to it.
-    latencies = [float(r["latency_s"]) for r in rows]
-    start = 0
-    for end in _interval_ends(s, c, ts):
-        part = s.latencies + latencies[start : end + 1]
-        events[end].append(metrics_event(s, part, s.faces + int(face[start : end + 1].sum()), float(ts[end])))
-        start = end + 1
-    s.latencies, s.faces = s.latencies + latencies[start:], s.faces + int(face[start:].sum())
-    s.tier, s.face, s.zone = state["tier"][-1], bool(face[-1]), shown[-1][1]
-    s.last_ts, s.last_frame = float(ts[-1]), int(rows[-1]["frame"])
-    return [{"frame": int(r["frame"]), "ts": float(t), **e} for r, t, found in zip(rows, ts, events) for e in found]
+    ends, records = full_intervals(s, c, ts, face, rows["latency_s"].to_numpy(zero_copy_only=False))
+    found.append(("metrics", np.array(ends, np.int64), records))
+    frames = rows["frame"].to_numpy()
+    s.tier, s.face, s.zone = int(tier[-1]), bool(face[-1]), shown[-1]
+    s.last_ts, s.last_frame = float(ts[-1]), int(frames[-1])
+    return _event_rows([(event, {"frame": frames[at], "ts": ts[at], **of}, at) for event, at, of in found])
+
+
+def _event_rows(found: Sequence[tuple[str, dict, np.ndarray]]) -> pd.DataFrame:
+    """Events of several kinds, (kind, columns, rows), as ``OUTPUT`` rows in the order of their rows."""
+    sizes = [len(at) for _, _, at in found]
+    order = np.argsort(np.concatenate([at for *_, at in found]), kind="stable")
+    out = {}
+    for f in OUTPUT.fields:
+        if f.name == "event":
+            values = np.repeat(np.array([event for event, *_ in found], object), sizes)
+            out[f.name] = values[order]
+            continue
+        parts = [of.get(f.name) for _, of, _ in found]
+        whole, text = isinstance(f.dataType, (T.IntegerType, T.LongType)), isinstance(f.dataType, T.StringType)
+        gap, kind = (None, object) if text else (0, np.int64) if whole else (np.nan, float)
+        values = np.concatenate([np.full(n, gap, kind) if p is None else np.asarray(p, kind) for p, n in zip(parts, sizes)])[order]
+        if whole:
+            unset = np.repeat([p is None for p in parts], sizes)[order]
+            values = pd.arrays.IntegerArray(values, unset)
+        out[f.name] = values
+    return pd.DataFrame(out)
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Lists of one length as the rows of an array."""
+    if lists.null_count or len(lengths := lists.value_lengths().unique()) > 1:
+        raise ValueError("every frame with a face has the same number of features")
+    width = lengths[0].as_py() if len(lengths) else 0
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), width)
 
 
 class MonitorProcessor(StatefulProcessor):
@@ -343,52 +431,67 @@ class MonitorProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.session = handle.getValueState("session", STATE)
-        pending = T.StructType([f for f in INPUT.fields if f.name != "session"])
-        self.pending = handle.getListState("pending", pending)
+        # A value for each block, which sort by arrival.
+        self.pending = handle.getMapState("pending", "arrived string", "frames binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         oldest = None
         for batch in rows:
             if len(batch):
-                self.pending.appendList([_plain(row) for row in batch.itertuples(index=False)])
-                first = batch["ts"].min()
+                block = _columns(batch)
+                self._wait(block)
+                first = int(block["us"].to_numpy().min()) // 1000
                 oldest = first if oldest is None else min(oldest, first)
         if oldest is not None:
             # Fires as soon as the watermark has passed the oldest waiting frame.
-            self.handle.registerTimer(max(_millis(oldest), timerValues.getCurrentWatermarkInMs() + 1))
+            self.handle.registerTimer(max(oldest, timerValues.getCurrentWatermarkInMs() + 1))
         return iter(())
 
+    def _wait(self, frames: pa.RecordBatch) -> None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, WAITING) as stream:
+            stream.write_batch(frames)
+        self.pending.updateValue((f"{time.time_ns():020d}-{uuid.uuid4().hex}",), (sink.getvalue().to_pybytes(),))
+
+    def _waiting(self) -> pa.RecordBatch:
+        blocks = [bytes(self.pending.getValue((k,))[0]) for k in sorted(k for (k,) in self.pending.keys())]
+        found = [batch for block in blocks for batch in pa.ipc.open_stream(block)]
+        return pa.concat_batches(found) if found else pa.RecordBatch.from_pylist([], WAITING)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         session = key[0]
         upto = timerValues.getCurrentWatermarkInMs()
-        names = [f.name for f in INPUT.fields if f.name != "session"]
-        due, later = [], []
-        for v in self.pending.get() if self.pending.exists() else ():
-            row = dict(zip(names, v))
-            (due if _millis(row["ts"]) <= upto else later).append(row)
-        s = _session(self.session.get()) if self.session.exists() else Session()
-        out: list[dict] = []
-        if due:
-            out = advance(s, self.config, sorted(due, key=lambda v: (v["ts"], v["frame"])))
+        known = self.session.get()
+        s = Session() if known is None else _session(known)
+        waiting = self._waiting()
+        us, frame = waiting["us"].to_numpy(), waiting["frame"].to_numpy()
+        order = np.lexsort((frame, us))
+        n_due = int(np.searchsorted(us[order] // 1000, upto, side="right"))
+        for lo in range(0, n_due, STRETCH):
+            due = waiting.take(pa.array(order[lo : min(lo + STRETCH, n_due)]))
+            out = advance(s, self.config, due)
+            if len(out):
+                out["session"] = session
+                yield out
+        later = order[n_due:]
+        if n_due:
             self.pending.clear()
-            if later:
-                self.pending.put([tuple(v[n] for n in names) for v in later])
+            for lo in range(0, len(later), BLOCK):
+                self._wait(waiting.take(pa.array(np.sort(later[lo : lo + BLOCK]))))
         idle_ms = int(self.config.idle_s * 1000)
-        if later:
-            self.handle.registerTimer(min(_millis(v["ts"]) for v in later))
+        if len(later):
+            self.handle.registerTimer(int(us[later[0]]) // 1000)
             self.session.update(_values(s))
         elif s.last_frame >= 0 and upto >= s.last_ts * 1000 + idle_ms:
-            end = {"frame": s.last_frame, "ts": s.last_ts}
-            out += [{**end, **metrics_event(s, s.latencies, s.faces, s.last_ts)}, {**end, "event": "stop"}]
+            end = {"session": session, "frame": s.last_frame, "ts": s.last_ts}
+            last = [{**end, **metrics_event(s, s.latencies, s.faces, s.last_ts)}, {**end, "event": "stop"}]
             self.session.clear()
             self.pending.clear()
+            columns = {f.name: [event.get(f.name) for event in last] for f in OUTPUT.fields}
+            yield pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in columns.items()})
         else:
             self.session.update(_values(s))
             self.handle.registerTimer(int(s.last_ts * 1000) + idle_ms)
-        if out:
-            columns = {f.name: [event.get(f.name) for event in out] for f in OUTPUT.fields}
-            columns["session"] = [session] * len(out)
-            yield pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in columns.items()})
 
     def close(self) -> None:
         pass
@@ -403,24 +506,12 @@ def _session(values) -> Session:
     return Session(**{f.name: plain(v) for f, v in zip(STATE.fields, values)})
 
 
-def _millis(ts) -> int:
-    return int(ts.timestamp() * 1000)
-
-
-def _plain(row) -> tuple:
-    """State values of one input row (missing arrays and texts as None)."""
-    listed = lambda v: None if v is None else [float(x) for x in v]
-    face = bool(row.has_face) if row.has_face is not None else False
-    zone = row.zone if isinstance(row.zone, str) else None
-    return (
-        row.ts.to_pydatetime() if hasattr(row.ts, "to_pydatetime") else row.ts,
-        int(row.frame),
-        face,
-        listed(row.features),
-        listed(row.probabilities),
-        zone,
-        float(row.latency_s),
-    )
+def _columns(batch: pd.DataFrame) -> pa.RecordBatch:
+    """Input rows as columns; every frame has a time and a number."""
+    frames = pa.RecordBatch.from_arrays([pa.Array.from_pandas(batch[f.name], type=f.type) for f in WAITING], schema=WAITING)
+    if frames["us"].null_count or frames["frame"].null_count:
+        raise ValueError("a frame has no time or no number")
+    return frames
 
 
 def monitor_stream(frames: DataFrame, config: MonitorConfig, delay: str = "10 seconds") -> DataFrame:
@@ -433,6 +524,7 @@ def monitor_stream(frames: DataFrame, config: MonitorConfig, delay: str = "10 se
     wanted = frames.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in INPUT.fields])
     return (
         wanted.withWatermark("ts", delay)
+        .withColumn("us", F.unix_micros("ts"))
         .groupBy("session")
         .transformWithStateInPandas(
             statefulProcessor=MonitorProcessor(config),
