@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.scalars import argmax
 from wakeline.operators.metrics import class_weights, evaluate_predictions, frame_accuracy
-from wakeline.operators.segments import SEG, SEGMENT_ROWS, halo, stage_folder
+from wakeline.operators.segments import SEG, SEGMENT_ROWS, cut, halo, stage_folder
 from wakeline.operators.splits import held_out_rows, subject_folds, train_rows
 
 #: Windows handed to a model at once.
@@ -138,8 +140,9 @@ def fit_boosted(
     max_depth: int = 3,
     step: float = 0.1,
 ) -> BoostedClasses:
-    models = []
-    for c in range(n_classes):
+    """The models know nothing of each other, so their many short jobs run side by side."""
+
+    def fit(c: int):
         one = train.withColumn("_is", (F.col(label) == c).cast("double"))
         trees = GBTClassifier(
             labelCol="_is",
@@ -149,8 +152,10 @@ def fit_boosted(
             stepSize=step,
             seed=seed,
         )
-        models.append(trees.fit(one))
-    return BoostedClasses(models)
+        return trees.fit(one)
+
+    with ThreadPoolExecutor(n_classes) as pool:
+        return BoostedClasses(pool.map(inheritable_thread_target(train.sparkSession)(fit), range(n_classes)))
 
 
 def evaluate_boosted_windows(
@@ -164,11 +169,13 @@ def evaluate_boosted_windows(
 ) -> DataFrame:
     """Boosted baseline on window features: fit on train, metrics bundle on validation.
 
-    Trees split on order alone, so standardising the features would not change them.
+    Trees split on order alone, so standardising the features would not change them. Windows and
+    scores are written once: every model reads the windows several times, every metric the scores.
     """
     vectors = assemble(columns)
-    fitted = fit_boosted(vectors.transform(train).select("features", label), label, n_classes, **params)
+    fitted = fit_boosted(cut(vectors.transform(train).select("features", label)), label, n_classes, **params)
     scored = fitted.transform(vectors.transform(validate).select("features", label))
+    scored = cut(scored.select(label, "prediction", "scores"))
     alarm = n_classes - 1 if alarm_class is None else alarm_class
     return evaluate_predictions(scored, label, "prediction", "scores", n_classes, alarm)
 
