@@ -300,3 +300,42 @@ def test_votes_over_many_zones_match_a_recount(spark, rows):
     df = make(spark, sessions, "s int, frame long, ts long, zone string")
     got = alerts.majority_smooth(df, ["s"], "frame", "ts", "zone", 12, rows=rows).collect()
     assert {(r.s, r.frame): r.smoothed for r in got} == want and len(got) == len(want)
+
+
+def plain_mode(rows, window):
+    """The most frequent zone of (ts, zone) rows, all rows of the window counted at each."""
+    out = []
+    for i, (t, z) in enumerate(rows):
+        seen = []
+        for u, y in reversed(rows[: i + 1]):
+            if y is None or u < t - window:
+                break
+            seen.append(y)
+        out.append(max(seen, key=lambda y: (seen.count(y), -seen.index(y))) if z is not None else None)
+    return out
+
+
+@pytest.mark.parametrize("rows, window, way", [(1000, 15, "_segment_mode"), (16, 9, "_segment_mode"), (16, 400, "_sliding_mode")])
+def test_open_vocabulary_is_walked_by_segments(spark, monkeypatch, rows, window, way):
+    taken = []
+    for name in ("_segment_mode", "_sliding_mode"):
+        monkeypatch.setattr(alerts, name, lambda *a, name=name, fn=getattr(alerts, name): (taken.append(name), fn(*a))[1])
+    rng = random.Random(rows + window)
+    sessions = {}
+    for s in ("a", "b"):
+        t, sessions[s] = 0, []
+        for _ in range(130):
+            t += rng.choice((0, 1, 1, 3))
+            sessions[s].append((t, None if rng.random() < 0.04 else f"z{rng.randint(0, 9)}"))
+    flat = [(s, i, t, z, i * 0.5) for s, part in sessions.items() for i, (t, z) in enumerate(part)]
+    flat.append((None, 0, 5, "z1", 0.0))
+    df = spark.createDataFrame(flat, "s string, frame long, ts long, zone string, other double").repartition(5)
+    out = alerts.majority_smooth(df, ["s"], "frame", "ts", "zone", window, rows=rows)
+    got = {(r.s, r.frame): r for r in out.collect()}
+    assert taken == [way] and out.columns == [*df.columns, "smoothed"] and len(got) == len(flat)
+    assert got[None, 0].smoothed is None and got["b", 7].other == 3.5
+    for s, part in sessions.items():
+        assert [got[s, i].smoothed for i in range(len(part))] == plain_mode(part, window)
+    if way == "_segment_mode":
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1

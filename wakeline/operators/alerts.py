@@ -16,14 +16,16 @@ over segments.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wakeline.operators.segments import (
     SEG,
@@ -361,12 +363,14 @@ def majority_smooth(
     holds microseconds and does not decrease with ``frame``. Every vote is counted in when
     it is seen and out when it expires, so the cost does not depend on the window length.
     ``zones`` is the vocabulary if it is small and known, a column of counts each; without it
-    any number of zones is counted in rows (:func:`_sliding_mode`).
+    any number of zones is counted in rows: by segments that also see the votes open at their
+    start (:func:`_segment_mode`), or, where windows are so long that these would be more rows
+    than the table's, from the standings of zones (:func:`_sliding_mode`).
     """
     if window_us <= 0:
         raise ValueError(f"votes cannot be taken over {window_us} microseconds")
     if zones is None:
-        return _sliding_mode(df, keys, frame, ts, zone, window_us, out, rows)
+        return _open_mode(df, keys, frame, ts, zone, window_us, out, rows)
     unknown = F.raise_error(F.concat(F.lit("not in the vocabulary: "), F.col(zone)))
     listed = F.col(zone).isNull() | F.col(zone).isin(*zones)
     df = df.withColumn(zone, F.when(listed, F.col(zone)).otherwise(unknown))
@@ -410,6 +414,80 @@ def _moves(votes: DataFrame, ts: str, zone: str, window_us: int) -> DataFrame:
     return moves.withColumn("_at", F.col(ts) + F.when(F.col("_move") == 1, window_us).otherwise(0))
 
 
+def _open_mode(
+    df: DataFrame, keys: Sequence[str], frame: str, ts: str, zone: str, window_us: int, out: str, rows: int
+) -> DataFrame:
+    """The majority over any number of zones, by the way that moves fewer rows."""
+    df = cut(df)
+    # Segments after the first, a row for every ``rows`` of a session: when their votes begin.
+    later = segment(df, frame, rows).where(F.col(SEG) > 0)
+    starts = later.groupBy(*keys, SEG).agg((F.min(ts) - window_us).alias("_from"))
+    lists = cut(starts.groupBy(*keys).agg(F.collect_list(F.struct(SEG, "_from")).alias("_starts")))
+    borrowed = F.transform(
+        F.filter("_starts", lambda s: (s[SEG] > F.expr(f"`{frame}` div {rows}")) & (s["_from"] <= F.col(ts))), lambda s: s[SEG]
+    )
+    lent = df.join(F.broadcast(lists), list(keys)) if rows >= SLICE_ROWS else df.join(lists, list(keys))
+    counts = lent.agg(F.sum(F.size(borrowed)).alias("n")).first()
+    if (counts["n"] or 0) > df.count():
+        return _sliding_mode(df, keys, frame, ts, zone, window_us, out, rows)
+    return _segment_mode(df, lent.select(*df.columns, F.explode(borrowed).alias(SEG)), keys, frame, ts, zone, window_us, out, rows)
+
+
+def _segment_mode(
+    df: DataFrame, lent: DataFrame, keys: Sequence[str], frame: str, ts: str, zone: str, window_us: int, out: str, rows: int
+) -> DataFrame:
+    """One exchange: a segment's rows and those ``lent`` to it, walked in order."""
+    wide = segment(df, frame, rows).select(*df.columns, SEG).unionByName(lent)
+    dealt = wide.repartition(*within(keys)).sortWithinPartitions(*within(keys), frame)
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in [*df.schema, T.StructField(out, df.schema[zone].dataType)]]
+    return dealt.mapInArrow(_walk_votes(list(keys), frame, ts, zone, window_us, rows, out), ", ".join(columns))
+
+
+def _walk_votes(keys: list[str], frame: str, ts: str, zone: str, window_us: int, rows: int, named: str) -> Callable:
+    """Adds the most frequent zone of the window to rows sorted by segment and frame.
+
+    Votes are counted in and out; a heap holds every (votes, last, zone) a zone has had, of which
+    those that are no longer true are dropped when they come up, or when they are the most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, count, last, heap, votes = None, {}, {}, [], deque()
+        for batch in batches:
+            won = []
+            columns = [batch.column(c).to_pylist() for c in (*keys, SEG, frame, ts, zone)]
+            for *here, f, at, z in zip(*columns):
+                if here != group:
+                    group, count, last, heap, votes = here, {}, {}, [], deque()
+                if z is None or None in here:
+                    count, last, heap, votes = {}, {}, [], deque()
+                    won.append(None)
+                    continue
+                while votes and votes[0][0] < at - window_us:
+                    gone = votes.popleft()[1]
+                    count[gone] -= 1
+                    if count[gone]:
+                        heappush(heap, (-count[gone], -last[gone], gone))
+                    else:
+                        del count[gone]
+                votes.append((at, z))
+                count[z], last[z] = count.get(z, 0) + 1, f
+                heappush(heap, (-count[z], -f, z))
+                while count.get(heap[0][2]) != -heap[0][0] or last[heap[0][2]] != -heap[0][1]:
+                    heappop(heap)
+                won.append(heap[0][2])
+                if len(heap) > 4 * len(count) + 64:
+                    heap = [(-n, -last[k], k) for k, n in count.items()]
+                    heapify(heap)
+                    last = {k: last[k] for k in count}
+            own = pa.array([f // rows == s for f, s in zip(columns[-3], columns[-4])], pa.bool_())
+            added = batch.append_column("_won", pa.array(won, batch.schema.field(zone).type))
+            kept = added.drop_columns([SEG]).filter(own)
+            if len(kept):
+                yield kept.rename_columns([*kept.schema.names[:-1], named])
+
+    return run
+
+
 def _sliding_mode(
     df: DataFrame, keys: Sequence[str], frame: str, ts: str, zone: str, window_us: int, out: str, rows: int
 ) -> DataFrame:
