@@ -5,8 +5,12 @@ import os
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from catalog import QUERIES
 from wakeline.operators import scoring
+from wakeline.operators.segments import cut
+from wakeline.plans import fatigue
 
 SF = "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -91,3 +95,43 @@ def test_tuning_marks_the_best_configuration(spark):
     chosen = [r for r in rows if r.chosen]
     assert len(chosen) == 1 and chosen[0].macro_auroc == max(r.macro_auroc for r in rows if r.macro_auroc is not None)
     assert len({(r["size"], r.stride) for r in rows}) == len(rows) > 1
+
+
+def test_tuning_reads_the_frames_once(spark, monkeypatch):
+    """Every configuration has the windows that it would have alone, labels that repeat included."""
+    reads = []
+    df = spark.range(2000).selectExpr("id % 4 as s", "id div 4 as frame", "cast(hash(id) % 40 as double) as ear", "0.5 * (hash(id, 1) % 3) as mar", "cast(hash(id, 2) % 9 as double) as pitch")
+    frames = cut(df)
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 2), (2, 2)], "s long, label int")
+    limits, grid = {"ear": 8.0, "mar": 0.07, "pitch": 4.0}, [{"size": a, "stride": b} for a, b in ((60, 30), (45, 15), (20, 50))]
+    seen = []
+
+    def judged(train, validate, *_):
+        seen.append((train, validate))
+        return spark.range(1).select(F.lit(0.5).alias("macro_auroc"))
+
+    panes = fatigue.summary_panes
+    monkeypatch.setattr(fatigue, "summary_panes", lambda *a, **k: (reads.append(a[3]), panes(*a, **k))[1])
+    monkeypatch.setattr(fatigue, "evaluate_boosted_windows", judged)
+    parts = frames.where("s < 2"), frames.where("s >= 2")
+    fatigue.tune(spark, *parts, labels, ["s"], "frame", limits, 30.0, grid)
+    assert reads == [5, 5] and len(seen) == 3
+    rounded = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    for c, windows in zip(grid, seen):
+        for part, got in zip(parts, windows):
+            want = fatigue.clip_windows(part, labels, ["s"], "frame", c["size"], c["stride"], limits, 30.0)
+            assert got.columns == want.columns and rounded(got) == rounded(want) != []
+
+
+def test_boosted_models_read_written_windows(spark):
+    """The plan of the windows runs once for training and once for judging."""
+    passes = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        passes.add(1)
+        return float(x)
+
+    df = spark.range(120).select((F.col("id") % 3).cast("int").alias("label"), counted(F.col("id") % 3 + F.col("id") % 2).alias("x"))
+    scoring.evaluate_boosted_windows(df, df, ["x"], "label", 3, max_iter=2).collect()
+    assert passes.value == 240

@@ -165,6 +165,24 @@ def window_summary(
     """
     _check_window(size, stride)
     pane = gcd(size, stride)
+    panes = summary_panes(df, keys, frame, pane, ear_threshold, mar_threshold, nod_threshold, ear, mar, pitch, rows)
+    return pane_windows(panes, keys, size, stride, pane, fps)
+
+
+def summary_panes(
+    df: DataFrame,
+    keys: Sequence[str],
+    frame: str,
+    pane: int,
+    ear_threshold: float,
+    mar_threshold: float,
+    nod_threshold: float,
+    ear: str = "ear",
+    mar: str = "mar",
+    pitch: str = "pitch",
+    rows: int = SEGMENT_ROWS,
+) -> DataFrame:
+    """Partial features of stretches of ``pane`` frames, for windows that consist of them."""
     states = {
         "blink": in_state(F.col(ear), ear_threshold, "below"),
         "yawn": in_state(F.col(mar), mar_threshold, "above"),
@@ -184,7 +202,7 @@ def window_summary(
     flagged = wide.withColumns({f"_{n}_on": c for n, c in onset.items()})
     flagged = own_rows(flagged, frame, rows)
     opens = F.col(frame) % pane == 0
-    panes = flagged.groupBy(*keys, F.expr(f"`{frame}` div {pane}").alias("_pane")).agg(
+    return flagged.groupBy(*keys, F.expr(f"`{frame}` div {pane}").alias("_pane")).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count_if("_blink").alias("_closed"),
         F.sum("_ear").alias("_ear"),
@@ -194,6 +212,14 @@ def window_summary(
         # Extra onsets if a window opens on the first row of this pane.
         *[F.count_if(opens & F.col(f"_{n}") & ~F.col(f"_{n}_on")).alias(f"_{n}_open") for n in states],
     )
+
+
+def pane_windows(panes: DataFrame, keys: Sequence[str], size: int, stride: int, pane: int, fps: float) -> DataFrame:
+    """The windows of :func:`window_summary`, from panes whose length divides size and stride."""
+    _check_window(size, stride)
+    if size % pane or stride % pane:
+        raise ValueError(f"windows of {size} frames every {stride} do not consist of panes of {pane}")
+    states = ("blink", "yawn", "nod")
     counts = [
         F.sum(F.col(f"_{n}_on") + F.when(F.col("_opens"), F.col(f"_{n}_open")).otherwise(0)).alias(
             f"{n}_count"

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import gcd
 
 from pyspark.sql import Column, DataFrame
 
 from wakeline.operators.intervals import closure_labels
 from wakeline.operators.metrics import binary_drowsy_report
 from wakeline.operators.scoring import evaluate_boosted_windows, run_sweep
-from wakeline.operators.segments import SEGMENT_ROWS
+from wakeline.operators.segments import SEGMENT_ROWS, cut
 from wakeline.operators.sweeps import best_by
-from wakeline.operators.windows import window_labels, window_summary
+from wakeline.operators.windows import pane_windows, summary_panes, window_labels, window_summary
 from wakeline.schemas import WINDOW_GRID
 
 DEFAULT_GRID = tuple({"size": size, "stride": stride} for size, stride in WINDOW_GRID)
@@ -79,16 +80,19 @@ def tune(
     metric: str = "macro_auroc",
     rows: int = SEGMENT_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Metrics of every (size, stride, …) configuration on validation, and the best one."""
+    """Metrics of every (size, stride, …) configuration on validation, and the best one.
 
-    def one(train_part: DataFrame, val_part: DataFrame, size: int, stride: int, **model) -> DataFrame:
-        windows = [
-            clip_windows(part, labels, keys, frame, size, stride, thresholds, fps, rows)
-            for part in (train_part, val_part)
-        ]
+    Frames are read once: all windows consist of panes of one length, which are written.
+    """
+    pane = gcd(*(c[k] for c in grid for k in ("size", "stride"))) or 1
+    limits = (thresholds["ear"], thresholds["mar"], thresholds["pitch"])
+    parts = [cut(summary_panes(part, keys, frame, pane, *limits, rows=rows)) for part in (train, validate)]
+
+    def one(train_panes: DataFrame, val_panes: DataFrame, size: int, stride: int, **model) -> DataFrame:
+        windows = [pane_windows(panes, keys, size, stride, pane, fps).join(labels, list(keys)) for panes in (train_panes, val_panes)]
         return evaluate_boosted_windows(*windows, FEATURES, "label", n_classes, **model)
 
-    results = run_sweep(spark, train, validate, grid, one)
+    results = run_sweep(spark, *parts, grid, one)
     return results, best_by(results, metric)
 
 
