@@ -100,10 +100,10 @@ def test_tuning_marks_the_best_configuration(spark):
 def test_tuning_reads_the_frames_once(spark, monkeypatch):
     """Every configuration has the windows that it would have alone, labels that repeat included."""
     reads = []
-    df = spark.range(2000).selectExpr("id % 4 as s", "id div 4 as frame", "cast(hash(id) % 40 as double) as ear", "0.5 * (hash(id, 1) % 3) as mar", "cast(hash(id, 2) % 9 as double) as pitch")
+    df = spark.range(2000).selectExpr("id % 4 as s", "id div 4 as frame", "cast(hash(id) % 40 as double) as ear", "0.01 * (hash(id, 1) % 30) as mar", "cast(hash(id, 2) % 9 as double) as pitch")
     frames = cut(df)
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, 2), (2, 2)], "s long, label int")
-    limits, grid = {"ear": 8.0, "mar": 0.07, "pitch": 4.0}, [{"size": a, "stride": b} for a, b in ((60, 30), (45, 15), (20, 50))]
+    limits, grid = {"ear": 8.0, "mar": 0.07, "pitch": 4.0}, [{"size": a, "stride": b} for a, b in ((60, 30), (50, 25), (20, 50))]
     seen = []
 
     def judged(train, validate, *_):
@@ -115,7 +115,7 @@ def test_tuning_reads_the_frames_once(spark, monkeypatch):
     monkeypatch.setattr(fatigue, "evaluate_boosted_windows", judged)
     parts = frames.where("s < 2"), frames.where("s >= 2")
     fatigue.tune(spark, *parts, labels, ["s"], "frame", limits, 30.0, grid)
-    assert reads == [5, 5] and len(seen) == 3
+    assert reads == [[10, 25, 30]] * 2 and len(seen) == 3
     rounded = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
     for c, windows in zip(grid, seen):
         for part, got in zip(parts, windows):

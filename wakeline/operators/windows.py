@@ -165,7 +165,7 @@ def window_summary(
     """
     _check_window(size, stride)
     pane = gcd(size, stride)
-    panes = summary_panes(df, keys, frame, pane, ear_threshold, mar_threshold, nod_threshold, ear, mar, pitch, rows)
+    panes = summary_panes(df, keys, frame, [pane], ear_threshold, mar_threshold, nod_threshold, ear, mar, pitch, rows)
     return pane_windows(panes, keys, size, stride, pane, fps)
 
 
@@ -173,7 +173,7 @@ def summary_panes(
     df: DataFrame,
     keys: Sequence[str],
     frame: str,
-    pane: int,
+    lengths: Sequence[int],
     ear_threshold: float,
     mar_threshold: float,
     nod_threshold: float,
@@ -182,7 +182,10 @@ def summary_panes(
     pitch: str = "pitch",
     rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Partial features of stretches of ``pane`` frames, for windows that consist of them."""
+    """Partial features of stretches of each of the ``lengths``, for windows that consist of them.
+
+    The frames are put in order once; a stretch is summed in that order, as if it were the only one.
+    """
     states = {
         "blink": in_state(F.col(ear), ear_threshold, "below"),
         "yawn": in_state(F.col(mar), mar_threshold, "above"),
@@ -201,8 +204,10 @@ def summary_panes(
     onset = {n: F.col(f"_{n}") & ~F.coalesce(F.lag(f"_{n}").over(w), F.lit(False)) for n in states}
     flagged = wide.withColumns({f"_{n}_on": c for n, c in onset.items()})
     flagged = own_rows(flagged, frame, rows)
-    opens = F.col(frame) % pane == 0
-    return flagged.groupBy(*keys, F.expr(f"`{frame}` div {pane}").alias("_pane")).agg(
+    each = [F.lit(n) for n in lengths]
+    flagged = flagged.withColumn("_length", each[0] if len(each) == 1 else F.explode(F.array(*each)))
+    opens = F.col(frame) % F.col("_length") == 0
+    return flagged.groupBy(*keys, "_length", F.expr(f"`{frame}` div _length").alias("_pane")).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count_if("_blink").alias("_closed"),
         F.sum("_ear").alias("_ear"),
@@ -215,10 +220,11 @@ def summary_panes(
 
 
 def pane_windows(panes: DataFrame, keys: Sequence[str], size: int, stride: int, pane: int, fps: float) -> DataFrame:
-    """The windows of :func:`window_summary`, from panes whose length divides size and stride."""
+    """The windows of :func:`window_summary`, from its panes of one length."""
     _check_window(size, stride)
     if size % pane or stride % pane:
         raise ValueError(f"windows of {size} frames every {stride} do not consist of panes of {pane}")
+    panes = panes.where(F.col("_length") == pane).drop("_length")
     states = ("blink", "yawn", "nod")
     counts = [
         F.sum(F.col(f"_{n}_on") + F.when(F.col("_opens"), F.col(f"_{n}_open")).otherwise(0)).alias(

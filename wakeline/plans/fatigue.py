@@ -82,14 +82,19 @@ def tune(
 ) -> tuple[DataFrame, DataFrame]:
     """Metrics of every (size, stride, …) configuration on validation, and the best one.
 
-    Frames are read once: all windows consist of panes of one length, which are written.
+    Frames are read once, into the panes of all configurations, which are written.
     """
-    pane = gcd(*(c[k] for c in grid for k in ("size", "stride"))) or 1
+    if not grid:
+        raise ValueError("the sweep grid is empty")
+    lengths = sorted({gcd(c["size"], c["stride"]) for c in grid})
     limits = (thresholds["ear"], thresholds["mar"], thresholds["pitch"])
-    parts = [cut(summary_panes(part, keys, frame, pane, *limits, rows=rows)) for part in (train, validate)]
+    parts = [cut(summary_panes(part, keys, frame, lengths, *limits, rows=rows)) for part in (train, validate)]
 
     def one(train_panes: DataFrame, val_panes: DataFrame, size: int, stride: int, **model) -> DataFrame:
-        windows = [pane_windows(panes, keys, size, stride, pane, fps).join(labels, list(keys)) for panes in (train_panes, val_panes)]
+        windows = [
+            pane_windows(panes, keys, size, stride, gcd(size, stride), fps).join(labels, list(keys))
+            for panes in (train_panes, val_panes)
+        ]
         return evaluate_boosted_windows(*windows, FEATURES, "label", n_classes, **model)
 
     results = run_sweep(spark, *parts, grid, one)
