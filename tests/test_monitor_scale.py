@@ -1,11 +1,15 @@
 """The monitor's cost per frame does not depend on how many are due at once."""
 
+import datetime as dt
+import tempfile
 import time
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
+from wakeline.streaming import metrics as live
 from wakeline.streaming import monitor
 
 
@@ -71,3 +75,116 @@ def test_percentiles_are_numpys():
     for share in (0.5, 0.95):
         got = monitor._percentiles(np.concatenate([np.sort(v) for v in values]), sizes, share)
         np.testing.assert_array_equal(got, [np.percentile(v, share * 100) for v in values])
+
+
+def many(n_sessions, per):
+    """Frames of sessions in turn, one of them without a name, as ``INPUT`` rows by time."""
+    names = [None, *(f"s{i}" for i in range(1, n_sessions))]
+    rows = []
+    for i, name in enumerate(names):
+        # Gaps stay under the idle time; sessions end one after the other.
+        for f in frames(per + i % 3, 300_000, seed=i).to_pylist():
+            at = dt.datetime.fromtimestamp(f.pop("us") // 1000 / 1000 + i % 7, dt.UTC)
+            rows.append((name, at, *f.values()))
+    return sorted(rows, key=lambda r: (r[1], r[2]))
+
+
+def clean(row):
+    return tuple(None if v is None or v != v else round(v, 6) if isinstance(v, float) else v for v in row)
+
+
+def alone(rows, c):
+    """Events of every session by itself."""
+    want = []
+    for name in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == name), key=lambda r: (r[1], r[2]))
+        columns = [[round(r[1].timestamp() * 1000) * 1000 for r in mine], *([r[i] for r in mine] for i in range(2, 8))]
+        batch = pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, monitor.WAITING)], schema=monitor.WAITING)
+        s = monitor.Session()
+        out = monitor.advance(s, c, batch).astype(object)
+        out = out.where(out.notna(), None).to_dict("records")
+        end = {"frame": s.last_frame, "ts": s.last_ts}
+        out += [{**end, **monitor.metrics_event(s, s.latencies, s.faces, s.last_ts)}, {**end, "event": "stop"}]
+        want += [clean({**e, "session": name}.get(f.name) for f in monitor.OUTPUT) for e in out]
+    return want
+
+
+class Blocks(dict):
+    def __init__(self, calls):
+        self.calls = calls
+
+    def updateValue(self, key, value):
+        self.calls.append("update")
+        self[key] = value
+
+    def iterator(self):
+        self.calls.append("read")
+        return iter(list(self.items()))
+
+    def clear(self):
+        self.calls.append("clear")
+        super().clear()
+
+
+class Handle:
+    def __init__(self):
+        self.calls, self.timers = [], []
+
+    def getMapState(self, *_):
+        return Blocks(self.calls)
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+        self.timers.append(at)
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+@pytest.mark.parametrize("stretch", [7, 1 << 16])
+def test_sessions_of_a_shard_share_state_calls(monkeypatch, stretch):
+    monkeypatch.setattr(monitor, "STRETCH", stretch)
+    rows, c, handle = many(200, 6), config(idle_s=30.0), Handle()
+    taker = monitor.MonitorProcessor(c)
+    taker.init(handle)
+    table = pd.DataFrame(rows, columns=[f.name for f in monitor.INPUT])
+    table["us"] = [round(r[1].timestamp() * 1000) * 1000 for r in rows]
+    out, upto = [], 0
+    for part in np.array_split(np.arange(len(table)), 4):
+        out += taker.handleInputRows((1,), iter([table.iloc[part].sample(frac=1, random_state=1)]), Clock(upto))
+        upto = int(table["us"].iloc[part[-1]]) // 1000
+        assert min(handle.timers) <= upto
+        handle.timers.clear()
+        out += taker.handleExpiredTimer((1,), Clock(upto), None)
+        assert all(t > upto for t in handle.timers)
+    out += taker.handleExpiredTimer((1,), Clock(upto + 40_000), None)
+    assert not taker.known and not taker.pending
+    got = [clean(r) for part in out for r in part.astype(object).where(part.notna(), None).itertuples(index=False)]
+    assert sorted(map(str, got)) == sorted(map(str, alone(rows, c)))
+    assert len(handle.calls) < 60  # Of 200 sessions, five times.
+
+
+def test_stream_of_sessions_in_few_shards(spark):
+    rows, c = many(40, 6), config(idle_s=30.0)
+    folder = tempfile.mkdtemp(prefix="shards-")
+    last = (dt.datetime.fromtimestamp(1_800_000_000, dt.UTC), 0, True, [0.1], None, None, 0.01)
+    for i, part in enumerate((rows[:100], rows[100:], [("flush", *last)])):
+        spark.createDataFrame(part, monitor.INPUT).coalesce(1).write.parquet(f"{folder}/{i}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = live.frame_stream(spark, f"{folder}/*", maxFilesPerTrigger=1)
+    q = (
+        monitor.monitor_stream(stream, c, "0 seconds", 3).writeStream.format("parquet").option("path", f"{folder}-out").outputMode("append")
+        .option("checkpointLocation", tempfile.mkdtemp(prefix="cp-")).trigger(availableNow=True).start()
+    )
+    q.awaitTermination(300)
+    # Blocks, timers both ways and their indexes of three shards, not of forty sessions.
+    assert 0 < max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) < 40
+    out = spark.read.schema(monitor.OUTPUT).parquet(f"{folder}-out").where("session is null or session != 'flush'").collect()
+    assert sorted(str(clean(r)) for r in out) == sorted(map(str, alone(rows, c)))
+    with pytest.raises(ValueError, match="shard"):
+        monitor.monitor_stream(stream, c, shards=0)

@@ -7,6 +7,9 @@ windows and classifier, debounced fatigue track, cadenced distraction track, vot
 and off-road streaks, fusion, changes between rows and metrics intervals. A session that falls
 silent is flushed, reported as stopped and forgotten.
 
+A state key is a shard: the sessions of one hash. State calls, timers and tables that go to and
+from Python cost by the shard; every session keeps its own clock and its own memory.
+
 State per session is bounded: the window, one second of gaze votes, one metrics interval of
 latencies and the frames newer than the watermark.
 """
@@ -86,9 +89,14 @@ WAITING = pa.schema(
         ("latency_s", pa.float64()),
     ]
 )
-#: Waiting frames in one block of state, and frames that are taken at once.
+#: Waiting frames of a shard; ``fires`` is the time whose passing makes a frame's session act.
+SHARED = pa.schema([("session", pa.string()), ("fires", pa.int64()), *WAITING])
+#: Waiting frames in one block of state, sessions in one, and frames that are taken at once.
 BLOCK = 10_000
+SESSIONS = 256
 STRETCH = 1 << 16
+#: State keys that sessions are dealt to.
+SHARDS = 1024
 
 
 @dataclass(frozen=True)
@@ -162,28 +170,30 @@ class Session:
     last_frame: int = -1
 
 
-_NUMBERS = T.ArrayType(T.DoubleType())
-STATE = T.StructType(
+_NUMBERS = pa.list_(pa.float64())
+STATE = pa.schema(
     [
-        T.StructField("window", T.ArrayType(_NUMBERS)),
-        T.StructField("level", T.IntegerType()),
-        T.StructField("fatigue", T.ArrayType(T.LongType())),
-        T.StructField("binary", T.ArrayType(T.LongType())),
-        T.StructField("seen", T.LongType()),
-        T.StructField("probs", _NUMBERS),
-        T.StructField("vote_ts", _NUMBERS),
-        T.StructField("vote_zone", T.ArrayType(T.StringType())),
-        T.StructField("off_since", T.DoubleType()),
-        T.StructField("tier", T.IntegerType()),
-        T.StructField("face", T.BooleanType()),
-        T.StructField("zone", T.StringType()),
-        T.StructField("since", T.DoubleType()),
-        T.StructField("latencies", _NUMBERS),
-        T.StructField("faces", T.LongType()),
-        T.StructField("last_ts", T.DoubleType()),
-        T.StructField("last_frame", T.LongType()),
+        ("window", pa.list_(_NUMBERS)),
+        ("level", pa.int32()),
+        ("fatigue", pa.list_(pa.int64())),
+        ("binary", pa.list_(pa.int64())),
+        ("seen", pa.int64()),
+        ("probs", _NUMBERS),
+        ("vote_ts", _NUMBERS),
+        ("vote_zone", pa.list_(pa.string())),
+        ("off_since", pa.float64()),
+        ("tier", pa.int32()),
+        ("face", pa.bool_()),
+        ("zone", pa.string()),
+        ("since", pa.float64()),
+        ("latencies", _NUMBERS),
+        ("faces", pa.int64()),
+        ("last_ts", pa.float64()),
+        ("last_frame", pa.int64()),
     ]
 )
+#: Sessions of a shard; a session without waiting frames acts when ``fires`` has passed.
+KNOWN = pa.schema([("session", pa.string()), ("fires", pa.int64()), *STATE])
 
 
 def debounced(levels: Sequence[int], state: list, steps: tuple[int, int, int], top: int) -> tuple[np.ndarray, list]:
@@ -298,12 +308,15 @@ def metrics_event(s: Session, latencies: Sequence[float], faces: int, now: float
 def _interval_ends(s: Session, c: MonitorConfig, ts: np.ndarray) -> list[int]:
     """Rows at which a metrics interval is full."""
     times, ends, since, at = ts.tolist(), [], s.since, 0
-    while True:
-        full = bisect_left(times, c.metrics_s, at, key=lambda t: t - since)
-        if full == len(times):
-            return ends
-        ends.append(full)
-        since, at = times[full], full + 1
+    while at < len(times):
+        full = at
+        if times[at] - since < c.metrics_s:
+            full = bisect_left(times, c.metrics_s, at, key=lambda t: t - since)
+        if full < len(times):
+            ends.append(full)
+            since = times[full]
+        at = full + 1
+    return ends
 
 
 def _percentiles(values: np.ndarray, sizes: np.ndarray, share: float) -> np.ndarray:
@@ -344,8 +357,42 @@ def full_intervals(s: Session, c: MonitorConfig, ts: np.ndarray, face: np.ndarra
 
 def advance(s: Session, c: MonitorConfig, rows: pa.RecordBatch) -> pd.DataFrame:
     """Take ``WAITING`` frames in order; the frame states and events they cause, in order too."""
-    us = rows["us"].to_numpy()
-    ts = us // 1_000_000 + us % 1_000_000 / 1e6
+    return _event_rows(_placed(_changes(s, c, rows), rows))
+
+
+def advance_sessions(sessions: Sequence[tuple[str | None, Session, int]], c: MonitorConfig, rows: pa.RecordBatch) -> pd.DataFrame:
+    """What ``advance`` gives for sessions, (name, session, frames), whose frames follow each other."""
+    base, kinds = 0, {}
+    bases, names = [], np.array([name for name, *_ in sessions], object)
+    for _, s, n in sessions:
+        for event, at, of in _changes(s, c, rows.slice(base, n)):
+            if len(at):
+                kinds.setdefault(event, []).append((at + base, of))
+        bases.append(base)
+        base += n
+    found = []
+    for event, parts in kinds.items():
+        at = np.concatenate([at for at, _ in parts])
+        of = {k: np.concatenate([of[k] for _, of in parts]) for k in parts[0][1]}
+        found.append((event, at, {"session": names[np.searchsorted(bases, at, side="right") - 1], **of}))
+    # Events at a row come in the order they have within a session.
+    found.sort(key=lambda kind: KINDS.index(kind[0]))
+    return _event_rows(_placed(found, rows))
+
+
+def _seconds(us: np.ndarray) -> np.ndarray:
+    return us // 1_000_000 + us % 1_000_000 / 1e6
+
+
+def _placed(found: Sequence[tuple[str, np.ndarray, dict]], rows: pa.RecordBatch) -> list[tuple[str, dict, np.ndarray]]:
+    """Events with the number and the time of their frames."""
+    frames, ts = rows["frame"].to_numpy(), _seconds(rows["us"].to_numpy())
+    return [(event, {"frame": frames[at], "ts": ts[at], **of}, at) for event, at, of in found]
+
+
+def _changes(s: Session, c: MonitorConfig, rows: pa.RecordBatch) -> list[tuple[str, np.ndarray, dict]]:
+    """Frame states and events of one session: kind, rows and columns of each kind."""
+    ts = _seconds(rows["us"].to_numpy())
     face = rows["has_face"].fill_null(False).to_numpy(zero_copy_only=False)
     n = len(ts)
     if s.since is None:
@@ -389,14 +436,19 @@ def advance(s: Session, c: MonitorConfig, rows: pa.RecordBatch) -> pd.DataFrame:
     # Metrics: rows up to the end of an interval belong to it.
     ends, records = full_intervals(s, c, ts, face, rows["latency_s"].to_numpy(zero_copy_only=False))
     found.append(("metrics", np.array(ends, np.int64), records))
-    frames = rows["frame"].to_numpy()
     s.tier, s.face, s.zone = int(tier[-1]), bool(face[-1]), shown[-1]
-    s.last_ts, s.last_frame = float(ts[-1]), int(frames[-1])
-    return _event_rows([(event, {"frame": frames[at], "ts": ts[at], **of}, at) for event, at, of in found])
+    s.last_ts, s.last_frame = float(ts[-1]), rows["frame"][-1].as_py()
+    return found
+
+
+#: Order of the events that one frame causes.
+KINDS = ("frame", "tier_change", "gaze_change", "face_lost", "face_regained", "metrics")
 
 
 def _event_rows(found: Sequence[tuple[str, dict, np.ndarray]]) -> pd.DataFrame:
     """Events of several kinds, (kind, columns, rows), as ``OUTPUT`` rows in the order of their rows."""
+    if not found:
+        return pd.DataFrame(columns=OUTPUT.names)
     sizes = [len(at) for _, _, at in found]
     order = np.argsort(np.concatenate([at for *_, at in found]), kind="stable")
     out = {}
@@ -425,107 +477,141 @@ def _matrix(lists: pa.Array) -> np.ndarray:
 
 
 class MonitorProcessor(StatefulProcessor):
+    """Sessions of a shard. Each acts by itself, when the watermark has passed its oldest waiting
+    frame or, while none waits, the time at which it counts as stopped."""
+
     def __init__(self, config: MonitorConfig) -> None:
         self.config = config
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.session = handle.getValueState("session", STATE)
         # A value for each block, which sort by arrival.
+        self.known = handle.getMapState("known", "part string", "sessions binary")
         self.pending = handle.getMapState("pending", "arrived string", "frames binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        oldest = None
+        soon, first = timerValues.getCurrentWatermarkInMs() + 1, None
         for batch in rows:
             if len(batch):
-                block = _columns(batch)
-                self._wait(block)
-                first = int(block["us"].to_numpy().min()) // 1000
-                oldest = first if oldest is None else min(oldest, first)
-        if oldest is not None:
+                block = _columns(batch, soon)
+                _put(self.pending, block)
+                oldest = int(block["fires"].to_numpy().min())
+                first = oldest if first is None else min(first, oldest)
+        if first is not None:
             # Fires as soon as the watermark has passed the oldest waiting frame.
-            self.handle.registerTimer(max(oldest, timerValues.getCurrentWatermarkInMs() + 1))
+            self.handle.registerTimer(first)
         return iter(())
 
-    def _wait(self, frames: pa.RecordBatch) -> None:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, WAITING) as stream:
-            stream.write_batch(frames)
-        self.pending.updateValue((f"{time.time_ns():020d}-{uuid.uuid4().hex}",), (sink.getvalue().to_pybytes(),))
-
-    def _waiting(self) -> pa.RecordBatch:
-        blocks = [bytes(self.pending.getValue((k,))[0]) for k in sorted(k for (k,) in self.pending.keys())]
-        found = [batch for block in blocks for batch in pa.ipc.open_stream(block)]
-        return pa.concat_batches(found) if found else pa.RecordBatch.from_pylist([], WAITING)
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        session = key[0]
         upto = timerValues.getCurrentWatermarkInMs()
-        known = self.session.get()
-        s = Session() if known is None else _session(known)
-        waiting = self._waiting()
-        us, frame = waiting["us"].to_numpy(), waiting["frame"].to_numpy()
-        order = np.lexsort((frame, us))
-        n_due = int(np.searchsorted(us[order] // 1000, upto, side="right"))
-        for lo in range(0, n_due, STRETCH):
-            due = waiting.take(pa.array(order[lo : min(lo + STRETCH, n_due)]))
-            out = advance(s, self.config, due)
+        known = {row.pop("session"): row for row in _get(self.known, KNOWN).to_pylist()}
+        waiting = _get(self.pending, SHARED)
+        us, fires = waiting["us"].to_numpy(), waiting["fires"].to_numpy()
+        coded = waiting["session"].dictionary_encode(null_encoding="encode")
+        code, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        earliest = np.full(len(names), np.iinfo(np.int64).max)
+        np.minimum.at(earliest, code, fires)
+        idle = [known[name]["fires"] if name in known else None for name in names]
+        acts = (earliest <= upto) | np.array([t is not None and t <= upto for t in idle], bool)
+        due = acts[code] & (us // 1000 <= upto)
+        later = np.bincount(code[~due], minlength=len(names))
+
+        order = np.lexsort((waiting["frame"].to_numpy(), us, code))
+        order = order[due[order]]
+        acting = {names[i]: int(later[i]) for i in np.flatnonzero(acts)}
+        acting |= {name: 0 for name, row in known.items() if row["fires"] is not None and row["fires"] <= upto and name not in acting}
+        sessions = {name: _session(known[name]) if name in known else Session() for name in acting}
+        for lo in range(0, len(order), STRETCH):
+            taken = order[lo : lo + STRETCH]
+            whose, starts = np.unique(code[taken], return_index=True)
+            sizes = np.diff(starts, append=len(taken))
+            parts = [(names[i], sessions[names[i]], int(n)) for i, n in zip(whose, sizes)]
+            out = advance_sessions(parts, self.config, waiting.take(pa.array(taken)))
             if len(out):
-                out["session"] = session
                 yield out
-        later = order[n_due:]
-        if n_due:
-            self.pending.clear()
-            for lo in range(0, len(later), BLOCK):
-                self._wait(waiting.take(pa.array(np.sort(later[lo : lo + BLOCK]))))
-        idle_ms = int(self.config.idle_s * 1000)
-        if len(later):
-            self.handle.registerTimer(int(us[later[0]]) // 1000)
-            self.session.update(_values(s))
-        elif s.last_frame >= 0 and upto >= s.last_ts * 1000 + idle_ms:
-            end = {"session": session, "frame": s.last_frame, "ts": s.last_ts}
-            last = [{**end, **metrics_event(s, s.latencies, s.faces, s.last_ts)}, {**end, "event": "stop"}]
-            self.session.clear()
-            self.pending.clear()
-            columns = {f.name: [event.get(f.name) for event in last] for f in OUTPUT.fields}
+
+        idle_ms, ended = int(self.config.idle_s * 1000), []
+        for name, n_later in acting.items():
+            s = sessions[name]
+            if not n_later and s.last_frame >= 0 and upto >= s.last_ts * 1000 + idle_ms:
+                end = {"session": name, "frame": s.last_frame, "ts": s.last_ts}
+                ended += [{**end, **metrics_event(s, s.latencies, s.faces, s.last_ts)}, {**end, "event": "stop"}]
+                known.pop(name, None)
+            else:
+                known[name] = {"fires": None if n_later else int(s.last_ts * 1000) + idle_ms, **dict(zip(STATE.names, _values(s)))}
+        for lo in range(0, len(ended), STRETCH):
+            columns = {f.name: [event.get(f.name) for event in ended[lo : lo + STRETCH]] for f in OUTPUT.fields}
             yield pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in columns.items()})
-        else:
-            self.session.update(_values(s))
-            self.handle.registerTimer(int(s.last_ts * 1000) + idle_ms)
+
+        rest = np.flatnonzero(~due)
+        if len(order):
+            self.pending.clear()
+            for lo in range(0, len(rest), BLOCK):
+                _put(self.pending, waiting.take(pa.array(rest[lo : lo + BLOCK])))
+        if acting:
+            self.known.clear()
+            rows = [{"session": name, **row} for name, row in known.items()]
+            for lo in range(0, len(rows), SESSIONS):
+                _put(self.known, pa.RecordBatch.from_pylist(rows[lo : lo + SESSIONS], KNOWN))
+        clocks = [row["fires"] for row in known.values() if row["fires"] is not None]
+        if len(rest):
+            clocks.append(int(fires[rest].min()))
+        if clocks:
+            # The timer that fired is dropped after this.
+            self.handle.registerTimer(max(min(clocks), upto + 1))
 
     def close(self) -> None:
         pass
 
 
+def _put(state, rows: pa.RecordBatch) -> None:
+    """Add a block of columns to a map state."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as stream:
+        stream.write_batch(rows)
+    state.updateValue((f"{time.time_ns():020d}-{uuid.uuid4().hex}",), (sink.getvalue().to_pybytes(),))
+
+
+def _get(state, schema: pa.Schema) -> pa.RecordBatch:
+    """All blocks of a map state, in the order they were added."""
+    blocks = sorted((k, bytes(v)) for (k,), (v,) in state.iterator())
+    found = [batch for _, block in blocks for batch in pa.ipc.open_stream(block)]
+    return pa.concat_batches(found) if found else pa.RecordBatch.from_pylist([], schema)
+
+
 def _values(s: Session) -> tuple:
-    return tuple(getattr(s, f.name) for f in STATE.fields)
+    return tuple(getattr(s, name) for name in STATE.names)
 
 
-def _session(values) -> Session:
-    plain = lambda v: [plain(x) for x in v] if isinstance(v, (list, tuple, np.ndarray)) else v
-    return Session(**{f.name: plain(v) for f, v in zip(STATE.fields, values)})
+def _session(row: dict) -> Session:
+    return Session(**{name: row[name] for name in STATE.names})
 
 
-def _columns(batch: pd.DataFrame) -> pa.RecordBatch:
-    """Input rows as columns; every frame has a time and a number."""
-    frames = pa.RecordBatch.from_arrays([pa.Array.from_pandas(batch[f.name], type=f.type) for f in WAITING], schema=WAITING)
-    if frames["us"].null_count or frames["frame"].null_count:
+def _columns(batch: pd.DataFrame, soon: int) -> pa.RecordBatch:
+    """Input rows as ``SHARED`` columns, firing from ``soon`` on; every frame has a time and a number."""
+    columns = {f.name: pa.Array.from_pandas(batch[f.name], type=f.type) for f in SHARED if f.name != "fires"}
+    if columns["us"].null_count or columns["frame"].null_count:
         raise ValueError("a frame has no time or no number")
-    return frames
+    columns["fires"] = pa.array(np.maximum(columns["us"].to_numpy() // 1000, soon))
+    return pa.RecordBatch.from_arrays([columns[name] for name in SHARED.names], schema=SHARED)
 
 
-def monitor_stream(frames: DataFrame, config: MonitorConfig, delay: str = "10 seconds") -> DataFrame:
+def monitor_stream(frames: DataFrame, config: MonitorConfig, delay: str = "10 seconds", shards: int = SHARDS) -> DataFrame:
     """Events and frame states of every session of a stream with the ``INPUT`` columns.
 
-    Frames later than the watermark delay are dropped and counted by Spark.
+    Frames later than the watermark delay are dropped and counted by Spark. Sessions are dealt to
+    ``shards`` state keys, a number that a checkpoint is bound to.
     """
+    if shards < 1:
+        raise ValueError("there is at least one shard")
     # Executors get the processor by value, so they need not have this package installed.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     wanted = frames.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in INPUT.fields])
     return (
         wanted.withWatermark("ts", delay)
         .withColumn("us", F.unix_micros("ts"))
-        .groupBy("session")
+        .withColumn("shard", F.pmod(F.xxhash64("session"), F.lit(shards)))
+        .groupBy("shard")
         .transformWithStateInPandas(
             statefulProcessor=MonitorProcessor(config),
             outputStructType=OUTPUT,
